@@ -25,19 +25,34 @@ from pyspark.sql import functions as F
 from vigilake.llm.shared import small_batches, text_rows
 
 #: Pre-tokens whose counts a worker remembers.
-CACHE = 300_000
+CACHE = 400_000
 #: The characters with the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @lru_cache(maxsize=1)
-def pretoken_pattern() -> re.Pattern:
+def other_numbers() -> tuple[str, re.Pattern]:
+    """Number characters that re takes for letters, as ranges of a class; and what finds them or any character beyond the BMP."""
+    at = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Nl", "No")]
+    first = [i for i, j in zip(at, [-2, *at], strict=False) if i != j + 1]
+    last = [i for i, j in zip(at, [*at[1:], -2], strict=True) if j != i + 1]
+    ranges = "".join(f"\\U{i:08x}-\\U{j:08x}" for i, j in zip(first, last, strict=True))
+    # Only classes within the BMP are looked up by re, not searched.
+    return ranges, re.compile("[" + "".join(re.escape(chr(i)) for i in at if i < 0x10000) + "]|[\U00010000-\U0010ffff]")
+
+
+@lru_cache(maxsize=2)
+def pretoken_pattern(numbers: bool) -> re.Pattern:
     """The vocabulary's split into contractions, letters, numbers, others and white space, for the re module.
 
-    re knows only decimal digits as digits, so that other number characters are listed.
+    numbers: for texts with other numbers than decimal digits; to list them all in a class makes it slow.
     """
-    other = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_{other}]+| ?[\d{other}]+| ?(?:[^\w{WHITE}]|_)+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+    other = other_numbers()[0] if numbers else ""
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_{other}]+| ?[\d{other}]+| ?(?:[^\s\w]|[_\x1c-\x1f])+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+
+
+def pretokens(text: str) -> list[str]:
+    return pretoken_pattern(not text.isascii() and bool(other_numbers()[1].search(text))).findall(text)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -104,10 +119,10 @@ def merges(file: str) -> Merges:
 
 def text_counts(texts: list[str], file: str, cache: dict[str, int]) -> list[int]:
     """Tokens of each text; cache keeps what pre-tokens count."""
-    m, find = merges(file), pretoken_pattern().findall
+    m = merges(file)
     special = re.compile("|".join(map(re.escape, m.special))) if m.special else None
     split = [special.split(t) if special and any(s in t for s in m.special) else [t] for t in texts]
-    found = [[w for part in parts for w in find(part)] for parts in split]
+    found = [[w for part in parts for w in pretokens(part)] for parts in split]
     new = list({w for ws in found for w in ws if w not in cache})
     if len(cache) + len(new) > CACHE:
         cache.clear()
