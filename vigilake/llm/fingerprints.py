@@ -4,7 +4,7 @@ A text is normalised (NFKC), case-folded and its white space folded; the 128-bit
 remains is its fingerprint. Where several documents share a digest their canonical bytes are
 compared; should different bytes ever share one, the fingerprint gets a suffix by their order.
 
-The comparison moves only texts whose digest occurs twice: a bitmap of fixed size (BITS), built
+The comparison moves only texts whose digest occurs twice: a bitmap of fixed size, built
 by Spark's bitmap aggregate, tells each task which of its texts may be among them (others that
 hit the same bit do no harm), and min and max of the canonical text are combined before the
 shuffle, so that a large group of copies costs one row a task.
@@ -27,10 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.llm.shared import small_batches, text_rows
+from vigilake.llm.shared import Marks, small_batches, text_rows
 
-#: Bits of the map of repeated digests: 8 MB at most come to the driver and go to the tasks.
-BITS = 1 << 26
 #: Collisions of 128-bit digests that the driver is ready to hold.
 COLLISIONS = 10_000
 
@@ -45,10 +43,6 @@ def digest(canon: str) -> str:
     return xxhash.xxh3_128_hexdigest(canon.encode("utf-8", "surrogatepass"))
 
 
-def _bit(d: str) -> int:
-    return int(d[-8:], 16) & (BITS - 1)
-
-
 def collisions(docs: DataFrame) -> dict[tuple[str, str], int]:
     """Numbers of the canonical texts whose digest another text has too; normally empty."""
     small_batches(docs.sparkSession)
@@ -59,25 +53,16 @@ def collisions(docs: DataFrame) -> dict[tuple[str, str], int]:
             yield pa.RecordBatch.from_arrays([pa.array([digest(canonical(t)) for t in b.column("text").to_pylist()], pa.string())], ["digest"])
 
     twice = text.mapInArrow(digests, "digest string").groupBy("digest").count().where("count > 1")
-    bit = F.conv(F.right("digest", F.lit(8)), 16, 10).cast("long").bitwiseAND(F.lit(BITS - 1)) + 1
-    bits = twice.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    width = 1 << 15  # bits in Spark's bitmaps, whose buckets count from 1 for numbers from 1
-    marked = np.zeros(BITS // 8 + width // 8, np.uint8)
-    for r in bits:
-        at = (r.bucket - 1) * (width // 8)
-        marked[at : at + width // 8] |= np.frombuffer(r.bits, np.uint8)
-    if not bits:
+    marks = Marks(twice.select(F.conv(F.right("digest", F.lit(8)), 16, 10).cast("long").alias("key")), "key")
+    if marks.empty:
         return {}
-    spread = docs.sparkSession.sparkContext.broadcast(marked)
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = spread.value
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                d = digest(c := canonical(t))
-                if known[_bit(d) >> 3] >> (_bit(d) & 7) & 1:
-                    out.append((d, c))
+            canons = [canonical(t) for t in b.column("text").to_pylist()]
+            found = [digest(c) for c in canons]
+            hit = marks.hit(np.array([int(d[-8:], 16) for d in found], np.int64))
+            out = [x for x, h in zip(zip(found, canons, strict=True), hit, strict=True) if h]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["digest", "canon"])
 
     maybe = text.mapInArrow(repeated, "digest string, canon string")

@@ -129,3 +129,29 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     inside = ~_tables()[1][data]
     starts, ends, first = runs(inside, off)
     return hash_runs(data, inside, starts, ends), first
+
+
+#: Bits of the maps below: 8 MB at most come to the driver and go to the tasks, whatever the input.
+MARK_BITS = 1 << 26
+
+
+class Marks:
+    """A bitmap of fixed size over 64-bit keys: what is in a set surely hits it, others rarely do.
+
+    Tasks use it to leave out rows before a shuffle that an exact join drops anyway.
+    """
+
+    def __init__(self, keys: DataFrame, column: str) -> None:
+        width = 1 << 15  # bits in Spark's bitmaps, whose buckets count from 1 for numbers from 1
+        bit = F.col(column).bitwiseAND(F.lit(MARK_BITS - 1)) + 1
+        found = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+        bits = np.zeros(MARK_BITS // 8, np.uint8)
+        for r in found:
+            at = (r.bucket - 1) * (width // 8)
+            bits[at : at + width // 8] |= np.frombuffer(r.bits, np.uint8)
+        self.empty = not found
+        self._spread = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def hit(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.astype(np.int64) & np.int64(MARK_BITS - 1)
+        return (self._spread.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
