@@ -62,10 +62,10 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> Iterator[np.ndarr
             if e - s >= k:
                 yield np.unique(h[s : e - k + 1])
             elif e > s:
-                acc = _U(e - s)
+                acc = np.array([e - s], np.uint64)
                 for x in w[s:e]:
                     acc = acc * _M + x
-                yield mix(np.array([acc]))
+                yield mix(acc)
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -277,3 +277,11 @@ def joined(docs: DataFrame, k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFram
     named = linkable.join(classes, ["n", "b", "c"]).select("doc_id", "n", "class")
     out = named.join(found, F.col("class") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
     return out.unionByName(own.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFrame:
+    """One document of each group of linked ones, that of the least doc_id, with all its columns; rows without doc_id stay."""
+    first = joined(docs, k, t).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    first = saved(first, "join-first")
+    kept = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import chat, fingerprints, ngram_join, packing, secret_scan, source_mix, token_counts
+from vigilake.llm import chat, fingerprints, ngram_join, packing, secret_scan, source_mix, token_counts, toxicity
 from vigilake.llm.shared import small_batches, text_rows
 from vigilake.sources.tables import table
 
@@ -20,6 +20,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=512)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = text_rows(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", secret_scan.secret_spans("text").alias("found"))
