@@ -98,6 +98,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     """A row of FEATURES for each text."""
     out = np.zeros((len(texts), len(FEATURES)))
     insults, second = _keys(INSULTS), _keys(SECOND)
+    odds = np.append(lexicon.odds, -np.inf)  # of none, at -1
     raw, raw_off = utf8(texts)
     low, low_off = utf8(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     for i, j in blocks(raw_off):
@@ -113,13 +114,13 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         stem = np.full(len(w.key), -1)
         for s in w.stems:
             m = _member(s, lexicon.key)
-            stem = np.where((m >= 0) & ((stem < 0) | (lexicon.odds[m] > lexicon.odds[stem])), m, stem)
+            stem = np.where(odds[m] > odds[stem], m, stem)
         rude = _member(w.key, insults) >= 0
         best, total = np.zeros(n), np.zeros(n)
         for at in (whole, stem):
             k = np.flatnonzero(at >= 0)
-            np.maximum.at(best, w.doc[k], lexicon.odds[at[k]])
-            total += np.bincount(w.doc[k], lexicon.odds[at[k]], n)
+            np.maximum.at(best, w.doc[k], odds[at[k]])
+            total += np.bincount(w.doc[k], odds[at[k]], n)
         hit = (whole >= 0) | (stem >= 0) | rude
         you = _member(w.key, second) >= 0
         # Words between a hit and the nearest second person of the same text.
