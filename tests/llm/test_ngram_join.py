@@ -93,3 +93,11 @@ def test_components_of_paths_and_hubs(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {i: 0 for i in range(41)} | {1000 + i: 1000 for i in range(30)} | {1999: 1999, 2000: 1999}
     assert components(spark.createDataFrame([], "x long, y long")).collect() == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 3000), max_size=900), st.sets(st.integers(0, 3000), max_size=900))
+def test_signatures_bound_the_overlap(x, y):
+    a, b = (ngram_join.mix(np.array(sorted(s), np.uint64)) for s in (x, y))
+    cells = [np.frombuffer(ngram_join.signature(s), np.uint8).reshape(1, -1) for s in (a, b)]
+    assert ngram_join.overlap_bound(*cells)[0] >= len(x & y)

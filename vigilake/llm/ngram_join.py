@@ -2,7 +2,7 @@
 
 1. One pass makes each document's set of shingle hashes, its size and a 128-bit digest of the
    set; equal sets are one class from here on, its least doc_id stands for it. The same pass
-   counts, task by task, which shingles are common (HOT_SHARE of all documents or more).
+   counts, task by task, which shingles are common.
 2. Sets are ordered by hash, common shingles last. Two sets with Jaccard >= t share a shingle
    among the first n - ceil(t * n) + 1 of each, under any order, so only these prefixes are
    posted. The common shingles only set the order: a wrong guess costs time, never a link.
@@ -10,7 +10,9 @@
    its leader (the document made most of common shingles, so rather the original than a copy)
    with all others; its remaining pairs are looked at in 5. Pairs that sizes and positions rule
    out are dropped.
-4. Pairs are verified by DivideSkip: the lists of a leader's shingles over its candidates are
+4. A signature of each set (how many of its hashes fall into each of CELLS cells) bounds a
+   pair's overlap by the sum of the lesser counts; pairs below what they need go before any text
+   moves. The others are verified by DivideSkip: the lists of a leader's shingles over its candidates are
    split into long and short ones, the short ones merged with a heap, the survivors probed for
    in the long ones by binary search, and those kept that reach the overlap which the two sizes
    require. Only texts of candidates move.
@@ -36,10 +38,12 @@ from pyspark.sql import functions as F
 from vigilake.llm.components import components
 from vigilake.llm.shared import Marks, blocks, mix, saved, small_batches, text_rows, utf8, word_hashes
 
-#: A shingle is common from this share of the documents on, at least HOT_LEAST of them; so at most (mean set size / HOT_SHARE) are.
-HOT_SHARE, HOT_LEAST = 1e-3, 32
+#: A shingle is common if HOT_LEAST documents have it; of more than HOT_MOST, the most frequent are taken, so that 8 MB go to the tasks.
+HOT_LEAST, HOT_MOST = 16, 1_000_000
 #: A task tells of shingles that this many of its documents have, counting about so many at a time.
-HOT_TOLD, HOT_BLOCK = 4, 2_000_000
+HOT_TOLD, HOT_BLOCK = 3, 4_000_000
+#: Cells of a set's signature.
+CELLS = 128
 #: Lists up to this length give all pairs at once.
 SMALL_LIST = 12
 #: DivideSkip's weight of a binary probe against a heap step.
@@ -105,8 +109,20 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], t: tuple[int, int]) -
     return count >= need
 
 
+def signature(s: np.ndarray) -> bytes:
+    """How many of the set fall into each cell, up to 255."""
+    return np.minimum(np.bincount((s >> _U(20) & _U(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most that sets with these signatures (rows) may share; full cells say nothing."""
+    return np.where((x == 255) & (y == 255), 1 << 30, np.minimum(x, y).astype(np.int64)).sum(1)
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """A row of each document (kind 0: a is doc_id, n the size, b and c the set's digest) and of each shingle that a task finds common (kind 1: a is the hash, n a count)."""
+    """A row of each document (kind 0: a is doc_id, n the size, b and c the set's digest, cells its signature) and of each shingle that a task finds common (kind 1: a is the hash, n a count)."""
+
+    names = ["kind", "a", "n", "b", "c", "cells"]
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -115,22 +131,23 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             held.clear()
             h, n = h[n >= HOT_TOLD].view(np.int64), n[n >= HOT_TOLD]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), pa.array(h), pa.array(n), pa.array(h), pa.array(h)], ["kind", "a", "n", "b", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), pa.array(h), pa.array(n), pa.array(h), pa.array(h), pa.nulls(len(h), pa.binary())], names)
 
         for batch in batches:
-            n, b, c = [], [], []
+            n, b, c, cells = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 n.append(len(s))
                 b.append(mix(s).sum(dtype=np.uint64))
                 c.append(mix(s ^ _M).sum(dtype=np.uint64))
+                cells.append(signature(s))
                 held.append(s)
             d = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (b, c)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), batch.column("doc_id"), pa.array(n, pa.int64()), *d], ["kind", "a", "n", "b", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), batch.column("doc_id"), pa.array(n, pa.int64()), *d, pa.array(cells, pa.binary())], names)
             if sum(map(len, held)) > HOT_BLOCK:
                 yield told()
         yield told()
 
-    return saved(text_rows(docs, "doc_id").mapInArrow(passed, "kind byte, a long, n long, b long, c long"), "join-sets")
+    return saved(text_rows(docs, "doc_id").mapInArrow(passed, "kind byte, a long, n long, b long, c long, cells binary"), "join-sets")
 
 
 def _prefixes(docs: DataFrame, hot: np.ndarray, k: int, t: tuple[int, int]) -> DataFrame:
@@ -202,6 +219,21 @@ def _may(n: Column, m: Column, p: Column, q: Column, t: tuple[int, int]) -> Colu
     return (t[0] + t[1]) * F.least(n - p, m - q) >= t[0] * (n + m)
 
 
+def _plausible(pairs: DataFrame, sizes: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The pairs whose signatures leave room for the overlap that they need; sizes: doc_id, n and cells."""
+    x, y = (sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"cells_{c}")) for c in "ab")
+    both = pairs.join(y, "b").join(x, "a").where(t[0] * F.greatest("n_a", "n_b") <= t[1] * F.least("n_a", "n_b"))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("cells_a", "cells_b")]
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            keep = pa.array(np.flatnonzero(overlap_bound(*cells) >= required(n, m, t)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], ["a", "b"])
+
+    return saved(both.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(passed, "a long, b long"), "join-plausible")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -240,11 +272,11 @@ def joined(docs: DataFrame, k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFram
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = _sets(docs, k)
-    own = sets.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "b", "c")
-    total = own.count()
-    least = max(HOT_LEAST, int(HOT_SHARE * total))
-    hot = sets.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a").toPandas()["a"]
-    hot = np.sort(hot.to_numpy().astype(np.int64).view(np.uint64))
+    own = sets.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "b", "c", "cells")
+    told = saved(sets.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST), "join-hot")
+    if told.count() > HOT_MOST:
+        told = told.orderBy(F.desc("n"), "a").limit(HOT_MOST)
+    hot = np.sort(told.select("a").toPandas()["a"].to_numpy().astype(np.int64).view(np.uint64))
     # Of each set, the least doc_id; what is empty or has no doc_id takes no part.
     linkable = own.where("n > 0 and doc_id is not null")
     classes = saved(linkable.groupBy("n", "b", "c").agg(F.min("doc_id").alias("class")), "join-classes")
@@ -257,7 +289,8 @@ def joined(docs: DataFrame, k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFram
     leaders = saved(common.groupBy("hash").agg(F.count("*").alias("k"), F.min(F.struct("rare", "doc", "n", "pos")).alias("lead")).where("k > 1").select("hash", "lead"), "join-leaders")
     led = common.join(leaders, "hash").where((F.col("doc") != F.col("lead.doc")) & _may(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos"), t)).select(F.col("lead.doc").alias("a"), F.col("doc").alias("b"))
     pairs = saved(short.where("kind = 0").select("a", "b").unionByName(led).distinct(), "join-pairs")
-    links = _verified(docs, pairs, k, t)
+    sizes = linkable.select("doc_id", "n", "cells")
+    links = _verified(docs, _plausible(pairs, sizes, t), k, t)
     found = saved(components(links), "join-components")
 
     # Long lists that the leaders have not brought together.
@@ -270,7 +303,7 @@ def joined(docs: DataFrame, k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFram
         ahead = F.struct("rare_x", "doc_x") < F.struct("rare_y", "doc_y")
         rest = x.join(y, "hash").where((F.col("component_x") != F.col("component_y")) & ahead & _may(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y"), t))
         rest = rest.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = _verified(docs, saved(rest, "join-rest"), k, t)
+        more = _verified(docs, _plausible(rest, sizes, t), k, t)
         if more.count():
             found = saved(components(links.unionByName(more)), "join-components")
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import chat, fingerprints, ngram_join, packing, secret_scan, source_mix, token_counts, toxicity
+from vigilake.llm import chat, fingerprints, lm_scoring, ngram_join, packing, secret_scan, source_mix, token_counts, toxicity
 from vigilake.llm.shared import small_batches, text_rows
 from vigilake.sources.tables import table
 
@@ -45,6 +45,13 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    seen = lm_scoring.training(F.col("doc_id"))
+    model = lm_scoring.train(docs.where(seen))
+    return lm_scoring.scored(docs, model).select("doc_id", (~seen).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = source_mix.mixture(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
