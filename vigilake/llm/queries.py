@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import chat, fingerprints, lm_scoring, ngram_join, packing, secret_scan, source_mix, token_counts, toxicity
+from vigilake.llm import chat, embedding_dedup, fingerprints, lm_scoring, ngram_join, packing, secret_scan, source_mix, token_counts, toxicity
 from vigilake.llm.shared import small_batches, text_rows
 from vigilake.sources.tables import table
 
@@ -26,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = text_rows(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", secret_scan.secret_spans("text").alias("found"))
