@@ -1 +1 @@
-"""See the module docstrings of this package."""
+"""Operators from DataFrame to DataFrame, for batches and streams alike."""

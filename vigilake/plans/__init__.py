@@ -1 +1 @@
-"""See the module docstrings of this package."""
+"""Registered queries and their oracle SQL, by subject."""
