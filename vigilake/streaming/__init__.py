@@ -1 +1 @@
-"""See the module docstrings of this package."""
+"""Stateful stream versions of batch operators."""
