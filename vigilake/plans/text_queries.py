@@ -110,7 +110,9 @@ def _quoted(s: str) -> str:
 
 def _hits_sql(column: str, rules: list) -> str:
     """A list of (severity, order, id, category) of the rules that match."""
-    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({column}, {_quoted(r.pattern)}) THEN {{'severity': {r.severity}, 'o': {-r.idx}, 'rule_id': {_quoted(r.id)}, 'category': {_quoted(r.category)}}} END" for r in rules) + "], lambda x: x IS NOT NULL)"
+    # RE2 repeats at most 1,000 times.
+    pattern = {r.id: _quoted(r.pattern.replace(r"[\s\S]{0,2000}?", r"[\s\S]{0,1000}?[\s\S]{0,1000}?")) for r in rules}
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({column}, {pattern[r.id]}) THEN {{'severity': {r.severity}, 'o': {-r.idx}, 'rule_id': {_quoted(r.id)}, 'category': {_quoted(r.category)}}} END" for r in rules) + "], lambda x: x IS NOT NULL)"
 
 
 _PLAIN = [r for r in RULES if not r.look]
