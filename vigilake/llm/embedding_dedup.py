@@ -129,16 +129,10 @@ def searched(x: np.ndarray, lists: list[np.ndarray], least: float) -> tuple[np.n
     sim[:, entry] = x @ x[entry].T
     opened = np.zeros((n, n), bool)
 
-    def visit(q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Opens nodes for queries; the pairs seen for the first time."""
-        to = adj[node]
-        pair = np.unique((q[:, None] * n + to)[to >= 0])
-        pair = pair[sim.ravel()[pair] == -np.inf]
-        a, b = pair // n, pair % n
-        for i in range(0, len(a), 1 << 16):
-            s = slice(i, i + (1 << 16))
+    def seen(a: np.ndarray, b: np.ndarray) -> None:
+        for i in range(0, len(a), 1 << 14):
+            s = slice(i, i + (1 << 14))
             sim[a[s], b[s]] = np.einsum("ij,ij->i", x[a[s]], x[b[s]])
-        return a, b
 
     going = np.arange(n)
     for _ in range(OPENED):
@@ -150,13 +144,20 @@ def searched(x: np.ndarray, lists: list[np.ndarray], least: float) -> tuple[np.n
         able = best[np.arange(len(going)), node] > -np.inf
         going, node = going[able], node[able]
         opened[going, node] = True
-        visit(going, node)
+        to = adj[node]
+        q = np.repeat(going, width)[to.ravel() >= 0]
+        to = to.ravel()[to.ravel() >= 0]
+        fresh = sim[q, to] == -np.inf
+        seen(q[fresh], to[fresh])
     np.fill_diagonal(sim, 1.0)
-    q, node = np.nonzero(sim >= least)
-    while len(q):
-        a, b = visit(q, node)
-        near = sim[a, b] >= least
-        q, node = a[near], b[near]
+    # From here all queries take a step at once: what their nodes in range lead to is a product of two 0/1 matrices.
+    leads = np.zeros((n, n), np.float32)
+    leads[np.repeat(np.arange(n), [len(v) for v in lists]), np.concatenate(lists).astype(int)] = 1
+    front = sim >= least
+    while front.any():
+        reached = (front.astype(np.float32) @ leads > 0) & (sim == -np.inf)
+        seen(*np.nonzero(reached))
+        front = reached & (sim >= least)
     np.fill_diagonal(sim, -np.inf)
     found = sim >= least
     return np.nonzero(found | found.T)
@@ -168,9 +169,13 @@ def _cell_links(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, shards: list
     if across:
         keep = block[q] != block[node]
         q, node = q[keep], node[keep]
-    counts = np.array([[s < shard for s in own] for own in shards])
+    # The pair counts elsewhere if both are in a lesser shard as well.
     table = np.array(shards)
-    keep = np.array([not (set(table[a][counts[a]]) & set(table[b][counts[b]])) for a, b in zip(q, node, strict=True)], bool) if counts.any() and len(q) else np.ones(len(q), bool)
+    elsewhere = np.zeros(len(q), bool)
+    for i in range(table.shape[1]):
+        for j in range(table.shape[1]):
+            elsewhere |= (table[q, i] == table[node, j]) & (table[q, i] < shard)
+    keep = ~elsewhere
     links = np.bincount(q[keep], weight[node[keep]], len(x)).astype(np.int64)
     root = ids.copy()
     while True:
