@@ -79,3 +79,12 @@ def name_folded(name: Column) -> Column:
     low = F.lower(F.regexp_replace(name, r"[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]", ""))
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     return F.translate(F.replace(low, F.lit("rn"), F.lit("m")), wide + "аеорсхуіο", "".join(chr(ord(c) - 0xFEE0) for c in wide) + "aeopcxyio")
+
+
+def cut_bytes(text: Column, most: int, mark: str = "") -> Column:
+    """At most so many bytes of UTF-8, the mark included, never inside a character; shorter text stays."""
+    room = most - len(mark.encode())
+    data = F.encode(text, "UTF-8")
+    whole = [F.substring(data, 1, room - d).cast("string") for d in range(4)]
+    cut = F.coalesce(*[F.when(F.is_valid_utf8(w), w) for w in whole])
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(cut, F.lit(mark)))

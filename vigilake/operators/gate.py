@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from vigilake.functions.shell import command_legs
 from vigilake.functions.verdicts import tier_name, tier_rank
-from vigilake.operators.policy import anchored_glob, unanchored_glob
+from vigilake.operators.policy import anchored_glob, string_argument, unanchored_glob
+from vigilake.sources.packs import GlobRule
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,8 @@ def _hit(matched: Column, severity: int, order: int, rule: str, category: str) -
     return F.when(matched, F.struct(F.lit(severity).alias("severity"), F.lit(-order).alias("order"), F.lit(rule).alias("rule_id"), F.lit(category).alias("category")))
 
 
-def evaluate(df: DataFrame, command: str, packs: tuple[str, ...] = (), allow: tuple[str, ...] = (), blocks: tuple[tuple[str, int], ...] = ()) -> DataFrame:
-    """Adds hit, tier_rank and tier; allow-listed commands are let through, custom blocks (glob, severity) see the raw legs."""
+def evaluate(df: DataFrame, command: str, packs: tuple[str, ...] = (), allow: tuple[str, ...] = (), blocks: tuple[tuple[str, int], ...] = (), globs: tuple[GlobRule, ...] = ()) -> DataFrame:
+    """Adds hit, tier_rank and tier; globs are rules of community packs; allow-listed commands are let through, custom blocks (glob, severity) see the raw legs."""
     raw = F.coalesce(F.col(command), F.lit(""))
     let = reduce(Column.__or__, (anchored_glob(raw, g) for g in allow), F.lit(False))
     out = df.withColumn("_legs", F.when(~let, command_legs(raw)))
@@ -70,13 +71,28 @@ def evaluate(df: DataFrame, command: str, packs: tuple[str, ...] = (), allow: tu
     def per_leg(x: Column) -> Column:
         rules = [_hit(reduce(Column.__and__, (x["effective"].rlike("(?d)" + p) for p in r.patterns)), r.severity, i + 2, r.id, r.category) for i, r in enumerate(RULES) if r.pack is None or r.pack in packs]
         custom = [_hit(unanchored_glob(x["leg"], g), s, 100 + i, "custom", "custom") for i, (g, s) in enumerate(blocks)]
-        return F.array_max(F.array(*rules, *custom))
+        shared = [_hit(unanchored_glob(x["effective"], g.pattern), g.severity, 200 + i, g.id, g.category) for i, g in enumerate(globs)]
+        return F.array_max(F.array(*rules, *custom, *shared))
 
     whole = [_hit(raw.rlike(PIPED), 9, 0, "curl-wget-pipe-shell", "remote-exec"), _hit(raw.rlike(BOMB), 9, 1, "fork-bomb", "dos")]
     out = out.withColumn("hit", F.when(~let, F.array_max(F.concat(F.array(*whole), F.transform("_legs", per_leg)))))
     return out.drop("_legs").withColumn("tier_rank", tier_rank(F.col("hit.severity"))).withColumn("tier", tier_name(F.col("tier_rank")))
 
 
+#: Arguments of tool calls that are commands, and those that are code.
+COMMAND_ARGS, CODE_ARGS = ("command", "cmd", "script"), ("code",)
+
+
+def tool_call(df: DataFrame, arguments: str) -> DataFrame:
+    """Adds rank (0 or 3: a transport can't ask) and rule_id of a tool call: commands go through the whole gate, code only through the two rules on whole texts."""
+    lines = F.concat_ws("\n", *[string_argument(F.col(arguments), a) for a in COMMAND_ARGS])
+    code = F.concat_ws("\n", *[string_argument(F.col(arguments), a) for a in CODE_ARGS])
+    out = evaluate(df.withColumn("_lines", lines), "_lines").withColumn("_code", code)
+    shape = F.when(F.col("_code").rlike(PIPED), "curl-wget-pipe-shell").when(F.col("_code").rlike(BOMB), "fork-bomb")
+    rule = F.coalesce(F.when(F.col("tier_rank") >= 2, F.col("hit.rule_id")), shape)
+    return out.withColumn("rule_id", rule).withColumn("rank", F.when(rule.isNotNull(), 3).otherwise(0)).drop("_lines", "_code", "hit", "tier", "tier_rank")
+
+
 def naive(command: Column) -> Column:
     """Whether a plain list of substrings would flag the command."""
     return reduce(Column.__or__, (F.contains(command, F.lit(s)) for s in NAIVE))
