@@ -11,7 +11,7 @@ from vigilake.functions.text import cut_bytes
 from vigilake.operators import gate
 from vigilake.sources import events
 from vigilake.sources.packs import GlobRule
-from vigilake.sources.tables import table
+from vigilake.sources.tables import spread, table
 
 _CODED = base64.b64encode(b"rm -rf /srv/data").decode()
 #: Command ({e}: event id), expected rule, and whether the plain list flags it.
@@ -34,7 +34,7 @@ PACKS = [
 
 def _made(spark: SparkSession, sf_dir: str, templates: list[str]) -> DataFrame:
     text = F.element_at(F.array(*map(F.lit, templates)), (F.pmod("event_id", F.lit(len(templates))) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", F.replace(text, F.lit("{e}"), F.col("event_id").cast("string")).alias("command"))
+    return spread(table(spark, sf_dir, "events").select("event_id")).select("event_id", F.replace(text, F.lit("{e}"), F.col("event_id").cast("string")).alias("command"))
 
 
 def gate_commands(spark: SparkSession, sf_dir: str) -> DataFrame:

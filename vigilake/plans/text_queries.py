@@ -9,34 +9,34 @@ from vigilake.functions.firewall_rules import RULES
 from vigilake.functions.text import ISSUERS, SECRET_NAME, is_secret_name, name_folded, neutralized, normalized, redacted
 from vigilake.functions.verdicts import clamped, tier_name, tier_rank
 from vigilake.operators import firewall, urls
-from vigilake.sources.tables import table
+from vigilake.sources.tables import spread, table
 
 
 def fw_tier_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = firewall.verdicts(table(spark, sf_dir, "documents").select("lang", "text"), "text")
+    v = firewall.verdicts(spread(table(spark, sf_dir, "documents").select("lang", "text")), "text")
     return v.groupBy("lang", "tier").agg(F.count("*").alias("n"), F.coalesce(F.max("hit.severity"), F.lit(0)).alias("worst"))
 
 
 def fw_hits_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.explode(firewall.hits(F.col("text"), F.lower("text"), [r for r in RULES if not r.look])).alias("h")).select("doc_id", "h.rule_id", "h.severity", "h.category")
 
 
 def fw_pages_xss(spark: SparkSession, sf_dir: str) -> DataFrame:
     xss = [r for r in RULES if r.category == "xss"]
-    found = firewall.scan(table(spark, sf_dir, "pages").select("page_id", "html"), "html", xss, two_pass=False)
+    found = firewall.scan(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "html", xss, two_pass=False)
     return found.select("page_id", "hit.rule_id", "hit.severity", tier_name(tier_rank(F.col("hit.severity"))).alias("tier"))
 
 
 def fw_surface_posture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan a document; the five surfaces only change the tier."""
-    v = firewall.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", tier_rank(F.col("hit.severity")).alias("raw"))
+    v = firewall.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text").select("doc_id", tier_rank(F.col("hit.severity")).alias("raw"))
     each = v.select("raw", F.explode(F.create_map(*[F.lit(x) for kv in firewall.SURFACES.items() for x in kv])).alias("surface", "warn_only"))
     return each.withColumn("tier", tier_name(clamped(F.col("raw"), F.col("warn_only")))).groupBy("surface", "tier").agg(F.count("*").alias("n"))
 
 
 def fw_vs_toxic_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = firewall.verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", (F.col("tier_rank") > 0).alias("flagged"))
+    v = firewall.verdicts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text").select("doc_id", (F.col("tier_rank") > 0).alias("flagged"))
     both = v.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic") == 1), "doc_id").toDF("doc_id", "flagged", "toxic")
     return both.agg(*[F.count_if((F.col("flagged") if f else ~F.col("flagged")) & (F.col("toxic") if t else ~F.col("toxic"))).alias(n) for n, f, t in (("tp", 1, 1), ("fp", 1, 0), ("fn", 0, 1), ("tn", 0, 0))])
 
@@ -44,12 +44,12 @@ def fw_vs_toxic_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_corpora_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [table(spark, sf_dir, t).select(F.lit(t).alias("corpus"), F.col(c).alias("text")) for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
     rules = [r for r in RULES if not r.look]
-    found = texts[0].unionByName(texts[1]).unionByName(texts[2]).select("corpus", F.explode(firewall.hits(F.col("text"), F.lower("text"), rules)).alias("h"))
+    found = spread(texts[0].unionByName(texts[1]).unionByName(texts[2])).select("corpus", F.explode(firewall.hits(F.col("text"), F.lower("text"), rules)).alias("h"))
     return found.groupBy(F.col("h.rule_id").alias("rule_id")).agg(F.count_distinct("corpus").alias("corpora"), F.count("*").alias("hits"))
 
 
 def verdict_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = firewall.verdicts(table(spark, sf_dir, "documents").select("lang", "source", "text"), "text")
+    v = firewall.verdicts(spread(table(spark, sf_dir, "documents").select("lang", "source", "text")), "text")
     return v.rollup("lang", "tier").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
 
 
