@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vigilake.sources import events, packs
+from vigilake.sources import config, events, lines, packs
 
 PACK = 'schema_version = 1\n[pack]\nname = "iac-x"\n[[rule]]\nid = "a"\npattern = "terraform*destroy"\nseverity = 8\ncategory = "iac"\n'
 
@@ -33,3 +33,28 @@ def test_lines(spark):
     lines = ['{"tool_name":"Read","tool_input":{"path":"/x"},"extra":1}\r\n', "", None, '{"prompt":"hi","hook_event_name":"UserPromptSubmit"}']
     got = events.canonical(spark.createDataFrame([(x,) for x in lines], "line string"), "line").collect()
     assert [(r.tool.tool, r.path, r.prompt, r.parse_error is None) for r in got] == [("Read", "/x", None, True), (None, None, None, False), (None, None, None, False), (None, None, "hi", True)]
+
+
+def test_framed_lines(spark):
+    rows = [(0, bytearray(b"a\r")), (1, bytearray(b"abcdef")), (2, bytearray(b"\xff")), (3, bytearray(b"")), (4, None)]
+    got = spark.createDataFrame(rows, "i int, raw binary").select("i", lines.framed(F.col("raw"), most=5).alias("f")).orderBy("i").collect()
+    assert [tuple(r.f) for r in got] == [("a", None), (None, "line too long"), (None, "no UTF-8"), ("", None), (None, None)]
+
+
+def test_corpora(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("# no \\\nls\n\n  # no\na \\\n# b\\\\\nc \\\\\nd \\\r\n e\nlast \\")
+    got = [(r.line, r.command) for r in lines.corpus(spark, str(tmp_path)).orderBy("line").collect()]
+    assert got == [(0, "ls"), (1, "a \\\n# b\\\\"), (2, "c \\\\"), (3, "d \\\n e"), (4, "last \\")]
+
+
+def test_projects_only_tighten():
+    user = config.parse('allow_list = ["a", "b"]\npacks = ["db"]\n[thresholds]\nblock_at = 7\n[[custom_blocks]]\npattern = "x"\nseverity = 6\n')
+    tight = config.tightened(user, config.parse('level = "high"\nallow_list = ["a"]\npacks = ["db", "cloud"]\n[[custom_blocks]]\npattern = "x"\nseverity = 9\n'))
+    assert tight.thresholds() == (6, 3) and tight.allow_list == ("a",) and tight.custom_blocks == (("x", 9),) and tight.packs == ("db", "cloud")
+    assert config.tightened(user, config.parse("[thresholds]\nwarn_at = 4\n")).thresholds() == (7, 4)
+    for loose in ("[thresholds]\nblock_at = 8", 'allow_list = ["c"]', 'packs = ["cloud"]', 'custom_blocks = []', "disable = true", 'disabled = ["gate"]', '[[custom_blocks]]\npattern = "x"\nseverity = 5'):
+        with pytest.raises(ValueError):
+            config.tightened(user, config.parse(loose))
+    for bad in ('level = "odd"', "[thresholds]\nwarn_at = 9", '[[custom_blocks]]\npattern = ""\nseverity = 1', '[[custom_blocks]]\npattern = "x"\nseverity = 10'):
+        with pytest.raises(ValueError):
+            config.parse(bad)

@@ -38,6 +38,26 @@ def redacted(text: Column) -> Column:
     return text
 
 
+#: A whole token (between white space), a quote on either side kept apart; and a value that is more than a quote.
+_OPEN, _CLOSE, _SOME = r"(?<!\S)([\"']?)", r"([\"']?)(?!\S)", r"(?![\"']?(?!\S))"
+_NAMES = r"(?:ANTHROPIC|OPENAI|AWS|GCP|AZURE|GITHUB|GITLAB|STRIPE)_[^\s=]*|[^\s=]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD)|(?:DATABASE|REDIS)_URL"
+
+
+def tokens_masked(text: Column) -> Column:
+    """Values of Authorization headers (in the same token, or the next but for Bearer), of password flags and of secret names, masked; what an issuer's mask already covers stays."""
+    for pattern, mask in (
+        (rf"{_OPEN}(authorization:){_CLOSE}(\s+(?:[\"']?bearer[\"']?\s+)*)([\"']?)(?![\"']?authorization:|\S*\[REDACTED|[\"']?bearer[\"']?(?!\S))\S+?{_CLOSE}", "$1$2 $3$4$5***$6"),
+        (rf"{_OPEN}(authorization:){_CLOSE}(?=\s+(?:[\"']?bearer[\"']?(?:\s+|\z))*(?:[\"']?authorization:|\S*\[REDACTED|\z)|\z)", "$1$2 $3"),
+        (rf"{_OPEN}(authorization:){_SOME}\S+?{_CLOSE}", "$1$2 ***$3"),
+        (rf"{_OPEN}(--password=){_SOME}\S+?{_CLOSE}", "$1$2***$3"),
+        (rf"{_OPEN}(-p)(?!-){_SOME}\S+?{_CLOSE}", "$1$2***$3"),
+        (rf"{_OPEN}({_NAMES})={_SOME}(?!\S*\[REDACTED)\S+?{_CLOSE}", "$1$2=***$3"),
+    ):
+        case = "(?U)" if "password" in pattern or "(-p)" in pattern else "(?iU)"
+        text = F.regexp_replace(text, case + pattern, mask)
+    return text
+
+
 def is_secret_name(name: Column) -> Column:
     return name.rlike(SECRET_NAME)
 

