@@ -283,3 +283,56 @@ def test_decided(spark):
     assert [(str(r.rank), r.by) for r in got] == [(r[6], r[7]) for r in rows]
     off = dispatch.decided(df, "/home/me", off=("gate", "firewall", "pathguard", "canary")).agg(F.max("rank")).first()[0]
     assert off == 0 == dispatch.decided(df, "/home/me", disabled=True).agg(F.max("rank")).first()[0]
+
+
+def test_verdicts_can_be_filtered(spark):
+    from vigilake.operators import dispatch
+
+    df = spark.createDataFrame([(i, "PreToolUse", "Bash", c) for i, c in enumerate(["rm -rf /", "ls", "export API_KEY=x; mkfs /dev/x"])], "i int, event string, tool string, command string")
+    for name in ("path", "content", "prompt", "target"):
+        df = df.withColumn(name, F.lit(None).cast("string"))
+    got = dispatch.audit_rows(dispatch.decided(df, "/home/me")).orderBy("i").collect()
+    assert [(r.i, r.event, r.decision, r.rule_id, r.command) for r in got] == [(0, "gate", "block", "rm-rf", "rm -rf /"), (2, "gate", "block", "mkfs", "export API_KEY=*** mkfs /dev/x")]
+    assert [r.i for r in firewall.verdicts(df, "command").where("tier <> 'allow'").collect()] == [0]
+
+
+def test_rule_labels(spark):
+    from vigilake.operators import dispatch
+
+    reasons = ["no (destructive [rm-rf])", "odd [x]", "firewall rule DJL-1 matched", "else", None]
+    assert [tuple(x) for x in column(spark, reasons, dispatch.rule_label)] == [("rm-rf", "destructive"), ("x", None), ("DJL-1", "firewall"), (None, None), (None, None)]
+
+
+def test_fetches_and_stores_fail_closed(spark):
+    assert column(spark, ["refused", "timeout", "ok", None], lambda s: firewall.fetched(F.lit(0), s)) == [3, 1, 0, 0]
+    assert column(spark, [3, 2, 1, 4, None], lambda v: pins.store_state(F.lit(True), v), "int") == ["used", "ignored", "ignored", "unavailable", "unavailable"]
+    assert column(spark, [None], lambda v: pins.store_state(F.lit(False), v), "int") == ["empty"]
+
+
+def test_logs_go_on_and_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("l", i, f"b{i}") for i in range(6)], "log string, o int, body string")
+    first = audit.chained(rows.where("o < 3"), "log", "o", "body")
+    second = audit.chained(rows.where("o >= 3"), "log", "o", "body", audit.sidecars(first, "log"))
+    for part in (first, second):
+        audit.append(part.coalesce(1), str(tmp_path / "log"))
+    back = audit.read(spark, str(tmp_path / "log"), "log string, seq long, prev string, hash string, body string").drop("line").withColumn("line", F.col("seq"))
+    assert audit.verified(back, "log").where("defect is not null").count() == 0 and back.count() == 6
+    (tmp_path / "bad").write_text('{"seq":1}\nbroken\n{"seq":3}\n')
+    assert [(r.line, r.seq) for r in audit.read(spark, str(tmp_path / "bad"), "seq long").orderBy("line").collect()] == [(1, 1), (2, None), (3, 3)]
+
+
+def test_ids_of_a_stream_outlive_a_restart(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from vigilake.streaming import relay as stream
+
+    t0 = datetime(2024, 1, 1)
+    batches = [[(1, 0, 0, True), (1, 5, 1, False), (2, 0, 0, True), (3, 1, 1, False)], [(1, 30, 2, False), (1, 90, 3, False), (2, 10, 1, False)]]
+    got = []
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame([(i, t0 + timedelta(seconds=s), q, r) for i, s, q, r in rows], "id long, ts timestamp, seq long, is_request boolean")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = stream.classified(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r.id, r.seq): r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 1): "matched", (3, 1): "unknown", (1, 2): "replayed", (1, 3): "unknown", (2, 1): "matched"}

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vigilake.sources import config, events, lines, packs
+from vigilake.sources import config, events, lines, packs, policies
 
 PACK = 'schema_version = 1\n[pack]\nname = "iac-x"\n[[rule]]\nid = "a"\npattern = "terraform*destroy"\nseverity = 8\ncategory = "iac"\n'
 
@@ -58,3 +58,13 @@ def test_projects_only_tighten():
     for bad in ('level = "odd"', "[thresholds]\nwarn_at = 9", '[[custom_blocks]]\npattern = ""\nseverity = 1', '[[custom_blocks]]\npattern = "x"\nseverity = 10'):
         with pytest.raises(ValueError):
             config.parse(bad)
+
+
+def test_policies():
+    text = 'schema_version = 1\n[defaults]\naction = "deny"\n[[tools]]\nname = "a"\nallow = ["x"]\n[[tools.rules]]\narg = "command"\npattern = "rm*"\nseverity = 8\nreason = "r"\n[budgets.session]\nmax_tokens = 5\n[budgets.per_tool.a]\nmax_invocations = 2\n'
+    p = policies.parse(text)
+    assert p.deny_by_default and p.allowed == ("a",) and p.rules[0].severity == 8 and p.session.max_tokens == 5 and dict(p.per_tool)["a"].max_invocations == 2
+    assert policies.parse("# note\n" + text).fingerprint == p.fingerprint != policies.parse(text.replace("= 5", "= 6")).fingerprint
+    for bad in (text.replace("version = 1", "version = 2"), text.replace('"deny"', '"drop"'), text + "more = 1\n", "more = 1\n" + text, text.replace("max_tokens", "tokens")):
+        with pytest.raises(ValueError):
+            policies.parse(bad)

@@ -11,6 +11,11 @@ BLOCK_AT, WARN_AT = 8, 5
 LEVELS = {"strict": (7, 4), "high": (6, 3), "critical": (5, 2)}
 
 
+def settled(c: Column) -> Column:
+    """The same values, but worked out where they stand: a later filter on them is not moved below, which would write a long expression out again for each use."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def tier_rank(severity: Column, block_at: int = BLOCK_AT, warn_at: int = WARN_AT) -> Column:
     """3 from block_at on, 1 from warn_at on, else 0; no severity is 0."""
     return F.when(severity >= block_at, 3).when(severity >= warn_at, 1).otherwise(0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,20 +26,23 @@ def record_hash(prev: Column, body: Column) -> Column:
     return F.sha2(F.concat(prev, body), 256)
 
 
-def chained(records: DataFrame, log: str, order: str, body: str) -> DataFrame:
-    """log, seq (from 1), prev, hash and body of every record, each log in its order."""
+def chained(records: DataFrame, log: str, order: str, body: str, heads: DataFrame | None = None) -> DataFrame:
+    """log, seq (from 1), prev, hash and body of every record, each log in its order; heads (log, last_seq, head_hash) are the sidecars of logs that go on."""
     kind = records.schema[log].dataType.simpleString()
+    begin = records.select(log, order, body)
+    begin = begin.join(heads.select(log, "last_seq", "head_hash"), log, "left") if heads is not None else begin.withColumn("last_seq", F.lit(0)).withColumn("head_hash", F.lit(GENESIS))
+    begin = begin.withColumn("last_seq", F.coalesce("last_seq", F.lit(0)).cast("long")).withColumn("head_hash", F.coalesce("head_hash", F.lit(GENESIS)))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order, kind="stable")
-        prev, out = GENESIS, []
+        prev, out, first = group["head_hash"].iloc[0], [], int(group["last_seq"].iloc[0]) + 1
         for b in group[body]:
             h = hashlib.sha256((prev + b).encode()).hexdigest()
             out.append((prev, h))
             prev = h
-        return pd.DataFrame({log: group[log].to_numpy(), "line": range(1, len(group) + 1), "seq": range(1, len(group) + 1), "prev": [p for p, _ in out], "hash": [h for _, h in out], "body": group[body].to_numpy()})
+        return pd.DataFrame({log: group[log].to_numpy(), "line": range(first, first + len(group)), "seq": range(first, first + len(group)), "prev": [p for p, _ in out], "hash": [h for _, h in out], "body": group[body].to_numpy()})
 
-    return records.select(log, order, body).groupBy(log).applyInPandas(build, f"{log} {kind}, line long, seq long, prev string, hash string, body string")
+    return begin.groupBy(log).applyInPandas(build, f"{log} {kind}, line long, seq long, prev string, hash string, body string")
 
 
 def verified(lines: DataFrame, log: str, body: str = "body") -> DataFrame:
@@ -68,3 +71,23 @@ def healed(lines: DataFrame, log: str) -> DataFrame:
     good = F.col("seq").isNotNull() & F.coalesce(F.col("hash").rlike(r"^[0-9a-fA-F]{64}\z"), F.lit(False))
     last = F.max(F.when(good, F.struct("line", "seq", "hash")))
     return lines.groupBy(log).agg(last.alias("last")).select(log, F.coalesce("last.seq", F.lit(0)).cast("long").alias("last_seq"), F.coalesce("last.hash", F.lit(GENESIS)).alias("head_hash"))
+
+
+def sidecars(lines: DataFrame, log: str) -> DataFrame:
+    """log, last_seq and head_hash of chained lines."""
+    return lines.groupBy(log).agg(F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("head_hash"))
+
+
+def append(lines: DataFrame, path: str) -> None:
+    """JSON lines added to a log folder."""
+    lines.write.mode("append").json(path)
+
+
+def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The lines of JSON logs with file and line (in file order, from 1); a line that can't be read has nulls, so that it counts as damaged.
+
+    A file may be read in splits: rows within one keep their order, splits follow by where they begin.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
+    line = F.row_number().over(Window.partitionBy("file").orderBy("_at", "_id")).cast("long")
+    return raw.withColumn("line", line).select("file", "line", F.from_json("value", schema).alias("v")).select("file", "line", "v.*")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.functions.verdicts import tier_name, tier_rank, worst
+from vigilake.functions.text import cut_bytes, redacted, tokens_masked
+from vigilake.functions.verdicts import settled, tier_name, tier_rank, worst
 from vigilake.operators import firewall, gate, paths, policy
 from vigilake.sources.events import POST, PRE, PROMPT
 
@@ -67,6 +68,33 @@ def decided(df: DataFrame, home: str, rules: list[policy.ToolRule] | None = None
     if rules:
         hit = policy.tool_rules(F.col("tool"), F.col(arguments), rules)
         found.append(_verdict(F.when(F.col("event") == PRE, tier_rank(hit["severity"])), "tool_rule", hit["reason"]))
-    out = out.withColumn("_worst", worst(*found))
+    out = out.withColumn("_worst", settled(worst(*found)))
     rank = F.col("_worst.rank")
     return out.select(*keep, rank.alias("rank"), tier_name(rank).alias("tier"), F.when(rank > 0, F.col("_worst.by")).alias("by"), F.when(rank > 0, F.col("_worst.rule")).alias("rule"))
+
+
+#: Fixed value: most bytes of a command in an audit record.
+MOST_COMMAND = 512
+
+
+def rule_label(reason: Column) -> Column:
+    """(rule_id, category) that a reason names: `… (category [id])`, or `firewall rule id …`."""
+    bracket = r"(?s)^.*\[([^\]\[]*)\]"
+    category = F.nullif(F.trim(F.regexp_extract(reason, r"(?s)^.*\(([^(\[]*)\[[^\]\[]*\]", 1)), F.lit(""))
+    plain = reason.startswith("firewall rule ")
+    rule = F.when(reason.rlike(bracket), F.regexp_extract(reason, bracket, 1)).when(plain, F.nullif(F.regexp_extract(reason, r"^firewall rule (\S*)", 1), F.lit("")))
+    return F.struct(rule.alias("rule_id"), F.when(reason.rlike(bracket), category).when(plain, "firewall").alias("category"))
+
+
+def audit_rows(verdicts: DataFrame, with_commands: bool = True) -> DataFrame:
+    """What is logged of decided events: event, surface, decision, rule and the command (or path, address, query), redacted and cut; allowed events and those of no route leave nothing."""
+    tool, pre = F.col("tool"), F.col("event") == PRE
+    surface = F.when(pre & tool.isin(*READS), "read_file").when(pre & tool.isin(*WRITES), "path_guard").when(F.col("event") == PROMPT, "user_prompt").when((F.col("event") == POST) & (tool == "Bash"), "bash_stdout")
+    for name, kind in FETCHES.items():
+        surface = surface.when(pre & (tool == name), kind)
+    route = F.when(pre & (tool == "Bash"), "gate").when(surface.isNotNull(), "firewall")
+    shown = F.when(pre & (tool == "Bash"), F.col("command")).when(pre & tool.isin(*READS, *WRITES), F.col("path")).when(pre & tool.isin(*FETCHES), F.col("target"))
+    command = cut_bytes(tokens_masked(redacted(shown)), MOST_COMMAND) if with_commands else F.lit(None).cast("string")
+    out = verdicts.where("rank > 0").withColumn("_route", route).where(F.col("_route").isNotNull())
+    kept = [c for c in verdicts.columns if c not in ("event", "tool", "command", "path", "content", "prompt", "input", "target", "rank", "tier", "by", "rule")]
+    return out.select(*kept, F.col("_route").alias("event"), surface.alias("surface"), F.col("tier").alias("decision"), F.col("rule").alias("rule_id"), command.alias("command"))

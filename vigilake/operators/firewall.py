@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from vigilake.functions.firewall_rules import RULES, Rule
 from vigilake.functions.text import normalized
-from vigilake.functions.verdicts import clamped, tier_name, tier_rank
+from vigilake.functions.verdicts import clamped, settled, tier_name, tier_rank
+from vigilake.operators import urls
 
 #: Surfaces and whether they only warn.
 SURFACES = {"read_file": False, "web_fetch": False, "web_search": True, "user_prompt": True, "bash_stdout": True}
@@ -34,25 +35,44 @@ def hits(text: Column, low: Column, rules: Iterable[Rule] = RULES) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def scan(df: DataFrame, text: str, rules: list[Rule] | None = None, two_pass: bool = True) -> DataFrame:
+def _leak(text: Column, output: Column | None) -> list[Column]:
+    """Secrets in the URLs of what a tool printed; behind every rule on ties."""
+    if output is None:
+        return []
+    severity = F.when(output, urls.worst(text))
+    return [F.when(severity.isNotNull(), F.struct(severity.cast("int").alias("severity"), F.lit(-1000).alias("order"), F.lit("url-exfil").alias("rule_id"), F.lit("exfiltration").alias("category")))]
+
+
+def scan(df: DataFrame, text: str, rules: list[Rule] | None = None, two_pass: bool = True, output: Column | None = None) -> DataFrame:
     """Adds hit (the worst, the first on ties; null without one), and whether it was found only after normalisation.
 
     The second pass sees only texts in which the first found nothing and which normalisation changes.
+    output: rows whose text a tool printed; their URLs are looked at as well.
     """
     rules = RULES if rules is None else rules
-    out = df.withColumn("_low", F.lower(text)).withColumn("hit", F.array_max(hits(F.col(text), F.col("_low"), rules)))
+
+    def worst(x: Column, low: Column) -> Column:
+        found = hits(x, low, rules)
+        return F.array_max(F.concat(found, F.array_compact(F.array(*leak)))) if (leak := _leak(x, output)) else F.array_max(found)
+
+    out = df.withColumn("_low", F.lower(text)).withColumn("hit", worst(F.col(text), F.col("_low")))
     if not two_pass:
         return out.drop("_low").withColumn("normalized", F.lit(False))
     out = out.withColumn("_norm", F.when(F.col("hit").isNull(), normalized(F.col(text))))
     out = out.withColumn("_norm", F.when(F.col("_norm") != F.col(text), F.col("_norm"))).withColumn("_low", F.lower("_norm"))
-    out = out.withColumn("_second", F.when(F.col("_norm").isNotNull(), F.array_max(hits(F.col("_norm"), F.col("_low"), rules))))
-    return out.withColumn("normalized", F.col("_second").isNotNull()).withColumn("hit", F.coalesce("hit", "_second")).drop("_low", "_norm", "_second")
+    out = out.withColumn("_second", F.when(F.col("_norm").isNotNull(), worst(F.col("_norm"), F.col("_low"))))
+    return out.withColumn("normalized", F.col("_second").isNotNull()).withColumn("hit", settled(F.coalesce("hit", "_second"))).drop("_low", "_norm", "_second")
 
 
 def verdicts(df: DataFrame, text: str, surface: Column | None = None) -> DataFrame:
-    """Adds tier_rank and tier to what scan adds; a surface that only warns clamps them."""
-    out = scan(df, text)
+    """Adds tier_rank and tier to what scan adds; a surface that only warns clamps them, and what a shell printed is held against URLs too."""
+    out = scan(df, text, output=None if surface is None else F.coalesce(surface == "bash_stdout", F.lit(False)))
     rank = tier_rank(F.col("hit.severity"))
     if surface is not None:
         rank = clamped(rank, F.coalesce(surface.isin([s for s, warn in SURFACES.items() if warn]), F.lit(False)))
     return out.withColumn("tier_rank", rank).withColumn("tier", tier_name(F.col("tier_rank")))
+
+
+def fetched(rank: Column, status: Column) -> Column:
+    """The rank of content that had to be fetched: a refused address blocks, any other failure warns; null and "ok" are no failures."""
+    return F.when(status == "refused", 3).when(F.coalesce(status != "ok", F.lit(False)), 1).otherwise(rank)

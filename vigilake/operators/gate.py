@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.shell import IF_BLOCKED, STILL_CODED, command_legs
-from vigilake.functions.verdicts import BLOCK_AT, WARN_AT, tier_name, tier_rank
+from vigilake.functions.verdicts import BLOCK_AT, WARN_AT, settled, tier_name, tier_rank
 from vigilake.operators.policy import anchored_glob, string_argument, unanchored_glob
 from vigilake.sources.packs import GlobRule
 
@@ -76,7 +76,7 @@ def evaluate(df: DataFrame, command: str, packs: tuple[str, ...] = (), allow: tu
         return F.when((x["counts"] != IF_BLOCKED) | (worst["severity"] >= BLOCK_AT), worst)
 
     whole = [_hit(raw.rlike(PIPED), 9, 0, "curl-wget-pipe-shell", "remote-exec"), _hit(raw.rlike(BOMB), 9, 1, "fork-bomb", "dos")]
-    out = out.withColumn("hit", F.when(~let, F.array_max(F.concat(F.array(*whole), F.transform("_legs", per_leg)))))
+    out = out.withColumn("hit", settled(F.when(~let, F.array_max(F.concat(F.array(*whole), F.transform("_legs", per_leg))))))
     return out.drop("_legs").withColumn("tier_rank", tier_rank(F.col("hit.severity"))).withColumn("tier", tier_name(F.col("tier_rank")))
 
 

@@ -47,3 +47,12 @@ def identity(argv: Column, cwd: Column, tag: str) -> Column:
     """Who an upstream is: the hash of the tag and a zero byte, the arguments and the folder, each with its length, so that no two ways to cut a line agree."""
     args = F.aggregate(argv, F.unhex(F.lit("")), lambda acc, a: F.concat(acc, _sized(F.encode(a, "UTF-8"))))
     return F.sha2(F.concat(F.encode(F.lit(tag), "UTF-8"), F.unhex(F.lit("00")), _eight(F.size(argv)), args, _sized(F.encode(cwd, "UTF-8"))), 256)
+
+
+#: The version of pin stores that is read, and older ones that are passed over.
+STORE, OLDER = 3, (1, 2)
+
+
+def store_state(exists: Column, version: Column) -> Column:
+    """What becomes of a store: empty (none yet), used, ignored (older: all is recorded anew), or unavailable (any other, or broken: fail closed)."""
+    return F.when(~exists, "empty").when(version == STORE, "used").when(version.isin(*OLDER), "ignored").otherwise("unavailable")

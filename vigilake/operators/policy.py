@@ -32,6 +32,16 @@ class Budget:
     max_invocations: int | None = None
 
 
+@dataclass(frozen=True)
+class Policy:
+    rules: tuple[ToolRule, ...] = ()
+    deny_by_default: bool = False
+    allowed: tuple[str, ...] = ()
+    session: Budget = Budget()
+    per_tool: tuple[tuple[str, Budget], ...] = ()
+    fingerprint: str = ""
+
+
 def unanchored_glob(value: Column, pattern: str) -> Column:
     """`*` stands for anything; without it, a substring. Matches anywhere, and the empty value if all is `*`."""
     if "*" not in pattern:
@@ -88,12 +98,13 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.char_length(text) / 4)).cast("long")
 
 
-def budgets(charged: DataFrame, session: str, order: list[str], tool: str, session_cap: Budget, tool_caps: dict[str, Budget]) -> DataFrame:
-    """Adds the running sums, this row included, and the first cap that is exceeded (null: none); charged has tokens."""
+def budgets(charged: DataFrame, session: str, order: list[str], tool: str, session_cap: Budget, tool_caps: dict[str, Budget], calls: Column | None = None) -> DataFrame:
+    """Adds the running sums, this row included, and the first cap that is exceeded (null: none); charged has tokens. calls: 1 for a row that counts (all do by default)."""
+    calls = F.lit(1) if calls is None else calls
     by_session = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     by_tool = Window.partitionBy(session, tool).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = charged.withColumn("session_tokens", F.sum("tokens").over(by_session)).withColumn("session_calls", F.count("*").over(by_session))
-    out = out.withColumn("tool_tokens", F.sum("tokens").over(by_tool)).withColumn("tool_calls", F.count("*").over(by_tool))
+    out = charged.withColumn("session_tokens", F.sum("tokens").over(by_session)).withColumn("session_calls", F.sum(calls).over(by_session))
+    out = out.withColumn("tool_tokens", F.sum("tokens").over(by_tool)).withColumn("tool_calls", F.sum(calls).over(by_tool))
     checks: list[tuple[Column, str]] = []
     for scope, cap, who in [("session", session_cap, None), *[("tool", c, t) for t, c in tool_caps.items()]]:
         mine = F.lit(True) if who is None else F.col(tool) == who
@@ -106,3 +117,16 @@ def budgets(charged: DataFrame, session: str, order: list[str], tool: str, sessi
 def verdict_rank(severity: Column, denied: Column, exceeded: Column) -> Column:
     """Rules first, then default-deny, then budgets, then allow."""
     return F.when(severity.isNotNull() & (tier_rank(severity) > 0), tier_rank(severity)).when(denied, 3).when(exceeded.isNotNull(), 2).otherwise(0)
+
+
+def decided(df: DataFrame, policy: Policy, session: str, order: list[str], payload: str, chargeable: Column) -> DataFrame:
+    """Adds rank and reason; df has tool and tokens. Events that a rule or default-deny decides are not charged, others are before they are checked."""
+    hit = tool_rules(F.col("tool"), F.col(payload), list(policy.rules), missing_matches=True) if policy.rules else F.lit(None).cast("struct<severity:int,order:int,reason:string>")
+    out = df.withColumn("_hit", hit)
+    by_rule = F.coalesce(tier_rank(F.col("_hit.severity")) > 0, F.lit(False))
+    denied = F.lit(policy.deny_by_default) & ~F.coalesce(F.col("tool").isin(*policy.allowed), F.lit(False))
+    out = out.withColumn("_counts", (chargeable & ~by_rule & ~denied).cast("int")).withColumn("_tokens", F.col("tokens")).withColumn("tokens", F.col("tokens") * F.col("_counts"))
+    out = budgets(out, session, order, "tool", policy.session, dict(policy.per_tool), F.col("_counts"))
+    over = F.when(F.col("_counts") == 1, F.col("exceeded"))
+    reason = F.when(by_rule, F.col("_hit.reason")).when(denied, "default deny").otherwise(over)
+    return out.select(*[c for c in df.columns if c != "tokens"], F.col("_tokens").alias("tokens"), verdict_rank(F.col("_hit.severity"), denied, over).alias("rank"), reason.alias("reason"))
