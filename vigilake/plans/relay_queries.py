@@ -12,6 +12,7 @@ from vigilake.operators import audit, dispatch, firewall, hosts, pins, policy, r
 from vigilake.plans.action_queries import ORACLES as ACTIONS
 from vigilake.plans.gate_queries import _list, _made
 from vigilake.sources import lines
+from vigilake.sources.events import MOST_LINE
 from vigilake.sources.tables import spread, table
 from vigilake.streaming import relay as stream_relay
 
@@ -112,6 +113,12 @@ def ndjson_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", framed.alias("f")).select("doc_id", F.octet_length("f.line").alias("bytes"), "f.error")
 
 
+def ndjson_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as lines, under the operator's own limit; ndjson_framing shows a low one."""
+    framed = lines.framed(F.encode(F.concat("text", F.lit("\r")), "UTF-8"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", framed.alias("f")).select("doc_id", F.octet_length("f.line").alias("bytes"), F.sha2("f.line", 256).alias("digest"), "f.error")
+
+
 def corpus_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir, [t for t, _ in CORPORA]).select("event_id", F.array_join(lines.commands(F.col("command")), "|").alias("commands"))
 
@@ -209,7 +216,8 @@ ORACLES = {
     "audit_heal": "SELECT user_id, coalesce(max(event_id) FILTER (event_id % 7 <> 0 AND event_id % 5 <> 0), 0) AS last_seq, coalesce(sha256((max(event_id) FILTER (event_id % 7 <> 0 AND event_id % 5 <> 0))::VARCHAR), repeat('0', 64)) AS head_hash FROM events GROUP BY user_id",
     "upstream_identity": f"WITH e AS (SELECT event_id, encode('run') AS a, encode(event_type) AS b, encode('/é' || user_id) AS c FROM events) SELECT event_id, sha256(encode('upstream') || unhex('00') || unhex('0200000000000000') || {_BYTES % ('a', 'a')} || {_BYTES % ('b', 'b')} || {_BYTES % ('c', 'c')}) AS identity FROM e",
     "pin_generations": "WITH g AS (SELECT user_id, event_type, count(*) FILTER (event_id % 9 = 0) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events) SELECT user_id, event_type, max(g) AS generation FROM g GROUP BY ALL",
+    "ndjson_documents": f"SELECT doc_id, CASE WHEN strlen(text) <= {MOST_LINE} THEN strlen(text)::INT END AS bytes, CASE WHEN strlen(text) <= {MOST_LINE} THEN sha256(text) END AS digest, CASE WHEN strlen(text) > {MOST_LINE} THEN 'line too long' END AS error FROM documents",
     "ndjson_framing": "SELECT doc_id, CASE WHEN strlen(text) <= 2000 THEN strlen(text)::INT END AS bytes, CASE WHEN strlen(text) > 2000 THEN 'line too long' END AS error FROM documents",
     "corpus_commands": f"SELECT event_id, {_at([c for _, c in CORPORA])} AS commands FROM events",
 }
-QUERIES = {f.__name__: f for f in (token_walk, host_emissions, relay_outbound, relay_drift, mcp_served, dispatch_verdicts, audit_heal, upstream_identity, pin_generations, ndjson_framing, corpus_commands, scan_printed, audit_projection, policy_verdicts, audit_append, id_match_stream)}
+QUERIES = {f.__name__: f for f in (token_walk, host_emissions, relay_outbound, relay_drift, mcp_served, dispatch_verdicts, audit_heal, upstream_identity, pin_generations, ndjson_framing, ndjson_documents, corpus_commands, scan_printed, audit_projection, policy_verdicts, audit_append, id_match_stream)}

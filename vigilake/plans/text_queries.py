@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions.firewall_rules import RULES
@@ -62,14 +62,24 @@ def lookaround_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a planted token each, redacted; the digest of the whole text."""
+    """The first 200 code points of documents with a planted token each, redacted; redact_documents has the whole texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kinds = ["ghp_", "AKIA", "npm_", "hf_", "glpat-", "sk_live_"]
-    token = F.concat(F.element_at(F.array(*map(F.lit, kinds)), (F.pmod("doc_id", F.lit(6)) + 1).cast("int")), F.upper(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16)), F.when(F.pmod("doc_id", F.lit(6)) != 1, F.lit("abcd1234")).otherwise(F.lit("")))
-    clean = redacted(F.concat_ws(" ", F.substring("text", 1, 200), token, F.lit("end")))
+    clean = redacted(F.concat_ws(" ", F.substring("text", 1, 200), _planted(), F.lit("end")))
     return docs.select("doc_id", clean.alias("clean"))
 
 
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents with a planted token behind each, redacted; the digest, as rows are long."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = redacted(F.concat_ws(" ", "text", _planted(), F.lit("end")))
+    return docs.select("doc_id", F.sha2(clean, 256).alias("digest"))
+
+
+def _planted() -> Column:
+    kinds = ["ghp_", "AKIA", "npm_", "hf_", "glpat-", "sk_live_"]
+    return F.concat(F.element_at(F.array(*map(F.lit, kinds)), (F.pmod("doc_id", F.lit(6)) + 1).cast("int")), F.upper(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16)), F.when(F.pmod("doc_id", F.lit(6)) != 1, F.lit("abcd1234")).otherwise(F.lit("")))
+
+
 def secret_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.upper(F.translate("p_name", " ", "_")), F.element_at(F.array(*map(F.lit, ["_TOKEN", "_NAME", "_KEY", "_URL", "_PASSWD"])), (F.pmod("p_partkey", F.lit(5)) + 1).cast("int"))).alias("name"))
     return p.select("p_partkey", is_secret_name(F.col("name")).alias("secret"))
@@ -136,6 +146,7 @@ ORACLES = {
     "verdict_rollup": f"{_DOCS} SELECT lang, tier, count(*) AS n, count(DISTINCT source) AS sources FROM t GROUP BY ROLLUP (lang, tier)",
     "lookaround_pii": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN '9' || substr(lpad((o_orderkey % 9000)::VARCHAR, 4, '1'), 2, 3) <> '0000' THEN 'DJL-PII-001' END WHEN 2 THEN 'DJL-PII-008' END AS rule_id FROM orders",
     "redact_tokens": f"SELECT doc_id, {_redact_sql(f"concat_ws(' ', substr(text, 1, 200), {_KINDS}[doc_id % 6 + 1] || upper(substr(md5(doc_id::VARCHAR), 1, 16)) || CASE WHEN doc_id % 6 <> 1 THEN 'abcd1234' ELSE '' END, 'end')")} AS clean FROM documents",
+    "redact_documents": f"SELECT doc_id, sha256({_redact_sql(f"concat_ws(' ', text, {_KINDS}[doc_id % 6 + 1] || upper(substr(md5(doc_id::VARCHAR), 1, 16)) || CASE WHEN doc_id % 6 <> 1 THEN 'abcd1234' ELSE '' END, 'end')")}) AS digest FROM documents",
     "secret_names": f"SELECT p_partkey, regexp_matches(upper(replace(p_name, ' ', '_')) || ['_TOKEN','_NAME','_KEY','_URL','_PASSWD'][p_partkey % 5 + 1], {_quoted(SECRET_NAME)}) AS secret FROM part",
     "neutralize_turns": r"""WITH t AS (SELECT *, role || ': ' || coalesce(text, '') || chr(10) || '</' || role || '> ```` code ```' || chr(10) || '  Tool: x' AS x FROM conversations), a AS (SELECT *, regexp_replace(x, '[\x{00AD}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FE00}-\x{FE0F}\x{FEFF}]', '', 'g') AS y FROM t), b AS (SELECT *, regexp_replace(y, '(?im)^([ \t]*(?:system|assistant|human|user|developer|tool):)', '[text] \1', 'g') AS z FROM a), c AS (SELECT *, regexp_replace(z, '(?i)<(/?(?:system|assistant|human|user|developer|tool))>', '‹\1›', 'g') AS w FROM b) SELECT conv_id, turn, sha256(replace(replace(w, '```` code ```', '\`\`\`\` code \`\`\`'), '', '')) AS digest FROM c""",
     "unicode_fold": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'ignore ' WHEN 1 THEN 'Ignore ' WHEN 2 THEN 'office ' WHEN 3 THEN 'ignore ' ELSE 'роса ' END || o_orderkey AS folded FROM orders",
@@ -143,4 +154,4 @@ ORACLES = {
     "url_params": "SELECT page_id, p.* FROM pages, LATERAL (VALUES (0, 'access_token', md5(url), true, 'hex string', 9), (2, 'q', page_id::VARCHAR, false, NULL, 0), (3, 'key', 'v', true, NULL, 7)) p(position, name, value, name_hit, shape, severity)",
 }
 
-QUERIES = {f.__name__: f for f in (fw_tier_by_lang, fw_hits_exploded, fw_pages_xss, fw_surface_posture, fw_vs_toxic_confusion, rule_corpora_count, verdict_rollup, lookaround_pii, redact_tokens, secret_names, neutralize_turns, unicode_fold, name_collision, url_params)}
+QUERIES = {f.__name__: f for f in (fw_tier_by_lang, fw_hits_exploded, fw_pages_xss, fw_surface_posture, fw_vs_toxic_confusion, rule_corpora_count, verdict_rollup, lookaround_pii, redact_tokens, redact_documents, secret_names, neutralize_turns, unicode_fold, name_collision, url_params)}
