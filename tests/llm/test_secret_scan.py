@@ -66,3 +66,9 @@ def test_real_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for r in docs.select("text", secret_scan.secret_spans("text").alias("found")).collect():
         assert [(s.start, s.stop, s.kind) for s in r.found if s.kind != "literal"] == base(r.text)
+
+
+def test_a_literal_longer_than_its_base_span_goes_whole(spark, documents):
+    text = 'password = "hunter22!Secret#9" # kept'
+    assert secret_scan.spans(text) == [(0, 20, "assign"), (12, 29, "literal")]
+    assert documents([text]).select(secret_scan.redacted("text").alias("clean")).first().clean == '[ASSIGN REMOVED]" # kept'

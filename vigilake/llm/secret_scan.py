@@ -117,11 +117,11 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def spans(text: str, has_hex: bool = True) -> list[tuple[int, int, str]]:
-    """All spans by start, then kind; a lexed one that overlaps a base one is left out."""
+    """All spans by start, then kind; a lexed one that lies within a base one is left out."""
     out = base_spans(text) + (hex_spans(text) if has_hex else [])
     if "=" in text or ":" in text:
         taken = sorted(out)
-        lexed = [x for x in lexed_spans(text) if not any(a < x[1] and x[0] < b for a, b, _ in taken)]
+        lexed = [x for x in lexed_spans(text) if not any(a <= x[0] and x[1] <= b for a, b, _ in taken)]
         out += lexed
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
@@ -152,7 +152,7 @@ def secret_spans(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.StringType())
 def redacted(texts: pa.Array) -> pa.Array:
-    """The texts with every secret replaced; a text without any, or null, stays as it is."""
+    """The texts with every secret replaced, spans that overlap as one; a text without any, or null, stays as it is."""
     out = []
     for t, found in zip(texts.to_pylist(), _all_spans(texts), strict=True):
         at, parts = 0, []
