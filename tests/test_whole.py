@@ -1,7 +1,10 @@
 """Queries and functions do the whole job: nothing behind a limit is left out."""
 
 import hashlib
+import time
 
+from vigilake.functions import shell
+from vigilake.operators import gate
 from vigilake.plans import registry
 
 
@@ -22,3 +25,31 @@ def test_long_documents_are_framed(spark, tmp_path):
     text = "é" * 5000
     got = one(spark, tmp_path, "ndjson_documents", text)
     assert (got.bytes, got.digest, got.error) == (10_000, hashlib.sha256(text.encode()).hexdigest(), None)
+
+
+def rated(spark, commands):
+    got = gate.evaluate(spark.createDataFrame(list(enumerate(commands)), "i int, c string"), "c").orderBy("i").collect()
+    return [(r.tier, r.hit and r.hit.rule_id) for r in got]
+
+
+def test_the_last_leg_of_long_commands_counts(spark):
+    many = "; ".join(f"ls f{i}" for i in range(300))
+    told = ["rm -rf /", "$'\\x72m' -rf /", "rm \\\n-rf /", "X=rm; $X -rf /", "printf '\\x72m -rf /' | sh", "echo cm0gLXJmIC9zcnY= | base64 -d | sh"]
+    for head in (many, "ls " + "ab " * 25_000):
+        assert rated(spark, [f"{head}; {bad}" for bad in told]) == [("block", "rm-rf")] * len(told)
+        assert rated(spark, [f"{head}; ls"]) == [("allow", None)]
+    assert len(shell.every_leg(many)) == 300
+
+
+def test_doubled_variables_end_in_a_warning(spark):
+    grown = "A=xxxxxxxx;" + "A=$A$A;" * 100
+    assert shell.every_leg(grown)[-1][2] == shell.UNREAD
+    few = "B=" + "x y" * 10 + ";" + "A=$B$B;" * 3
+    assert rated(spark, [few]) == [("allow", None)]
+
+
+def test_long_commands_take_linear_time():
+    for part in ("a;", "\n", "${a-", "openssl enc ", "printf '\\x72' | sh;", "$A;", "`", "$(", ";$( "):
+        start = time.time()
+        shell.every_leg(part * (400_000 // len(part)))
+        assert time.time() - start < 20, part

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.functions.shell import IF_BLOCKED, STILL_CODED, command_legs
+from vigilake.functions.shell import IF_BLOCKED, STILL_CODED, UNREAD, command_legs
 from vigilake.functions.verdicts import BLOCK_AT, WARN_AT, settled, tier_name, tier_rank
 from vigilake.operators.policy import anchored_glob, string_argument, unanchored_glob
 from vigilake.sources.packs import GlobRule
@@ -72,7 +72,7 @@ def evaluate(df: DataFrame, command: str, packs: tuple[str, ...] = (), allow: tu
         rules = [_hit(reduce(Column.__and__, (x["effective"].rlike("(?d)" + p) for p in r.patterns)), r.severity, i + 2, r.id, r.category) for i, r in enumerate(RULES) if r.pack is None or r.pack in packs]
         custom = [_hit(unanchored_glob(x["leg"], g), s, 100 + i, "custom", "custom") for i, (g, s) in enumerate(blocks)]
         shared = [_hit(unanchored_glob(x["effective"], g.pattern), g.severity, 200 + i, g.id, g.category) for i, g in enumerate(globs)]
-        worst = F.array_max(F.array(*rules, *custom, *shared, _hit(x["counts"] == STILL_CODED, WARN_AT, 1000, "base64-decode-cap", "obfuscation")))
+        worst = F.array_max(F.array(*rules, *custom, *shared, _hit(x["counts"] == STILL_CODED, WARN_AT, 1000, "base64-decode-cap", "obfuscation"), _hit(x["counts"] == UNREAD, WARN_AT, 1001, "expansion-cap", "obfuscation")))
         return F.when((x["counts"] != IF_BLOCKED) | (worst["severity"] >= BLOCK_AT), worst)
 
     whole = [_hit(raw.rlike(PIPED), 9, 0, "curl-wget-pipe-shell", "remote-exec"), _hit(raw.rlike(BOMB), 9, 1, "fork-bomb", "dos")]
