@@ -72,3 +72,14 @@ def test_a_literal_longer_than_its_base_span_goes_whole(spark, documents):
     text = 'password = "hunter22!Secret#9" # kept'
     assert secret_scan.spans(text) == [(0, 20, "assign"), (12, 29, "literal")]
     assert documents([text]).select(secret_scan.redacted("text").alias("clean")).first().clean == '[ASSIGN REMOVED]" # kept'
+
+
+def test_long_names_literals_and_sums_are_read_whole(spark, documents):
+    key = "aB3!" * 2000
+    texts = [f'private_key = "{key}"', f"passphrase={key} kept", f'{"a" * 100}_passphrase = "s3cr3t!pa$$w0rd"', "pwd = " + " + ".join(f'"Zx9!q{i}"' for i in range(40))]
+    assert [literals(t) for t in texts] == [[key], [key], ["s3cr3t!pa$$w0rd"], [f"Zx9!q{i}" for i in range(40)]]
+    clean = [r.clean for r in documents(texts).orderBy("doc_id").select(secret_scan.redacted("text").alias("clean")).collect()]
+    assert clean[:2] == ['private_key = "[LITERAL REMOVED]"', "passphrase=[LITERAL REMOVED] kept"]
+    # What a constant hands on.
+    assert len(literals("\n".join(["k = " + " + ".join(f'"Zx9!q{i}"' for i in range(40)), "pwd = k", ""]))) == 40
+    assert literals('k = "Zx9!qRt"\n' + "k = k + k\n" * 200 + "pwd = k\n") == ["Zx9!qRt"]

@@ -45,13 +45,14 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|nil|true|false|undefi
 #: A literal is a secret from this product of name and literal scores on.
 THRESHOLD = 0.45
 
+# No repetition has an upper bound or gives back what it took, so that long names and literals are read whole in linear time.
 _PAIR = re.compile(
-    r"""(?<![\w$.\-])(?:export\x20+|set\x20+)?(?:"([^"\n]{1,80})"|'([^'\n]{1,80})'|([A-Za-z_$][\w$.\-]{0,79}))\x20*(?::=|=>|=(?![=>])|:(?![:/=]))\x20*"""
+    r"""(?<![\w$.\-])(?:export\x20++|set\x20++)?(?:"([^"\n]++)"|'([^'\n]++)'|([A-Za-z_$][\w$.\-]*+))\x20*+(?::=|=>|=(?![=>])|:(?![:/=]))\x20*+"""
     r"""(?=["'`A-Za-z0-9_$+/])"""
 )
-_QUOTED = re.compile(r"""[rbuRBU]{0,2}(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`)""")
-_NAME = re.compile(r"[A-Za-z_$][\w$]{0,79}(?:\.[A-Za-z_$][\w$]{0,79}){0,8}(?=\s*(?:[;,+})\]]|$|\n))", re.MULTILINE)
-_BARE = re.compile(r"""[^\s,;"'`{}()\[\]<>#]{1,4096}""")
+_QUOTED = re.compile(r"""[rbuRBU]{0,2}(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)""")
+_NAME = re.compile(r"[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)*+(?=\s*(?:[;,+})\]]|$|\n))", re.MULTILINE)
+_BARE = re.compile(r"""[^\s,;"'`{}()\[\]<>#]++""")
 _PLUS = re.compile(r"\x20*\+\x20*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -77,43 +78,104 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str, quoted: bool) -> float:
     """0 for what can't be a secret, up to 1 for long mixed strings."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    return _score(Counter(value), value, quoted)
+
+
+def _score(counts: Counter, sample: str, quoted: bool) -> float:
+    """literal_score of a value by its characters and a sample that is a placeholder if the value is one."""
+    length = sum(counts.values())
+    if length < 6 or PLACEHOLDER.match(sample) or any(c.isspace() for c in counts):
         return 0.0
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    if not quoted and (len(value) < 8 or not re.search("[0-9]", value) or "/" in value or "(" in value):
+    seen = "".join(counts)
+    kinds = sum(bool(re.search(p, seen)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
+    if not quoted and (length < 8 or not re.search("[0-9]", seen) or "/" in seen or "(" in seen):
         return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    return min(1.0, 0.25 + 0.1 * kinds + 0.1 * min(entropy, 4.0) + 0.01 * min(len(value), 20))
+    entropy = -sum(n / length * math.log2(n / length) for n in counts.values())
+    return min(1.0, 0.25 + 0.1 * kinds + 0.1 * min(entropy, 4.0) + 0.01 * min(length, 20))
+
+
+#: Characters kept of either end of a value; more than the longest fixed placeholder has.
+_ENDS = 32
+
+
+class _Value:
+    """A literal, or a sum of earlier values; of its text only counts, ends and whether all is quoted, as sums of sums grow with a power of two."""
+
+    __slots__ = ("counts", "first", "last", "quoted", "span", "of", "score")
+
+    def __init__(self, counts: Counter, first: str, last: str, quoted: bool, span: tuple[int, int] | None, of: tuple[_Value, ...] = ()):
+        self.counts, self.first, self.last, self.quoted, self.span, self.of, self.score = counts, first, last, quoted, span, of, 0.0
+
+    def literal(self) -> float:
+        """The ends with every character that is only between them stand for the text."""
+        if sum(self.counts.values()) <= _ENDS:
+            return _score(self.counts, self.first, self.quoted)
+        between = self.counts - Counter(self.first + self.last)
+        return _score(self.counts, self.first + "".join(between) + self.last, self.quoted)
+
+
+def _sum(of: list[_Value]) -> _Value:
+    if len(of) == 1:
+        return of[0]
+    counts: Counter = Counter()
+    first = last = ""
+    for v in of:
+        counts.update(v.counts)
+        first = (first + v.first)[:_ENDS] if len(first) < _ENDS else first
+        last = (last + v.last)[-_ENDS:]
+    return _Value(counts, first, last, all(v.quoted for v in of), None, tuple(of))
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that a sensitive name is given, at once or through other names."""
-    known: dict[str, list[tuple[int, int, bool]]] = {}
-    score: dict[tuple[int, int, bool], float] = {}
+    known: dict[str, _Value] = {}
+    values: list[_Value] = []
+    # The last run of bare characters: how far it was read, its end, and what is in the rest.
+    at_bare, bare_end, bare = 0, -1, Counter()
+
+    def made(a: int, b: int, quoted: bool, counts: Counter) -> _Value:
+        values.append(_Value(counts, text[a : min(b, a + _ENDS)], text[max(a, b - _ENDS) : b], quoted, (a, b)))
+        return values[-1]
+
     for m in _PAIR.finditer(text):
         name, at = m[1] or m[2] or m[3], m.end()
-        parts: list[tuple[int, int, bool]] = []
+        parts: list[_Value] = []
         while True:
             if q := _QUOTED.match(text, at):
-                g = next(i for i in (1, 2, 3) if q[i] is not None)
-                parts.append((*q.span(g), True))
+                a, b = q.span(next(i for i in (1, 2, 3) if q[i] is not None))
+                end = q.end()
+                parts.append(made(a, b, True, Counter(text[a:b])))
             elif (q := _NAME.match(text, at)) and q[0] in known:
-                parts += known[q[0]][:16]
+                end = q.end()
+                parts.append(known[q[0]])
+            elif not parts and at_bare <= at < bare_end:
+                bare = bare - Counter(text[at_bare:at])
+                at_bare, end = at, bare_end
+                parts.append(made(at, end, False, bare))
             elif not parts and (q := _BARE.match(text, at)):
-                parts.append((*q.span(), False))
+                at_bare, bare_end, bare = at, q.end(), Counter(q[0])
+                end = bare_end
+                parts.append(made(at, end, False, bare))
             else:
                 break
-            if not (plus := _PLUS.match(text, q.end())) or len(parts) >= 16:
+            if not (plus := _PLUS.match(text, end)):
                 break
             at = plus.end()
         if not parts:
             continue
-        known[name] = parts
+        known[name] = whole = _sum(parts)
+        if len(parts) > 1:
+            values.append(whole)
         if (s := name_score(name)) > 0:
-            whole = literal_score("".join(text[a:b] for a, b, _ in parts), all(q for *_, q in parts))
-            for p in parts:
-                score[p] = max(score.get(p, 0.0), s * whole)
-    return sorted((a, b, "literal") for (a, b, _), s in score.items() if s >= THRESHOLD and b > a)
+            whole.score = max(whole.score, s * whole.literal())
+    # A sum comes behind what it is made of.
+    found = set()
+    for v in reversed(values):
+        for part in v.of:
+            part.score = max(part.score, v.score)
+        if v.span and v.score >= THRESHOLD and v.span[1] > v.span[0]:
+            found.add(v.span)
+    return [(a, b, "literal") for a, b in sorted(found)]
 
 
 def spans(text: str, has_hex: bool = True) -> list[tuple[int, int, str]]:
