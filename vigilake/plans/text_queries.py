@@ -19,7 +19,7 @@ def fw_tier_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fw_hits_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.explode(firewall.hits(F.col("text"), F.lower("text"), [r for r in RULES if not r.look])).alias("h")).select("doc_id", "h.rule_id", "h.severity", "h.category")
+    return docs.select("doc_id", F.explode(firewall.hits(F.col("text"), F.lower("text"))).alias("h")).select("doc_id", "h.rule_id", "h.severity", "h.category")
 
 
 def fw_pages_xss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,7 @@ def fw_vs_toxic_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_corpora_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [table(spark, sf_dir, t).select(F.lit(t).alias("corpus"), F.col(c).alias("text")) for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
-    rules = [r for r in RULES if not r.look]
-    found = spread(texts[0].unionByName(texts[1]).unionByName(texts[2])).select("corpus", F.explode(firewall.hits(F.col("text"), F.lower("text"), rules)).alias("h"))
+    found = spread(texts[0].unionByName(texts[1]).unionByName(texts[2])).select("corpus", F.explode(firewall.hits(F.col("text"), F.lower("text"))).alias("h"))
     return found.groupBy(F.col("h.rule_id").alias("rule_id")).agg(F.count_distinct("corpus").alias("corpora"), F.count("*").alias("hits"))
 
 
