@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from vigilake.functions.verdicts import degraded, tier_name
 from vigilake.operators import audit, hosts, metrics, net, paths, pins, policy, relay
-from vigilake.sources.tables import table
+from vigilake.sources.tables import shared_dir, table
 
 #: Paths with the expected reason, written by hand; {u} is a user id.
 PATHS = [
@@ -67,8 +67,7 @@ def budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counters, from a stream over the events that ends when all is read."""
     from vigilake.streaming import budgets
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/vigilake-shared"
-    place = f"{root}/budget-stream-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/budget-stream-{uuid.uuid4().hex}"
     kind = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counted = budgets.running(events.select("event_id", "ts", "user_id", policy.tokens(F.col("props")).alias("tokens")), "user_id")

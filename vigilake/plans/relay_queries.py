@@ -13,7 +13,7 @@ from vigilake.plans.action_queries import ORACLES as ACTIONS
 from vigilake.plans.gate_queries import _list, _made
 from vigilake.sources import lines
 from vigilake.sources.events import MOST_LINE
-from vigilake.sources.tables import spread, table
+from vigilake.sources.tables import shared_dir, spread, table
 from vigilake.streaming import relay as stream_relay
 
 #: Texts of commands with their masked form.
@@ -163,8 +163,7 @@ def audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_match_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The requests and responses of id_match_ttl, as a stream that ends when all is read."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/vigilake-shared"
-    place = f"{root}/id-match-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/id-match-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     answers = e.where("id % 3 = 0").select("id", "ts", F.explode(F.expr("filter(array(1, if(id % 2 = 0, 30, null), if(id % 5 = 0, 90, null)), x -> x is not null)")).alias("after")).withColumn("seq", F.col("after").cast("long"))
     answers = answers.select("id", F.timestamp_micros(F.unix_micros("ts") + F.col("seq") * 1_000_000).alias("ts"), "seq", F.lit(False).alias("is_request"))

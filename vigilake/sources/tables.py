@@ -1,7 +1,9 @@
-"""Readers for the input tables."""
+"""Readers for the input tables, and the folder that all executors share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,6 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A folder of this application in the one that the cluster names in spark.checkpoint.dir; what it holds may go when the application ends.
+
+    Without the setting only a local master has a folder that all executors share.
+    """
+    context = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not d and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(d or f'file://{tempfile.gettempdir()}').rstrip('/')}/vigilake-{context.applicationId}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For work that is long for each row: a table that comes in fewer partitions than there are cores is dealt out evenly; larger ones are left as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
