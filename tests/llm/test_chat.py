@@ -48,3 +48,9 @@ def test_escapes_are_reversible(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", chat.escaped(F.col("text")).alias("e"))
     for r in df.select("*", chat.unescaped(F.col("e")).alias("u")).collect():
         assert r.u == r.text and "<|" not in r.e and "[INST]" not in r.e and "</s>" not in r.e
+
+
+def test_rows_without_conversation_are_each_their_own(spark):
+    rows = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.examples(rows)).collect()
+    assert sorted((r.turns[0].role, r.turns[0].text, r.loss) for r in got) == [("assistant", "b", "b"), ("user", "a", ""), ("user", "a", "")]

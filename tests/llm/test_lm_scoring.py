@@ -1,8 +1,13 @@
 import math
+import os
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from vigilake.llm import lm_scoring
 
@@ -78,3 +83,32 @@ def test_held_out_perplexity_beats_the_base(spark):
     seen = lm_scoring.training(docs.doc_id)
     got = lm_scoring.scored(docs.where(~seen), lm_scoring.train(docs.where(seen))).selectExpr("sum(base_score) as base", "sum(score) as own").first()
     assert got.own > got.base
+
+
+def test_a_missing_range_is_an_error(spark, documents):
+    docs = documents([f"w{i} w{i % 7} w{i % 3}" for i in range(60)])
+    model = lm_scoring.train(docs)
+    assert sum(model.words.values()) == model.size and sum(model.pairs.values()) == model.types
+    os.remove(next(Path(model.directory).glob("pairs-*.0.npy")))
+    lm_scoring._mapped.cache_clear()
+    with pytest.raises(Exception, match="No such file"):
+        lm_scoring.scored(docs.repartition(2), model).collect()
+
+
+def test_more_ranges_than_shuffle_partitions(spark, documents, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "RANGE_BYTES", 5)
+    texts = ["a b c a b d", "A B\nc", None, "x y z " * 9]
+    docs = documents(texts)
+    assert lm_scoring.train(docs).parts > 4
+    same(docs, docs, dict(enumerate(texts)))
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.dictionaries(st.integers(0, 40), st.integers(1, 9)), min_size=1, max_size=9))
+def test_sums_of_pieces(found):
+    made = [lm_scoring.squeezed(np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)], np.int64)) for d in found]
+    key, n = lm_scoring.summed(made)
+    want = Counter()
+    for d in found:
+        want.update(d)
+    assert dict(zip(key.tolist(), n.tolist(), strict=True)) == want and key.tolist() == sorted(want)

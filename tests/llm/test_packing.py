@@ -47,6 +47,7 @@ def check(rows, texts, window):
 
 def test_odd_documents(spark, documents):
     texts = [None, "", "a<|endoftext|>b", "word " * 300, "word " * 300, "long text " * 3000, "é 東京\n\n"]
+    texts += [" " * 1_000_000, "a" + " \n" * 300_000 + "b<|endoftext|> é" + "\t" * 30_000, "y" * 500_000]
     docs = documents(texts).selectExpr("*", "1 as length", "2 as rank")
     assert check(packing.pack(docs, FILE, 2, 64).collect(), dict(enumerate(texts)), 64) > 0
     assert packing.pack(docs.limit(0), FILE).collect() == []

@@ -1,5 +1,7 @@
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from vigilake.llm import source_mix
@@ -9,10 +11,33 @@ def words(t):
     return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
 
 
-def test_shares_are_capped_and_reshared():
-    got = source_mix.shares([10, 1000, 1000], [5.0, 2.0, 1.0], 3)
-    assert got == [30.0, 1980 * 2 / 3, 1980 / 3]
-    assert source_mix.shares([], [], 3) == [] and source_mix.shares([0, 0], [5.0, 2.0], 3) == [0.0, 0.0]
+def shares(sizes: list[int], weights: list[float], most: float) -> list[float]:
+    """Shares of the whole by weight; none above `most` times its size, the excess reshared by weight."""
+    left, target, open_ = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if weights[i] * unit > most * sizes[i]]
+        if not full:
+            for i in open_:
+                target[i] = weights[i] * unit
+            break
+        for i in full:
+            target[i] = float(most * sizes[i])
+            left -= target[i]
+            open_.discard(i)
+    return target
+
+
+def test_targets_are_capped_and_reshared(spark):
+    rng = random.Random(3)
+    cases = [[10, 1000, 1000], [], [0, 0], [5], *([rng.choice([0, 1, 7, 50, 3000]) for _ in range(rng.randrange(1, 14))] for _ in range(4))]
+    assert shares(cases[0], [5.0, 2.0, 1.0], 3) == [30.0, 1980 * 2 / 3, 1980 / 3]
+    for sizes in cases:
+        names = [f"s{i:02}" if i < len(sizes) - 1 else None for i in range(len(sizes))]
+        table = spark.createDataFrame(list(zip(names, sizes, sizes, strict=True)), "source string, source_size long, n long")
+        got = {r.source: r.target for r in source_mix.targets(table).collect()}
+        want = shares(sizes, [float((5, 2, 1)[i % 3]) for i in range(len(sizes))], 3)
+        assert [got[n] for n in names] == pytest.approx(want)
 
 
 def brute(rows, n_sources):
@@ -21,7 +46,7 @@ def brute(rows, n_sources):
     for r in rows:
         by.setdefault(r.source, []).append(r)
     order = sorted(by, key=lambda s: (s is None, s or ""))
-    target = source_mix.shares([sum(r.size for r in by[s]) for s in order], [float((5, 2, 1)[i % 3]) for i in range(len(order))], 3)
+    target = shares([sum(r.size for r in by[s]) for s in order], [float((5, 2, 1)[i % 3]) for i in range(len(order))], 3)
     taken = []
     for s, t in zip(order, target, strict=True):
         size = sum(r.size for r in by[s])
@@ -59,3 +84,12 @@ def test_odd_rows(spark, documents):
     mixed = source_mix.mixed(docs)
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r.copies for r in got)
+
+
+def test_the_mix_keeps_columns_of_any_name(spark, documents):
+    names = ["_key", "_copy", "epochs", "cutoff", "target", "of", "source_size", "row", "from", "key", "copy", "copies", "rest", "slice"]
+    docs = documents(["a b", "c d e", None, "f"]).selectExpr("*", *[f"concat('{n}', doc_id) as {n}" for n in names])
+    got = source_mix.mixed(docs)
+    assert got.columns == docs.columns
+    want = {r.doc_id: r for r in docs.collect()}
+    assert got.count() and all(r == want[r.doc_id] for r in got.collect())

@@ -1,3 +1,9 @@
+import json
+import random
+import string
+import time
+from pathlib import Path
+
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,3 +47,31 @@ def test_real_texts_equal_the_library(spark):
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     want = dict(zip(texts, library(list(texts.values())), strict=True))
     assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, FILE).collect()} == want
+
+
+def test_long_pretokens_take_time_near_their_length():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(string.ascii_letters, k=200_000)), "a" * 200_000, "ab" * 50_000, "".join(rng.choices("aeiouàé", k=50_000)), "-" * 70 + "x" * 65]
+    token_counts.merges(FILE)
+    start = time.time()
+    got = token_counts.text_counts(texts, FILE, {})
+    assert time.time() - start < 10
+    assert got == library(texts)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abcdeé", min_size=1, max_size=200))
+def test_merging_alone_equals_merging_in_rounds(word):
+    m = token_counts.merges(FILE)
+    data = word.encode()
+    if len(data) > 1:
+        assert m.count_long(data) == len(LIB.encode(word).ids) == m.count([data])[0]
+
+
+def test_workers_hold_counts_by_vocabulary(spark, documents, tmp_path):
+    docs = documents(["tokenization of words"])
+    spec = json.loads(Path(FILE).read_text())
+    spec["model"]["merges"] = spec["model"]["merges"][:100]
+    (tmp_path / "few.json").write_text(json.dumps(spec))
+    for file in (FILE, str(tmp_path / "few.json"), FILE):
+        assert token_counts.count_tokens(docs, file).first().n_tokens == len(Tokenizer.from_file(file).encode("tokenization of words", add_special_tokens=False).ids)

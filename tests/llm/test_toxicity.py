@@ -63,3 +63,5 @@ def test_odd_tables(spark, documents):
     some = spark.createDataFrame([(0, 1, 1), (1, None, None), (None, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.scored(docs, toxicity.fit(docs, some)).count() == 5
     assert toxicity.clean(docs, model).columns == docs.columns
+    small = docs.withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert sorted((r.doc_id, r.score) for r in toxicity.scored(small.where("doc_id is not null"), model).collect()) == [(i, 0.0) for i in range(4)]

@@ -8,8 +8,8 @@ after their first character, one more if they have some; taking one away restore
 
 A conversation's turns meet in one task: its last example holds all of them in one row anyway,
 so that a task needs no more memory than the output itself. Turns are ordered by (turn, role,
-text), null turns first; null text and role count as empty; a null conv_id is one more
-conversation; repeated rows are turns of their own.
+text), null turns first; null text and role count as empty; repeated rows are turns of their own.
+Rows without conv_id belong to no conversation: each is one of its own, and none is shuffled.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ def _opening(role: Column) -> Column:
 def examples(conversations: DataFrame) -> DataFrame:
     """conv_id, example (from 0), formatted text, loss_start and loss_end (code points, end exclusive)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = conversations.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = whole.unionByName(conversations.where("conv_id is null").select("conv_id", F.array(turn).alias("turns")))
     parts = whole.select(
         "conv_id",
         F.transform("turns", lambda t: _opening(t["role"])).alias("opening"),
@@ -58,11 +59,13 @@ def examples(conversations: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the examples say of each conversation: its turns from the longest, its trainable text from all."""
     loss = F.expr("substring(formatted, loss_start + 1, loss_end - loss_start)")
-    whole = formatted.groupBy("conv_id").agg(
+    whole = formatted.where("conv_id is not null").groupBy("conv_id").agg(
         F.max_by("formatted", "example").alias("longest"),
         F.array_sort(F.collect_list(F.struct("example", loss.alias("text")))).alias("losses"),
         F.sum(F.char_length("formatted")).alias("formatted_chars"),
     )
+    alone = formatted.where("conv_id is null").select("conv_id", F.col("formatted").alias("longest"), F.array(F.struct("example", loss.alias("text"))).alias("losses"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    whole = whole.unionByName(alone)
     parts = F.filter(F.split("longest", r"<\|end\|>\n"), lambda s: s != "")
     head = r"(?s)^<\|turn:([^|]*)\|>(.*)\z"
 

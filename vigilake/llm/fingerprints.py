@@ -145,5 +145,5 @@ def with_edits(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
     dealt_rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(_LEAST))).mapInArrow(dealt, "part int, extra byte, id long, doc_id long, text string")
-    ranged = dealt_rows.repartition(parts, "part").sortWithinPartitions("part", "extra", F.desc("id"), F.desc("text"))
+    ranged = dealt_rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "extra", F.desc("id"), F.desc("text"))
     return ranged.mapInArrow(edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -10,7 +10,9 @@ known of contexts (total, how many followers were seen once, twice, more often)
 
 Scoring. Workers map the arrays from the shared folder and look up whole blocks of texts at
 once. The folder must be a path that all executors mount; arrays are written under another name
-and renamed, so that a task that runs twice does no harm.
+and renamed, so that a task that runs twice does no harm. The model lists the ranges that were
+written, and a worker that does not find one of them fails instead of scoring without it. There is
+a range for every RANGE_BYTES of text, so that what a merge holds does not grow with the input.
 
 The order is two: at three the distinct n-grams alone outgrow the disk that the job may use.
 Null text is empty; an empty text is one end token; repeated rows are scored, and counted, each.
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from urllib.parse import urlparse
 
@@ -37,6 +39,8 @@ _U = np.uint64
 END = _U(0x656E6421656E6421)
 #: Tokens that a counting task combines at a time, and bytes of text that a scoring task looks up at a time.
 COMBINED, LOOKED_UP = 2_000_000, 4 << 20
+#: Bytes of training text for each range of hashes.
+RANGE_BYTES = 64 << 20
 
 
 def training(doc_id: Column) -> Column:
@@ -65,14 +69,24 @@ def stretched(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.uint64), n.astype(np.int64)
 
 
-def summed(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all pieces and their counts' sums."""
-    got = [stretched(p) for p in pieces]
-    key, n = np.concatenate([k for k, _ in got]), np.concatenate([n for _, n in got])
+def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[start], np.add.reduceat(n, start)
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    return key[start], np.add.reduceat(n, start) if len(key) else n
+
+
+def summed(pieces: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all pieces and their counts' sums; pieces are unpacked one at a time and merged with others of like length."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for p in pieces:
+        held.append(stretched(p))
+        while len(held) > 1 and len(held[-2][0]) <= 2 * len(held[-1][0]):
+            held.append(merged(held.pop(), held.pop()))
+    while len(held) > 1:
+        held.append(merged(held.pop(), held.pop()))
+    return held[0]
 
 
 def dealt(h: np.ndarray, parts: int) -> np.ndarray:
@@ -104,30 +118,29 @@ def written(directory: str, name: str, *arrays: np.ndarray) -> None:
         os.replace(own, path)
 
 
-@lru_cache(maxsize=4)
-def _mapped(directory: str, name: str, n: int, parts: int) -> list[list[np.ndarray]]:
-    empty = [np.zeros(0, np.uint64)] * n
-    files = [[os.path.join(directory, f"{name}-{p}.{i}.npy") for i in range(n)] for p in range(parts)]
-    return [[np.load(f, mmap_mode="r") for f in own] if os.path.exists(own[0]) else empty for own in files]
+@lru_cache(maxsize=1 << 14)
+def _mapped(directory: str, name: str, n: int) -> list[np.ndarray]:
+    """The arrays of one range, mapped when first asked for; a file that is missing is an error."""
+    return [np.load(os.path.join(directory, f"{name}.{i}.npy"), mmap_mode="r") for i in range(n)]
 
 
 class Lookup:
-    """Sorted hash arrays of ranges, with arrays of values beside them."""
+    """Sorted hash arrays of ranges, with arrays of values beside them; sizes: the length of each range that was written."""
 
-    def __init__(self, directory: str, name: str, values: int, parts: int) -> None:
-        self.parts, self.arrays = parts, _mapped(directory, name, 1 + values, parts)
-        self.first = np.concatenate([[0], np.cumsum([len(a[0]) for a in self.arrays])])
+    def __init__(self, directory: str, name: str, values: int, parts: int, sizes: dict[int, int]) -> None:
+        self.directory, self.name, self.values, self.parts = directory, name, values, parts
+        self.first = np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(parts)])])
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """For sorted hashes: places in the whole, or -1, and the values there, or 0."""
         at = np.full(len(h), -1)
-        values = [np.zeros(len(h), np.int64) for _ in self.arrays[0][1:]]
+        values = [np.zeros(len(h), np.int64) for _ in range(self.values)]
         edge = np.searchsorted(dealt(h, self.parts), np.arange(self.parts + 1))
         for p in np.flatnonzero(np.diff(edge)):
             s, e = edge[p], edge[p + 1]
-            key, *own = self.arrays[p]
-            if not len(key):
+            if self.first[p] == self.first[p + 1]:
                 continue
+            key, *own = _mapped(self.directory, f"{self.name}-{p}", 1 + self.values)
             i = np.minimum(np.searchsorted(key, h[s:e]), len(key) - 1)
             ok = key[i] == h[s:e]
             at[s:e] = np.where(ok, self.first[p] + i, -1)
@@ -159,27 +172,27 @@ class Model:
         self.size = self.total = self.types = 0
         self.high, self.low = np.zeros(4), np.zeros(4)
         self.low_left = 1.0
-        self.widths: list[int] = []
+        # What was written: lengths of the ranges of words and of pairs.
+        self.words: dict[int, int] = {}
+        self.pairs: dict[int, int] = {}
 
     def vocabulary(self) -> Lookup:
-        return Lookup(self.directory, "words", 1, self.parts)
+        return Lookup(self.directory, "words", 1, self.parts, self.words)
 
     def bigrams(self) -> Lookup:
-        return Lookup(self.directory, "pairs", 1, self.parts)
+        return Lookup(self.directory, "pairs", 1, self.parts, self.pairs)
 
     def dense(self, name: str, at: np.ndarray, n: int) -> list[np.ndarray]:
         """Values of places in the vocabulary (the begin of a text is one more), kept by ranges of places; at is sorted."""
-        arrays = _mapped(self.directory, name, n, self.parts)
         part = at * self.parts // (self.size + 1)
         edge = np.searchsorted(part, np.arange(self.parts + 1))
         out = [np.zeros(len(at), np.int64) for _ in range(n)]
         for p in np.flatnonzero(np.diff(edge)):
             s, e = edge[p], edge[p + 1]
             first = -(-p * (self.size + 1) // self.parts)
-            for o, a in zip(out, arrays[p], strict=True):
-                i = at[s:e] - first
-                ok = i < len(a)
-                o[s:e][ok] = a[i[ok]]
+            # Every place of the vocabulary has followed or been followed, so that its range was written.
+            for o, a in zip(out, _mapped(self.directory, f"{name}-{p}", n), strict=True):
+                o[s:e] = a[at[s:e] - first]
         return out
 
 
@@ -187,11 +200,12 @@ def train(docs: DataFrame) -> Model:
     """The model of all rows of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = text_rows(docs)
+    held = text.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first().bytes or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_BYTES))
     model = Model(os.path.join(_path(spark), f"lm-{uuid.uuid4().hex}"), parts)
     os.makedirs(model.directory)
     directory = model.directory
-    text = text_rows(docs)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -210,12 +224,13 @@ def train(docs: DataFrame) -> Model:
 
     def word_range(table: pa.Table) -> pa.Table:
         p = table.column("part")[0].as_py()
-        h, n = summed(table.column("piece").to_pylist())
+        h, n = summed(x.as_py() for x in table.column("piece"))
         written(directory, f"words-{p}", h, n)
         return pa.table({"part": pa.array([p], pa.int32()), "types": pa.array([len(h)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
     # One small row for each range comes to the driver.
     got = text.mapInArrow(words, PIECES).groupBy("part").applyInArrow(word_range, "part int, types long, tokens long").collect()
+    model.words = {r.part: r.types for r in got}
     model.size, model.total = sum(r.types for r in got), sum(r.tokens for r in got)
     if not model.size:
         return model
@@ -249,12 +264,13 @@ def train(docs: DataFrame) -> Model:
 
     def pair_range(table: pa.Table) -> pa.Table:
         p = table.column("part")[0].as_py()
-        key, n = summed(table.column("piece").to_pylist())
+        key, n = summed(x.as_py() for x in table.column("piece"))
         h = mix(key)
         order = np.argsort(h)
         written(directory, f"pairs-{p}", h[order], n[order].astype(np.uint32))
         first, second = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
-        out: list[tuple[int, int, bytes]] = [(9, 0, squeezed(np.arange(4, dtype=np.uint64), np.bincount(np.minimum(n, 5), minlength=6)[1:5]))]
+        of_counts = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
+        out: list[tuple[int, int, bytes]] = [(9, p, squeezed(np.arange(5, dtype=np.uint64), np.append(of_counts, len(key))))]
         for kind, place, weight in ((0, first, n), (1, first, n == 1), (2, first, n == 2), (3, first, n > 2), (4, second, n > 0)):
             use = weight > 0
             u, at = np.unique(place[use], return_inverse=True)
@@ -270,16 +286,18 @@ def train(docs: DataFrame) -> Model:
             if own := [x for x, k in zip(all_pieces, kinds, strict=True) if k == kind]:
                 u, n = summed(own)
                 dense[kind, u.astype(np.int64) - first] = n
-        own = [x for x, k in zip(all_pieces, kinds, strict=True) if k == 9]
-        high = summed(own)[1] if own else np.zeros(4, np.int64)
         written(directory, f"places-{p}", *dense)
         low = np.bincount(np.minimum(dense[4], 5), minlength=6)[1:]
         more = [int(dense[4].sum()), int((dense[4] >= 3).sum())]
-        return pa.table({"part": pa.array([p], pa.int32()), "high": pa.array([high.tolist()], pa.list_(pa.int64())), "low": pa.array([low[:4].tolist() + more], pa.list_(pa.int64()))})
+        return pa.table({"part": pa.array([p], pa.int32()), "low": pa.array([low[:4].tolist() + more], pa.list_(pa.int64()))})
 
     pairs = saved(text.mapInArrow(bigrams, PIECES).groupBy("part").applyInArrow(pair_range, PIECES), "lm-places")
-    got = pairs.groupBy("part").applyInArrow(place_range, "part int, high array<long>, low array<long>").collect()
-    high, low = (np.sum([getattr(r, k) for r in got], 0) for k in ("high", "low"))
+    # One small row for each range comes to the driver.
+    told = {r.part: stretched(bytes(r.piece))[1] for r in pairs.where("kind = 9").collect()}
+    model.pairs = {p: int(n[4]) for p, n in told.items()}
+    high = np.sum([n[:4] for n in told.values()], 0)
+    got = pairs.where("kind <> 9").groupBy("part").applyInArrow(place_range, "part int, low array<long>").collect()
+    low = np.sum([r.low for r in got], 0)
     model.high, model.low, model.types = discounts(high), discounts(low), int(low[4])
     model.low_left = float(model.low[1] * low[0] + model.low[2] * low[1] + model.low[3] * low[5]) / model.types
     return model

@@ -13,13 +13,13 @@ gives no rows.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
-import json
-
 import numpy as np
 import pyarrow as pa
 import tiktoken
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vigilake.llm.shared import saved, small_batches, text_rows
-from vigilake.llm.token_counts import byte_alphabet
+from vigilake.llm.token_counts import byte_alphabet, pretokens
 
 #: Second lengths tried for each first one of a pattern of three, and rounds of fitting.
 TRIPLES, FITS = 10, 200
@@ -36,6 +36,10 @@ TRIPLES, FITS = 10, 200
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: White space in a row from which on texts are split here, as the encoder's own split gives up on long runs.
+LONG_SPACE = re.compile(r"\s{20000}")
+
+
 @lru_cache(maxsize=2)
 def encoder(file: str) -> tiktoken.Encoding:
     """The vocabulary file's encoding; the ids of its merged symbols are their ranks."""
@@ -47,17 +51,32 @@ def encoder(file: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
+def ids_of(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of a text, special strings as their tokens."""
+    special = enc.special_tokens_set
+    if len(text) < 20_000 or not LONG_SPACE.search(text):
+        return np.asarray(enc.encode_to_numpy(text, allowed_special=special), "<u4")
+    parts = re.split("(" + "|".join(map(re.escape, sorted(special))) + ")", text) if special else [text]
+    found: list[int] = []
+    for part in parts:
+        if part in special:
+            found.append(enc.encode_single_token(part))
+        else:
+            for word in pretokens(part):
+                found += enc._encode_single_piece(word)
+    return np.array(found, "<u4")
+
+
 def pieces(docs: DataFrame, tokenizer: str, end: int, window: int) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece; only documents above the window are cut."""
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        special = enc.special_tokens_set
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.append(np.asarray(enc.encode_to_numpy(text, allowed_special=special), "<u4"), np.uint32(end)).astype("<u4")
+                ids = np.append(ids_of(enc, text), np.uint32(end)).astype("<u4")
                 first = (len(ids) - 1) % window + 1
                 borders = [0, *range(first, len(ids) + 1, window)]
                 out += [(doc, k, s, e - s, zlib.crc32(ids[s:e].tobytes())) for k, (s, e) in enumerate(zip(borders, borders[1:], strict=False))]

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilake.sources.tables import shared_dir
+
 #: Rows and bytes of an Arrow batch, so that long texts don't fill a worker.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: Bytes of text that the array functions below take at a time.
@@ -26,12 +28,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; /tmp only where none is set, as in tests."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return d or "file:///tmp/vigilake-shared"
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession

@@ -6,9 +6,9 @@ quality, up to the prefix sum nearest to the rest. Documents are taken whole.
 
 The prefix sum needs no sorted source in one task: sizes are summed by source and slice of keys
 (about the root of the row count many slices), a window over these few sums finds the slice in
-which the budget ends, and only that slice's rows are sorted. The per-source table goes to the
-driver for the shares; it has one small row a source and is broadcast back only while it has at
-most SOURCES_BROADCAST rows.
+which the budget ends, and only that slice's rows are sorted. The table of sources is ranked and
+summed by ranges as well, so that there may be any number of them; it is broadcast only while it
+has at most SOURCES_BROADCAST rows.
 
 Null text has size 0 and is never taken in part; null sources are one source, the last; rows of
 equal id and text share a key and are taken together.
@@ -30,23 +30,6 @@ SOURCES_BROADCAST = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shares(sizes: list[int], weights: list[float], most: float) -> list[float]:
-    """Shares of the whole by weight; none above `most` times its size, the excess reshared by weight."""
-    left, target, open_ = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * unit > most * sizes[i]]
-        if not full:
-            for i in open_:
-                target[i] = weights[i] * unit
-            break
-        for i in full:
-            target[i] = float(most * sizes[i])
-            left -= target[i]
-            open_.discard(i)
-    return target
-
-
 def _quality(text: Column) -> Column:
     """From 0.1 to 1: the share of letters and white space, squared."""
     plain = F.char_length(F.regexp_replace(text, r"[^\p{L}\s]+", "")) / F.greatest(F.char_length(text), F.lit(1))
@@ -67,16 +50,48 @@ def measured(docs: DataFrame, seed: int = 0) -> DataFrame:
     return docs.select("doc_id", "source", size.alias("size"), _key(seed).alias("key"))
 
 
+def running(df: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """Adds sums of the columns over all rows before a row in this order: rows are dealt by ranges, each range is summed by itself and moved by the total of those below it."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(df.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    # One row a range.
+    totals = dealt.groupBy("range").agg(*[F.sum(c).alias(name) for name, c in sums.items()]).orderBy("range").collect()
+    below = {name: [sum((r[name] for r in totals if r["range"] < p), 0) for p in range(parts)] for name in sums}
+    own = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def whole(name: str, c: str) -> Column:
+        return F.coalesce(F.sum(c).over(own), F.lit(0)) + F.element_at(F.array(*map(F.lit, below[name])), F.col("range") + 1)
+
+    return dealt.select("*", *[whole(name, c).alias(name) for name, c in sums.items()]).drop("range")
+
+
+def targets(sources: DataFrame) -> DataFrame:
+    """source, source_size, n and target: shares of the whole by weight, none above MOST times its size, the excess reshared by weight.
+
+    Sources are full in the order of size / weight: what is left for the others after the first full ones
+    gives the words of a unit of weight, and the first source that this does not fill ends the full ones.
+    """
+    ranked = running(sources.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], before="one")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod("before", F.lit(len(WEIGHTS))) + 1).cast("int"))
+    weighed = saved(ranked.select("source", "source_size", "n", weight.alias("weight"), (F.col("source_size") * MOST).alias("most"), (F.col("source_size") * MOST / weight).alias("ratio")), "mix-sources")
+    all_ = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    full = running(weighed, [F.col("ratio"), F.col("source").asc_nulls_last()], most_before="most", weight_before="weight")
+    unit = (F.lit(float(all_.size)) - F.col("most_before")) / (F.lit(all_.weight) - F.col("weight_before"))
+    ends = full.withColumn("unit", unit).where("ratio >= unit").agg(F.min_by("unit", F.struct("ratio", "source")).alias("unit")).first()
+    level = F.lit(float("inf") if ends.unit is None else ends.unit)
+    return weighed.select("source", "source_size", "n", F.when(F.col("ratio") < level, F.col("most").cast("double")).otherwise(F.col("weight") * level).alias("target"))
+
+
 def plan(rows: DataFrame) -> DataFrame:
     """Of each source: source_size, target, epochs, and the greatest key that the last, partial epoch takes."""
-    spark = rows.sparkSession
-    by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
-    by.sort(key=lambda r: (r.source is None, r.source or ""))
-    target = shares([r.source_size for r in by], [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(by))], MOST)
-    goal = [(r.source, r.source_size, t, e := min(MOST, int(t // r.source_size)) if r.source_size else 0, t - e * r.source_size) for r, t in zip(by, target, strict=True)]
-    goals = spark.createDataFrame(goal, f"source {rows.schema['source'].dataType.simpleString()}, source_size long, target double, epochs int, rest double")
-    goals = F.broadcast(goals) if len(by) <= SOURCES_BROADCAST else goals
-    slices = min(1 << 16, max(1, math.isqrt(sum(r.n for r in by))))
+    by = saved(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))), "mix-targets")
+    epochs = F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
+    goals = by.withColumn("epochs", epochs).select("source", "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
+    counted = by.agg(F.count("*").alias("sources"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    few = counted.sources <= SOURCES_BROADCAST
+    goals = F.broadcast(goals) if few else goals
+    slices = min(1 << 16, max(1, math.isqrt(counted.rows)))
     cut = rows.withColumn("slice", F.floor(F.lit(slices) * F.col("key") / (F.col("key") + 1)).cast("int"))
 
     run = Window.partitionBy("source").orderBy("slice")
@@ -85,7 +100,7 @@ def plan(rows: DataFrame) -> DataFrame:
     goal_of = goals.select(F.col("source").alias("of"), "rest")
     ends = sums.join(goal_of, F.col("source").eqNullSafe(F.col("of"))).where("before < rest").groupBy("of").agg(F.max_by(F.struct("slice", "before", "rest"), "slice").alias("end"))
     ends = ends.select("of", F.col("end.slice").alias("at"), "end.before", "end.rest")
-    ends = F.broadcast(ends) if len(by) <= SOURCES_BROADCAST else ends
+    ends = F.broadcast(ends) if few else ends
     last = cut.join(ends, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")))
     last = last.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     total = last.withColumn("total", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key")))
@@ -93,7 +108,7 @@ def plan(rows: DataFrame) -> DataFrame:
     miss = F.abs(F.col("total") - F.col("rest"))
     cutoff = total.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "key", "before", "rest")).alias("best"), F.min("key").alias("lowest"))
     cutoff = cutoff.select(F.col("source").alias("of"), F.when(F.col("best.rest") - F.col("best.before") >= F.col("best.miss"), F.col("best.key")).otherwise(F.col("lowest") * (1 - 1e-15)).alias("cutoff"))
-    cutoff = F.broadcast(cutoff) if len(by) <= SOURCES_BROADCAST else cutoff
+    cutoff = F.broadcast(cutoff) if few else cutoff
     return goals.join(cutoff, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "epochs", F.coalesce("cutoff", F.lit(-1.0)).alias("cutoff"))
 
 
@@ -116,7 +131,8 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: the documents, each as often as it is taken. Texts are not shuffled."""
     plans = saved(plan(saved(measured(docs, seed), "mix-rows")), "mix-plan")
     plans = (F.broadcast(plans) if plans.count() <= SOURCES_BROADCAST else plans).withColumnRenamed("source", "of")
-    keyed = docs.withColumn("_key", _key(seed))
-    taken = keyed.join(plans, F.col("source").eqNullSafe(F.col("of")))
-    copies = F.col("epochs") + (F.col("_key") <= F.col("cutoff")).cast("int")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    # The row is one column, so that none of its own can clash.
+    keyed = docs.select(F.struct("*").alias("row"), F.col("source").alias("from"), _key(seed).alias("key"))
+    taken = keyed.join(plans, F.col("from").eqNullSafe(F.col("of")))
+    copies = F.col("epochs") + (F.col("key") <= F.col("cutoff")).cast("int")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).select("row.*")

@@ -2,7 +2,9 @@
 
 Pre-tokens of a batch lie one after another in one array of symbols. In each round every
 pre-token finds its pair of lowest rank and all of them merge theirs at once, wherever it
-occurs, until none has a pair left; what remains are the tokens.
+occurs, until none has a pair left; what remains are the tokens. As a round costs a pass over
+all symbols, a pre-token of more than LONG bytes goes alone: its places wait by the rank of their
+pair, and the lowest rank's places merge at once, so that its time is near its length.
 
 Nothing is shuffled: each task counts its own rows. Null text counts as empty, empty text has
 no tokens, repeated rows are counted each, other columns are ignored.
@@ -10,6 +12,7 @@ no tokens, repeated rows are counted each, other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import sys
@@ -26,6 +29,8 @@ from vigilake.llm.shared import small_batches, text_rows
 
 #: Pre-tokens whose counts a worker remembers.
 CACHE = 400_000
+#: Bytes of a pre-token from which on it is merged alone.
+LONG = 64
 #: The characters with the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -72,18 +77,22 @@ class Merges:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(key)
+        self.pair_of = key.tolist()
         self.key, self.rank = key[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.first = np.zeros(256, np.int64)
         for c, b in byte_alphabet().items():
             self.first[b] = vocab[c]
+        self.by_pair = dict(zip(key.tolist(), range(len(key)), strict=True))
         self.special = [t["content"] for t in spec["added_tokens"]]
 
     def count(self, pretokens: list[bytes]) -> np.ndarray:
         """How many symbols survive in each pre-token."""
         size = np.array([len(p) for p in pretokens], np.int64)
         out = size.copy()
-        live = np.flatnonzero(size > 1)
+        for i in np.flatnonzero(size > LONG):
+            out[i] = self.count_long(pretokens[i])
+        live = np.flatnonzero((size > 1) & (size <= LONG))
         sym = self.first[np.frombuffer(b"".join(pretokens[i] for i in live), np.uint8)]
         size = size[live]
         none = np.int64(len(self.made))
@@ -112,6 +121,45 @@ class Merges:
         return out
 
 
+    def count_long(self, pretoken: bytes) -> int:
+        """The same of one long pre-token. A place waits under the rank of the pair that begins there; a pair that has gone by the time its rank comes is passed over."""
+        first = self.first[np.frombuffer(pretoken, np.uint8)]
+        n = left = len(first)
+        pair = first[:-1] << 32 | first[1:]
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        places = np.flatnonzero(self.key[at] == pair)
+        rank = self.rank[at[places]]
+        order = np.argsort(rank, kind="stable")
+        cut = np.flatnonzero(np.diff(rank[order], prepend=-1))
+        waiting = {int(rank[order[s]]): places[order[s:e]].tolist() for s, e in zip(cut, np.append(cut[1:], len(order)), strict=True)}
+        heap = sorted(waiting)
+        sym, after, before = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            best = heapq.heappop(heap)
+            made, want = int(self.made[best]), self.pair_of[best]
+            for i in sorted(waiting.pop(best)):
+                j = after[i]
+                if j >= n or sym[i] << 32 | sym[j] != want:
+                    continue
+                sym[i], sym[j] = made, -1
+                left -= 1
+                k = after[i] = after[j]
+                h = before[i]
+                if k < n:
+                    before[k] = i
+                    if (r := self.by_pair.get(made << 32 | sym[k])) is not None:
+                        if r not in waiting:
+                            waiting[r] = []
+                            heapq.heappush(heap, r)
+                        waiting[r].append(i)
+                if h >= 0 and (r := self.by_pair.get(sym[h] << 32 | made)) is not None:
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(heap, r)
+                    waiting[r].append(h)
+        return left
+
+
 @lru_cache(maxsize=2)
 def merges(file: str) -> Merges:
     return Merges(file)
@@ -132,7 +180,7 @@ def text_counts(texts: list[str], file: str, cache: dict[str, int]) -> list[int]
     return [sum(map(get, ws)) + len(parts) - 1 for ws, parts in zip(found, split, strict=True)]
 
 
-_cache: dict[str, int] = {}
+_caches: dict[str, dict[str, int]] = {}
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
@@ -149,7 +197,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
                 while j < len(texts) and (j == i or chars < 1 << 18):
                     chars += len(texts[j])
                     j += 1
-                counts += text_counts(texts[i:j], tokenizer, _cache)
+                counts += text_counts(texts[i:j], tokenizer, _caches.setdefault(tokenizer, {}))
                 i = j
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -307,7 +307,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spread.value.score(b.column("text")))], ["doc_id", "score"])
 
-    return text_rows(docs, "doc_id").mapInArrow(passed, "doc_id long, score double")
+    return text_rows(docs, "doc_id").mapInArrow(passed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
