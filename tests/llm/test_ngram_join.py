@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from vigilake.llm import ngram_join
 from vigilake.llm.components import components
+from vigilake.llm.shared import saved
 
 
 def shingles(text):
@@ -25,7 +26,7 @@ def brute(rows):
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[k + 1 :]:
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if i == j or a and b and 100 * len(a & b) >= 80 * len(a | b):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return sorted(((i, len(shingles(t)), find(i) if i is not None else None) for i, t in rows), key=str)
@@ -101,3 +102,41 @@ def test_signatures_bound_the_overlap(x, y):
     a, b = (ngram_join.mix(np.array(sorted(s), np.uint64)) for s in (x, y))
     cells = [np.frombuffer(ngram_join.signature(s), np.uint8).reshape(1, -1) for s in (a, b)]
     assert ngram_join.overlap_bound(*cells)[0] >= len(x & y)
+
+
+def test_one_id_with_different_texts(spark, documents):
+    rows = [(5, "a b c d e f"), (5, "p q r s t u"), (3, "a b c d e f"), (9, "p q r s t u"), (9, "p q r s t u"), (12, "alone"), (12, "other"), (12, "other"), (None, "alone"), (None, "alone")]
+    assert result(documents(rows)) == brute(rows)
+    docs = documents(rows).selectExpr("*", "1 as _first", "2 as first", "3 as row", "map('a', 1) as m", "4 as id", "5 as hash")
+    kept = ngram_join.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, "a b c d e f"), (12, "alone"), (12, "other"), (None, "alone"), (None, "alone")], key=str)
+
+
+def test_lists_go_on_from_batch_to_batch(spark, documents, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROWS", 5)
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", 10**9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    monkeypatch.setattr(ngram_join, "small_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7"))
+    rows = list(enumerate(near_copies(7, 120)))
+    assert result(documents(rows)) == brute(rows)
+
+
+def test_long_lists_of_many_components_are_cut_into_blocks(spark, documents, monkeypatch):
+    """Texts made of common sentences in other choices: they share lists and reach nothing, but for some copies."""
+    for name, value in (("BLOCK", 16), ("HOT_LEAST", 3), ("FEW", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(11)
+    sentences = [" ".join(f"s{i}w{j}" for j in range(12)) for i in range(14)]
+    rows = [(i, " ".join(rng.sample(sentences, 5))) for i in range(130)]
+    rows += [(1000 + i, rows[i][1].rsplit(" ", 2)[0]) for i in range(0, 60, 7)]
+    assert result(documents(rows)) == brute(rows)
+    assert len({r[2] for r in brute(rows)}) > 80
+
+
+def test_a_passage_that_many_unlike_documents_share(spark, documents):
+    n = 30_000
+    passage = " ".join(f"common{i}" for i in range(40))
+    docs = spark.range(n).selectExpr("id as doc_id", f"concat('own', id, ' {passage} ', 'end', id, ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid()) as text")
+    got = ngram_join.joined(saved(docs, "test")).selectExpr("count(distinct component_id) as c", "min(n_shingles) as n").first()
+    assert tuple(got) == (n, 48)

@@ -1,27 +1,32 @@
-"""Jaccard join on word shingles: prefix-filtered inverted lists and T-occurrence search.
+"""Jaccard join on word shingles by T-occurrence search over inverted lists.
+
+DivideSkip merges a query's short lists and probes its long ones by binary search for what the
+short ones brought up. Here every document is a query at once:
 
 1. One pass makes each document's set of shingle hashes, its size and a 128-bit digest of the
    set; equal sets are one class from here on, its least doc_id stands for it. The same pass
    counts, task by task, which shingles are common.
-2. Sets are ordered by hash, common shingles last. Two sets with Jaccard >= t share a shingle
-   among the first n - ceil(t * n) + 1 of each, under any order, so only these prefixes are
-   posted. The common shingles only set the order: a wrong guess costs time, never a link.
-3. Lists of up to SMALL_LIST documents give all their pairs. A longer list gives the pairs of
-   its leader (the document made most of common shingles, so rather the original than a copy)
-   with all others; its remaining pairs are looked at in 5. Pairs that sizes and positions rule
-   out are dropped.
+2. Sets are ordered by hash, common shingles last and the most frequent of them at the end. To
+   reach T of n shingles, a document must occur in one of the n - T + 1 lists that come first:
+   these are the short lists, and only they are posted; the others are the long ones. The order
+   is the same for all; a shingle wrongly taken for rare costs time, never a link.
+3. Lists are merged as streams, sorted by Spark. Those of up to SMALL_LIST documents give all
+   their pairs; a longer one gives the pairs of its leader (the document made most of common
+   shingles, so rather the original than a copy) with all others, and its rest waits for 5.
+   Pairs that sizes and positions rule out are dropped.
 4. A signature of each set (how many of its hashes fall into each of CELLS cells) bounds a
    pair's overlap by the sum of the lesser counts; pairs below what they need go before any text
-   moves. The others are verified by DivideSkip: the lists of a leader's shingles over its candidates are
-   split into long and short ones, the short ones merged with a heap, the survivors probed for
-   in the long ones by binary search, and those kept that reach the overlap which the two sizes
-   require. Only texts of candidates move.
-5. Long lists that still hold several components give all pairs of documents from different
-   components, which are verified as well. So no link between components is lost, though the
-   pairs within one are not all made.
+   moves. For the others DivideSkip goes on with all lists of a leader over its candidates: the
+   short ones are merged with a heap, the survivors probed for in the long ones, and those kept
+   that reach the overlap which the two sizes require. Only texts of candidates move.
+5. Long lists that still hold several components are cut into blocks of BLOCK documents; every
+   two blocks meet in a task that drops pairs of one component and those that sizes, positions
+   and signatures rule out, and the others are verified as well. So no link between components
+   is lost, though the pairs within one are not all made, and no list is one task's.
 
 Null text is empty; an empty document has size 0 and links with nothing; rows of one doc_id are
-one document; a null doc_id links with nothing and has a null component.
+one document, linked if any of their texts is; a null doc_id links with nothing and has a null
+component.
 """
 
 from __future__ import annotations
@@ -46,6 +51,10 @@ HOT_TOLD, HOT_BLOCK = 3, 4_000_000
 CELLS = 128
 #: Lists up to this length give all pairs at once.
 SMALL_LIST = 12
+#: Documents of a block of a long list, rows of lists that a task looks at together, and the longest table that is broadcast.
+BLOCK, ROWS, FEW = 4096, 1 << 16, 50_000
+#: Parts into which rows of one key are dealt where the other side is too long to broadcast.
+SALTS = 16
 #: DivideSkip's weight of a binary probe against a heap step.
 MU = 0.0085
 
@@ -150,22 +159,23 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return saved(text_rows(docs, "doc_id").mapInArrow(passed, "kind byte, a long, n long, b long, c long, cells binary"), "join-sets")
 
 
-def _prefixes(docs: DataFrame, hot: np.ndarray, k: int, t: tuple[int, int]) -> DataFrame:
-    """doc_id, n, rare (thousandths of the set that are not common) and the prefix of each document; from `common` on its shingles are common ones."""
+def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, t: tuple[int, int]) -> DataFrame:
+    """doc_id, n, rare (thousandths of the set that are not common) and the prefix of each document; from `common` on its shingles are common ones. hot: their sorted hashes and the logarithms of their counts."""
     spread = docs.sparkSession.sparkContext.broadcast(hot)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = spread.value
+        known, often = spread.value
         for b in batches:
             n, rare, common, out = [], [], [], []
             for s in shingle_sets(b.column("text"), k):
-                own = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+                own = known[at] == s if len(known) else np.zeros(len(s), bool)
                 first = len(s) - -(-t[0] * len(s) // t[1]) + 1 if len(s) else 0
                 n.append(len(s))
                 light = int((~own).sum())
                 rare.append(1000 * light // max(1, len(s)))
                 common.append(light)
-                out.append(np.concatenate([s[~own], s[own]])[:first].view(np.int64))
+                out.append(np.concatenate([s[~own], s[own][np.argsort(often[at[own]], kind="stable")]])[:first].view(np.int64))
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(rare, pa.int32()), pa.array(common, pa.int32()), lists], ["doc_id", "n", "rare", "common", "prefix"])
@@ -179,40 +189,95 @@ def _possible(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, t: tup
 
 
 def _short_lists(posts: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs from each partition's lists (kind 0: a the leading, b the other), and the rows of longer lists (kind 1)."""
+    """Pairs from the lists (kind 0: a the leading, b the other), and the rows of longer lists (kind 1); posts come sorted by hash, rare and doc."""
+    names = ["hash", "doc", "n", "rare", "pos"]
 
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        all_ = pa.Table.from_batches(held)
-        del held
-        h, doc, n, rare, pos = (all_.column(c).to_numpy() for c in ("hash", "doc", "n", "rare", "pos"))
-        order = np.lexsort((doc, rare, h))
-        h, doc, n, rare, pos = (x[order] for x in (h, doc, n, rare, pos))
+    def told(rows: list[np.ndarray], going_on: bool, last: bool) -> tuple[pa.RecordBatch, list[np.ndarray], bool]:
+        """What whole lists give, and what to keep of the last one, which may go on: all of a short one, the leader of a long one (going_on)."""
+        h, doc, n, rare, pos = rows
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(start, len(h)))
+        big = size > SMALL_LIST
+        big[0] |= going_on
+        kept = [x[:0] for x in rows]
+        first_told = int(going_on)
+        goes = False
+        if not last:
+            goes = bool(big[-1])
+            kept = [x[start[-1] : start[-1] + 1 if goes else None] for x in rows]
+            if not goes:
+                start, size, big = start[:-1], size[:-1], big[:-1]
         a, b = [], []
         for g in range(2, SMALL_LIST + 1):
-            s = start[size == g]
+            s = start[(size == g) & ~big]
             for i in range(g):
                 for j in range(i + 1, g):
                     a.append(s + i)
                     b.append(s + j)
-        big = size > SMALL_LIST
         lead = np.repeat(start[big], size[big])
         rest = lead + np.arange(len(lead)) - np.repeat(np.concatenate([[0], np.cumsum(size[big])[:-1]]).astype(np.int64), size[big]) if len(lead) else lead
         a, b = np.concatenate([*a, lead]), np.concatenate([*b, rest])
         ok = (doc[a] != doc[b]) & _possible(n[a], n[b], pos[a], pos[b], t)
         pair = np.unique(np.stack([doc[a[ok]], doc[b[ok]]], 1), axis=0)
-        kind = np.concatenate([np.zeros(len(pair), np.int8), np.ones(len(rest), np.int8)])
+        rest = rest[rest >= first_told]
         zeros = np.zeros(len(pair), np.int64)
-        cols = [kind, np.concatenate([pair[:, 0], doc[rest]]), np.concatenate([pair[:, 1], h[rest]]), np.concatenate([zeros, n[rest]]), np.concatenate([zeros, rare[rest]]), np.concatenate([zeros, pos[rest]])]
-        out = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["kind", "a", "b", "n", "rare", "pos"])
-        for i in range(0, out.num_rows, 50_000):
-            yield out.slice(i, 50_000)
+        cols = [np.concatenate([np.zeros(len(pair), np.int8), np.ones(len(rest), np.int8)]), np.concatenate([pair[:, 0], doc[rest]]), np.concatenate([pair[:, 1], h[rest]]), *(np.concatenate([zeros, x[rest]]) for x in (n, rare, pos))]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["kind", "a", "b", "n", "rare", "pos"]), kept, goes
 
-    return posts.mapInArrow(passed, "kind byte, a long, b long, n long, rare long, pos long")
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, going_on, held, count = [np.zeros(0, np.int64)] * 5, False, [], 0
+        for b in batches:
+            held.append([b.column(c).to_numpy().astype(np.int64) for c in names])
+            count += b.num_rows
+            if count >= ROWS:
+                out, kept, going_on = told([np.concatenate(x) for x in zip(kept, *held, strict=True)], going_on, False)
+                held, count = [], 0
+                yield out
+        rows = [np.concatenate(x) for x in zip(kept, *held, strict=True)]
+        if len(rows[0]):
+            yield told(rows, going_on, True)[0]
+
+    return posts.select(*names).mapInArrow(passed, "kind byte, a long, b long, n long, rare long, pos long")
+
+
+def _joined_to(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """An inner join to a saved table of one row a key: broadcast if it is short, else with the rows of a key dealt to SALTS tasks."""
+    if small.count() <= FEW:
+        return rows.join(F.broadcast(small), key)
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+
+
+def _across(rows: DataFrame, lists: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of documents from different components of a list that may reach the overlap; rows: hash, doc, n, rare, pos, component, cells; lists: hash, k (how long)."""
+    cut = _joined_to(rows, lists.select("hash", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "hash").withColumn("block", F.pmod(F.xxhash64("doc", "hash"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select(F.xxhash64("hash", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "hash", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "n", "rare", "pos", "component", "cells")
+
+    def paired(table: pa.Table) -> pa.Table:
+        doc, n, rare, pos, component, block = (table.column(c).to_numpy().astype(np.int64) for c in ("doc", "n", "rare", "pos", "component", "block"))
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        order = np.lexsort((doc, rare))
+        low = table.column("low")[0].as_py()
+        inside = low == table.column("high")[0].as_py()
+        x, y = (order, order) if inside else (order[block[order] == low], order[block[order] != low])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s in range(0, len(x), 256):
+            i, j = x[s : s + 256, None], y[None, :]
+            ok = (component[i] != component[j]) & (t[0] * np.maximum(n[i], n[j]) <= t[1] * np.minimum(n[i], n[j])) & _possible(n[i], n[j], pos[i], pos[j], t)
+            if inside:
+                ok &= np.arange(s, min(s + 256, len(x)))[:, None] < np.arange(len(y))[None, :]
+            p, q = np.nonzero(ok)
+            for e in range(0, len(p), 1 << 14):
+                u, v = x[s + p[e : e + (1 << 14)]], y[q[e : e + (1 << 14)]]
+                keep = overlap_bound(cells[u], cells[v]) >= required(n[u], n[v], t)
+                a.append(u[keep])
+                b.append(v[keep])
+        u, v = np.concatenate(a), np.concatenate(b)
+        ahead = (rare[u] < rare[v]) | (rare[u] == rare[v]) & (doc[u] < doc[v])
+        return pa.table({"a": pa.array(doc[np.where(ahead, u, v)]), "b": pa.array(doc[np.where(ahead, v, u)])})
+
+    return saved(cut.groupBy("cell", "hash").applyInArrow(paired, "a long, b long").distinct(), "join-across")
 
 
 def _may(n: Column, m: Column, p: Column, q: Column, t: tuple[int, int]) -> Column:
@@ -276,18 +341,20 @@ def joined(docs: DataFrame, k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFram
     told = saved(sets.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST), "join-hot")
     if told.count() > HOT_MOST:
         told = told.orderBy(F.desc("n"), "a").limit(HOT_MOST)
-    hot = np.sort(told.select("a").toPandas()["a"].to_numpy().astype(np.int64).view(np.uint64))
+    # At most HOT_MOST rows of 9 bytes.
+    common_ones = told.select("a", F.floor(F.log2("n")).cast("int").alias("often")).toPandas()
+    key = common_ones["a"].to_numpy().astype(np.int64).view(np.uint64)
+    hot = np.sort(key), common_ones["often"].to_numpy().astype(np.uint8)[np.argsort(key)]
     # Of each set, the least doc_id; what is empty or has no doc_id takes no part.
     linkable = own.where("n > 0 and doc_id is not null")
     classes = saved(linkable.groupBy("n", "b", "c").agg(F.min("doc_id").alias("class")), "join-classes")
     posts = _prefixes(docs, hot, k, t).join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
     posts = posts.select(F.col("doc_id").alias("doc"), "n", "rare", "common", F.posexplode("prefix").alias("pos", "hash")).withColumn("is_hot", F.col("pos") >= F.col("common"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = ["hash", "doc", "n", "rare", "pos"]
-    short = saved(_short_lists(posts.where("not is_hot").select(*columns).repartition(parts, "hash"), t), "join-lists")
+    short = saved(_short_lists(posts.where("not is_hot").select(*columns).repartition("hash").sortWithinPartitions("hash", "rare", "doc"), t), "join-lists")
     common = saved(posts.where("is_hot").select(*columns), "join-common")
     leaders = saved(common.groupBy("hash").agg(F.count("*").alias("k"), F.min(F.struct("rare", "doc", "n", "pos")).alias("lead")).where("k > 1").select("hash", "lead"), "join-leaders")
-    led = common.join(leaders, "hash").where((F.col("doc") != F.col("lead.doc")) & _may(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos"), t)).select(F.col("lead.doc").alias("a"), F.col("doc").alias("b"))
+    led = _joined_to(common, leaders, "hash").where((F.col("doc") != F.col("lead.doc")) & _may(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos"), t)).select(F.col("lead.doc").alias("a"), F.col("doc").alias("b"))
     pairs = saved(short.where("kind = 0").select("a", "b").unionByName(led).distinct(), "join-pairs")
     sizes = linkable.select("doc_id", "n", "cells")
     links = _verified(docs, _plausible(pairs, sizes, t), k, t)
@@ -296,16 +363,21 @@ def joined(docs: DataFrame, k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFram
     # Long lists that the leaders have not brought together.
     open_ = short.where("kind = 1").select(F.col("b").alias("hash"), F.col("a").alias("doc"), "n", "rare", "pos").unionByName(common.select("hash", "doc", F.col("n").cast("long").alias("n"), F.col("rare").cast("long").alias("rare"), F.col("pos").cast("long").alias("pos")))
     open_ = saved(open_.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "join-open")
-    several = saved(open_.groupBy("hash").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("hash"), "join-several")
+    several = saved(open_.groupBy("hash").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("k")).where("least <> most").select("hash", "k"), "join-several")
+    more = None
     if several.count():
-        left = open_.join(several, "hash", "left_semi")
-        x, y = (left.select("hash", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "rare", "pos", "component")]) for s in "xy")
-        ahead = F.struct("rare_x", "doc_x") < F.struct("rare_y", "doc_y")
-        rest = x.join(y, "hash").where((F.col("component_x") != F.col("component_y")) & ahead & _may(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y"), t))
-        rest = rest.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = _verified(docs, _plausible(rest, sizes, t), k, t)
-        if more.count():
-            found = saved(components(links.unionByName(more)), "join-components")
+        left = _joined_to(open_, several.select("hash"), "hash").join(sizes.select(F.col("doc_id").alias("doc"), "cells").dropDuplicates(["doc"]), "doc")
+        rest = _across(left, several, t).join(pairs, ["a", "b"], "left_anti")
+        more = _verified(docs, rest, k, t)
+        links = links.unionByName(more)
+    # Rows of one doc_id that hold different sets bring the classes of these together.
+    differ = linkable.groupBy("doc_id").agg(F.min(F.struct("n", "b", "c")).alias("x"), F.max(F.struct("n", "b", "c")).alias("y")).where("x <> y").select("doc_id")
+    same = saved(linkable.join(differ, "doc_id", "left_semi").join(classes, ["n", "b", "c"]).select(F.col("doc_id").alias("a"), F.col("class").alias("b")), "join-same")
+    if same.where("a <> b").count():
+        links = links.unionByName(same)
+        more = same
+    if more is not None and more.count():
+        found = saved(components(links), "join-components")
 
     named = linkable.join(classes, ["n", "b", "c"]).select("doc_id", "n", "class")
     out = named.join(found, F.col("class") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
@@ -313,8 +385,14 @@ def joined(docs: DataFrame, k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFram
 
 
 def deduplicated(docs: DataFrame, k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFrame:
-    """One document of each group of linked ones, that of the least doc_id, with all its columns; rows without doc_id stay."""
-    first = joined(docs, k, t).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    first = saved(first, "join-first")
-    kept = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One document of each group of linked ones, that of the least doc_id, with all its columns; rows without doc_id stay.
+
+    Rows of one doc_id stay or go together; of those with the same text, the first by the other columns stays.
+    """
+    first = saved(joined(docs, k, t).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct(), "join-first")
+    # The row is one column, so that none of its own can clash.
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
+    kept = whole.where("id is not null").join(first, F.col("id") == F.col("first"), "left_semi")
+    plain = [f"row.`{f.name}`" for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    kept = kept.groupBy("id", F.xxhash64("row.text").alias("hash"), F.col("row.text").alias("text")).agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return kept.select("row").unionByName(whole.where("id is null").select("row")).select("row.*")
