@@ -1,5 +1,9 @@
+import ast
 import re
+import time
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vigilake.llm import secret_scan
@@ -83,3 +87,82 @@ def test_long_names_literals_and_sums_are_read_whole(spark, documents):
     # What a constant hands on.
     assert len(literals("\n".join(["k = " + " + ".join(f'"Zx9!q{i}"' for i in range(40)), "pwd = k", ""]))) == 40
     assert literals('k = "Zx9!qRt"\n' + "k = k + k\n" * 200 + "pwd = k\n") == ["Zx9!qRt"]
+
+
+SECRET = "s3cr3t!pa$$w0rd"
+SYNTAX = [
+    'cfg["client_secret_x"] = "{}"', "os.environ['PRIVATE_KEY'] = '{}'", 'let credential: string = "{}"', "var signingKey string = \"{}\"", 'private Map<String, Integer> x; final String dbPassword = "{}";',
+    'password: Optional[str] = "{}"', "const PASSPHRASE: &'static str = \"{}\";", 'pwd = """{}"""', "pwd = '''\n{}\n'''", 'pwd = f"{}"', 'pwd = (\n    "{}"\n)', "pwd = \\\n  '{}'",
+    "private_key: |\n  {}\nname: x", "credentials:\n  passphrase: >-\n    {}\n", "<db-password>{}</db-password>", '<ns:Passphrase type="x"> {} </ns:Passphrase>', '<add key="SigningKey" value="{}"/>',
+    'os.environ.get("PASSPHRASE", "{}")', 'x.put("db_pass", "{}")', 'client.setPassphrase("{}")', 'pwd = SecretStr("{}")', 'pwd = getenv("PWD", "{}")', '{{"pwd": "{}"}}', '{{\\"pwd\\": \\"{}\\"}}', "'pwd' => '{}'",
+    "pwd := `{}`", "ENV PASSPHRASE {}", "a = '{}'\npwd = a", "a = '{}'\nb = a\npwd = f'{{b}}'", "export const pwd = '{}'",
+]
+
+
+def test_syntax_of_many_kinds():
+    for t in SYNTAX:
+        assert literals(t.format(SECRET)) == [SECRET], t
+        assert literals("é prose, before: it\n" + t.format(SECRET) + "\nand = after") == [SECRET], t
+
+
+def test_what_gives_no_secret():
+    for t in ['pwd = os.environ.get("DB_PASSWORD")', 'if pwd == "s3cr3t!pa$$w0rd": pass', 'pwd = """two words s3cr3t"""', "<password></password>", 'title = "s3cr3t!pa$$w0rd"', "the password: please ask", 'x = get("name", "s3cr3t!pa$$w0rd")', "pwd = (", 'pwd = """', "pwd = |"]:
+        assert literals(t) == [], t
+
+
+def interpreted(source):
+    """Spans of the literals that end up in sensitive names, by Python's own parser."""
+    lines = source.split("\n")
+    starts = [sum(len(x) + 1 for x in lines[:i]) for i in range(len(lines))]
+    known, found = {}, set()
+
+    def parts(e):
+        if isinstance(e, ast.Constant):
+            a = starts[e.lineno - 1] + e.col_offset + 1
+            return [(a, a + len(e.value))]
+        if isinstance(e, ast.BinOp):
+            return parts(e.left) + parts(e.right)
+        if isinstance(e, ast.Call):
+            return [p for x in e.args[isinstance(e.func, ast.Attribute) :] for p in parts(x)]
+        return known[ast.unparse(e)]
+
+    for s in ast.parse(source).body:
+        name = ast.unparse(s.targets[0] if isinstance(s, ast.Assign) else s.target)
+        known[name] = own = parts(s.value)
+        value = "".join(source[a:b] for a, b in own)
+        if secret_scan.name_score(name) * secret_scan.literal_score(value, True) >= secret_scan.THRESHOLD:
+            found |= {p for p in own if p[1] > p[0]}
+    return sorted(found)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_programs_equal_the_interpreter(data):
+    names = ["a", "b.c", "cfg['k']", "pwd", "db_passphrase", "cfg['private_key']", "x"]
+    lines, given_ = [], []
+    for _ in range(data.draw(st.integers(1, 9))):
+        def operand(given_=given_):
+            if given_ and data.draw(st.booleans()):
+                return data.draw(st.sampled_from(given_))
+            return repr(data.draw(st.text("aZ9!$#", max_size=12)))
+
+        shape = data.draw(st.sampled_from(["{}", "{} + {}", "({} + {})", "(\n{}\n + {})", "wrap({})", "e.get('NAME_X', {})", "{} + wrap({} + {})"]))
+        name = data.draw(st.sampled_from(names))
+        value = shape
+        while "{}" in value:
+            value = value.replace("{}", operand(), 1)
+        lines.append(name + (": str" if name.isidentifier() and data.draw(st.booleans()) else "") + " = " + value)
+        given_.append(name)
+    source = "\n".join(lines)
+    assert [(a, b) for a, b, _ in secret_scan.lexed_spans(source)] == interpreted(source), source
+
+
+def test_time_is_near_the_length():
+    for unit in ("password = \"hunter22!Secret#9\"\n", "k=(", "k='''", 'k="k=\'', "k: |\n ", "<a>", "k=f(", "token=abcdef ", "k=k+", "((", '("k","'):
+        took = []
+        for n in (40_000, 160_000):
+            text = unit * (n // len(unit))
+            start = time.time()
+            secret_scan.spans(text)
+            took.append(time.time() - start)
+        assert took[1] < 10 * took[0] + 0.5, (unit, took)

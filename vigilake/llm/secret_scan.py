@@ -1,9 +1,12 @@
 """Secrets in texts: three fixed patterns and an assignment-aware lexer.
 
-The lexer reads source and configuration syntax (`name = "value"`, `"name": "value"`,
-`name: value`, `export NAME=value`, `name := other`) into pairs of a name and the literals its
-value is made of, follows names that stand for constants defined earlier in the same text, and
-scores every literal by how sensitive the names are that it ends up in.
+The lexer finds where source or configuration syntax gives a name a value: assignments with
+subscripts (`cfg["key"] = `), annotations (`let key: string = `, `var key string = `), mappings
+(`"key": `, `key => `), settings (`export KEY=`, `ENV KEY `), arguments (`get("KEY", `, `setKey(`),
+XML elements and name-value attributes. From there it reads the value state by state: strings of
+all quotes (triple, raw, formatted, escaped), sums, neighbours and parentheses over lines, calls,
+YAML block scalars, bare words. Names that stand for earlier values hand them on, and every
+literal is scored by how sensitive the names are that it ends up in.
 
 Both are columns, so nothing is shuffled and each task scans its own rows. Null and empty texts
 have no spans; repeated rows give the same spans; other columns don't matter. Offsets are code
@@ -14,7 +17,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +46,35 @@ SENSITIVE = {
 }
 #: Pairs of neighbouring parts that are sensitive only together.
 SENSITIVE_PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("signing", "key"), ("encryption", "key"), ("auth", "key"), ("master", "key"), ("client", "key"), ("db", "pass"), ("user", "pass")}
-PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|nil|true|false|undefined|changeme|example.*|your[_-].*|todo|tbd|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|\$[A-Za-z_]\w*)$")
+PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|nil|true|false|undefined|changeme|example.*|your[_-].*|todo|tbd|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|\$[A-Za-z_]\w*|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)$")
 #: A literal is a secret from this product of name and literal scores on.
 THRESHOLD = 0.45
 
 # No repetition has an upper bound or gives back what it took, so that long names and literals are read whole in linear time.
+_TYPE = r"""(?:&(?:'\w++\x20)?+(?:mut\x20)?+)?+[A-Za-z_][\w.]*+(?:[<\[][\w.,|<>\[\]]*+(?:\x20++[\w.,|<>\[\]]++)*+(?<=[>\]]))?+\??+"""
+_SET = r"""(?::=|\?=|\+=|=>|=(?![=>~])|:(?![:/=]))"""
 _PAIR = re.compile(
-    r"""(?<![\w$.\-])(?:export\x20++|set\x20++)?(?:"([^"\n]++)"|'([^'\n]++)'|([A-Za-z_$][\w$.\-]*+))\x20*+(?::=|=>|=(?![=>])|:(?![:/=]))\x20*+"""
-    r"""(?=["'`A-Za-z0-9_$+/])"""
+    r"""(?<![\w$.\-])(?:"([^"\n]++)"|'([^'\n]++)'"""
+    rf"""|(?:var|const|val|let)\x20++([A-Za-z_$][\w$]*+)\x20++{_TYPE}\x20*+(?==)"""
+    r"""|([A-Za-z_$][\w$.\-]*+(?:\[\x20*+(?:"[^"\n]*+"|'[^'\n]*+'|[\w.$]++)\x20*+\])*+))"""
+    rf"""(?:\x20*+:\x20*+{_TYPE}\x20*+=(?![=>~])|\x20*+{_SET})\x20*+(?=["'`A-Za-z0-9_$+/(|>\\])"""
 )
-_QUOTED = re.compile(r"""[rbuRBU]{0,2}(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)""")
-_NAME = re.compile(r"[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)*+(?=\s*(?:[;,+})\]]|$|\n))", re.MULTILINE)
-_BARE = re.compile(r"""[^\s,;"'`{}()\[\]<>#]++""")
-_PLUS = re.compile(r"\x20*\+\x20*")
+_ARGUMENT = re.compile(r"""\(\s*+(?:"([^"\n]++)"|'([^'\n]++)')\s*+,\s*+(?=["'`])""")
+_SETTER = re.compile(r"""(?<![\w$])([A-Za-z_$][\w$.]*+)\(\s*+(?=["'`])""")
+_SETTING = re.compile(r"(?m)^ENV\x20++(\w++)\x20++(?=\S)")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:\-]*+)(?:\x20[^<>]*+)?>\s*+([^<>]*?)\s*+</\1\s*+>")
+_ATTRIBUTES = re.compile(r"""\b(?:key|name|id)\x20*+=\x20*+["']([^"'<>\n]++)["']\x20++value\x20*+=\x20*+(?=["'])""")
+_QUOTED = re.compile(r"""([rbufRBUF]{0,2})(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|\\"([^"\\\n]*+)\\")""")
+_TRIPLE = re.compile(r"[rbufRBUF]{0,2}(\"\"\"|''')")
+_FIELD = re.compile(r"\{([A-Za-z_][\w.]*+)\}")
+_NAME = re.compile(r"[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+|\[\x20*+(?:\"[^\"\n]*+\"|'[^'\n]*+'|[\w.$]++)\x20*+\])*+(?=\s*(?:[;,+})\]]|$|\n))", re.MULTILINE)
+_CALL = re.compile(r"(?:new\x20++)?+([A-Za-z_$][\w$.]*+)\(")
+_BLOCK = re.compile(r"[|>][+-]?\d?[+-]?[ \t]*+(?:#[^\n]*+)?\n")
+_LINE = re.compile(r"([ \t]*+)([^\n]*+)(?:\n|\Z)")
+_BARE = re.compile(r"""[^\s,;"'`{}()\[\]<>#|\\]++""")
+_GAP, _WIDE = re.compile(r"(?:[ \t]|\\\r?\n)*+"), re.compile(r"(?:\s|\\\n)*+")
+#: Calls whose first argument is a name and no value.
+_GETTER = re.compile(r"(?i)(?:^|[._])(?:get\w*|getenv|env|lookup|fetch|read|load|require|property|param|header|config|setting)$")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -126,51 +147,154 @@ def _sum(of: list[_Value]) -> _Value:
     return _Value(counts, first, last, all(v.quoted for v in of), None, tuple(of))
 
 
-def lexed_spans(text: str) -> list[tuple[int, int, str]]:
-    """Literals that a sensitive name is given, at once or through other names."""
-    known: dict[str, _Value] = {}
-    values: list[_Value] = []
-    # The last run of bare characters: how far it was read, its end, and what is in the rest.
-    at_bare, bare_end, bare = 0, -1, Counter()
-
-    def made(a: int, b: int, quoted: bool, counts: Counter) -> _Value:
-        values.append(_Value(counts, text[a : min(b, a + _ENDS)], text[max(a, b - _ENDS) : b], quoted, (a, b)))
-        return values[-1]
-
-    for m in _PAIR.finditer(text):
-        name, at = m[1] or m[2] or m[3], m.end()
-        parts: list[_Value] = []
+def _anchors(text: str) -> list[tuple[int, int, str, int]]:
+    """(where the value begins, where the name begins, name, where the value ends or -1) of all that gives a name a value, by the value's place."""
+    out = [(m.end(), m.start(), m[1] or m[2] or m[3] or m[4], -1) for m in _PAIR.finditer(text)]
+    if "(" in text:
+        out += [(m.end(), m.start(), m[1] or m[2], -1) for m in _ARGUMENT.finditer(text)]
+        out += [(m.end(), m.start(), name, -1) for m in _SETTER.finditer(text) if (name := m[1].rsplit(".", 1)[-1]).lower().startswith("set") and name_score(name)]
+    if "ENV " in text:
+        out += [(m.end(), m.start(), m[1], -1) for m in _SETTING.finditer(text)]
+    if "</" in text:
+        out += [(m.start(2), m.start(), m[1], m.end(2)) for m in _ELEMENT.finditer(text)]
+    if "value" in text:
+        out += [(m.end(), m.start(), m[1], -1) for m in _ATTRIBUTES.finditer(text)]
+    return sorted(out)
+
+
+class _Lexer:
+    """Reads the values of one text. What the text doesn't close is remembered, so that it isn't looked for again."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.values = text, []
+        self.known: dict[str, _Value] = {}
+        self.open = {'"""': len(text), "'''": len(text)}
+        # The last run of bare characters: how far it was read, its end, and what is in the rest.
+        self.at_bare, self.bare_end, self.bare = 0, -1, Counter()
+
+    def made(self, a: int, b: int, quoted: bool, counts: Counter | None = None) -> _Value:
+        text = self.text
+        counts = Counter(text[a:b]) if counts is None else counts
+        self.values.append(_Value(counts, text[a : min(b, a + _ENDS)], text[max(a, b - _ENDS) : b], quoted, (a, b)))
+        return self.values[-1]
+
+    def lines(self, a: int, b: int) -> list[_Value]:
+        """The lines of a literal that hold no white space within, such as those of a key."""
+        out = []
+        while a < b:
+            m = _LINE.match(self.text, a, b)
+            line = m[2].rstrip()
+            if line and not any(c.isspace() for c in line):
+                out.append(self.made(m.start(2), m.start(2) + len(line), True))
+            a = m.end()
+        return out
+
+    def block(self, name_at: int, at: int) -> list[_Value]:
+        """The lines of a block scalar: those deeper than the line of its name."""
+        text = self.text
+        m = _LINE.match(text, text.rfind("\n", 0, name_at) + 1)
+        own = len(m[1])
+        end = at
+        while end < len(text):
+            m = _LINE.match(text, end)
+            if m[2].strip() and len(m[1]) <= own:
+                break
+            end = m.end()
+        return self.lines(at, end)
+
+    def string(self, at: int) -> tuple[list[_Value], int]:
+        """A string's values and its end; at itself where none begins."""
+        text = self.text
+        if m := _TRIPLE.match(text, at):
+            end = text.find(m[1], m.end()) if m.end() <= self.open[m[1]] else -1
+            if end >= 0:
+                return self.lines(m.end(), end), end + 3
+            self.open[m[1]] = min(self.open[m[1]], m.start())
+        if not (q := _QUOTED.match(text, at)):
+            return [], at
+        a, b = q.span(next(i for i in (2, 3, 4, 5) if q[i] is not None))
+        out = []
+        if q[4] is not None or "f" in q[1].lower():
+            # Known names in braces cut the string.
+            for f in _FIELD.finditer(text, a, b):
+                if f[1] in self.known:
+                    cut = f.start() - (q[4] is not None and text[f.start() - 1 : f.start()] == "$")
+                    out += [self.made(a, max(a, cut), True), self.known[f[1]]]
+                    a = f.end()
+        return [*out, self.made(a, b, True)], q.end()
+
+    def value(self, at: int) -> list[_Value]:
+        """What the value that begins here is made of."""
+        text, parts, depth = self.text, [], 0
+        calls: list[bool] = []  # of each open parenthesis, whether its next string is only a name
+        plus = True  # whether an operand may follow
         while True:
-            if q := _QUOTED.match(text, at):
-                a, b = q.span(next(i for i in (1, 2, 3) if q[i] is not None))
-                end = q.end()
-                parts.append(made(a, b, True, Counter(text[a:b])))
-            elif (q := _NAME.match(text, at)) and q[0] in known:
-                end = q.end()
-                parts.append(known[q[0]])
-            elif not parts and at_bare <= at < bare_end:
-                bare = bare - Counter(text[at_bare:at])
-                at_bare, end = at, bare_end
-                parts.append(made(at, end, False, bare))
-            elif not parts and (q := _BARE.match(text, at)):
-                at_bare, bare_end, bare = at, q.end(), Counter(q[0])
-                end = bare_end
-                parts.append(made(at, end, False, bare))
+            at = (_WIDE if depth else _GAP).match(text, at).end()
+            c = text[at : at + 1]
+            if c == "+" and parts:
+                at, plus = _WIDE.match(text, at + 1).end(), True
+                continue
+            if c == "," and depth:
+                at, plus = at + 1, True
+                calls[-1] = False
+                continue
+            if c == ")" and depth:
+                at, depth, plus = at + 1, depth - 1, False
+                calls.pop()
+                continue
+            found, end = self.string(at)
+            if end > at:
+                if not (calls and calls[-1]):
+                    parts += found
+                at, plus = end, False
+                continue
+            if not plus:
+                return parts
+            if c == "(":
+                at, depth = at + 1, depth + 1
+                calls.append(False)
+            elif m := _CALL.match(text, at):
+                at, depth = m.end(), depth + 1
+                calls.append(bool(_GETTER.search(m[1])))
+            elif (m := _NAME.match(text, at)) and m[0] in self.known:
+                parts.append(self.known[m[0]])
+                at, plus = m.end(), False
+            elif not parts and not depth:
+                return self.bare_word(at)
             else:
-                break
-            if not (plus := _PLUS.match(text, end)):
-                break
-            at = plus.end()
+                return parts
+
+    def bare_word(self, at: int) -> list[_Value]:
+        if self.at_bare <= at < self.bare_end:
+            self.bare = self.bare - Counter(self.text[self.at_bare : at])
+        elif q := _BARE.match(self.text, at):
+            self.bare_end, self.bare = q.end(), Counter(q[0])
+        else:
+            return []
+        self.at_bare = at
+        return [self.made(at, self.bare_end, False, self.bare)]
+
+
+def lexed_spans(text: str) -> list[tuple[int, int, str]]:
+    """Literals that a sensitive name is given, at once or through other names."""
+    lexer = _Lexer(text)
+    for at, name_at, name, end in _anchors(text):
+        if end >= 0:
+            parts = lexer.lines(at, end)
+        elif m := _BLOCK.match(text, at):
+            parts = lexer.block(name_at, m.end())
+        else:
+            parts = lexer.value(at)
         if not parts:
             continue
-        known[name] = whole = _sum(parts)
+        lexer.known[name] = whole = _sum(parts)
         if len(parts) > 1:
-            values.append(whole)
+            lexer.values.append(whole)
         if (s := name_score(name)) > 0:
             whole.score = max(whole.score, s * whole.literal())
     # A sum comes behind what it is made of.
     found = set()
-    for v in reversed(values):
+    for v in reversed(lexer.values):
         for part in v.of:
             part.score = max(part.score, v.score)
         if v.span and v.score >= THRESHOLD and v.span[1] > v.span[0]:
@@ -181,10 +305,11 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
 def spans(text: str, has_hex: bool = True) -> list[tuple[int, int, str]]:
     """All spans by start, then kind; a lexed one that lies within a base one is left out."""
     out = base_spans(text) + (hex_spans(text) if has_hex else [])
-    if "=" in text or ":" in text:
+    if any(c in text for c in "=:,(") or "</" in text or "ENV " in text:
         taken = sorted(out)
-        lexed = [x for x in lexed_spans(text) if not any(a <= x[0] and x[1] <= b for a, b, _ in taken)]
-        out += lexed
+        # How far the base spans that begin up to each one reach.
+        reach = list(accumulate((b for _, b, _ in taken), max))
+        out += [x for x in lexed_spans(text) if not (i := bisect_right(taken, x[0], key=lambda t: t[0])) or reach[i - 1] < x[1]]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
