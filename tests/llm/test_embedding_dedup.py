@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from vigilake.llm import embedding_dedup
 
@@ -75,3 +76,36 @@ def test_pruning_keeps_the_nearest_and_symmetry():
     sim = x @ x.T - 2 * np.eye(80)
     for i, own in enumerate(lists):
         assert sim[i].argmax() in own and all(i in lists[j] for j in own)
+
+
+def test_two_levels_of_centroids(spark, monkeypatch):
+    for name, value in (("SHARD", 24), ("FEW", 8), ("MOST", 12), ("PART", 60), ("SAMPLE", 300)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rows = clusters(5, 700)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    got, want = result(df), brute(rows)
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    assert sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want)
+
+
+def test_lists_lead_into_other_shards(spark, monkeypatch):
+    """With one shard a point, links across shards are found all the same."""
+    monkeypatch.setattr(embedding_dedup, "SHARD", 24)
+    monkeypatch.setattr(embedding_dedup, "GOOD_RECALL", 0.0)
+    rows = clusters(6, 400)
+    points = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sum(r[1] for r in brute(rows))
+    found = []
+    for overlap in (1, 2):
+        monkeypatch.setattr(embedding_dedup, "OVERLAP", overlap)
+        monkeypatch.setattr(embedding_dedup, "LEAST_RECALL", 0.0)
+        found.append(sum(r[1] for r in result(points)) / want)
+    assert found[1] >= 0.95, found
+
+
+def test_too_little_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 0.5)
+    df = spark.createDataFrame(clusters(7, 60), "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="audit"):
+        result(df)

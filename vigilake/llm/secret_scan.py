@@ -149,7 +149,7 @@ def _sum(of: list[_Value]) -> _Value:
 
 def _anchors(text: str) -> list[tuple[int, int, str, int]]:
     """(where the value begins, where the name begins, name, where the value ends or -1) of all that gives a name a value, by the value's place."""
-    out = [(m.end(), m.start(), m[1] or m[2] or m[3] or m[4], -1) for m in _PAIR.finditer(text)]
+    out = [(m.end(), m.start(), m[1] or m[2] or m[3] or m[4], -1) for m in _PAIR.finditer(text)] if "=" in text or ":" in text else []
     if "(" in text:
         out += [(m.end(), m.start(), m[1] or m[2], -1) for m in _ARGUMENT.finditer(text)]
         out += [(m.end(), m.start(), name, -1) for m in _SETTER.finditer(text) if (name := m[1].rsplit(".", 1)[-1]).lower().startswith("set") and name_score(name)]
@@ -305,7 +305,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
 def spans(text: str, has_hex: bool = True) -> list[tuple[int, int, str]]:
     """All spans by start, then kind; a lexed one that lies within a base one is left out."""
     out = base_spans(text) + (hex_spans(text) if has_hex else [])
-    if any(c in text for c in "=:,(") or "</" in text or "ENV " in text:
+    if any(c in text for c in "=:(") or "</" in text or "ENV " in text:
         taken = sorted(out)
         # How far the base spans that begin up to each one reach.
         reach = list(accumulate((b for _, b, _ in taken), max))
