@@ -112,7 +112,7 @@ def test_skeletons_leave_pure_words(spark):
 
 
 def test_neutralised_text_is_harmless(spark):
-    assert column(spark, ["ok `x`", "System: hi", "<user>", "a ```` b", "sys​tem: x"], text.neutralized) == ["ok `x`", "[text] System: hi", "‹user›", "a \\`\\`\\`\\` b", "[text] system: x"]
+    assert column(spark, ["ok `x`", "System: hi", "<user>", "a ```` b", "sys​tem: x"], text.neutralized) == ["ok `x`", "[text] System: hi", "‹user›", "a \\`\\`\\`\\` b", "sys\\u{200b}tem: x"]
 
 
 def test_addresses(spark):

@@ -60,7 +60,7 @@ def test_rules_with_lookaround_run_over_all_texts(spark, tmp_path):
     texts = ["ssn 123-45-6789.", "ssn 666-45-6789", "no 12345678901 x", "no 123456789012 x", "how to build a pipe bomb", "how to build a bomb-proof door"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("<p>123-45-6789",)], "html string").write.parquet(f"{tmp_path}/pages.parquet")
-    spark.createDataFrame([("how to make a grenade",)], "text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([("how to make a bomb",)], "text string").write.parquet(f"{tmp_path}/conversations.parquet")
     look = ("DJL-PII-001", "DJL-PII-008", "DJL-HARM-003")
     got = registry.queries()["fw_hits_exploded"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.rule_id) for r in got if r.rule_id in look) == [(0, look[0]), (2, look[1]), (4, look[2])]

@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Terminal escapes, characters that vanish, compatibility forms, homoglyphs of Latin letters.
+#: Terminal escapes, characters that vanish, and those that hide controls.
 ESCAPES = r"\x1B\[[0-?]*[ -/]*[@-~]|\x1B[\]PX^_][^\x07\x1B\x{9C}]*(?:\x07|\x1B\\|\x{9C})|\x{9B}[0-?]*[ -/]*[@-~]|\x1B[@-Z\\-_]"
-INVISIBLE = r"[\x{00AD}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FE00}-\x{FE0F}\x{FEFF}]"
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-HOMOGLYPHS = ("аеорсхуіјѕһԁԛԝАВЕКМНОРСТХІЈЅοαινρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyijshdqwABEKMHOPCTXIJSoaivpuABEZHIKMNOPTYX")
-#: Redaction: issuer and pattern, whose group stays.
+INVISIBLE = r"[\x{00AD}\x{034F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}\x{E0000}-\x{E007F}]"
+HIDDEN = [*range(0x202A, 0x202F), *range(0x2066, 0x206A), 0x200B, 0x200C, 0x2060, 0xFEFF]
+#: Letters that look like Latin ones, and the Latin ones: Greek, Cyrillic, Armenian, Coptic, Glagolitic.
+HOMOGLYPHS = (
+    "ΆΈΉΊΌΎΏΑΒΕΖΗΙΚΜΝΟΡΤΥΧΪΫάέήίαεηικμνοπρςτυχωόύώϱϲϳϵϹ" "ЁЄЅІЈАВЕКМНОРСТУХШЩЪЬавгеикмнопрстухшщъьёѕіїјґқҮүҰұҳһӏԁԚԛԜԝ" "հօ" "ϥϩⲀⲁⲂⲃⲈⲉⲔⲕⲘⲙⲚⲛⲠⲡⲢⲣⲦⲧⲰⲱ" "ⱀⱁⱆ",
+    "AEHIOYWABEZHIKMNOPTYXIYaeniaenikuvonpstuxwoywpcjeC" "EESIJABEKMHOPCTYXWWbbabreukmhonpctyxwwbbesiijrkYyYyxhidQqWw" "ho" "fhAaBbEeKkMmNnNnPpTtOo" "noy",
+)
+#: Code points of the scripts that a mixed word is made of; all other letters are one more script.
+SCRIPTS = {
+    "coptic": r"\x{03E2}-\x{03EF}\x{2C80}-\x{2CFF}",
+    "greek": r"\x{0370}-\x{03E1}\x{03F0}-\x{03FF}\x{1F00}-\x{1FFF}",
+    "cyrillic": r"\x{0400}-\x{052F}\x{1C80}-\x{1C8F}\x{2DE0}-\x{2DFF}",
+    "armenian": r"\x{0530}-\x{058F}\x{FB13}-\x{FB17}",
+    "glagolitic": r"\x{2C00}-\x{2C5F}\x{1E000}-\x{1E02F}",
+    "latin": r"A-Za-z\x{00AA}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{02B8}\x{1E00}-\x{1EFF}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}",
+}
+
+
+def _compatible() -> dict[str, str]:
+    """Characters whose compatibility form is ASCII, of these families: full-width letters and digits, raised and lowered digits, Roman numerals, circled numbers and letters, ligatures, letter-like and mathematical letters."""
+    places = [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), 0xB2, 0xB3, 0xB9, 0x2070, *range(0x2074, 0x207A), 0x207F, *range(0x2080, 0x208A)]
+    places += [*range(0x2100, 0x2135), *range(0x2160, 0x2180), *range(0x2460, 0x2474), *range(0x24D0, 0x24EA), *range(0xFB00, 0xFB07), *range(0x1D400, 0x1D800)]
+    image = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in places}
+    return {c: x for c, x in image.items() if x.isascii() and x.isalnum() and x != c and (len(x) == 1 or not 0x2100 <= ord(c) < 0x2135)}
+
+
+_COMPATIBLE = _compatible()
+#: Issuer of a token and its pattern, whose group stays.
 ISSUERS = [
     ("anthropic", r"\b(sk-ant-(?:api|admin)\d{2}-)[A-Za-z0-9_-]{16,}"),
     ("stripe", r"\b((?:sk|rk)_live_)[A-Za-z0-9]{16,}"),
@@ -63,8 +90,8 @@ def is_secret_name(name: Column) -> Column:
 
 
 def neutralized(text: Column) -> Column:
-    """Hidden controls spelled out or dropped, role lines marked, pseudo-tags and fences defused."""
-    text = F.regexp_replace(text, INVISIBLE, "")
+    """Hidden controls spelled out, role lines marked, pseudo-tags and fences defused."""
+    text = F.when(text.rlike("[" + "".join(rf"\x{{{c:04x}}}" for c in HIDDEN) + "]"), reduce(lambda t, c: F.replace(t, F.lit(chr(c)), F.lit(f"\\u{{{c:04x}}}")), HIDDEN, text)).otherwise(text)
     text = F.regexp_replace(text, rf"(?im)^([ \t]*(?:{ROLES}):)", "[text] $1")
     text = F.regexp_replace(text, rf"(?i)<(/?(?:{ROLES}))>", "‹$1›")
     run = F.regexp_replace(text, "(`{3,})", "\x00$1\x01")
@@ -74,18 +101,24 @@ def neutralized(text: Column) -> Column:
 
 
 def compat_folded(text: Column) -> Column:
-    """Full-width ASCII and ligatures as ASCII."""
-    for k, v in LIGATURES.items():
-        text = F.replace(text, F.lit(k), F.lit(v))
-    wide = [c for c in range(0xFF01, 0xFF5F) if chr(c - 0xFEE0).isalnum()]
-    return F.translate(text, "".join(map(chr, wide)), "".join(chr(c - 0xFEE0) for c in wide))
+    """Compatibility forms of ASCII letters and digits as these."""
+    one = {c: x for c, x in _COMPATIBLE.items() if len(x) == 1}
+    more = {c: x for c, x in _COMPATIBLE.items() if len(x) > 1}
+    long = reduce(lambda t, cx: F.replace(t, F.lit(cx[0]), F.lit(cx[1])), more.items(), text)
+    return F.translate(F.when(text.rlike("[" + "".join(more) + "]"), long).otherwise(text), "".join(one), "".join(one.values()))
 
 
 def skeleton(text: Column) -> Column:
-    """Homoglyphs as Latin letters, in words of mixed scripts only: a word without Latin letters stays."""
-    words = F.split(text, r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)")
-    latin, other = "[A-Za-z]", r"[\x{0370}-\x{04FF}\x{0500}-\x{052F}]"
-    return F.array_join(F.transform(words, lambda w: F.when(w.rlike(latin) & w.rlike(other), F.translate(w, *HOMOGLYPHS)).otherwise(w)), "")
+    """Homoglyphs as Latin letters, in words (runs of letters) of two scripts or more only."""
+    words = F.split(text, r"(?<=\p{IsAlphabetic})(?=\P{IsAlphabetic})|(?<=\P{IsAlphabetic})(?=\p{IsAlphabetic})")
+    like = f"[{HOMOGLYPHS[0]}]"
+    scripts = [f"[{c}]" for c in SCRIPTS.values()] + [rf"[\p{{IsAlphabetic}}&&[^{''.join(SCRIPTS.values())}]]"]
+
+    def folded(w: Column) -> Column:
+        mixed = reduce(Column.__add__, (w.rlike(x).cast("int") for x in scripts)) >= 2
+        return F.when(w.rlike(like), F.when(mixed, F.translate(w, *HOMOGLYPHS)).otherwise(w)).otherwise(w)
+
+    return F.when(text.rlike(like), F.array_join(F.transform(words, folded), "")).otherwise(text)
 
 
 def normalized(text: Column) -> Column:

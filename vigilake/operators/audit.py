@@ -7,6 +7,7 @@ session and day). Verification is parallel: each line is held against the one be
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,74 @@ def canonical(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+#: The fields of a record that its hash covers, in this order, and the text ones among them.
+HASHED = ("seq", "prev", "timestamp", "event", "decision", "rule_id", "category", "surface", "command", "policy_fingerprint")
+RECORD = "seq long, prev string, timestamp long, event string, decision string, rule_id string, category string, surface string, command string, policy_fingerprint string, hash string"
+#: Controls that JSON writes as numbers with a letter, which must be a small one.
+_LETTERED = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
+
+
+def chain_hash(record: Column) -> Column:
+    """The digest of a record (a struct with the fields of RECORD): compact JSON of HASHED in order, absent as null."""
+    text = F.to_json(F.struct(*[record[c].alias(c) for c in HASHED]), {"ignoreNullFields": "false"})
+    small = text
+    for code in _LETTERED:
+        small = F.regexp_replace(small, r"(?<!\\)((?:\\\\)*)\\u00" + code, r"$1\\u00" + code.lower())
+    text = F.when(text.rlike(r"\\u00[01][A-F]"), small).otherwise(text)
+    return F.sha2(text, 256)
+
+
+def recorded(records: DataFrame, log: str, order: str) -> DataFrame:
+    """log, line and value (a JSON line with seq, prev and hash) of every record, each log chained in its order; records have the fields of RECORD but these three."""
+    kind = records.schema[log].dataType.simpleString()
+    fields = HASHED[2:]
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        prev, out = GENESIS, []
+        for seq, row in enumerate(group[list(fields)].itertuples(index=False), 1):
+            own = {"seq": seq, "prev": prev} | {k: None if pd.isna(v) else int(v) if k == "timestamp" else v for k, v in zip(fields, row, strict=True)}
+            prev = hashlib.sha256(json.dumps(own, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+            out.append(json.dumps(own | {"hash": prev}, separators=(",", ":"), ensure_ascii=False))
+        return pd.DataFrame({log: group[log].to_numpy(), "line": range(1, len(group) + 1), "value": out})
+
+    return records.select(log, order, *fields).groupBy(log).applyInPandas(build, f"{log} {kind}, line long, value string")
+
+
+def defects(lines: DataFrame, log: str) -> DataFrame:
+    """kind (chained, legacy, or unreadable) and defects of every line that isn't blank: of log, line and value.
+
+    Links are held against what earlier lines record, so that one damaged line is one defect:
+    malformed (an unreadable line behind the first chained one), missing_seq, sequence_gap,
+    bad_prev, bad_hash, broken_link, hash_mismatch. Lines with neither seq nor hash are legacy.
+    """
+    corrupt = "_corrupt_record"
+    v = F.from_json("value", f"{RECORD}, {corrupt} string", {"columnNameOfCorruptRecord": corrupt})
+    out = lines.where(~F.col("value").rlike(r"^\s*\z")).select(log, "line", v.alias("v"))
+    unreadable = F.col("v").isNull() | F.col(f"v.{corrupt}").isNotNull()
+    chained = ~unreadable & (F.col("v.seq").isNotNull() | F.col("v.hash").isNotNull())
+    out = out.withColumn("kind", F.when(unreadable, "unreadable").when(chained, "chained").otherwise("legacy"))
+    sixty_four = r"^[0-9a-fA-F]{64}\z"
+    prev_ok, hash_ok = (F.coalesce(F.col(f"v.{c}").rlike(sixty_four), F.lit(False)) for c in ("prev", "hash"))
+    before = Window.partitionBy(log).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    counted = (F.col("kind") == "chained") & F.col("v.seq").isNotNull()
+    out = out.withColumn("_seen", F.coalesce(F.max((F.col("kind") == "chained").cast("int")).over(before), F.lit(0)) > 0)
+    out = out.withColumn("_seq", F.coalesce(F.last(F.when(counted, F.col("v.seq")), ignorenulls=True).over(before) + 1, F.lit(1)))
+    out = out.withColumn("_hash", F.coalesce(F.last(F.when(counted & prev_ok & hash_ok, F.col("v.hash")), ignorenulls=True).over(before), F.lit(GENESIS)))
+    found = F.array_compact(
+        F.array(
+            F.when((F.col("kind") == "unreadable") & F.col("_seen"), "malformed"),
+            F.when((F.col("kind") == "chained") & F.col("v.seq").isNull(), "missing_seq"),
+            F.when(counted & (F.col("v.seq") != F.col("_seq")), "sequence_gap"),
+            F.when(counted & ~prev_ok, "bad_prev"),
+            F.when(counted & prev_ok & ~hash_ok, "bad_hash"),
+            F.when(counted & prev_ok & hash_ok & (F.col("v.prev") != F.col("_hash")), "broken_link"),
+            F.when(counted & prev_ok & hash_ok & (chain_hash(F.col("v")) != F.col("v.hash")), "hash_mismatch"),
+        )
+    )
+    return out.select(log, "line", "kind", found.alias("defects"))
+
+
 def record_hash(prev: Column, body: Column) -> Column:
     return F.sha2(F.concat(prev, body), 256)
 

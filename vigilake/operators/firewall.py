@@ -18,7 +18,7 @@ from vigilake.functions.verdicts import clamped, settled, tier_name, tier_rank
 from vigilake.operators import urls
 
 #: Surfaces and whether they only warn.
-SURFACES = {"read_file": False, "web_fetch": False, "web_search": True, "user_prompt": True, "bash_stdout": True}
+SURFACES = {"read_file": False, "web_fetch": False, "web_search": False, "user_prompt": True, "bash_stdout": True}
 _DIALECT = "(?dU)"
 
 

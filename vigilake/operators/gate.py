@@ -19,43 +19,55 @@ class GateRule:
     id: str
     severity: int
     category: str
-    patterns: tuple[str, ...]  # all must match
+    patterns: tuple[str, ...]  # one of them must match
     pack: str | None = None
 
 
-_FLAGS = r"(?:\s+-\S+)*\s+"
-_ROOT = r"\s+/(?:\s|\*|\z)"
-_SHELL = r"(?:ba|z|da|k|fi|c|tc)?sh"
-#: Ids, severities, categories and what each rule means, in tie order.
+#: Ids, severities, categories and patterns of the rules on a leg, in tie order; those of packs are off unless asked for.
 RULES = [
-    GateRule("rm-rf", 9, "destructive", (r"(?i)(?:^|[\s;&|(/])rm\s+(?:-\S+\s+)*-(?:[a-z]*r[a-z]*f|[a-z]*f[a-z]*r)",)),
-    GateRule("find-delete", 8, "destructive", (r"\bfind\s", r"\s-delete\b")),
-    GateRule("find-exec-rm", 8, "destructive", (r"\bfind\s", r"-exec(?:dir)?\s+(?:\S*/)?rm\b")),
-    GateRule("dd-overwrite", 8, "destructive", (r"\bdd\s", r"\bif=")),
-    GateRule("mkfs", 9, "destructive", (r"\bmkfs(?:\.\w+)?\b",)),
-    GateRule("chmod-777", 6, "permissions", (r"\bchmod\b", r"\s0?777\b|\b(?:a|ugo)\+rwx\b")),
-    GateRule("chmod-recursive", 6, "permissions", (r"\bchmod\b", r"(?i)\s(?:-[a-z]*r[a-z]*|--recursive)\b")),
-    GateRule("chmod-recursive-777-root", 9, "permissions", (r"\bchmod\b", r"(?i)\s(?:-[a-z]*r[a-z]*|--recursive)\b", r"\s0?777\b|\b(?:a|ugo)\+rwx\b", _ROOT)),
-    GateRule("chown-recursive-root", 9, "permissions", (r"\bchown\b", r"(?i)\s(?:-[a-z]*r[a-z]*|--recursive)\b", _ROOT)),
-    GateRule("write-block-device", 9, "destructive", (r"(?:>\s*|\bof=)/dev/(?:sd|nvme|vd|hd|mmcblk)\w*",)),
-    GateRule("mv-to-devnull", 7, "destructive", (r"\bmv\s.*\s/dev/null\b",)),
-    GateRule("fetch-run-inline", 8, "remote-exec", (rf"\b(?:{_SHELL}|eval|python3?|perl|ruby|node)\b.*(?:\$\(|`|<\()\s*(?:curl|wget)\b",)),
-    GateRule("aws-s3-rb-force", 9, "cloud", (r"\baws\s+s3\s+rb\b", r"\s--force\b"), "cloud"),
-    GateRule("aws-delete", 8, "cloud", (r"\baws\s+\S+\s+(?:delete|terminate)-",), "cloud"),
-    GateRule("gcloud-delete", 8, "cloud", (r"\bgcloud\b.*\sdelete\b",), "cloud"),
-    GateRule("az-delete", 8, "cloud", (r"\baz\s.*\sdelete\b",), "cloud"),
+    GateRule("rm-rf", 9, "destructive", (r"(?i)\brm\b[^|;&\n]*\s-[a-z]*r[a-z]*f", r"(?i)\brm\b[^|;&\n]*\s-[a-z]*f[a-z]*r")),
+    GateRule("find-delete", 8, "destructive", (r"(?i)\bfind\b.*-delete\b",)),
+    GateRule("find-exec-rm", 8, "destructive", (r"(?i)\bfind\b.*-exec\s+rm\b",)),
+    GateRule("dd-overwrite", 8, "destructive", (r"(?i)\bdd\b[^|;&\n]*\sif=",)),
+    GateRule("mkfs", 9, "destructive", (r"(?i)\bmkfs(\.\w+)?\b",)),
+    GateRule("chmod-777", 6, "permissions", (r"(?i)\bchmod\b[^|;&\n]*\s0?777\b", r"(?i)\bchmod\b[^|;&\n]*\s(ugo|a)\s*[+=]\s*rwx\b")),
+    GateRule("chmod-recursive", 6, "permissions", (r"(?i)\bchmod\b[^|;&\n]*\s(-[a-z]*R|--recursive\b)",)),
+    GateRule("chmod-recursive-777-root", 9, "permissions", (r"(?i)\bchmod\b[^|;&\n]*\s(-[a-z]*R[a-z]*\b|--recursive\b)[^|;&\n]*\s0?777\b[^|;&\n]*\s/(\s|\z)", r"(?i)\bchmod\b[^|;&\n]*\s0?777\b[^|;&\n]*\s(-[a-z]*R[a-z]*\b|--recursive\b)[^|;&\n]*\s/(\s|\z)")),
+    GateRule("chown-recursive-root", 9, "permissions", (r"(?i)\bchown\b[^|;&\n]*\s-[a-z]*R[^|;&\n]*\s/(\s|\z)",)),
+    GateRule("write-block-device", 9, "destructive", (r"(?i)(>|of=)\s*/dev/(sd[a-z]|nvme\d+n\d+|vd[a-z]|hd[a-z]|mmcblk\d+)",)),
+    GateRule("mv-to-devnull", 7, "destructive", (r"(?i)\bmv\b[^|;&\n]*\s/dev/null\b",)),
+    GateRule("fetch-run-inline", 8, "remote-exec", (r"(?i)\b(bash|sh|zsh|eval|python\d?|perl|ruby)\b.*\$\(\s*(curl|wget)\b",)),
+    GateRule("aws-s3-rb-force", 9, "cloud", (r"(?i)\baws\b\s+s3\b\s+rb\b[^|;&\n]*\s--force\b",), "cloud"),
+    GateRule("aws-delete", 8, "cloud", (r"(?i)\baws\b[^|;&\n]*\s(delete-\w+|terminate-instances)\b", r"(?i)\baws\b\s+s3\s+rm\b[^|;&\n]*\s--recursive\b"), "cloud"),
+    GateRule("gcloud-delete", 8, "cloud", (r"(?i)\bgcloud\b[^|;&\n]*\sdelete\b",), "cloud"),
+    GateRule("az-delete", 8, "cloud", (r"(?i)\baz\b[^|;&\n]*\sdelete\b",), "cloud"),
     GateRule("drop-table", 8, "db", (r"(?i)\bdrop\s+table\b",), "db"),
-    GateRule("drop-database", 9, "db", (r"(?i)\bdrop\s+database\b",), "db"),
-    GateRule("truncate", 8, "db", (r"(?i)\btruncate\s+(?:table\s+)?\w",), "db"),
-    GateRule("docker-system-prune", 8, "container", (r"\bdocker\s+system\s+prune\b",), "container"),
-    GateRule("docker-rm-force", 8, "container", (r"\bdocker\s+(?:rm|rmi|container\s+rm)\b.*\s(?:-\w*f\w*|--force)\b",), "container"),
-    GateRule("kubectl-delete-all", 9, "container", (r"\bkubectl\s+delete\b", r"\s--all\b|\ball\b"), "container"),
+    GateRule("drop-database", 9, "db", (r"(?i)\bdrop\s+(database|schema)\b", r"(?i)\bdropdb\b", r"(?i)\bmysqladmin\b[^|;&\n]*\sdrop\s+\w"), "db"),
+    GateRule("truncate", 8, "db", (r"(?i)\btruncate\s+(table\b|\w)",), "db"),
+    GateRule("docker-system-prune", 8, "container", (r"(?i)\bdocker\b\s+(system|image|volume|network|container)\s+prune\b[^|;&\n]*\s-[a-z]*[af]",), "container"),
+    GateRule("docker-rm-force", 8, "container", (r"(?i)\bdocker\b\s+(container\s+)?(rm|rmi)\b[^|;&\n]*\s(--force\b|-[a-z]*f)",), "container"),
+    GateRule("kubectl-delete-all", 9, "container", (r"(?i)\bkubectl\b\s+delete\b[^|;&\n]*\s--all\b",), "container"),
 ]
-#: Rules on the whole command, before it is split.
-PIPED = rf"(?i)(?:^|[|;&\s])(?:curl|wget)\s[^;\n]*\|\s*(?:sudo\s+|env\s+)*(?:\S*/)?{_SHELL}\b"
-BOMB = r"(\S+?)\s*\(\s*\)\s*\{\s*\1\s*\|\s*\1\s*&\s*\}\s*;\s*\1(?:\s|\z)"
-#: A fixed list for comparison: substrings of whole commands.
-NAIVE = ("rm -rf", "mkfs", "dd if=", ":(){", "chmod 777", "chmod -R", "chown -R", "> /dev/sd", "curl | sh", "wget | sh", "| bash", "| sh")
+#: What fetches, what runs code (and what only begins like it), and the substrings of a plain list, for comparison.
+FETCHERS = ("curl", "wget")
+RUNNERS = ("sh", "bash", "zsh", "dash", "ksh", "fish", "eval", "perl", "ruby", "node")
+RUNNER_BEGINS = "python"
+NAIVE = ("rm -rf", "rm -fr", "| bash", "| sh", "|bash", "|sh", "curl ", "wget ", "eval ", "dd if=", "chmod 777", "mkfs")
+#: A function that pipes itself into itself, all white space gone: the same name four times.
+BOMB = r"(?<![^(){}|&;])([^(){}|&;]+)\(\)\{\1\|\1&\};\1"
+
+
+def piped(command: Column) -> Column:
+    """Whether a stage that fetches is followed by one that runs code, by the first words between bars."""
+    heads = F.transform(F.split(command, r"\|"), lambda s: F.regexp_extract(s, r"^\s*(\S*)", 1))
+    first = F.array_position(F.transform(heads, lambda h: h.isin(*FETCHERS)), True)
+    later = F.exists(heads, lambda h: h.isin(*RUNNERS) | h.startswith(RUNNER_BEGINS))
+    behind = F.exists(F.slice(heads, (first + 1).cast("int"), F.size(heads)), lambda h: h.isin(*RUNNERS) | h.startswith(RUNNER_BEGINS))
+    return F.when(F.contains(command, F.lit("|")) & command.rlike("curl|wget"), later & (first > 0) & behind).otherwise(False)
+
+
+def bomb(command: Column) -> Column:
+    return F.when(F.contains(command, F.lit("(){")), F.regexp_replace(command, r"\s+", "").rlike(BOMB)).otherwise(False)
 
 
 def _hit(matched: Column, severity: int, order: int, rule: str, category: str) -> Column:
@@ -69,13 +81,13 @@ def evaluate(df: DataFrame, command: str, packs: tuple[str, ...] = (), allow: tu
     out = df.withColumn("_legs", F.when(~let, command_legs(raw)))
 
     def per_leg(x: Column) -> Column:
-        rules = [_hit(reduce(Column.__and__, (x["effective"].rlike("(?d)" + p) for p in r.patterns)), r.severity, i + 2, r.id, r.category) for i, r in enumerate(RULES) if r.pack is None or r.pack in packs]
+        rules = [_hit(reduce(Column.__or__, (x["effective"].rlike("(?d)" + p) for p in r.patterns)), r.severity, i + 2, r.id, r.category) for i, r in enumerate(RULES) if r.pack is None or r.pack in packs]
         custom = [_hit(unanchored_glob(x["leg"], g), s, 100 + i, "custom", "custom") for i, (g, s) in enumerate(blocks)]
         shared = [_hit(unanchored_glob(x["effective"], g.pattern), g.severity, 200 + i, g.id, g.category) for i, g in enumerate(globs)]
         worst = F.array_max(F.array(*rules, *custom, *shared, _hit(x["counts"] == STILL_CODED, WARN_AT, 1000, "base64-decode-cap", "obfuscation"), _hit(x["counts"] == UNREAD, WARN_AT, 1001, "expansion-cap", "obfuscation")))
         return F.when((x["counts"] != IF_BLOCKED) | (worst["severity"] >= BLOCK_AT), worst)
 
-    whole = [_hit(raw.rlike(PIPED), 9, 0, "curl-wget-pipe-shell", "remote-exec"), _hit(raw.rlike(BOMB), 9, 1, "fork-bomb", "dos")]
+    whole = [_hit(piped(raw), 9, 0, "curl-wget-pipe-shell", "remote-exec"), _hit(bomb(raw), 9, 1, "fork-bomb", "dos")]
     out = out.withColumn("hit", settled(F.when(~let, F.array_max(F.concat(F.array(*whole), F.transform("_legs", per_leg))))))
     return out.drop("_legs").withColumn("tier_rank", tier_rank(F.col("hit.severity"))).withColumn("tier", tier_name(F.col("tier_rank")))
 
@@ -89,11 +101,12 @@ def tool_call(df: DataFrame, arguments: str) -> DataFrame:
     lines = F.concat_ws("\n", *[string_argument(F.col(arguments), a) for a in COMMAND_ARGS])
     code = F.concat_ws("\n", *[string_argument(F.col(arguments), a) for a in CODE_ARGS])
     out = evaluate(df.withColumn("_lines", lines), "_lines").withColumn("_code", code)
-    shape = F.when(F.col("_code").rlike(PIPED), "curl-wget-pipe-shell").when(F.col("_code").rlike(BOMB), "fork-bomb")
+    shape = F.when(piped(F.col("_code")), "curl-wget-pipe-shell").when(bomb(F.col("_code")), "fork-bomb")
     rule = F.coalesce(F.when(F.col("tier_rank") >= 2, F.col("hit.rule_id")), shape)
     return out.withColumn("rule_id", rule).withColumn("rank", F.when(rule.isNotNull(), 3).otherwise(0)).drop("_lines", "_code", "hit", "tier", "tier_rank")
 
 
 def naive(command: Column) -> Column:
-    """Whether a plain list of substrings would flag the command."""
-    return reduce(Column.__or__, (F.contains(command, F.lit(s)) for s in NAIVE))
+    """Whether a plain list of substrings would flag a leg, cut at every separator."""
+    legs = F.split(F.lower(command), r"[;|&\n]")
+    return F.exists(legs, lambda x: reduce(Column.__or__, (F.contains(x, F.lit(s)) for s in NAIVE)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,12 +30,16 @@ V4 = [
     ("240.0.0.0", 4, "reserved/broadcast address (240.0.0.0/4)"),
 ]
 V6 = [
-    ("fd00:ec2::254", 128, "cloud metadata endpoint (fd00:ec2::254)"), ("::1", 128, "loopback address (::1)"), ("::", 128, "unspecified address (::)"),
-    ("fc00::", 7, "unique local address (fc00::/7)"), ("fe80::", 10, "link-local address (fe80::/10)"), ("fec0::", 10, "site-local address (fec0::/10)"),
-    ("ff00::", 8, "multicast address (ff00::/8)"), ("2001:db8::", 32, "documentation address range (2001:db8::/32)"),
-]
-#: Ranges that carry an IPv4 address: prefix, its length, and by how many bits the address is shifted.
-CARRIERS = [("::ffff:0:0", 96, 0), ("64:ff9b::", 96, 0), ("2002::", 16, 80), ("::", 96, 0)]
+    ("fd00:ec2::254", 128, "cloud metadata endpoint (fd00:ec2::254)"),
+    ("::1", 128, "loopback address (::1)"),
+    ("::", 128, "unspecified address (::)"),
+    ("ff00::", 8, "multicast address (ff00::/8)"),
+]
+#: Behind what an address carries: ranges that are refused whatever they carry.
+V6_LAST = [("fe80::", 10, "link-local address (fe80::/10)"), ("fc00::", 7, "RFC4193 unique-local address (fc00::/7)")]
+#: Ranges that carry an IPv4 address (prefix, its length, by how many bits the address is shifted): those that count as this address alone, and others.
+MAPPED = [("::ffff:0:0", 96, 0), ("::", 96, 0)]
+CARRIERS = [("64:ff9b::", 96, 0), ("64:ff9b:1::", 48, 0), ("2002::", 16, 80)]
 
 
 def v4_number(ip: Column) -> Column:
@@ -46,38 +51,44 @@ def v4_number(ip: Column) -> Column:
 
 
 def v4_refused(ip: Column) -> Column:
-    n = v4_number(ip)
-    out = None
-    for first, bits, reason in V4:
-        low = int(ipaddress.IPv4Address(first))
-        inside = n.between(low, low + (1 << (32 - bits)) - 1)
-        out = F.when(inside, reason) if out is None else out.when(inside, reason)
-    return out
+    """Why an IPv4 address is refused, or null; the number is worked out once for all ranges."""
+
+    def reason(n: Column) -> Column:
+        ranges = [(int(ipaddress.IPv4Address(first)), bits, why) for first, bits, why in V4]
+        return reduce(lambda out, r: out.when(n.between(r[0], r[0] + (1 << (32 - r[1])) - 1), r[2]), ranges, F.when(n.isNull(), F.lit(None).cast("string")))
+
+    return F.element_at(F.transform(F.array(v4_number(ip)), reason), 1)
+
+
+def _within(n: int, first: str, bits: int) -> bool:
+    ip = ipaddress.ip_address(first)
+    return n >> (ip.max_prefixlen - bits) == int(ip) >> (ip.max_prefixlen - bits)
+
+
+def _v4_reason(n: int) -> str | None:
+    return next((why for first, bits, why in V4 if _within(n, first, bits)), None)
 
 
-def _reason(text: str | None) -> str | None:
+def _v6_reason(text: str) -> str | None:
     try:
-        ip = ipaddress.ip_address(text)
+        n = int(ipaddress.IPv6Address(text))
     except ValueError:
         return None
-    n, ranges = int(ip), V4 if ip.version == 4 else V6
-    for first, bits, reason in ranges:
-        width = 32 if ip.version == 4 else 128
-        if n >> (width - bits) == int(ipaddress.ip_address(first)) >> (width - bits):
-            return reason
-    if ip.version == 6:
-        carried = [n >> shift & 0xFFFFFFFF for first, bits, shift in CARRIERS if n >> (128 - bits) == int(ipaddress.IPv6Address(first)) >> (128 - bits)]
-        if n >> 32 & 0xFFFFFFFF in (0x5EFE, 0x02005EFE):  # ISATAP
-            carried.append(n & 0xFFFFFFFF)
-        for v in carried:
-            if reason := _reason(str(ipaddress.IPv4Address(v))):
-                return reason
-    return None
+    if why := next((why for first, bits, why in V6 if _within(n, first, bits)), None):
+        return why
+    if any(_within(n, first, bits) for first, bits, _ in MAPPED):
+        return _v4_reason(n & 0xFFFFFFFF)
+    carried = [n >> shift & 0xFFFFFFFF for first, bits, shift in CARRIERS if _within(n, first, bits)]
+    if n >> 32 & 0xFFFFFFFF in (0x5EFE, 0x02005EFE):  # ISATAP
+        carried.append(n & 0xFFFFFFFF)
+    if why := next(filter(None, map(_v4_reason, carried)), None):
+        return why
+    return next((why for first, bits, why in V6_LAST if _within(n, first, bits)), None)
 
 
 @F.arrow_udf(T.StringType())
 def v6_refused(ips: pa.Array) -> pa.Array:
-    return pa.array([_reason(x) if x and ":" in x else None for x in ips.to_pylist()], pa.string())
+    return pa.array([_v6_reason(x) if x and ":" in x else None for x in ips.to_pylist()], pa.string())
 
 
 def refused(ip: Column) -> Column:

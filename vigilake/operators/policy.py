@@ -61,12 +61,12 @@ def anchored_glob(value: Column, pattern: str) -> Column:
     """For allow lists: ends without `*` are anchored, parts are sought leftmost first; without `*`, a substring."""
     if "*" not in pattern:
         return F.contains(value, F.lit(pattern))
-    first, *middle, last = pattern.split("*")
-    ok, rest = value.startswith(first), F.substring(value, len(first) + 1, 1 << 30)
-    for p in (p for p in middle if p):
-        at = F.instr(rest, p)
-        ok, rest = ok & (at > 0), F.substring(rest, at + len(p), 1 << 30)
-    return ok & (rest.endswith(last) if middle and last else (rest.endswith(last) if last else F.lit(True)))
+    parts = [re.escape(p) for p in pattern.split("*") if p]
+    if not parts:
+        return value.isNotNull()
+    # Atomic groups keep each part where it is found first.
+    sought = [p if i == 0 and not pattern.startswith("*") else f"(?>.*?{p})" for i, p in enumerate(parts)]
+    return value.rlike(r"(?s)\A" + "".join(sought) + ("" if pattern.endswith("*") else r"\z"))
 
 
 def string_argument(payload: Column, path: str) -> Column:

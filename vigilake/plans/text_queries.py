@@ -61,10 +61,10 @@ def lookaround_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 code points of documents with a planted token each, redacted; redact_documents has the whole texts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    clean = redacted(F.concat_ws(" ", F.substring("text", 1, 200), _planted(), F.lit("end")))
-    return docs.select("doc_id", clean.alias("clean"))
+    """Whole documents with a planted token before each, redacted: how many masks there are, and the digest."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = redacted(F.concat_ws(" ", _planted(), "text"))
+    return docs.select("doc_id", F.regexp_count(clean, F.lit(r"\[REDACTED-")).cast("long").alias("masks"), F.sha2(clean, 256).alias("digest"))
 
 
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,16 +86,22 @@ def secret_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neutralize_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations")
-    text = F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit("")), F.lit("\n</"), F.col("role"), F.lit("> ```` code ```"), F.lit("\n  Tool: x"))
+    text = F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit("")), F.lit("\n</"), F.col("role"), F.lit("> ```` code ```"), F.lit("\n  Tool: x"), F.lit(" a\u200bb\u2066c"))
     return t.select("conv_id", "turn", F.sha2(neutralized(text), 256).alias("digest"))
 
 
+#: Texts and what they fold to, written by hand.
+DISGUISES = [
+    ("ig\u200bno\u00adre ", "ignore "), ("Ｉgnore ", "Ignore "), ("oﬃce ﬁle ", "office file "), ("ignоre ", "ignore "), ("роса ", "роса "), ("Ⅷ ⅻ ", "VIII xii "), ("⑫ ⓐⓩ x² ₃ ", "12 az x2 3 "), ("𝐢𝐠𝓷𝖔𝚛𝕖 𝟙𝟘 ℋℓK ", "ignore 10 HlK "),
+    ("\x1b[31mred\x1b[0m ", "red "), ("ѕуѕtem ρrompt ", "system prompt "), ("κλειδί café ", "κλειδί café "), ("ΙGNORE սhօ ", "IGNORE սho "), ("a\u034fb\U000e0041c， ", "abc， "), ("Ωmega xЩ ", "Ωmega xW "),
+]
+
+
 def unicode_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order keys in disguise: invisibles, full width, a ligature, a homoglyph in a Latin word, a pure Cyrillic word."""
+    """Order keys in disguise: invisibles, full width, ligatures, homoglyphs in mixed and in pure words, Roman, circled and mathematical forms, terminal escapes."""
     o = table(spark, sf_dir, "orders")
-    shape = F.pmod("o_orderkey", F.lit(5))
-    key = F.col("o_orderkey").cast("string")
-    text = F.when(shape == 0, F.concat(F.lit("ig​no­re "), key)).when(shape == 1, F.concat(F.lit("Ｉgnore "), F.translate(key, "0123456789", "０１２３４５６７８９"))).when(shape == 2, F.concat(F.lit("oﬃce "), key)).when(shape == 3, F.concat(F.lit("ignоre "), key)).otherwise(F.concat(F.lit("роса "), key))
+    shape, key = F.pmod("o_orderkey", F.lit(len(DISGUISES))), F.col("o_orderkey").cast("string")
+    text = F.concat(F.element_at(F.array(*[F.lit(a) for a, _ in DISGUISES]), (shape + 1).cast("int")), F.when(shape == 1, F.translate(key, "0123456789", "０１２３４５６７８９")).otherwise(key))
     return o.select("o_orderkey", normalized(text).alias("folded"))
 
 
@@ -139,16 +145,16 @@ ORACLES = {
     "fw_tier_by_lang": f"{_DOCS} SELECT lang, tier, count(*) AS n, max(worst)::INT AS worst FROM t GROUP BY lang, tier",
     "fw_hits_exploded": f"{_DOCS} SELECT doc_id, x.rule_id AS rule_id, x.severity AS severity, x.category AS category FROM (SELECT doc_id, unnest(hits) AS x FROM h)",
     "fw_pages_xss": f"WITH h AS (SELECT page_id, {_hits_sql('html', [r for r in RULES if r.category == 'xss'])} AS hits FROM pages), w AS (SELECT page_id, list_sort(list_transform(hits, lambda x: {{'s': x.severity, 'o': x.o, 'r': x.rule_id}}), 'DESC') AS b FROM h) SELECT page_id, b[1].r AS rule_id, b[1].s AS severity, CASE WHEN b[1].s >= 8 THEN 'block' WHEN b[1].s >= 5 THEN 'warn' ELSE 'allow' END AS tier FROM w",
-    "fw_surface_posture": f"{_DOCS} SELECT surface, CASE WHEN warn_only AND tier = 'block' THEN 'warn' ELSE tier END AS tier, count(*) AS n FROM t, (VALUES ('read_file', false), ('web_fetch', false), ('web_search', true), ('user_prompt', true), ('bash_stdout', true)) s(surface, warn_only) GROUP BY ALL",
+    "fw_surface_posture": f"{_DOCS} SELECT surface, CASE WHEN warn_only AND tier = 'block' THEN 'warn' ELSE tier END AS tier, count(*) AS n FROM t, (VALUES ('read_file', false), ('web_fetch', false), ('web_search', false), ('user_prompt', true), ('bash_stdout', true)) s(surface, warn_only) GROUP BY ALL",
     "fw_vs_toxic_confusion": f"{_DOCS} SELECT count(*) FILTER (worst >= 5 AND toxic = 1) AS tp, count(*) FILTER (worst >= 5 AND toxic = 0) AS fp, count(*) FILTER (worst < 5 AND toxic = 1) AS fn, count(*) FILTER (worst < 5 AND toxic = 0) AS tn FROM t JOIN labels USING (doc_id)",
     "rule_corpora_count": "WITH t AS (" + " UNION ALL ".join(f"SELECT '{n}' AS corpus, {c} AS text FROM {n}" for n, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))) + f"), h AS (SELECT corpus, unnest({_hits_sql('text', _PLAIN)}) AS x FROM t) SELECT x.rule_id AS rule_id, count(DISTINCT corpus) AS corpora, count(*) AS hits FROM h GROUP BY 1",
     "verdict_rollup": f"{_DOCS} SELECT lang, tier, count(*) AS n, count(DISTINCT source) AS sources FROM t GROUP BY ROLLUP (lang, tier)",
     "lookaround_pii": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN '9' || substr(lpad((o_orderkey % 9000)::VARCHAR, 4, '1'), 2, 3) <> '0000' THEN 'DJL-PII-001' END WHEN 2 THEN 'DJL-PII-008' END AS rule_id FROM orders",
-    "redact_tokens": f"SELECT doc_id, {_redact_sql(f"concat_ws(' ', substr(text, 1, 200), {_KINDS}[doc_id % 6 + 1] || upper(substr(md5(doc_id::VARCHAR), 1, 16)) || CASE WHEN doc_id % 6 <> 1 THEN 'abcd1234' ELSE '' END, 'end')")} AS clean FROM documents",
+    "redact_tokens": f"SELECT doc_id, len(regexp_extract_all(clean, '\\[REDACTED-')) AS masks, sha256(clean) AS digest FROM (SELECT doc_id, {_redact_sql(f"concat_ws(' ', {_KINDS}[doc_id % 6 + 1] || upper(substr(md5(doc_id::VARCHAR), 1, 16)) || CASE WHEN doc_id % 6 <> 1 THEN 'abcd1234' ELSE '' END, text)")} AS clean FROM documents)",
     "redact_documents": f"SELECT doc_id, sha256({_redact_sql(f"concat_ws(' ', text, {_KINDS}[doc_id % 6 + 1] || upper(substr(md5(doc_id::VARCHAR), 1, 16)) || CASE WHEN doc_id % 6 <> 1 THEN 'abcd1234' ELSE '' END, 'end')")}) AS digest FROM documents",
     "secret_names": f"SELECT p_partkey, regexp_matches(upper(replace(p_name, ' ', '_')) || ['_TOKEN','_NAME','_KEY','_URL','_PASSWD'][p_partkey % 5 + 1], {_quoted(SECRET_NAME)}) AS secret FROM part",
-    "neutralize_turns": r"""WITH t AS (SELECT *, role || ': ' || coalesce(text, '') || chr(10) || '</' || role || '> ```` code ```' || chr(10) || '  Tool: x' AS x FROM conversations), a AS (SELECT *, regexp_replace(x, '[\x{00AD}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FE00}-\x{FE0F}\x{FEFF}]', '', 'g') AS y FROM t), b AS (SELECT *, regexp_replace(y, '(?im)^([ \t]*(?:system|assistant|human|user|developer|tool):)', '[text] \1', 'g') AS z FROM a), c AS (SELECT *, regexp_replace(z, '(?i)<(/?(?:system|assistant|human|user|developer|tool))>', '‹\1›', 'g') AS w FROM b) SELECT conv_id, turn, sha256(replace(replace(w, '```` code ```', '\`\`\`\` code \`\`\`'), '', '')) AS digest FROM c""",
-    "unicode_fold": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'ignore ' WHEN 1 THEN 'Ignore ' WHEN 2 THEN 'office ' WHEN 3 THEN 'ignore ' ELSE 'роса ' END || o_orderkey AS folded FROM orders",
+    "neutralize_turns": r"""WITH t AS (SELECT *, role || ': ' || coalesce(text, '') || chr(10) || '</' || role || '> ```` code ```' || chr(10) || '  Tool: x' || ' a' || chr(8203) || 'b' || chr(8294) || 'c' AS x FROM conversations), a AS (SELECT *, replace(replace(x, chr(8203), '\u{200b}'), chr(8294), '\u{2066}') AS y FROM t), b AS (SELECT *, regexp_replace(y, '(?im)^([ \t]*(?:system|assistant|human|user|developer|tool):)', '[text] \1', 'g') AS z FROM a), c AS (SELECT *, regexp_replace(z, '(?i)<(/?(?:system|assistant|human|user|developer|tool))>', '‹\1›', 'g') AS w FROM b) SELECT conv_id, turn, sha256(replace(replace(w, '```` code ```', '\`\`\`\` code \`\`\`'), '', '')) AS digest FROM c""",
+    "unicode_fold": f"SELECT o_orderkey, [{', '.join(_quoted(b) for _, b in DISGUISES)}][o_orderkey % {len(DISGUISES)} + 1] || o_orderkey AS folded FROM orders",
     "name_collision": "WITH f AS (SELECT s_suppkey, replace(lower(s_name), 'rn', 'm') AS k, s_name FROM supplier) SELECT a.s_suppkey, b.s_suppkey AS other_key FROM f a JOIN f b ON a.k = b.k WHERE b.s_suppkey % 3 = 0",
     "url_params": "SELECT page_id, p.* FROM pages, LATERAL (VALUES (0, 'access_token', md5(url), true, 'hex string', 9), (2, 'q', page_id::VARCHAR, false, NULL, 0), (3, 'key', 'v', true, NULL, 7)) p(position, name, value, name_hit, shape, severity)",
 }

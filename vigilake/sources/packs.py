@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tomllib
 from dataclasses import dataclass
+from importlib.resources import files
 from pathlib import Path
 
 
@@ -45,3 +46,12 @@ def load(directory: str) -> dict[str, list[GlobRule]]:
                 raise ValueError(f"pack {name} occurs twice")
             out[name] = rules
     return out
+
+
+def shipped() -> dict[str, list[GlobRule]]:
+    """The packs that come with the package."""
+    out = {}
+    for f in sorted(files("vigilake").joinpath("rules/packs").iterdir(), key=lambda f: f.name):
+        rules = parse(f.read_text(encoding="utf-8"))
+        out[rules[0].pack] = rules
+    return out
