@@ -52,7 +52,7 @@ CELLS = 128
 #: Lists up to this length give all pairs at once.
 SMALL_LIST = 12
 #: Documents of a block of a long list, rows of lists that a task looks at together, and the longest table that is broadcast.
-BLOCK, ROWS, FEW = 4096, 1 << 16, 50_000
+BLOCK, ROWS, FEW = 1024, 1 << 16, 50_000
 #: Parts into which rows of one key are dealt where the other side is too long to broadcast.
 SALTS = 16
 #: DivideSkip's weight of a binary probe against a heap step.
