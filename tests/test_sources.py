@@ -68,3 +68,17 @@ def test_policies():
     for bad in (text.replace("version = 1", "version = 2"), text.replace('"deny"', '"drop"'), text + "more = 1\n", "more = 1\n" + text, text.replace("max_tokens", "tokens")):
         with pytest.raises(ValueError):
             policies.parse(bad)
+
+
+def test_a_policy_that_cannot_be_read_shows_the_place(tmp_path):
+    file = tmp_path / "policy.toml"
+    file.write_text("schema_version = 1\n[defaults]\naction = denied\n")
+    with pytest.raises(ValueError) as e:
+        policies.load(str(file))
+    assert f"  --> {file}:3:10\n  |\n3 | action = denied\n  |          ^\n" in str(e.value)
+    file.write_text("schema_version = 1\nx = '" + "a" * 300 + "' b\n")
+    with pytest.raises(ValueError) as e:
+        policies.load(str(file))
+    assert "2 | …" in str(e.value) and "^" in str(e.value)
+    file.write_text("schema_version = 1\n")
+    assert policies.load(str(file)) == policies.parse("schema_version = 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions.verdicts import tier_name
 from vigilake.operators import audit, firewall, net, pins, policy
+from vigilake.sources import lines
 from vigilake.sources.tables import shared_dir, table
 
 #: Addresses with the reason that must come out, written by hand; {x}: four hexadecimal digits, {o}: a number up to 255.
@@ -45,6 +46,14 @@ def allow_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", *[policy.anchored_glob(F.col("t"), g).alias(n) for n, g in (("ends", "a*b"), ("begins", "ax*"), ("inside", "*xb*"), ("plain", "xb"), ("all_", "*"))])
 
 
+def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as a text file each, read whole and cut at 1 MiB; every fifth goes beyond."""
+    place = f"{shared_dir(spark)}/whole-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.repeat(F.lit("né"), F.when(F.expr("n_nationkey % 5 = 0"), 400_000).otherwise(F.col("n_nationkey") + 1).cast("int")).alias("value"))
+    rows.repartition("k").write.partitionBy("k").text(place)
+    return lines.whole(spark, f"{place}/*/*.txt").select(F.octet_length("text").cast("long").alias("bytes"), F.char_length("text").cast("long").alias("chars"), "cut")
+
+
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chained records of each user: some lines unreadable (event_id % 83 = 0), gone (% 89), changed afterwards (% 97), without number (% 101)."""
     e = table(spark, sf_dir, "events").select(
@@ -113,6 +122,7 @@ ORACLES = {
     "ssrf_hosts": "SELECT o_custkey AS host, bool_or(o_orderkey % 50 = 0 OR o_orderkey % 51 = 0) AS refused FROM orders GROUP BY 1",
     "fetch_outcomes": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 8 < 4 THEN 'block' ELSE 'allow' END WHEN 1 THEN 'block' ELSE 'warn' END AS tier FROM events",
     "allow_globs": "SELECT p_partkey, [false, true, true, false, true][k] AS ends, [false, true, false, true, true][k] AS begins, [true, true, false, true, true][k] AS inside, [true, true, false, true, true][k] AS plain, true AS all_ FROM (SELECT p_partkey, p_partkey % 5 + 1 AS k FROM part)",
+    "whole_files": "SELECT CASE WHEN n_nationkey % 5 = 0 THEN 1048576 ELSE 3 * (n_nationkey + 1) + 1 END::BIGINT AS bytes, CASE WHEN n_nationkey % 5 = 0 THEN 699051 ELSE 2 * (n_nationkey + 1) + 1 END::BIGINT AS chars, n_nationkey % 5 = 0 AS cut FROM nation",
     "audit_records": f"""WITH l AS ({_GOOD}), w AS (SELECT *, coalesce(last_value(CASE WHEN NOT cut AND NOT bare THEN seq END IGNORE NULLS) OVER b, 0) AS last_seq, coalesce(bool_or(NOT cut) OVER b, false) AS seen FROM l WINDOW b AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         d AS (SELECT user_id, unnest(list_filter([CASE WHEN cut AND seen THEN 'malformed' END, CASE WHEN bare THEN 'missing_seq' END, CASE WHEN NOT cut AND NOT bare AND seq <> last_seq + 1 THEN 'sequence_gap' END, CASE WHEN NOT cut AND NOT bare AND seq <> last_seq + 1 THEN 'broken_link' END, CASE WHEN changed THEN 'hash_mismatch' END], lambda x: x IS NOT NULL)) AS defect FROM w)
         SELECT user_id, defect, count(*) AS n FROM d GROUP BY ALL""",
@@ -121,4 +131,4 @@ ORACLES = {
     "pin_verdicts": "SELECT c_custkey::VARCHAR AS upstream, ['recorded', 'matched', 'mismatch', 'matched', 'preseed_mismatch'][c_custkey % 5 + 1] AS verdict FROM customer",
     "canary_stream": "SELECT event_id, user_id AS session, coalesce(event_id % 14 = 0 AND (max(CASE WHEN event_id % 10 = 0 THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)) = 1, false) AS echoed FROM events",
 }
-QUERIES = {f.__name__: f for f in (ssrf_v6, ssrf_hosts, fetch_outcomes, allow_globs, audit_records, audit_sidecars, manifest_hashes, pin_verdicts, canary_stream)}
+QUERIES = {f.__name__: f for f in (ssrf_v6, ssrf_hosts, fetch_outcomes, allow_globs, whole_files, audit_records, audit_sidecars, manifest_hashes, pin_verdicts, canary_stream)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tomllib
 from typing import Any
 
@@ -16,6 +17,32 @@ def _only(table: dict[str, Any], known: set[str], where: str) -> dict[str, Any]:
     return table
 
 
+#: Characters of a line that are shown whole, and what is shown before and behind the place in a longer one.
+SHOWN, BEFORE, BEHIND = 120, 8, 17
+
+
+def frame(file: str, text: str, error: tomllib.TOMLDecodeError) -> str:
+    """Where a policy can't be read: file, line and column, the line, and a caret under the place."""
+    place = re.search(r"\(at line (\d+), column (\d+)\)", str(error))
+    number, column = map(int, place.groups()) if place else (text.count("\n") + 1, len(text) - text.rfind("\n"))
+    line = (text.split("\n")[number - 1 : number] or [""])[0].rstrip("\r")
+    at = min(column - 1, len(line))
+    first, last = (0, len(line)) if len(line) <= SHOWN else (max(0, at - BEFORE), min(len(line), at + BEHIND))
+    shown = ("…" if first else "") + line[first:last] + ("…" if last < len(line) else "")
+    gap = " " * len(str(number))
+    return f"  --> {file}:{number}:{column}\n{gap} |\n{number} | {shown}\n{gap} | {' ' * (at - first + bool(first))}^\n"
+
+
+def load(file: str) -> Policy:
+    """The policy of a file; what can't be read as TOML is an error that shows the place."""
+    with open(file, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        return parse(text)
+    except tomllib.TOMLDecodeError as e:
+        raise ValueError(f"{e}\n{frame(file, text, e)}") from e
+
+
 def parse(text: str) -> Policy:
     """The policy and the fingerprint of what it says, whatever comments, spaces or the order of keys."""
     spec = _only(tomllib.loads(text), {"schema_version", "defaults", "tools", "budgets"}, "the policy")
