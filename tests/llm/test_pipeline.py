@@ -62,3 +62,15 @@ def test_run_equals_its_stages(spark):
         docs = stage(spark, docs, SF)
     key = [F.col(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
     assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, docs.select(*key).collect()))
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_key", "_first", "first", "row", "id", "hash", "score", "toxic", "size", "key", "copy", "of", "from", "target", "found", "component_id", "class", "h"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", *[f"concat('{n}', doc_id) as {n}" for n in names])
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+    got = docs.limit(50).collect()
+    assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= len(got)
