@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vigilake.functions.columns import let
+
 #: Terminal escapes, characters that vanish, and those that hide controls.
 ESCAPES = r"\x1B\[[0-?]*[ -/]*[@-~]|\x1B[\]PX^_][^\x07\x1B\x{9C}]*(?:\x07|\x1B\\|\x{9C})|\x{9B}[0-?]*[ -/]*[@-~]|\x1B[@-Z\\-_]"
 INVISIBLE = r"[\x{00AD}\x{034F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}\x{E0000}-\x{E007F}]"
@@ -100,18 +103,30 @@ def neutralized(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("```")), F.array_join(parts, "")).otherwise(text)
 
 
+def one_of(chars: Iterable[str]) -> str:
+    """A pattern for one of these characters beyond ASCII, as ranges; ASCII is ruled out first, since most texts are little else."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and c <= runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return r"[[^\x00-\x7F]&&[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]]"
+
+
 def compat_folded(text: Column) -> Column:
     """Compatibility forms of ASCII letters and digits as these."""
     one = {c: x for c, x in _COMPATIBLE.items() if len(x) == 1}
     more = {c: x for c, x in _COMPATIBLE.items() if len(x) > 1}
     long = reduce(lambda t, cx: F.replace(t, F.lit(cx[0]), F.lit(cx[1])), more.items(), text)
-    return F.translate(F.when(text.rlike("[" + "".join(more) + "]"), long).otherwise(text), "".join(one), "".join(one.values()))
+    spelled = F.when(text.rlike(one_of(more)), long).otherwise(text)
+    return F.when(text.rlike(one_of(_COMPATIBLE)), F.translate(spelled, "".join(one), "".join(one.values()))).otherwise(text)
 
 
 def skeleton(text: Column) -> Column:
     """Homoglyphs as Latin letters, in words (runs of letters) of two scripts or more only."""
     words = F.split(text, r"(?<=\p{IsAlphabetic})(?=\P{IsAlphabetic})|(?<=\P{IsAlphabetic})(?=\p{IsAlphabetic})")
-    like = f"[{HOMOGLYPHS[0]}]"
+    like = one_of(HOMOGLYPHS[0])
     scripts = [f"[{c}]" for c in SCRIPTS.values()] + [rf"[\p{{IsAlphabetic}}&&[^{''.join(SCRIPTS.values())}]]"]
 
     def folded(w: Column) -> Column:
@@ -124,7 +139,7 @@ def skeleton(text: Column) -> Column:
 def normalized(text: Column) -> Column:
     """Escapes and invisibles gone, compatibility forms and homoglyphs folded; plain ASCII without escapes stays as it is."""
     clean = F.regexp_replace(F.regexp_replace(text, ESCAPES, ""), INVISIBLE, "")
-    return F.when(text.rlike(r"[^\x00-\x7F]|\x1B"), skeleton(compat_folded(clean))).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]|\x1B"), let(clean, lambda c: let(compat_folded(c), skeleton))).otherwise(text)
 
 
 def name_folded(name: Column) -> Column:

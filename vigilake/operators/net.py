@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilake.functions.columns import let
+
 #: Refused ranges in order, as (first, prefix length, reason).
 V4 = [
     ("169.254.169.254", 32, "cloud metadata endpoint (169.254.169.254)"),
@@ -57,7 +59,7 @@ def v4_refused(ip: Column) -> Column:
         ranges = [(int(ipaddress.IPv4Address(first)), bits, why) for first, bits, why in V4]
         return reduce(lambda out, r: out.when(n.between(r[0], r[0] + (1 << (32 - r[1])) - 1), r[2]), ranges, F.when(n.isNull(), F.lit(None).cast("string")))
 
-    return F.element_at(F.transform(F.array(v4_number(ip)), reason), 1)
+    return let(v4_number(ip), reason)
 
 
 def _within(n: int, first: str, bits: int) -> bool:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vigilake.functions.columns import let
+
 #: File names of each class.
 DOTENV = (".env", ".envrc", ".envfile")
 SSH_KEYS = ("id_rsa", "id_ed25519", "id_dsa", "id_ecdsa", "id_ed25519_sk", "id_ecdsa_sk", "id_dsa_sk", "id_rsa_sk")
@@ -60,4 +62,4 @@ def sensitive_write(norm: Column) -> Column:
 
 def refused(path: Column, write: Column, home: Column) -> Column:
     """The reason of a block, or null; the path is cleaned once for all classes."""
-    return F.element_at(F.transform(F.array(cleaned(path, home)), lambda norm: F.coalesce(F.when(write, sensitive_write(norm)), secret_read(norm))), 1)
+    return let(cleaned(path, home), lambda norm: F.coalesce(F.when(write, sensitive_write(norm)), secret_read(norm)))
