@@ -45,6 +45,24 @@ def test_a_budget_without_session_is_one_of_its_own(spark):
     assert sorted((r.session or "", r.o, r.session_tokens, r.exceeded) for r in got) == [("", 1, 5, None), ("", 2, 10, "session tokens"), ("s", 1, 5, None)]
 
 
+def test_a_hot_session_is_cut_and_sums_stay(spark, monkeypatch):
+    monkeypatch.setattr(policy, "SLICES", 7)
+    rows = [(None if i % 3 == 0 else f"s{i % 5}" if i % 7 else "", i // 2 if i % 11 else None, i, ("a", "b", None)[i % 4 % 3], i % 6) for i in range(400)]
+    df = spark.createDataFrame(rows, "session string, o int, i int, tool string, tokens long")
+    caps = policy.Budget(max_tokens=90, max_invocations=60), {"a": policy.Budget(max_tokens=30)}
+    assert policy.sliced(df, "session", "o", hot=50).where("session is null").select("_slice").distinct().count() == 8
+    got = policy.budgets(df, "session", ["o", "i"], "tool", *caps, hot=50).collect()
+    sums: dict = {}
+    want = []
+    for s, o, i, tool, tokens in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        for key in ((s,), (s, tool)):
+            t, n = sums.get(key, (0, 0))
+            sums[key] = (t + tokens, n + 1)
+        (st, sn), (tt, tn) = sums[(s,)], sums[(s, tool)]
+        want.append((i, st, sn, tt, tn, "session tokens" if st > 90 else "session calls" if sn > 60 else "tool tokens" if tool == "a" and tt > 30 else None))
+    assert sorted((r.i, r.session_tokens, r.session_calls, r.tool_tokens, r.tool_calls, r.exceeded) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize(
     "command,leg",
     [("a; rm -rf /", "rm -rf /"), ("a && (rm -rf /)", "(rm -rf /)"), ("echo \"$(rm -rf /)\"", "rm -rf /"), ("x=`rm -rf /`", "rm -rf /"), ("a=1;b=$a rm", "b=1 rm"), ("echo ${N:-d}", "echo d"), ("l\\\ns", "ls"), ("$'\\x6cs'", "ls"), ("printf '\\x6c\\x73' | /bin/sh", "ls"), ("IFS=_;ls_-l", "ls -l"), ("IFS=':' ; a:b", "a b")],

@@ -1,8 +1,9 @@
 """Tool rules, declarative policies and budgets.
 
 Rules are configuration: they are few, come from the driver and are expanded into conditions,
-so that events are neither joined nor shuffled. Budgets are running windows by session; the
-session without id is one more.
+so that events are neither joined nor shuffled. Budgets are running sums by session; the session
+without id is one more. A session that holds much of all rows is cut into slices of its first order
+column, which are summed apart and moved by what the slices before hold, so that it is no single task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vigilake.functions.verdicts import tier_rank
@@ -98,13 +100,48 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.char_length(text) / 4)).cast("long")
 
 
-def budgets(charged: DataFrame, session: str, order: list[str], tool: str, session_cap: Budget, tool_caps: dict[str, Budget], calls: Column | None = None) -> DataFrame:
-    """Adds the running sums, this row included, and the first cap that is exceeded (null: none); charged has tokens. calls: 1 for a row that counts (all do by default)."""
+#: Rows from which a session is cut (at most HOT_MOST sessions are, those above this share of all rows), and into how many slices.
+HOT, HOT_MOST, SLICES = 1_000_000, 10_000, 256
+_WHOLE = -2
+
+
+def sliced(df: DataFrame, session: str, by: str, hot: int = HOT) -> DataFrame:
+    """Adds the session as keys without nulls (_session, _none) and _slice, which ascends with the column by (null first): that of a hot session's row, else _WHOLE.
+
+    Only whole numbers, dates and times cut; sessions in another order stay whole.
+    """
+    keyed = df.withColumn("_session", F.coalesce(F.col(session).cast("string"), F.lit(""))).withColumn("_none", F.col(session).isNull())
+    kind = df.schema[by].dataType
+    if not isinstance(kind, T.IntegralType | T.DateType | T.TimestampType | T.TimestampNTZType):
+        return keyed.withColumn("_slice", F.lit(_WHOLE))
+    at = (F.col(by) if isinstance(kind, T.IntegralType) else F.unix_micros(F.col(by).cast("timestamp"))).cast("double")
+    counts = keyed.groupBy("_session", "_none").agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    most = counts.agg(F.sum("_n") / HOT_MOST).scalar()
+    # At most HOT_MOST rows, since each holds more than one part in HOT_MOST of all.
+    held = F.broadcast(counts.where((F.col("_n") > hot) & (F.col("_n") > most)))
+    place = F.floor((at - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * SLICES).cast("int")
+    out = keyed.join(held, ["_session", "_none"], "left")
+    return out.withColumn("_slice", F.when(F.col("_n").isNull(), _WHOLE).otherwise(F.coalesce(place, F.lit(-1)))).drop("_n", "_lo", "_hi")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds the running sums by keys, this row included; df is sliced."""
+    within = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each slice of a hot session.
+    totals = df.where(F.col("_slice") != _WHOLE).groupBy(*keys, "_slice").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = totals.select(*keys, "_slice", *[F.sum(n).over(earlier).alias(f"_{n}") for n in sums])
+    out = df.withColumns({n: F.sum(c).over(within) for n, c in sums.items()}).join(before, [*keys, "_slice"], "left")
+    return out.withColumns({n: F.coalesce(F.col(n) + F.col(f"_{n}"), n, f"_{n}") for n in sums}).drop(*[f"_{n}" for n in sums])
+
+
+def budgets(charged: DataFrame, session: str, order: list[str], tool: str, session_cap: Budget, tool_caps: dict[str, Budget], calls: Column | None = None, hot: int = HOT) -> DataFrame:
+    """Adds the running sums, this row included, and the first cap that is exceeded (null: none); charged has tokens. calls: 1 for a row that counts (all do by default); hot: rows from which a session is cut."""
     calls = F.lit(1) if calls is None else calls
-    by_session = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    by_tool = Window.partitionBy(session, tool).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = charged.withColumn("session_tokens", F.sum("tokens").over(by_session)).withColumn("session_calls", F.sum(calls).over(by_session))
-    out = out.withColumn("tool_tokens", F.sum("tokens").over(by_tool)).withColumn("tool_calls", F.sum(calls).over(by_tool))
+    cut = sliced(charged.withColumn("_tool", F.coalesce(F.col(tool).cast("string"), F.lit(""))).withColumn("_named", F.col(tool).isNotNull()), session, order[0], hot)
+    by_session = running(cut, ["_session", "_none"], order, {"session_tokens": F.col("tokens"), "session_calls": calls})
+    by_tool = running(by_session, ["_session", "_none", "_tool", "_named"], order, {"tool_tokens": F.col("tokens"), "tool_calls": calls})
+    out = by_tool.select(*charged.columns, "session_tokens", "session_calls", "tool_tokens", "tool_calls")
     checks: list[tuple[Column, str]] = []
     for scope, cap, who in [("session", session_cap, None), *[("tool", c, t) for t, c in tool_caps.items()]]:
         mine = F.lit(True) if who is None else F.col(tool) == who

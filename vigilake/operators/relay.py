@@ -25,8 +25,9 @@ def classified(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Adds status to the responses (id, ts, seq): matched for the first after its request, replayed within RECENT_S of it, else unknown."""
     asked = requests.groupBy("id").agg(F.min("ts").alias("asked"))
     both = responses.join(asked, "id", "left").withColumn("valid", F.coalesce(F.col("ts") >= F.col("asked"), F.lit(False)))
-    first = F.min(F.when(F.col("valid"), F.struct("ts", "seq"))).over(Window.partitionBy("id"))
-    out = both.withColumn("first", first)
+    # Summed up before the shuffle and joined by one row an id, so that an id of many responses is no single task.
+    first = both.where("valid").groupBy("id").agg(F.min(F.struct("ts", "seq")).alias("first"))
+    out = both.join(first, "id", "left")
     late = F.unix_micros("ts") - F.unix_micros("first.ts") > RECENT_S * 1_000_000
     status = F.when(~F.col("valid"), "unknown").when(F.col("seq") == F.col("first.seq"), "matched").when(late, "unknown").otherwise("replayed")
     return out.withColumn("status", status).drop("asked", "valid", "first")
