@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import chat, embedding_dedup, fingerprints, lm_scoring, ngram_join, packing, secret_scan, source_mix, token_counts, toxicity
+from vigilake.llm import chat, dual_tree, embedding_dedup, fingerprints, lm_scoring, ngram_join, packing, secret_scan, source_mix, token_counts, toxicity
 from vigilake.llm.shared import small_batches, text_rows
 from vigilake.sources.tables import table
 
@@ -81,6 +81,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.clustered(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed="1")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -116,6 +120,24 @@ FROM y GROUP BY conv_id
 """
 
 
+def _op11() -> str:
+    """Every vector against every centroid, in integers; a round after the other."""
+    kept = """k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
+    WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)"""
+    steps = [kept, "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY key, vec_id, q) - 1 AS c, q FROM (SELECT sha256('1:' || vec_id) AS key, vec_id, q FROM k ORDER BY ALL LIMIT 16))"]
+    for n in range(4):
+        steps.append(
+            f"""a{n} AS MATERIALIZED (SELECT r, min({{'d': d, 'c': c}}) AS m FROM (SELECT r, c, list_sum([(k.q[i] - c{n}.q[i]) * (k.q[i] - c{n}.q[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM k, c{n}) GROUP BY r)"""
+        )
+        if n < 3:
+            steps.append(f"s{n} AS (SELECT m.c AS c, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM a{n} JOIN k USING (r), range(1, 65) g(i) GROUP BY m.c, i)")
+            steps.append(f"m{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM s{n} GROUP BY c)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m{n}.q, c{n}.q) AS q FROM c{n} LEFT JOIN m{n} USING (c))")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM k JOIN a3 USING (r) JOIN c3 ON c3.c = m.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL can't express the others: tests hold them against brute force, round trips or held-out labels."""
-    return {"op3_embedding_dedup": _OP3, "op5_ngram_jaccard_join": _OP5, "op10_chat_formatting": _OP10}
+    return {"op3_embedding_dedup": _OP3, "op5_ngram_jaccard_join": _OP5, "op10_chat_formatting": _OP10, "op11_centroid_clustering": _op11()}
