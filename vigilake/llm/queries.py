@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import chat, dual_tree, embedding_dedup, fingerprints, lm_scoring, ngram_join, packing, secret_scan, source_mix, token_counts, toxicity
+from vigilake.llm import chat, dual_tree, embedding_dedup, fingerprints, lm_scoring, merkle, ngram_join, packing, secret_scan, source_mix, token_counts, toxicity
 from vigilake.llm.shared import small_batches, text_rows
 from vigilake.sources.tables import table
 
@@ -85,6 +85,12 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree.clustered(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed="1")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verified(table(spark, sf_dir, "documents"), tampered).drop("tree")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -137,7 +143,27 @@ def _op11() -> str:
 SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.q, ',')) AS centroid_sha256
 FROM k JOIN a3 USING (r) JOIN c3 ON c3.c = m.c"""
 
+#: crc32 by its table of 256 remainders; levels by grouping three nodes again and again; proofs and folds leaf by leaf.
+_OP12 = r"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT] || range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) g(i))),
+d AS (SELECT row_number() OVER () AS r, source, doc_id, (SELECT xor(4294967295, list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')], lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) FROM tab) % 2 = 0 AS even,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text FROM documents),
+l AS MATERIALIZED (SELECT r, source, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(x) || ':' || x, '-')) AS other FROM (SELECT *, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS x FROM d)),
+up AS (SELECT source, 0 AS lvl, row_number() OVER w - 1 AS i, r, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM l WINDOW w AS (PARTITION BY source ORDER BY doc_id, leaf)
+    UNION ALL SELECT source, lvl + 1, i // 3, NULL, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 2) // 3 FROM up WHERE n > 1 GROUP BY source, lvl, i // 3),
+sub AS MATERIALIZED (SELECT source, h, lvl, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s, count(*) OVER () AS n FROM up WHERE n = 1),
+over AS (SELECT 0 AS lvl, s AS i, h, n FROM sub UNION ALL SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 2) // 3 FROM over WHERE n > 1 GROUP BY lvl, i // 3),
+-- All nodes of a source under levels of its own and, above them, those of the tree of sources.
+nodes AS MATERIALIZED (SELECT s, u.lvl, u.i, u.h, u.n FROM up u JOIN sub ON sub.source IS NOT DISTINCT FROM u.source WHERE u.n > 1 UNION ALL SELECT s, sub.lvl + o.lvl, o.i, o.h, o.n FROM over o, sub WHERE o.n > 1),
+walk AS (SELECT l.r, s, sub.lvl AS own, 0 AS lvl, u.i, other AS h, '' AS proof FROM up u JOIN l USING (r) JOIN sub ON sub.source IS NOT DISTINCT FROM u.source WHERE u.lvl = 0
+    UNION ALL SELECT r, s, own, lvl + 1, i // 3, sha256(string_agg(CASE WHEN j = i THEN h ELSE o END, '' ORDER BY j)), any_value(proof) || coalesce(string_agg(o, '' ORDER BY j) FILTER (j <> i), '')
+    FROM (SELECT w.r, w.s, w.own, w.lvl, CASE WHEN w.lvl = w.own THEN w.s ELSE w.i END AS i, w.h, w.proof, nodes.i AS j, nodes.h AS o FROM walk w JOIN nodes ON nodes.s = w.s AND nodes.lvl = w.lvl AND nodes.i // 3 = (CASE WHEN w.lvl = w.own THEN w.s ELSE w.i END) // 3) GROUP BY r, s, own, lvl, i, h),
+ends AS (SELECT r, arg_max(h, lvl) AS folded, arg_max(proof, lvl) AS proof FROM walk GROUP BY r)
+SELECT l.doc_id, l.leaf, sub.h AS subroot, (SELECT h FROM over WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = (SELECT h FROM over WHERE n = 1) AS verified
+FROM l JOIN ends USING (r) JOIN sub ON sub.source IS NOT DISTINCT FROM l.source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL can't express the others: tests hold them against brute force, round trips or held-out labels."""
-    return {"op3_embedding_dedup": _OP3, "op5_ngram_jaccard_join": _OP5, "op10_chat_formatting": _OP10, "op11_centroid_clustering": _op11()}
+    return {"op3_embedding_dedup": _OP3, "op5_ngram_jaccard_join": _OP5, "op10_chat_formatting": _OP10, "op11_centroid_clustering": _op11(), "op12_merkle_manifest": _OP12}
