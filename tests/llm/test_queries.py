@@ -11,6 +11,7 @@ import pytest
 from test_fingerprints import brute as edits
 from test_lm_scoring import brute as scores
 from test_packing import check
+from test_quality import base as counts
 from test_secret_scan import base
 from test_source_mix import brute as mixed
 from test_source_mix import words
@@ -105,3 +106,13 @@ def test_op10_conversation_of_control_strings(spark):
     row = next(r for r in run(spark, "op10_chat_formatting") if r.conv_id == -1)
     assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
     assert row.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_op13(spark, texts):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    got = {r.doc_id: r for r in run(spark, "op13_quality_rules")}
+    for i, t in texts.items():
+        r, want = got[i], counts(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.kept and r.base_failed)
+    assert len(got) == len(rows)

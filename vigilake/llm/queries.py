@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import chat, dual_tree, embedding_dedup, fingerprints, lm_scoring, merkle, ngram_join, packing, secret_scan, source_mix, token_counts, toxicity
+from vigilake.llm import chat, dual_tree, embedding_dedup, fingerprints, lm_scoring, merkle, ngram_join, packing, quality, secret_scan, source_mix, token_counts, toxicity
 from vigilake.llm.shared import small_batches, text_rows
 from vigilake.sources.tables import table
 
@@ -91,6 +91,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"), tampered).drop("tree")
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept", "distance")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -42,14 +42,14 @@ def text_rows(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20240229))
     r = rng.integers(0, 2**64, 256, np.uint64)
     space = np.zeros(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = True
     lower = np.arange(256)
     lower[65:91] += 32
-    return r[lower], space, rng.integers(0, 2**63, 1, np.uint64) * _U(2) + _U(1)
+    return r[lower], space, rng.integers(0, 2**63, 1, np.uint64) * _U(2) + _U(1), r
 
 
 _powers = np.ones(1, np.uint64)
@@ -109,17 +109,22 @@ def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
-def hash_runs(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run's bytes, A-Z as a-z. It depends on the bytes alone, not on place or machine."""
+def hash_runs(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each run's bytes, A-Z as a-z if folded. It depends on the bytes alone, not on place or machine."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    r, _, _ = _tables()
+    r = _tables()[0 if fold else 3]
     size = ends - starts
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
     pos = np.arange(int(size.sum())) - np.repeat(at, size)
     return mix(np.add.reduceat(r[data[inside]] * powers(int(size.max()))[pos], at) + size.astype(np.uint64))
 
 
+def spaces() -> np.ndarray:
+    """Of each byte, whether it is one of the six ASCII white spaces."""
+    return _tables()[1]
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs of other than the six ASCII white spaces), and each text's first word's number."""
     inside = ~_tables()[1][data]
