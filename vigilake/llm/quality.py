@@ -42,6 +42,8 @@ LEAST, H, STARTED, STEPS = 100, 0.75, 2, 8
 UNIT, RIDGE = 1024, 0.03
 #: The share of normal vectors beyond the cutoff, and a factor for tails that are longer than those.
 TAIL, SLACK = 1e-6, 1.5
+#: Tables of cells up to so many rows are broadcast; longer ones are joined by sorting, where Spark splits hot keys at run time.
+CELLS_BROADCAST = 50_000
 #: Histogram bins for each doubling of a squared distance.
 FINE = 256
 
@@ -158,6 +160,11 @@ def _key(c: Column) -> Column:
     return F.when(c.isNull(), "-").otherwise(F.concat(F.char_length(c).cast("string"), F.lit(":"), c))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, marked to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= CELLS_BROADCAST else table
+
+
 def _with_cells(rows: DataFrame) -> DataFrame:
     """Adds cell, null where there are too few documents."""
     n = rows.where("not base_failed").groupBy("lang", "source").count()
@@ -169,7 +176,7 @@ def _with_cells(rows: DataFrame) -> DataFrame:
     seen = seen.join(by_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
     own, lang = F.concat(F.lit("source "), _key(F.col("lang")), _key(F.col("source"))), F.concat(F.lit("lang "), _key(F.col("lang")))
     cell = F.when(F.col("count") >= LEAST, own).when(F.col("in_lang") >= LEAST, lang).when(F.lit(rest >= LEAST), F.lit("all"))
-    cells = seen.select(F.col("lang").alias("l"), F.col("source").alias("s"), cell.alias("cell"))
+    cells = _small(saved(seen.select(F.col("lang").alias("l"), F.col("source").alias("s"), cell.alias("cell")), "quality-cells"))
     return rows.join(cells, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
 
 
@@ -313,7 +320,7 @@ def judged(docs: DataFrame) -> DataFrame:
     counts = saved(statistics(docs), "quality-counts")
     rows = saved(_with_cells(counts).withColumn("x", F.array(*vector())), "quality-rows")
     models = fitted(rows.where("not base_failed and cell is not null").select("cell", "x"))
-    models = models.select(F.col("cell").alias("of"), "mean", "inverse")
+    models = _small(models).select(F.col("cell").alias("of"), "mean", "inverse")
     distance = squared_distance(F.col("x"), F.col("mean"), F.col("inverse")) / F.lit(_consistent(0.975))
     out = rows.join(models, F.col("cell") == F.col("of"), "left").withColumn("distance", distance)
     odd = F.coalesce(F.col("distance") > SLACK * _chi2(DIMS, 1 - TAIL), F.lit(False))
