@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tiers by rank, default thresholds, and the presets of levels.
 TIERS = ("allow", "warn", "ask", "block")
 BLOCK_AT, WARN_AT = 8, 5
+#: block_at, warn_at.
+Thresholds = tuple[int, int]
+DEFAULT: Thresholds = (BLOCK_AT, WARN_AT)
 LEVELS = {"strict": (7, 4), "high": (6, 3), "critical": (5, 2)}
 
 
-def settled(c: Column) -> Column:
-    """The same values, but worked out where they stand: a later filter on them is not moved below, which would write a long expression out again for each use."""
-    return F.when(F.spark_partition_id() >= 0, c)
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds (or replaces) a column that is worked out once, where it stands.
+
+    It comes out of a one-element array, so that later filters on it are not moved below (which would
+    write a long expression out again for each use), while filters on other columns reach the scan.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
 def tier_rank(severity: Column, block_at: int = BLOCK_AT, warn_at: int = WARN_AT) -> Column:

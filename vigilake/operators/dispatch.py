@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.text import cut_bytes, redacted, tokens_masked
-from vigilake.functions.verdicts import settled, tier_name, tier_rank, worst
+from vigilake.functions.verdicts import DEFAULT, held, tier_name, tier_rank, worst
 from vigilake.operators import firewall, gate, paths, policy
+from vigilake.sources.config import Config
 from vigilake.sources.events import POST, PRE, PROMPT
 
 #: What can be switched off, and the tools of each branch.
@@ -43,20 +44,25 @@ def routed(df: DataFrame, off: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def decided(df: DataFrame, home: str, rules: list[policy.ToolRule] | None = None, arguments: str = "input", disabled: bool = False, off: tuple[str, ...] = (), canary: str | None = None) -> DataFrame:
+def decided(df: DataFrame, home: str, rules: list[policy.ToolRule] | None = None, arguments: str = "input", disabled: bool = False, off: tuple[str, ...] = (), canary: str | None = None, config: Config | None = None) -> DataFrame:
     """Adds rank, tier, by and rule of each event; ties keep the earlier of gate, paths, firewall, canary, tool rules.
 
+    config gives cutoffs, allow list, own blocks, packs, tool rules and what is switched off, besides what is given here.
+
     A refused path settles a read before its content counts; the canary (a column with the
     session's token) is looked for only in output that the firewall lets through; disabled lets
     all through and plans nothing.
     """
+    cuts = config.thresholds() if config else DEFAULT
+    if config:
+        disabled, off, rules = disabled or config.disable, (*off, *config.disabled), [*(rules or ()), *config.tool_rules]
     if disabled:
         return df.withColumn("rank", F.lit(0)).withColumn("tier", F.lit("allow")).withColumn("by", F.lit(None).cast("string")).withColumn("rule", F.lit(None).cast("string"))
     keep = df.columns
-    out = gate.evaluate(routed(df, off), "_command").withColumn("_gate", F.struct(F.col("tier_rank").alias("rank"), F.col("hit.rule_id").alias("rule"))).drop("hit", "tier", "tier_rank")
+    out = gate.evaluate(routed(df, off), "_command", config=config).withColumn("_gate", F.struct(F.col("tier_rank").alias("rank"), F.col("hit.rule_id").alias("rule"))).drop("hit", "tier", "tier_rank")
     out = out.withColumn("_refused", paths.refused(F.col("_path"), F.col("_write"), F.lit(home)))
     out = out.withColumn("_text", F.when(F.col("_refused").isNull(), F.col("_text")))
-    out = firewall.verdicts(out, "_text", F.col("_surface"))
+    out = firewall.verdicts(out, "_text", F.col("_surface"), cuts)
     found = [
         _verdict(F.col("_gate.rank"), "gate", F.col("_gate.rule")),
         _verdict(F.when(F.col("_refused").isNotNull(), 3), "pathguard", F.col("_refused")),
@@ -67,8 +73,8 @@ def decided(df: DataFrame, home: str, rules: list[policy.ToolRule] | None = None
         found.append(_verdict(F.when(echo, 1), "canary", F.when(echo, F.lit("canary-echo"))))
     if rules:
         hit = policy.tool_rules(F.col("tool"), F.col(arguments), rules)
-        found.append(_verdict(F.when(F.col("event") == PRE, tier_rank(hit["severity"])), "tool_rule", hit["reason"]))
-    out = out.withColumn("_worst", settled(worst(*found)))
+        found.append(_verdict(F.when(F.col("event") == PRE, tier_rank(hit["severity"], *cuts)), "tool_rule", hit["reason"]))
+    out = held(out, "_worst", worst(*found))
     rank = F.col("_worst.rank")
     return out.select(*keep, rank.alias("rank"), tier_name(rank).alias("tier"), F.when(rank > 0, F.col("_worst.by")).alias("by"), F.when(rank > 0, F.col("_worst.rule")).alias("rule"))
 

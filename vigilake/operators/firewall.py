@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions.firewall_rules import RULES, Rule
 from vigilake.functions.text import normalized
-from vigilake.functions.verdicts import clamped, settled, tier_name, tier_rank
+from vigilake.functions.verdicts import DEFAULT, Thresholds, clamped, held, tier_name, tier_rank
 from vigilake.operators import urls
 
 #: Surfaces and whether they only warn.
@@ -61,13 +61,14 @@ def scan(df: DataFrame, text: str, rules: list[Rule] | None = None, two_pass: bo
     out = out.withColumn("_norm", F.when(F.col("hit").isNull(), normalized(F.col(text))))
     out = out.withColumn("_norm", F.when(F.col("_norm") != F.col(text), F.col("_norm"))).withColumn("_low", F.lower("_norm"))
     out = out.withColumn("_second", F.when(F.col("_norm").isNotNull(), worst(F.col("_norm"), F.col("_low"))))
-    return out.withColumn("normalized", F.col("_second").isNotNull()).withColumn("hit", settled(F.coalesce("hit", "_second"))).drop("_low", "_norm", "_second")
+    out = held(out.withColumn("normalized", F.col("_second").isNotNull()), "_hit", F.coalesce("hit", "_second"))
+    return out.drop("_low", "_norm", "_second", "hit").withColumnRenamed("_hit", "hit")
 
 
-def verdicts(df: DataFrame, text: str, surface: Column | None = None) -> DataFrame:
-    """Adds tier_rank and tier to what scan adds; a surface that only warns clamps them, and what a shell printed is held against URLs too."""
+def verdicts(df: DataFrame, text: str, surface: Column | None = None, cuts: Thresholds = DEFAULT) -> DataFrame:
+    """Adds tier_rank and tier, by those cutoffs, to what scan adds; a surface that only warns clamps them, and what a shell printed is held against URLs too."""
     out = scan(df, text, output=None if surface is None else F.coalesce(surface == "bash_stdout", F.lit(False)))
-    rank = tier_rank(F.col("hit.severity"))
+    rank = tier_rank(F.col("hit.severity"), *cuts)
     if surface is not None:
         rank = clamped(rank, F.coalesce(surface.isin([s for s, warn in SURFACES.items() if warn]), F.lit(False)))
     return out.withColumn("tier_rank", rank).withColumn("tier", tier_name(F.col("tier_rank")))

@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.functions.shell import IF_BLOCKED, STILL_CODED, UNREAD, command_legs
-from vigilake.functions.verdicts import BLOCK_AT, WARN_AT, settled, tier_name, tier_rank
-from vigilake.operators.policy import anchored_glob, string_argument, unanchored_glob
+from vigilake.functions.shell import IF_BLOCKED, STILL_CODED, UNREAD, arguments_read, command_read
+from vigilake.functions.verdicts import DEFAULT, Thresholds, held, tier_name, tier_rank
+from vigilake.operators.policy import anchored_glob, unanchored_glob
+from vigilake.sources.config import Config
 from vigilake.sources.packs import GlobRule
 
 
@@ -74,36 +75,90 @@ def _hit(matched: Column, severity: int, order: int, rule: str, category: str) -
     return F.when(matched, F.struct(F.lit(severity).alias("severity"), F.lit(-order).alias("order"), F.lit(rule).alias("rule_id"), F.lit(category).alias("category")))
 
 
-def evaluate(df: DataFrame, command: str, packs: tuple[str, ...] = (), allow: tuple[str, ...] = (), blocks: tuple[tuple[str, int], ...] = (), globs: tuple[GlobRule, ...] = ()) -> DataFrame:
-    """Adds hit, tier_rank and tier; globs are rules of community packs; allow-listed commands are let through, custom blocks (glob, severity) see the raw legs."""
-    raw = F.coalesce(F.col(command), F.lit(""))
-    let = reduce(Column.__or__, (anchored_glob(raw, g) for g in allow), F.lit(False))
-    out = df.withColumn("_legs", F.when(~let, command_legs(raw)))
+@dataclass(frozen=True)
+class Rules:
+    """What a command is held against: packs that are on, allowed globs, own blocks (glob, severity), rules of community packs, and cutoffs."""
+
+    packs: tuple[str, ...] = ()
+    allow: tuple[str, ...] = ()
+    blocks: tuple[tuple[str, int], ...] = ()
+    globs: tuple[GlobRule, ...] = ()
+    cuts: Thresholds = DEFAULT
+
+    def allowed(self, command: Column) -> Column:
+        return reduce(Column.__or__, (anchored_glob(command, g) for g in self.allow), F.lit(False))
+
+    def worst(self, read: Column) -> Column:
+        """The worst hit in a command as it is read: pipes and bombs in its normalised text, all other rules by leg."""
+        block_at, warn_at = self.cuts
 
-    def per_leg(x: Column) -> Column:
-        rules = [_hit(reduce(Column.__or__, (x["effective"].rlike("(?d)" + p) for p in r.patterns)), r.severity, i + 2, r.id, r.category) for i, r in enumerate(RULES) if r.pack is None or r.pack in packs]
-        custom = [_hit(unanchored_glob(x["leg"], g), s, 100 + i, "custom", "custom") for i, (g, s) in enumerate(blocks)]
-        shared = [_hit(unanchored_glob(x["effective"], g.pattern), g.severity, 200 + i, g.id, g.category) for i, g in enumerate(globs)]
-        worst = F.array_max(F.array(*rules, *custom, *shared, _hit(x["counts"] == STILL_CODED, WARN_AT, 1000, "base64-decode-cap", "obfuscation"), _hit(x["counts"] == UNREAD, WARN_AT, 1001, "expansion-cap", "obfuscation")))
-        return F.when((x["counts"] != IF_BLOCKED) | (worst["severity"] >= BLOCK_AT), worst)
+        def per_leg(x: Column) -> Column:
+            rules = [_hit(reduce(Column.__or__, (x["effective"].rlike("(?d)" + p) for p in r.patterns)), r.severity, i + 2, r.id, r.category) for i, r in enumerate(RULES) if r.pack is None or r.pack in self.packs]
+            custom = [_hit(unanchored_glob(x["leg"], g), s, 100 + i, "custom", "custom") for i, (g, s) in enumerate(self.blocks)]
+            shared = [_hit(unanchored_glob(x["effective"], g.pattern), g.severity, 200 + i, g.id, g.category) for i, g in enumerate(self.globs)]
+            worst = F.array_max(F.array(*rules, *custom, *shared, _hit(x["counts"] == STILL_CODED, warn_at, 1000, "base64-decode-cap", "obfuscation"), _hit(x["counts"] == UNREAD, warn_at, 1001, "expansion-cap", "obfuscation")))
+            return F.when((x["counts"] != IF_BLOCKED) | (worst["severity"] >= block_at), worst)
 
-    whole = [_hit(piped(raw), 9, 0, "curl-wget-pipe-shell", "remote-exec"), _hit(bomb(raw), 9, 1, "fork-bomb", "dos")]
-    out = out.withColumn("hit", settled(F.when(~let, F.array_max(F.concat(F.array(*whole), F.transform("_legs", per_leg))))))
-    return out.drop("_legs").withColumn("tier_rank", tier_rank(F.col("hit.severity"))).withColumn("tier", tier_name(F.col("tier_rank")))
+        whole = [_hit(piped(read["text"]), 9, 0, "curl-wget-pipe-shell", "remote-exec"), _hit(bomb(read["text"]), 9, 1, "fork-bomb", "dos")]
+        return F.array_max(F.concat(F.array(*whole), F.transform(read["legs"], per_leg)))
 
 
-#: Arguments of tool calls that are commands, and those that are code.
+def rules_of(config: Config, globs: tuple[GlobRule, ...] = ()) -> Rules:
+    return Rules(config.packs, config.allow_list, config.custom_blocks, globs, config.thresholds())
+
+
+def evaluate(df: DataFrame, command: str, packs: tuple[str, ...] = (), allow: tuple[str, ...] = (), blocks: tuple[tuple[str, int], ...] = (), globs: tuple[GlobRule, ...] = (), config: Config | None = None) -> DataFrame:
+    """Adds hit, tier_rank and tier; globs are rules of community packs; allow-listed commands are let through, custom blocks (glob, severity) see the raw legs.
+
+    config takes the place of packs, allow and blocks and gives the cutoffs; a disabled one lets all through and plans nothing.
+    """
+    if config and config.disable:
+        nothing = F.lit(None).cast("struct<severity:int,order:int,rule_id:string,category:string>")
+        return df.withColumn("hit", nothing).withColumn("tier_rank", F.lit(0)).withColumn("tier", F.lit("allow"))
+    rules = rules_of(config, globs) if config else Rules(packs, allow, blocks, globs)
+    raw = F.coalesce(F.col(command), F.lit(""))
+    # The legs are read once, however many rules look at them.
+    out = df.withColumn("_read", command_read(F.when(~rules.allowed(raw), raw)))
+    out = held(out, "hit", rules.worst(F.col("_read"))).drop("_read")
+    return out.withColumn("tier_rank", tier_rank(F.col("hit.severity"), *rules.cuts)).withColumn("tier", tier_name(F.col("tier_rank")))
+
+
+#: Arguments of tool calls that are commands, and those that are code; their names in any case.
 COMMAND_ARGS, CODE_ARGS = ("command", "cmd", "script"), ("code",)
 
 
-def tool_call(df: DataFrame, arguments: str) -> DataFrame:
-    """Adds rank (0 or 3: a transport can't ask) and rule_id of a tool call: commands go through the whole gate, code only through the two rules on whole texts."""
-    lines = F.concat_ws("\n", *[string_argument(F.col(arguments), a) for a in COMMAND_ARGS])
-    code = F.concat_ws("\n", *[string_argument(F.col(arguments), a) for a in CODE_ARGS])
-    out = evaluate(df.withColumn("_lines", lines), "_lines").withColumn("_code", code)
-    shape = F.when(piped(F.col("_code")), "curl-wget-pipe-shell").when(bomb(F.col("_code")), "fork-bomb")
-    rule = F.coalesce(F.when(F.col("tier_rank") >= 2, F.col("hit.rule_id")), shape)
-    return out.withColumn("rule_id", rule).withColumn("rank", F.when(rule.isNotNull(), 3).otherwise(0)).drop("_lines", "_code", "hit", "tier", "tier_rank")
+def call_arguments(arguments: Column) -> Column:
+    """Of a call's JSON object, the top-level strings that are commands or code, by name: name, value and whether it is a command.
+
+    A name that comes twice gives both, since either may be what a tool reads; what is no object has none.
+    """
+    top = F.map_entries(F.from_json(arguments, "map<string,variant>"))
+    strings = F.filter(top, lambda e: F.lower(e["key"]).isin(*COMMAND_ARGS, *CODE_ARGS) & (F.schema_of_variant(e["value"]) == "STRING"))
+    return F.array_sort(F.transform(strings, lambda e: F.struct(e["key"].alias("name"), F.variant_get(e["value"], "$", "string").alias("value"), F.lower(e["key"]).isin(*COMMAND_ARGS).alias("command"))))
+
+
+def tool_call(df: DataFrame, arguments: str, config: Config | None = None, globs: tuple[GlobRule, ...] = (), denied: Column | None = None) -> DataFrame:
+    """Adds rank (0 or 3: a transport can't ask), argument and rule_id of a tool call: the first argument, by name, that is refused.
+
+    Each argument is judged alone: commands by the whole gate, if they block, code only by the two
+    rules on whole texts. denied: the rank that rules and policies give the call, which come first; asking denies.
+    """
+    if config and config.disable:
+        return df.withColumn("rank", F.lit(0)).withColumns({c: F.lit(None).cast("string") for c in ("argument", "rule_id")})
+    rules = rules_of(config, globs) if config else Rules(globs=globs)
+    out = df.withColumn("_args", call_arguments(F.col(arguments)))
+    commands = F.transform("_args", lambda a: F.when(a["command"] & ~rules.allowed(a["value"]), a["value"]))
+    out = out.withColumn("_read", arguments_read(F.when(F.size("_args") > 0, commands)))
+
+    def refused(a: Column, i: Column) -> Column:
+        hit = rules.worst(F.get("_read", i))
+        by_shape = F.when(piped(a["value"]), "curl-wget-pipe-shell").when(bomb(a["value"]), "fork-bomb")
+        return F.struct(a["name"].alias("name"), F.when(a["command"], F.when(hit["severity"] >= rules.cuts[0], hit["rule_id"])).otherwise(by_shape).alias("rule_id"))
+
+    out = held(out, "_first", F.get(F.filter(F.transform("_args", refused), lambda x: x["rule_id"].isNotNull()), F.lit(0))).drop("_args", "_read")
+    by_policy = F.lit(False) if denied is None else F.coalesce(denied >= 2, F.lit(False))
+    rule = F.when(by_policy, "policy").otherwise(F.col("_first.rule_id"))
+    return out.withColumn("argument", F.when(~by_policy, F.col("_first.name"))).withColumn("rule_id", rule).withColumn("rank", F.when(rule.isNotNull(), 3).otherwise(0)).drop("_first")
 
 
 def naive(command: Column) -> Column:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from vigilake.functions.text import cut_bytes, neutralized
 from vigilake.functions.verdicts import degraded, tier_name
+from vigilake.functions.verdicts import DEFAULT
 from vigilake.operators import firewall, gate
 from vigilake.operators.policy import string_argument
+from vigilake.sources.config import Config
 
 #: Kinds of hosts and whether they can put a question to the user.
 CAN_ASK = {"hook_json": True, "hook_exit_code": False, "plugin": False, "ide": True, "gateway": False}
@@ -63,15 +65,15 @@ def error_response(id_json: Column, code: int, message: Column) -> Column:
     return _answer(id_json, "error", F.to_json(F.struct(F.lit(code).alias("code"), message.alias("message"))))
 
 
-def served(requests: DataFrame, line: str, name: str = "guard", version: str = "1") -> DataFrame:
+def served(requests: DataFrame, line: str, name: str = "guard", version: str = "1", config: Config | None = None) -> DataFrame:
     """Adds response to protocol requests: initialize, tools/list, and calls of check_command and scan_prompt; blank lines and requests without id (notifications) have none."""
     keep = requests.columns
     v = F.try_parse_json(line)
     out = requests.withColumn("_v", v).withColumn("_id", F.to_json(F.try_variant_get("_v", "$.id", "variant"))).withColumn("_method", F.coalesce(F.try_variant_get("_v", "$.method", "string"), F.lit("")))
     called = F.when(F.col("_method") == "tools/call", F.try_variant_get("_v", "$.params.name", "string"))
     out = out.withColumn("_tool", called).withColumn("_command", F.when(called == "check_command", string_argument(F.col(line), "params.arguments.command"))).withColumn("_prompt", F.when(called == "scan_prompt", string_argument(F.col(line), "params.arguments.prompt")))
-    out = gate.evaluate(out, "_command").withColumn("_said", F.struct("tier", F.col("hit.rule_id").alias("rule"))).drop("hit", "tier", "tier_rank")
-    out = firewall.verdicts(out, "_prompt", F.lit("user_prompt"))
+    out = gate.evaluate(out, "_command", config=config).withColumn("_said", F.struct("tier", F.col("hit.rule_id").alias("rule"))).drop("hit", "tier", "tier_rank")
+    out = firewall.verdicts(out, "_prompt", F.lit("user_prompt"), config.thresholds() if config else DEFAULT)
     said = F.when(F.col("_command").isNotNull(), F.col("_said")).when(F.col("_prompt").isNotNull(), F.struct("tier", F.col("hit.rule_id").alias("rule")))
     text = F.concat_ws(": ", said["tier"], said["rule"])
     result = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content"), (said["tier"] == "block").alias("isError")))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vigilake.functions.verdicts import tier_rank
+from vigilake.functions.verdicts import DEFAULT, Thresholds, tier_rank
 
 
 @dataclass(frozen=True)
@@ -151,19 +151,19 @@ def budgets(charged: DataFrame, session: str, order: list[str], tool: str, sessi
     return out.withColumn("exceeded", F.coalesce(*[F.when(c, F.lit(n)) for c, n in checks]) if checks else F.lit(None).cast("string"))
 
 
-def verdict_rank(severity: Column, denied: Column, exceeded: Column) -> Column:
+def verdict_rank(severity: Column, denied: Column, exceeded: Column, cuts: Thresholds = DEFAULT) -> Column:
     """Rules first, then default-deny, then budgets, then allow."""
-    return F.when(severity.isNotNull() & (tier_rank(severity) > 0), tier_rank(severity)).when(denied, 3).when(exceeded.isNotNull(), 2).otherwise(0)
+    return F.when(severity.isNotNull() & (tier_rank(severity, *cuts) > 0), tier_rank(severity, *cuts)).when(denied, 3).when(exceeded.isNotNull(), 2).otherwise(0)
 
 
-def decided(df: DataFrame, policy: Policy, session: str, order: list[str], payload: str, chargeable: Column) -> DataFrame:
+def decided(df: DataFrame, policy: Policy, session: str, order: list[str], payload: str, chargeable: Column, cuts: Thresholds = DEFAULT) -> DataFrame:
     """Adds rank and reason; df has tool and tokens. Events that a rule or default-deny decides are not charged, others are before they are checked."""
     hit = tool_rules(F.col("tool"), F.col(payload), list(policy.rules), missing_matches=True) if policy.rules else F.lit(None).cast("struct<severity:int,order:int,reason:string>")
     out = df.withColumn("_hit", hit)
-    by_rule = F.coalesce(tier_rank(F.col("_hit.severity")) > 0, F.lit(False))
+    by_rule = F.coalesce(tier_rank(F.col("_hit.severity"), *cuts) > 0, F.lit(False))
     denied = F.lit(policy.deny_by_default) & ~F.coalesce(F.col("tool").isin(*policy.allowed), F.lit(False))
     out = out.withColumn("_counts", (chargeable & ~by_rule & ~denied).cast("int")).withColumn("_tokens", F.col("tokens")).withColumn("tokens", F.col("tokens") * F.col("_counts"))
     out = budgets(out, session, order, "tool", policy.session, dict(policy.per_tool), F.col("_counts"))
     over = F.when(F.col("_counts") == 1, F.col("exceeded"))
     reason = F.when(by_rule, F.col("_hit.reason")).when(denied, "default deny").otherwise(over)
-    return out.select(*[c for c in df.columns if c != "tokens"], F.col("_tokens").alias("tokens"), verdict_rank(F.col("_hit.severity"), denied, over).alias("rank"), reason.alias("reason"))
+    return out.select(*[c for c in df.columns if c != "tokens"], F.col("_tokens").alias("tokens"), verdict_rank(F.col("_hit.severity"), denied, over, cuts).alias("rank"), reason.alias("reason"))
