@@ -400,3 +400,28 @@ def test_plain_commands_need_no_python(spark):
     assert "\\" not in "".join(commands)
     for r in df.collect():
         assert r.r.asDict(True) == shell.read(commands[r.i])
+
+
+def test_literals_lose_no_match(spark):
+    """Rules that the automaton leaves find what all patterns find, in odd cases and scripts too."""
+    import random
+
+    from vigilake.plans.rule_queries import MORE, NEAR, SAMPLES
+
+    rng = random.Random(4)
+    texts = [t for _, t in [*SAMPLES, *MORE]] + NEAR
+    odd = [t.replace("s", "ſ").replace("k", "K") for t in texts] + [t.upper() for t in texts] + ["".join(rng.choice((c.upper(), c.lower())) for c in t) for t in texts]
+    glued = [rng.choice(("x", "é", "_", " ", ".", "٩")).join(rng.sample(texts, 2)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in [*texts, *odd, *glued, "", None]], "t string")
+    all_ = F.when(F.col("t").isNotNull(), F.sequence(F.lit(0), F.lit(len(firewall.RULES) - 1)))
+    got = df.select("t", firewall.hits(F.col("t"), firewall.may_match(F.col("t")))["rule_id"].alias("few"), firewall.hits(F.col("t"), all_)["rule_id"].alias("all")).collect()
+    assert [(r.t, r.few) for r in got] == [(r.t, r["all"]) for r in got]
+    assert sum(len(r.few or ()) for r in got) > 600
+
+
+def test_bounded_literals():
+    from vigilake.functions.literals import Scanner
+
+    scan = Scanner(((("|rm|",), ("-",)), (("a", "b"),), (), (("{beyond ascii}", "7"),)))
+    for text, want in (("rm -x", (0, 2)), ("arm -x", (1, 2)), ("rm_ -", (2,)), ("-érm", (0, 2, 3)), ("", (2,)), ("B7", (1, 2, 3)), ("RM-", (0, 2)), ("formatting rm-", (0, 1, 2))):
+        assert scan.rules(text) == want, text

@@ -1,18 +1,20 @@
 """Text scans against severity-scored rules.
 
-All rules of a row are one array of conditions in the JVM: no join, no shuffle, no Python. The
-guards (literals) are looked for first, so that most patterns are never run.
+One pass over each text, by an automaton of all rules' literals in Arrow batches, tells which rules may
+match; only their patterns run, as conditions of one array in the JVM: no join, no shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
+import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.functions.columns import let
 from vigilake.functions.firewall_rules import RULES, Rule
+from vigilake.functions.literals import candidates
 from vigilake.functions.text import normalized
 from vigilake.functions.verdicts import DEFAULT, Thresholds, clamped, held, tier_name, tier_rank
 from vigilake.operators import urls
@@ -22,17 +24,21 @@ SURFACES = {"read_file": False, "web_fetch": False, "web_search": False, "user_p
 _DIALECT = "(?dU)"
 
 
-def matches(text: Column, low: Column, rule: Rule) -> Column:
-    pattern = text.rlike(_DIALECT + rule.pattern)
-    if rule.guards:
-        return reduce(Column.__or__, (F.contains(low, F.lit(g)) for g in rule.guards)) & pattern
-    return pattern
+def may_match(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """The rules that a text may match, by their literals; hits takes it."""
+    return candidates(text, tuple(r.guards for r in rules))
 
 
-def hits(text: Column, low: Column, rules: Iterable[Rule] = RULES) -> Column:
-    """An array of (severity, order, rule_id, category) of every rule that matches; order is higher for earlier rules."""
-    found = [F.when(matches(text, low, r), F.struct(F.lit(r.severity).alias("severity"), F.lit(-r.idx).alias("order"), F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"))) for r in rules]
-    return F.array_compact(F.array(*found))
+def _described(rules: Sequence[Rule]) -> Column:
+    """(severity, order, rule_id, category) of each rule, as one literal; order is higher for earlier rules."""
+    rows = [{"severity": r.severity, "order": -r.idx, "rule_id": r.id, "category": r.category} for r in rules]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<severity:int,order:int,rule_id:string,category:string>>")
+
+
+def hits(text: Column, may: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """An array of (severity, order, rule_id, category) of every rule that matches."""
+    found = F.array_compact(F.array(*[F.when(F.array_contains(may, i) & text.rlike(_DIALECT + r.pattern), i) for i, r in enumerate(rules)]))
+    return F.transform(found, lambda i: F.get(_described(rules), i))
 
 
 def _leak(text: Column, output: Column | None) -> list[Column]:
@@ -51,18 +57,18 @@ def scan(df: DataFrame, text: str, rules: list[Rule] | None = None, two_pass: bo
     """
     rules = RULES if rules is None else rules
 
-    def worst(x: Column, low: Column) -> Column:
-        found = hits(x, low, rules)
+    def worst(x: Column, may: Column) -> Column:
+        found = hits(x, may, rules)
         return F.array_max(F.concat(found, F.array_compact(F.array(*leak)))) if (leak := _leak(x, output)) else F.array_max(found)
 
-    out = df.withColumn("_low", F.lower(text)).withColumn("hit", worst(F.col(text), F.col("_low")))
+    out = held(df.withColumn("_may", may_match(F.col(text), rules)), "_first", worst(F.col(text), F.col("_may")))
     if not two_pass:
-        return out.drop("_low").withColumn("normalized", F.lit(False))
-    out = out.withColumn("_norm", F.when(F.col("hit").isNull(), normalized(F.col(text))))
-    out = out.withColumn("_norm", F.when(F.col("_norm") != F.col(text), F.col("_norm"))).withColumn("_low", F.lower("_norm"))
-    out = out.withColumn("_second", F.when(F.col("_norm").isNotNull(), worst(F.col("_norm"), F.col("_low"))))
-    out = held(out.withColumn("normalized", F.col("_second").isNotNull()), "_hit", F.coalesce("hit", "_second"))
-    return out.drop("_low", "_norm", "_second", "hit").withColumnRenamed("_hit", "hit")
+        return out.drop("_may", *({"hit"} & set(df.columns))).withColumnRenamed("_first", "hit").withColumn("normalized", F.lit(False))
+    changed = F.when(F.col("_first").isNull(), normalized(F.col(text)))
+    out = held(out, "_norm", let(changed, lambda x: F.when(x != F.col(text), x)))
+    out = held(out.withColumn("_may", may_match(F.col("_norm"), rules)), "_second", worst(F.col("_norm"), F.col("_may")))
+    out = out.withColumn("normalized", F.col("_second").isNotNull()).withColumn("hit", F.coalesce("_first", "_second"))
+    return out.drop("_may", "_norm", "_first", "_second")
 
 
 def verdicts(df: DataFrame, text: str, surface: Column | None = None, cuts: Thresholds = DEFAULT) -> DataFrame:

@@ -44,7 +44,7 @@ def _made(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
 
 
 def _ids(text: str):
-    return F.transform(firewall.hits(F.col(text), F.lower(text)), lambda h: h["rule_id"])
+    return F.transform(firewall.hits(F.col(text), firewall.may_match(F.col(text))), lambda h: h["rule_id"])
 
 
 def fw_rule_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

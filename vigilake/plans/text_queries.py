@@ -26,7 +26,7 @@ def fw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fw_hits_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.withColumn("_low", F.lower("text")).select("doc_id", F.explode(firewall.hits(F.col("text"), F.col("_low"))).alias("h")).select("doc_id", "h.rule_id", "h.severity", "h.category")
+    return docs.withColumn("_may", firewall.may_match(F.col("text"))).select("doc_id", F.explode(firewall.hits(F.col("text"), F.col("_may"))).alias("h")).select("doc_id", "h.rule_id", "h.severity", "h.category")
 
 
 def fw_pages_xss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def fw_vs_toxic_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_corpora_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [table(spark, sf_dir, t).select(F.lit(t).alias("corpus"), F.col(c).alias("text")) for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
-    found = spread(texts[0].unionByName(texts[1]).unionByName(texts[2])).withColumn("_low", F.lower("text")).select("corpus", F.explode(firewall.hits(F.col("text"), F.col("_low"))).alias("h"))
+    found = spread(texts[0].unionByName(texts[1]).unionByName(texts[2])).withColumn("_may", firewall.may_match(F.col("text"))).select("corpus", F.explode(firewall.hits(F.col("text"), F.col("_may"))).alias("h"))
     return found.groupBy(F.col("h.rule_id").alias("rule_id")).agg(F.count_distinct("corpus").alias("corpora"), F.count("*").alias("hits"))
 
 
