@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.plans import action_queries, chain_queries, gate_queries, relay_queries, rule_queries, text_queries
+from vigilake.plans import action_queries, chain_queries, gate_queries, relay_queries, rule_queries, session_queries, text_queries
 
-_GROUPS = (text_queries, rule_queries, action_queries, chain_queries, gate_queries, relay_queries)
+_GROUPS = (text_queries, rule_queries, action_queries, chain_queries, gate_queries, relay_queries, session_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
