@@ -1,15 +1,19 @@
 """Audit chains: canonical records, hashes, building and verification.
 
 Building is serial within a log by nature, so logs are the unit of parallelism (shard them by
-session and day). Verification is parallel: each line is held against the one before it.
+session and day); a log of any length streams through its task, which holds its head only.
+Verification isn't: logs are cut into slices of lines, which are checked apart, and each begins with
+what the slices before it hand on (whether a chained line was seen, the last number, the last good
+hash), which needs one row a slice. A log of many lines so uses all cores.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,24 +44,54 @@ def chain_hash(record: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _in_order(rows: DataFrame, log: str, order: str, schema: str, step: Callable[[dict, tuple], tuple[tuple, tuple]], begin: Callable[[dict], tuple]) -> DataFrame:
+    """Rows made log by log, each in its order: step makes a row's output and the state behind it, begin the state before a log's first row."""
+    log_kind = rows.schema[log].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, first = None, (), True
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if first or row[log] != now:
+                    now, state, first = row[log], begin(row), False
+                made, state = step(row, state)
+                out.append((row[log], *made))
+            columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, b.schema.field(log).type if t is None else t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    kinds = [None, *(pa.int64() if f.split()[1] == "long" else pa.string() for f in schema.split(", "))]
+    names = [log, *(f.split()[0] for f in schema.split(", "))]
+    return rows.repartition(log).sortWithinPartitions(log, order).mapInArrow(each, f"{log} {log_kind}, {schema}")
+
+
 def recorded(records: DataFrame, log: str, order: str) -> DataFrame:
     """log, line and value (a JSON line with seq, prev and hash) of every record, each log chained in its order; records have the fields of RECORD but these three."""
-    kind = records.schema[log].dataType.simpleString()
     fields = HASHED[2:]
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        prev, out = GENESIS, []
-        for seq, row in enumerate(group[list(fields)].itertuples(index=False), 1):
-            own = {"seq": seq, "prev": prev} | {k: None if pd.isna(v) else int(v) if k == "timestamp" else v for k, v in zip(fields, row, strict=True)}
-            prev = hashlib.sha256(json.dumps(own, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
-            out.append(json.dumps(own | {"hash": prev}, separators=(",", ":"), ensure_ascii=False))
-        return pd.DataFrame({log: group[log].to_numpy(), "line": range(1, len(group) + 1), "value": out})
+    def step(row: dict, state: tuple) -> tuple[tuple, tuple]:
+        seq, prev = state
+        own = {"seq": seq, "prev": prev} | {k: row[k] for k in fields}
+        head = hashlib.sha256(json.dumps(own, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+        return (seq, json.dumps(own | {"hash": head}, separators=(",", ":"), ensure_ascii=False)), (seq + 1, head)
+
+    return _in_order(records.select(log, order, *[c for c in fields if c not in (log, order)]), log, order, "line long, value string", step, lambda row: (1, GENESIS))
+
+
+#: Lines of a slice.
+SLICE = 1 << 17
+
 
-    return records.select(log, order, *fields).groupBy(log).applyInPandas(build, f"{log} {kind}, line long, value string")
+def _carried(rows: DataFrame, log: str, slice_lines: int, **handed: Column) -> DataFrame:
+    """Adds _slice, and what the slices before hand on: of each aggregate, its last value that isn't null."""
+    cut = rows.withColumn("_slice", F.expr(f"line div {slice_lines}L"))
+    ends = cut.groupBy(log, "_slice").agg(*[c.alias(n) for n, c in handed.items()])
+    earlier = Window.partitionBy(log).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(F.col(log).alias("_log"), F.col("_slice").alias("_at"), *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in handed])
+    return cut.join(before, F.col(log).eqNullSafe(F.col("_log")) & (F.col("_slice") == F.col("_at"))).drop("_log", "_at")
 
 
-def defects(lines: DataFrame, log: str) -> DataFrame:
+def defects(lines: DataFrame, log: str, slice_lines: int = SLICE) -> DataFrame:
     """kind (chained, legacy, or unreadable) and defects of every line that isn't blank: of log, line and value.
 
     Links are held against what earlier lines record, so that one damaged line is one defect:
@@ -72,11 +106,14 @@ def defects(lines: DataFrame, log: str) -> DataFrame:
     out = out.withColumn("kind", F.when(unreadable, "unreadable").when(chained, "chained").otherwise("legacy"))
     sixty_four = r"^[0-9a-fA-F]{64}\z"
     prev_ok, hash_ok = (F.coalesce(F.col(f"v.{c}").rlike(sixty_four), F.lit(False)) for c in ("prev", "hash"))
-    before = Window.partitionBy(log).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     counted = (F.col("kind") == "chained") & F.col("v.seq").isNotNull()
-    out = out.withColumn("_seen", F.coalesce(F.max((F.col("kind") == "chained").cast("int")).over(before), F.lit(0)) > 0)
-    out = out.withColumn("_seq", F.coalesce(F.last(F.when(counted, F.col("v.seq")), ignorenulls=True).over(before) + 1, F.lit(1)))
-    out = out.withColumn("_hash", F.coalesce(F.last(F.when(counted & prev_ok & hash_ok, F.col("v.hash")), ignorenulls=True).over(before), F.lit(GENESIS)))
+    is_chained = F.when(F.col("kind") == "chained", F.lit(1))
+    number, good = F.when(counted, F.col("v.seq")), F.when(counted & prev_ok & hash_ok, F.col("v.hash"))
+    out = _carried(out, log, slice_lines, _seen_before=F.max(is_chained), _seq_before=F.max_by(number, F.when(number.isNotNull(), F.col("line"))), _hash_before=F.max_by(good, F.when(good.isNotNull(), F.col("line"))))
+    before = Window.partitionBy(log, "_slice").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn("_seen", F.coalesce(F.max(is_chained).over(before), "_seen_before", F.lit(0)) > 0)
+    out = out.withColumn("_seq", F.coalesce(F.coalesce(F.last(number, ignorenulls=True).over(before), "_seq_before") + 1, F.lit(1)))
+    out = out.withColumn("_hash", F.coalesce(F.last(good, ignorenulls=True).over(before), "_hash_before", F.lit(GENESIS)))
     found = F.array_compact(
         F.array(
             F.when((F.col("kind") == "unreadable") & F.col("_seen"), "malformed"),
@@ -96,28 +133,27 @@ def record_hash(prev: Column, body: Column) -> Column:
 
 
 def chained(records: DataFrame, log: str, order: str, body: str, heads: DataFrame | None = None) -> DataFrame:
-    """log, seq (from 1), prev, hash and body of every record, each log in its order; heads (log, last_seq, head_hash) are the sidecars of logs that go on."""
-    kind = records.schema[log].dataType.simpleString()
-    begin = records.select(log, order, body)
-    begin = begin.join(heads.select(log, "last_seq", "head_hash"), log, "left") if heads is not None else begin.withColumn("last_seq", F.lit(0)).withColumn("head_hash", F.lit(GENESIS))
-    begin = begin.withColumn("last_seq", F.coalesce("last_seq", F.lit(0)).cast("long")).withColumn("head_hash", F.coalesce("head_hash", F.lit(GENESIS)))
+    """log, line, seq (from 1), prev, hash and body of every record, each log in its order; heads (log, last_seq, head_hash) are the sidecars of logs that go on."""
+    begin = records.select(F.col(log), F.col(order).alias("_order"), F.col(body).alias("_body"))
+    if heads is not None:
+        known = heads.select(F.col(log).alias("_log"), F.col("last_seq").cast("long"), "head_hash")
+        begin = begin.join(known, F.col(log).eqNullSafe(F.col("_log")), "left").drop("_log")
+    else:
+        begin = begin.withColumn("last_seq", F.lit(0).cast("long")).withColumn("head_hash", F.lit(GENESIS))
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        prev, out, first = group["head_hash"].iloc[0], [], int(group["last_seq"].iloc[0]) + 1
-        for b in group[body]:
-            h = hashlib.sha256((prev + b).encode()).hexdigest()
-            out.append((prev, h))
-            prev = h
-        return pd.DataFrame({log: group[log].to_numpy(), "line": range(first, first + len(group)), "seq": range(first, first + len(group)), "prev": [p for p, _ in out], "hash": [h for _, h in out], "body": group[body].to_numpy()})
+    def step(row: dict, state: tuple) -> tuple[tuple, tuple]:
+        seq, prev = state
+        head = hashlib.sha256((prev + (row["_body"] or "")).encode()).hexdigest()
+        return (seq, seq, prev, head, row["_body"]), (seq + 1, head)
 
-    return begin.groupBy(log).applyInPandas(build, f"{log} {kind}, line long, seq long, prev string, hash string, body string")
+    return _in_order(begin, log, "_order", "line long, seq long, prev string, hash string, body string", step, lambda row: ((row["last_seq"] or 0) + 1, row["head_hash"] or GENESIS))
 
 
-def verified(lines: DataFrame, log: str, body: str = "body") -> DataFrame:
+def verified(lines: DataFrame, log: str, body: str = "body", slice_lines: int = SLICE) -> DataFrame:
     """Adds defect to every line: the first of hash_mismatch, broken_link, sequence_gap that applies, or null; lines without seq are older ones."""
-    before = Window.partitionBy(log).orderBy("line")
-    out = lines.withColumn("_seq", F.lag("seq").over(before)).withColumn("_hash", F.lag("hash").over(before))
+    out = _carried(lines, log, slice_lines, _last=F.max_by(F.struct("seq", "hash"), "line"))
+    before = F.lag(F.struct("seq", "hash")).over(Window.partitionBy(log, "_slice").orderBy("line"))
+    out = out.withColumn("_last", F.coalesce(before, "_last")).withColumn("_seq", F.col("_last.seq")).withColumn("_hash", F.col("_last.hash"))
     fresh = F.col("_seq").isNull()
     defect = (
         F.when(F.col("seq").isNull(), F.lit(None).cast("string"))
@@ -125,14 +161,15 @@ def verified(lines: DataFrame, log: str, body: str = "body") -> DataFrame:
         .when(~fresh & (F.col("seq") != F.col("_seq") + 1), "sequence_gap")
         .when(F.col("prev") != F.when(fresh, F.lit(GENESIS)).otherwise(F.col("_hash")), "broken_link")
     )
-    return out.withColumn("defect", defect).drop("_seq", "_hash")
+    return out.withColumn("defect", defect).drop("_seq", "_hash", "_last", "_slice")
 
 
 def against_sidecar(lines: DataFrame, log: str, sidecar: DataFrame) -> DataFrame:
     """Of each log: intact, truncated, extended or head_mismatch, by its last line and the sidecar's last_seq and head_hash."""
     last = lines.where("seq is not null").groupBy(log).agg(F.max(F.struct("line", "seq", "hash")).alias("last"))
     state = F.when(F.col("last_seq").isNull(), "no_sidecar").when(F.coalesce(F.col("last.seq"), F.lit(0)) < F.col("last_seq"), "truncated").when(F.col("last.seq") > F.col("last_seq"), "extended").when(F.col("last.hash") != F.col("head_hash"), "head_mismatch").otherwise("intact")
-    return sidecar.join(last, log, "full_outer").select(log, state.alias("state"))
+    both = sidecar.select(F.col(log).alias("_log"), "last_seq", "head_hash").join(last, F.col(log).eqNullSafe(F.col("_log")), "full_outer")
+    return both.select(F.coalesce(log, "_log").alias(log), state.alias("state"))
 
 
 def healed(lines: DataFrame, log: str) -> DataFrame:
@@ -158,5 +195,7 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     A file may be read in splits: rows within one keep their order, splits follow by where they begin.
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
-    line = F.row_number().over(Window.partitionBy("file").orderBy("_at", "_id")).cast("long")
-    return raw.withColumn("line", line).select("file", "line", F.from_json("value", schema).alias("v")).select("file", "line", "v.*")
+    earlier = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("file", "_at").count().withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
+    line = F.row_number().over(Window.partitionBy("file", "_at").orderBy("_id")) + F.col("_before")
+    return raw.join(splits, ["file", "_at"]).withColumn("line", line.cast("long")).select("file", "line", F.from_json("value", schema).alias("v")).select("file", "line", "v.*")

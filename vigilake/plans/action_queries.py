@@ -97,6 +97,28 @@ def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.verified(damaged, "user_id").where("defect is not null").select("user_id", "event_id", "defect")
 
 
+def audit_one_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one log, damaged as above, checked in slices of 1,000 lines."""
+    e = _events(spark, sf_dir).select(F.lit("log").alias("log"), "event_id", F.concat_ws("|", "event_id", "tool").alias("body"))
+    lines = audit.chained(e, "log", "event_id", "body").withColumn("event_id", F.substring_index("body", "|", 1).cast("long"))
+    damaged = lines.where("event_id % 101 <> 2").withColumn("body", F.when(F.expr("event_id % 97 = 1"), F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    return audit.verified(damaged, "log", slice_lines=1000).where("defect is not null").select("event_id", "defect")
+
+
+def audit_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in four batches to the sink of a stream, the second and the last written twice: every log's head behind them."""
+    from vigilake.streaming import audit as sink
+
+    place = f"{shared_dir(spark)}/audit-sink-{uuid.uuid4().hex}"
+    e = _events(spark, sf_dir).select("user_id", "event_id", F.concat_ws("|", "event_id", "tool").alias("body"))
+    most = e.agg(F.max("event_id")).first()[0] or 0
+    write = sink.sink(place, "user_id", "event_id", "body")
+    for batch in (0, 1, 1, 2, 3, 3):
+        write(e.where((F.col("event_id") > F.lit(most) * batch / 4 - (batch == 0)) & (F.col("event_id") <= F.lit(most) * (batch + 1) / 4)), batch)
+    held = sink.lines(spark, place, "user_id", "bigint")
+    return held.groupBy("user_id").agg(F.count("*").alias("lines"), F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("head_hash"))
+
+
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     before = p.where("p_partkey % 7 <> 0").select("p_partkey", F.md5("p_name").alias("hash"))
@@ -145,6 +167,8 @@ ORACLES = {
     "canary_echo": "SELECT conv_id, turn, 'warn' AS tier FROM conversations WHERE role = 'assistant' AND conv_id % 5 = 0",
     "audit_build": f"WITH RECURSIVE l AS {_CHAIN}, c AS (SELECT user_id, seq, sha256(repeat('0', 64) || body) AS h FROM l WHERE seq = 1 UNION ALL SELECT l.user_id, l.seq, sha256(c.h || l.body) FROM c JOIN l ON l.user_id = c.user_id AND l.seq = c.seq + 1) SELECT user_id, max(seq) AS last_seq, max_by(h, seq) AS head_hash FROM c GROUP BY user_id",
     "audit_verify": f"WITH l AS {_CHAIN}, k AS (SELECT *, lag(seq) OVER (PARTITION BY user_id ORDER BY seq) AS before FROM l WHERE event_id % 101 <> 2), d AS (SELECT user_id, event_id, CASE WHEN event_id % 97 = 1 THEN 'hash_mismatch' WHEN before IS NOT NULL AND seq <> before + 1 THEN 'sequence_gap' WHEN before IS NULL AND seq > 1 THEN 'broken_link' END AS defect FROM k) SELECT * FROM d WHERE defect IS NOT NULL",
+    "audit_one_log": "WITH k AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS seq FROM events), d AS (SELECT event_id, CASE WHEN event_id % 97 = 1 THEN 'hash_mismatch' WHEN before IS NOT NULL AND seq <> before + 1 THEN 'sequence_gap' WHEN before IS NULL AND seq > 1 THEN 'broken_link' END AS defect FROM (SELECT *, lag(seq) OVER (ORDER BY seq) AS before FROM k WHERE event_id % 101 <> 2)) SELECT * FROM d WHERE defect IS NOT NULL",
+    "audit_sink": f"WITH RECURSIVE l AS {_CHAIN}, c AS (SELECT user_id, seq, sha256(repeat('0', 64) || body) AS h FROM l WHERE seq = 1 UNION ALL SELECT l.user_id, l.seq, sha256(c.h || l.body) FROM c JOIN l ON l.user_id = c.user_id AND l.seq = c.seq + 1) SELECT user_id, count(*) AS lines, max(seq) AS last_seq, max_by(h, seq) AS head_hash FROM c GROUP BY user_id",
     "manifest_diff": "WITH a AS (SELECT p_partkey, md5(p_name) AS h FROM part WHERE p_partkey % 7 <> 0), b AS (SELECT p_partkey, md5(CASE WHEN p_partkey % 13 = 0 THEN p_name || '!' ELSE p_name END) AS h FROM part WHERE p_partkey % 11 <> 0) SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.p_partkey = b.p_partkey WHERE a.h IS DISTINCT FROM b.h",
     "id_match_ttl": "WITH r AS (SELECT event_id AS id, unnest([1, CASE WHEN event_id % 2 = 0 THEN 30 END, CASE WHEN event_id % 5 = 0 THEN 90 END]) AS a FROM events WHERE event_id % 3 = 0) SELECT CASE WHEN id % 10 = 0 THEN 'unknown' WHEN a = 1 THEN 'matched' WHEN a - 1 <= 60 THEN 'replayed' ELSE 'unknown' END AS status, count(*) AS n, sum(id)::BIGINT AS ids FROM r WHERE a IS NOT NULL GROUP BY 1",
     "degrade_matrix": "WITH h(host, can_ask) AS (VALUES " + ", ".join(f"('{h}', {str(c).lower()})" for h, c in hosts.CAN_ASK.items()) + ") SELECT host, CASE WHEN event_id % 4 = 2 AND NOT can_ask THEN 'block' ELSE ['allow', 'warn', 'ask', 'block'][event_id % 4 + 1] END AS tier, count(*) AS n FROM events, h GROUP BY ALL",
@@ -152,4 +176,4 @@ ORACLES = {
     "event_sessions": "WITH a AS (SELECT user_id, ts, event_id, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS n FROM events), b AS (SELECT user_id, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a), c AS (SELECT user_id, run, count(*) AS k FROM b GROUP BY ALL) SELECT user_id, sum(k)::BIGINT AS events, max(k) AS longest_run FROM c GROUP BY 1",
 }
 
-QUERIES = {f.__name__: f for f in (path_guard, ssrf_v4, tool_rules, policy_default_deny, budget_running, budget_stream, canary_echo, audit_build, audit_verify, manifest_diff, id_match_ttl, degrade_matrix, latency_pctl, event_sessions)}
+QUERIES = {f.__name__: f for f in (path_guard, ssrf_v4, tool_rules, policy_default_deny, budget_running, budget_stream, canary_echo, audit_build, audit_verify, audit_one_log, audit_sink, manifest_diff, id_match_ttl, degrade_matrix, latency_pctl, event_sessions)}
