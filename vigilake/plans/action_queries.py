@@ -114,7 +114,8 @@ def audit_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     most = e.agg(F.max("event_id")).first()[0] or 0
     write = sink.sink(place, "user_id", "event_id", "body")
     for batch in (0, 1, 1, 2, 3, 3):
-        write(e.where((F.col("event_id") > F.lit(most) * batch / 4 - (batch == 0)) & (F.col("event_id") <= F.lit(most) * (batch + 1) / 4)), batch)
+        below, upto = (most * batch // 4 if batch else -1), most * (batch + 1) // 4
+        write(e.where((F.col("event_id") > below) & (F.col("event_id") <= upto)), batch)
     held = sink.lines(spark, place, "user_id", "bigint")
     return held.groupBy("user_id").agg(F.count("*").alias("lines"), F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("head_hash"))
 
