@@ -5,17 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.functions.canonical import canonical_text
+
+
+def _object(**members: Column) -> Column:
+    """A JSON object of members (texts of JSON, null where absent), by name."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in sorted(members.items())]), F.lit("}"))
+
+
+def _string(text: Column) -> Column:
+    """A JSON string; null stays null."""
+    return F.when(text.isNotNull(), canonical_text(F.regexp_replace(F.to_json(F.struct(text.alias("x"))), r'(?s)\A\{"x":|\}\z', "")))
+
 
 def descriptor_hash(name: Column, description: Column, schema: Column) -> Column:
-    """sha256 of name, description and input schema as canonical JSON (keys sorted by the variant)."""
-    parts = F.struct(description.alias("description"), F.to_json(F.try_parse_json(schema)).alias("inputSchema"), name.alias("name"))
-    return F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256)
+    """sha256 of name, description and input schema as canonical JSON; what is null is left out, a schema that is no JSON counts as a string."""
+    return F.sha2(_object(name=_string(name), description=_string(description), inputSchema=canonical_text(schema)), 256)
 
 
-def manifest_hash(tools: DataFrame, upstream: str = "upstream") -> DataFrame:
-    """One hash of each upstream's tools, sorted by name; output schemas count too."""
-    tool = F.struct("name", F.to_json(F.struct("description", F.to_json(F.try_parse_json(F.col("input_schema"))).alias("i"), F.to_json(F.try_parse_json(F.col("output_schema"))).alias("o"), "name")).alias("body"))
-    return tools.groupBy(upstream).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(tool)), lambda t: t["body"]), ","), 256).alias("tools_hash"))
+def manifest_hash(tools: DataFrame, upstream: str = "upstream", identity: bool = False) -> DataFrame:
+    """One hash of each upstream's tools, sorted by name; output schemas count too, and the upstream's name where it identifies the manifest."""
+    body = _object(name=_string(F.col("name")), description=_string(F.col("description")), inputSchema=canonical_text(F.col("input_schema")), outputSchema=canonical_text(F.col("output_schema")))
+    each = tools.select(upstream, F.struct("name", body.alias("body")).alias("tool"))
+    listed = each.groupBy(upstream).agg(F.array_join(F.transform(F.array_sort(F.collect_list("tool")), lambda t: t["body"]), ",").alias("listed"))
+    whole = _object(tools=F.concat(F.lit("["), F.col("listed"), F.lit("]")), **({"upstream": _string(F.col(upstream).cast("string"))} if identity else {}))
+    return listed.select(upstream, F.sha2(whole, 256).alias("tools_hash"))
 
 
 def drift(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,6 +47,49 @@ def pinned(pins: DataFrame, seen: DataFrame) -> DataFrame:
     return seen.join(p, "upstream", "left").select("upstream", "tools_hash", verdict.alias("verdict"))
 
 
+def tool_changes(before: Column, after: Column) -> Column:
+    """(name, change) of the tools that were added, removed or modified between two maps of name to digest, by name."""
+    gone, new = F.array_except(F.map_keys(before), F.map_keys(after)), F.array_except(F.map_keys(after), F.map_keys(before))
+    kept = F.filter(F.map_keys(after), lambda n: F.map_contains_key(before, n))
+    other = F.filter(kept, lambda n: F.element_at(before, n) != F.element_at(after, n))
+
+    def told(names: Column, what: str) -> Column:
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(what).alias("change")))
+
+    return F.array_sort(F.concat(told(gone, "removed"), told(new, "added"), told(other, "modified")))
+
+
+def verify_or_record(known: DataFrame, seen: DataFrame, now: int, expected: DataFrame | None = None) -> DataFrame:
+    """Of each upstream that is known or seen (tools_hash and tools): verdict, changes, and the pin it has then (tools_hash, tools, first_seen, last_verified).
+
+    What an operator expects (upstream, pin as `sha256:<hex>` in any case) comes first and settles a
+    mismatch; then a known pin matches (and is verified anew) or not (and stays), and what is new is
+    recorded. verdict is null for known upstreams that weren't seen. Of an upstream that is seen twice, one row counts.
+    """
+    pin = known.select(F.col("upstream").alias("of"), F.struct("tools_hash", "tools", "first_seen", "last_verified").alias("old"))
+    one = seen.groupBy("upstream").agg(F.min_by(F.struct("tools_hash", "tools"), "tools_hash").alias("new"))
+    both = one.join(pin, F.col("upstream") == F.col("of"), "full_outer").withColumn("upstream", F.coalesce("upstream", "of")).drop("of")
+    if expected is not None:
+        want = expected.groupBy(F.col("upstream").alias("of")).agg(F.min(F.lower(F.trim("pin"))).alias("want"))
+        both = both.join(want, F.col("upstream") == F.col("of"), "left").drop("of")
+    else:
+        both = both.withColumn("want", F.lit(None).cast("string"))
+    verdict = (
+        F.when(F.col("new").isNull(), None)
+        .when(F.col("want") != F.concat(F.lit("sha256:"), F.col("new.tools_hash")), "preseed_mismatch")
+        .when(F.col("old").isNull(), "recorded")
+        .when(F.col("old.tools_hash") == F.col("new.tools_hash"), "matched")
+        .otherwise("mismatch")
+    )
+    both = both.withColumn("verdict", verdict)
+    at = F.lit(now).cast("long")
+    fresh = F.struct("new.tools_hash", "new.tools", at.alias("first_seen"), at.alias("last_verified"))
+    again = F.struct("old.tools_hash", "old.tools", "old.first_seen", at.alias("last_verified"))
+    pin_now = F.when(F.col("verdict") == "recorded", fresh).when(F.col("verdict") == "matched", again).otherwise(F.col("old"))
+    changes = F.when(F.col("verdict") == "mismatch", tool_changes(F.col("old.tools"), F.col("new.tools")))
+    return both.select("upstream", "verdict", changes.alias("changes"), pin_now.alias("pin"))
+
+
 def _sized(data: Column) -> Column:
     """The bytes behind their number, as eight bytes, least first."""
     return F.concat(_eight(F.octet_length(data)), data)

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilake.functions.canonical import manifest_digests
 from vigilake.functions.verdicts import tier_name
 from vigilake.operators import audit, firewall, net, pins, policy
-from vigilake.sources import lines
+from vigilake.sources import lines, pin_store
 from vigilake.sources.tables import shared_dir, table
 
 #: Addresses with the reason that must come out, written by hand; {x}: four hexadecimal digits, {o}: a number up to 255.
@@ -93,6 +94,30 @@ def manifest_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy(F.substring_index("upstream", "-", 1).cast("long").alias("list")).agg((F.count_distinct("tools_hash") == 1).alias("same"))
 
 
+def _manifests(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataFrame:
+    """Parts as tools of 40 upstreams, as tools/list results with keys and numbers written oddly; changed: some other descriptions, tools gone and new."""
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("u"), F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
+    if changed:
+        p = p.where("u % 4 <> 1 or k % 3 <> 0").withColumn("name", F.when(F.expr("u % 4 = 2 and k % 5 = 0"), F.concat("name", F.lit("!"))).otherwise(F.col("name")))
+    tool = F.concat(F.lit('{ "outputSchema" : [1.50, 1E2], "title":"t","name":"'), F.lpad(F.col("k").cast("string"), 9, "0"), F.lit('","inputSchema":{"b":null,"a":'), F.col("k").cast("string"), F.lit('.0},"description":"\\u00e9 '), F.col("name"), F.lit('"}'))
+    listed = p.select("u", tool.alias("t")).groupBy("u").agg(F.array_join(F.array_sort(F.collect_list("t"), lambda a, b: F.when(F.md5(a) < F.md5(b), -1).when(F.md5(a) > F.md5(b), 1).otherwise(0)), " , ").alias("t"))
+    made = listed.select(F.concat(F.lit("run "), F.col("u").cast("string")).alias("upstream"), F.concat(F.lit('{"x":0,"tools":['), F.col("t"), F.lit("]}")).alias("result"))
+    return made.select("upstream", manifest_digests("upstream", "result").alias("d")).select("upstream", "d.*")
+
+
+def manifest_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifests(spark, sf_dir).select("upstream", "tools_hash", F.size("tools").cast("long").alias("tools"))
+
+
+def pin_store_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests recorded, seen again, and changed, with a pin that an operator expects wrongly; by run, upstream and change."""
+    place = f"{shared_dir(spark)}/pins-{uuid.uuid4().hex}"
+    expected = spark.createDataFrame([("run 7", "SHA256:00")], "upstream string, pin string")
+    runs = [pin_store.verify(spark, place, _manifests(spark, sf_dir, changed), n, expected if n == 3 else None) for n, changed in ((1, False), (2, False), (3, True))]
+    told = [r.select(F.lit(n).alias("run"), "upstream", "verdict", F.explode_outer("changes").alias("c")) for n, r in enumerate(runs, 1)]
+    return told[0].unionByName(told[1]).unionByName(told[2]).groupBy("run", "upstream", "verdict", F.col("c.change").alias("change")).agg(F.count("c").alias("tools"))
+
+
 def pin_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as upstreams: unknown, seen alike, changed, given in advance in capitals, and given in advance wrongly."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("upstream"), (F.col("c_custkey") % 5).alias("k"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("tools_hash"))
@@ -128,7 +153,11 @@ ORACLES = {
         SELECT user_id, defect, count(*) AS n FROM d GROUP BY ALL""",
     "audit_sidecars": "SELECT DISTINCT user_id, ['intact', 'truncated', 'extended', 'head_mismatch'][user_id % 4 + 1] AS state FROM events",
     "manifest_hashes": "SELECT DISTINCT p_partkey % 50 AS list, p_partkey % 50 % 3 <> 0 AS same FROM part",
+    "manifest_canonical": "SELECT upstream, sha256('{\"tools\":[' || string_agg('{\"description\":\"é ' || p_name || '\",\"inputSchema\":{\"a\":' || p_partkey || '.0,\"b\":null},\"name\":\"' || lpad(p_partkey::VARCHAR, 9, '0') || '\",\"outputSchema\":[1.5,100.0]}', ',' ORDER BY p_partkey) || '],\"upstream\":\"' || upstream || '\"}') AS tools_hash, count(*) AS tools FROM (SELECT *, 'run ' || p_partkey % 40 AS upstream FROM part) GROUP BY upstream",
+    "pin_store_runs": """WITH p AS (SELECT p_partkey AS k, p_partkey % 40 AS u FROM part), s AS (SELECT u, count(*) FILTER (u % 4 = 1 AND k % 3 = 0) AS gone, count(*) FILTER (u % 4 = 2 AND k % 5 = 0) AS other FROM p GROUP BY u)
+        SELECT run::INTEGER AS run, 'run ' || u AS upstream, CASE WHEN run = 1 THEN 'recorded' WHEN run = 2 THEN 'matched' WHEN u = 7 THEN 'preseed_mismatch' WHEN gone + other > 0 THEN 'mismatch' ELSE 'matched' END AS verdict,
+            CASE WHEN run = 3 AND u <> 7 THEN CASE WHEN gone > 0 THEN 'removed' WHEN other > 0 THEN 'modified' END END AS change, CASE WHEN run = 3 AND u <> 7 THEN gone + other ELSE 0 END AS tools FROM s, range(1, 4) r(run)""",
     "pin_verdicts": "SELECT c_custkey::VARCHAR AS upstream, ['recorded', 'matched', 'mismatch', 'matched', 'preseed_mismatch'][c_custkey % 5 + 1] AS verdict FROM customer",
     "canary_stream": "SELECT event_id, user_id AS session, coalesce(event_id % 14 = 0 AND (max(CASE WHEN event_id % 10 = 0 THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)) = 1, false) AS echoed FROM events",
 }
-QUERIES = {f.__name__: f for f in (ssrf_v6, ssrf_hosts, fetch_outcomes, allow_globs, whole_files, audit_records, audit_sidecars, manifest_hashes, pin_verdicts, canary_stream)}
+QUERIES = {f.__name__: f for f in (ssrf_v6, ssrf_hosts, fetch_outcomes, allow_globs, whole_files, audit_records, audit_sidecars, manifest_hashes, manifest_canonical, pin_store_runs, pin_verdicts, canary_stream)}

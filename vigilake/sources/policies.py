@@ -44,11 +44,13 @@ def load(file: str) -> Policy:
 
 
 def parse(text: str) -> Policy:
-    """The policy and the fingerprint of what it says, whatever comments, spaces or the order of keys."""
+    """The policy and the fingerprint of what it says: the typed policy as compact JSON, defaults filled in, whatever comments, spaces or the order of keys."""
     spec = _only(tomllib.loads(text), {"schema_version", "defaults", "tools", "budgets"}, "the policy")
     if spec.get("schema_version") != 1:
         raise ValueError(f"schema_version {spec.get('schema_version')} is not 1")
-    action = _only(spec.get("defaults", {}), {"action"}, "defaults").get("action", "allow")
+    # default_action is the name that files use; action is short for it.
+    defaults = _only(spec.get("defaults", {}), {"default_action", "action"}, "defaults")
+    action = defaults.get("default_action", defaults.get("action", "allow"))
     if action not in ("allow", "deny"):
         raise ValueError(f"the default action is allow or deny, not {action!r}")
     rules, allowed = [], []
@@ -62,6 +64,12 @@ def parse(text: str) -> Policy:
     caps = _only(spec.get("budgets", {}), {"session", "per_tool"}, "budgets")
     whole = _only(caps.get("session", {}), {"max_tokens", "max_tool_invocations"}, "the session's budget")
     each = {t: _only(b, {"max_tokens", "max_invocations"}, f"the budget of {t}") for t, b in caps.get("per_tool", {}).items()}
-    fingerprint = hashlib.sha256(json.dumps(spec, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    typed = {
+        "schema_version": 1,
+        "defaults": {"default_action": action},
+        "tools": [{"name": t["name"], "allow": t.get("allow", []), "deny": t.get("deny", []), "rules": [{k: r[k] for k in ("arg", "pattern", "severity", "reason")} for r in t.get("rules", [])]} for t in spec.get("tools", [])],
+        "budgets": {"session": {k: whole.get(k) for k in ("max_tokens", "max_tool_invocations")}, "per_tool": {t: {k: b.get(k) for k in ("max_tokens", "max_invocations")} for t, b in sorted(each.items())}},
+    }
+    fingerprint = hashlib.sha256(json.dumps(typed, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
     per_tool = tuple((t, Budget(b.get("max_tokens"), b.get("max_invocations"))) for t, b in sorted(each.items()))
     return Policy(tuple(rules), action == "deny", tuple(allowed), Budget(whole.get("max_tokens"), whole.get("max_tool_invocations")), per_tool, fingerprint)
