@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vigilake.functions.canonical import manifest_digests
 from vigilake.functions.verdicts import tier_name
 from vigilake.operators import audit, firewall, net, pins, policy
-from vigilake.sources import lines, pin_store
+from vigilake.sources import files, lines, pin_store
 from vigilake.sources.tables import shared_dir, table
 
 #: Addresses with the reason that must come out, written by hand; {x}: four hexadecimal digits, {o}: a number up to 255.
@@ -55,6 +55,14 @@ def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.whole(spark, f"{place}/*/*.txt").select(F.octet_length("text").cast("long").alias("bytes"), F.char_length("text").cast("long").alias("chars"), "cut")
 
 
+def framed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files and read as framed lines, by ranges of 1 MiB and under a limit of 400 bytes: how many lines there are of each length and text."""
+    place = f"{shared_dir(spark)}/framed-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select(F.col("text").alias("value")).where("value is not null").write.text(place)
+    found = files.lines(spark, place, most=400, range_bytes=1 << 20)
+    return found.groupBy(F.octet_length("line").cast("long").alias("bytes"), F.md5("line").alias("digest"), "error").agg(F.count("*").alias("n"))
+
+
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chained records of each user: some lines unreadable (event_id % 83 = 0), gone (% 89), changed afterwards (% 97), without number (% 101)."""
     e = table(spark, sf_dir, "events").select(
@@ -148,6 +156,7 @@ ORACLES = {
     "fetch_outcomes": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 8 < 4 THEN 'block' ELSE 'allow' END WHEN 1 THEN 'block' ELSE 'warn' END AS tier FROM events",
     "allow_globs": "SELECT p_partkey, [false, true, true, false, true][k] AS ends, [false, true, false, true, true][k] AS begins, [true, true, false, true, true][k] AS inside, [true, true, false, true, true][k] AS plain, true AS all_ FROM (SELECT p_partkey, p_partkey % 5 + 1 AS k FROM part)",
     "whole_files": "SELECT CASE WHEN n_nationkey % 5 = 0 THEN 1048576 ELSE 3 * (n_nationkey + 1) + 1 END::BIGINT AS bytes, CASE WHEN n_nationkey % 5 = 0 THEN 699051 ELSE 2 * (n_nationkey + 1) + 1 END::BIGINT AS chars, n_nationkey % 5 = 0 AS cut FROM nation",
+    "framed_files": "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL), c AS (SELECT CASE WHEN right(raw, 1) = chr(13) THEN left(raw, length(raw) - 1) ELSE raw END AS line FROM l) SELECT CASE WHEN strlen(line) <= 400 THEN strlen(line) END::BIGINT AS bytes, CASE WHEN strlen(line) <= 400 THEN md5(line) END AS digest, CASE WHEN strlen(line) > 400 THEN 'line too long' END AS error, count(*) AS n FROM c GROUP BY ALL",
     "audit_records": f"""WITH l AS ({_GOOD}), w AS (SELECT *, coalesce(last_value(CASE WHEN NOT cut AND NOT bare THEN seq END IGNORE NULLS) OVER b, 0) AS last_seq, coalesce(bool_or(NOT cut) OVER b, false) AS seen FROM l WINDOW b AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         d AS (SELECT user_id, unnest(list_filter([CASE WHEN cut AND seen THEN 'malformed' END, CASE WHEN bare THEN 'missing_seq' END, CASE WHEN NOT cut AND NOT bare AND seq <> last_seq + 1 THEN 'sequence_gap' END, CASE WHEN NOT cut AND NOT bare AND seq <> last_seq + 1 THEN 'broken_link' END, CASE WHEN changed THEN 'hash_mismatch' END], lambda x: x IS NOT NULL)) AS defect FROM w)
         SELECT user_id, defect, count(*) AS n FROM d GROUP BY ALL""",
@@ -160,4 +169,4 @@ ORACLES = {
     "pin_verdicts": "SELECT c_custkey::VARCHAR AS upstream, ['recorded', 'matched', 'mismatch', 'matched', 'preseed_mismatch'][c_custkey % 5 + 1] AS verdict FROM customer",
     "canary_stream": "SELECT event_id, user_id AS session, coalesce(event_id % 14 = 0 AND (max(CASE WHEN event_id % 10 = 0 THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)) = 1, false) AS echoed FROM events",
 }
-QUERIES = {f.__name__: f for f in (ssrf_v6, ssrf_hosts, fetch_outcomes, allow_globs, whole_files, audit_records, audit_sidecars, manifest_hashes, manifest_canonical, pin_store_runs, pin_verdicts, canary_stream)}
+QUERIES = {f.__name__: f for f in (ssrf_v6, ssrf_hosts, fetch_outcomes, allow_globs, whole_files, framed_files, audit_records, audit_sidecars, manifest_hashes, manifest_canonical, pin_store_runs, pin_verdicts, canary_stream)}

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.functions.text import cut_bytes
+from vigilake.sources import files
 from vigilake.sources.events import MOST_LINE
+from vigilake.sources.files import MOST_CONTENT
 
-#: Fixed value: the most bytes of a file or page that are looked at.
-MOST_CONTENT = 1 << 20
 #: A line that is skipped (blank, or a comment), or a command: lines joined where one ends in an odd number of backslashes.
 _LOGICAL = r"(?m)^(?:[ \t]*(?:#[^\n]*)?$|(?:(?:[^\\\n]++|\\[^\n])*+\\\n)*+(?:[^\\\n]++|\\[^\n])*+\\?$)"
 
@@ -29,11 +28,10 @@ def commands(text: Column) -> Column:
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 0) and command of the corpora at a path; a file is read whole, as its lines depend on those before."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), commands(F.col("value")).alias("commands"))
-    return files.select("file", F.posexplode("commands").alias("line", "command"))
+    read = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), commands(F.col("value")).alias("commands"))
+    return read.select("file", F.posexplode("commands").alias("line", "command"))
 
 
 def whole(spark: SparkSession, path: str, most: int = MOST_CONTENT) -> DataFrame:
-    """file, text (its first bytes up to the limit, never cut inside a character) and cut (whether there is more) of the files at a path, each read whole."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("all"))
-    return files.select("file", cut_bytes(F.col("all"), most).alias("text"), (F.octet_length("all") > most).alias("cut"))
+    """file, text (its first bytes up to the limit, never cut inside a character) and cut (whether there is more) of the files at a path; no more of a file is read."""
+    return files.prefixes(spark, path, most).withColumn("file", F.element_at(F.split("file", "/"), -1))
