@@ -6,6 +6,7 @@ tells of each text of a batch which rules that leaves, so that patterns run only
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -76,12 +77,17 @@ def scanner(guards: tuple[Guards, ...]) -> Scanner:
     return Scanner(guards)
 
 
-def candidates(text: Column, guards: tuple[Guards, ...]) -> Column:
-    """The places of the rules that a text may match, as an array; null for null."""
+def scanning(guards: tuple[Guards, ...]) -> Callable[[Column], Column]:
+    """An Arrow function: the places of the rules that a text may match, as an array; null for null."""
 
     @F.arrow_udf("array<int>")
     def scanned(texts: pa.Array) -> pa.Array:
         scan = scanner(guards)
         return pa.array([None if t is None else scan.rules(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    return scanned(text)
+    return scanned
+
+
+def candidates(text: Column, guards: tuple[Guards, ...]) -> Column:
+    """The places of the rules that a text may match, as an array; null for null."""
+    return scanning(guards)(text)

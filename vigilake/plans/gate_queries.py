@@ -7,6 +7,7 @@ import base64
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilake.functions import sql
 from vigilake.functions.text import cut_bytes
 from vigilake.operators import gate
 from vigilake.sources import config, events, packs
@@ -65,6 +66,12 @@ def gate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.evaluate(_made(spark, sf_dir, [c for c, _ in CORPUS]), "command", packs=("cloud", "db", "container")).select("event_id", "tier")
 
 
+def sql_check_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same commands from SQL."""
+    sql.register(spark, config.parse('packs = ["cloud", "db", "container"]'))
+    return spark.sql("SELECT event_id, check_command(command).tier AS tier FROM {made}", made=_made(spark, sf_dir, [c for c, _ in CORPUS]))
+
+
 #: Behind how much a command that must be blocked stands: bytes of a quoted text, or legs before it.
 LONG = [("echo '", 70_000, "x", "'; "), ("", 300, "true; ", ""), ("", 5_000, ":;", ""), ("cat <<< \"", 20_000, "word ", "\"; ")]
 
@@ -196,8 +203,9 @@ ORACLES = {
     "gate_levels": "SELECT event_id, " + ", ".join(f"{_list([x[i] for x in BY_LEVEL])}[event_id % {len(BY_LEVEL)} + 1] AS {n}" for i, n in enumerate(("default", "strict", "high", "critical"), 1)) + " FROM events",
     "community_packs": f"SELECT event_id, {_list([r for _, r in SHARED])}[event_id % {len(SHARED)} + 1] AS rule_id, {_list(['allow' if r is None else 'block' for _, r in SHARED])}[event_id % {len(SHARED)} + 1] AS tier FROM events",
     "gate_corpus": f"SELECT event_id, {_list([t for _, t in CORPUS])}[event_id % {len(CORPUS)} + 1] AS tier FROM events",
+    "sql_check_commands": f"SELECT event_id, {_list([t for _, t in CORPUS])}[event_id % {len(CORPUS)} + 1] AS tier FROM events",
     "gate_long": "SELECT s_suppkey, CASE WHEN s_suppkey % 8 < 4 THEN 'rm-rf' END AS rule_id, CASE WHEN s_suppkey % 8 < 4 THEN 'block' ELSE 'allow' END AS tier FROM supplier",
     "gate_custom": f"SELECT event_id, {_list([t for _, t in OWN])}[event_id % {len(OWN)} + 1] AS tier FROM events",
     "byte_cut": "SELECT event_id, (CASE WHEN n * 2 <= 512 THEN n * 2 ELSE 511 END)::INT AS bytes, (CASE WHEN n * 2 <= 512 THEN n ELSE 255 END)::INT AS chars FROM (SELECT event_id, event_id % 400 AS n FROM events)",
 }
-QUERIES = {f.__name__: f for f in (gate_commands, gate_packs, gate_corpus, gate_long, gate_custom, naive_vs_gate, event_ingest, mcp_gate, mcp_arguments, mcp_conversations, gate_levels, community_packs, byte_cut)}
+QUERIES = {f.__name__: f for f in (gate_commands, gate_packs, gate_corpus, sql_check_commands, gate_long, gate_custom, naive_vs_gate, event_ingest, mcp_gate, mcp_arguments, mcp_conversations, gate_levels, community_packs, byte_cut)}

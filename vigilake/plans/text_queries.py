@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilake.functions import sql
 from vigilake.functions.firewall_rules import RULES
 from vigilake.functions.text import ISSUERS, SECRET_NAME, is_secret_name, name_folded, neutralized, normalized, redacted
 from vigilake.functions.verdicts import DEFAULT, LEVELS, clamped, tier_name, tier_rank
@@ -24,6 +25,13 @@ def fw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("lang", "v.level", "v.tier").agg(F.count("*").alias("n"))
 
 
+def sql_scan_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by language and tier, from SQL."""
+    sql.register(spark)
+    docs = spread(table(spark, sf_dir, "documents").select("lang", "text"))
+    return spark.sql("SELECT lang, v.tier AS tier, count(*) AS n, coalesce(max(v.severity), 0) AS worst FROM (SELECT lang, scan_prompt(text) AS v FROM {docs}) GROUP BY lang, v.tier", docs=docs)
+
+
 def fw_hits_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.withColumn("_may", firewall.may_match(F.col("text"))).select("doc_id", F.explode(firewall.hits(F.col("text"), F.col("_may"))).alias("h")).select("doc_id", "h.rule_id", "h.severity", "h.category")
@@ -150,6 +158,7 @@ def _redact_sql(column: str) -> str:
 
 ORACLES = {
     "fw_tier_by_lang": f"{_DOCS} SELECT lang, tier, count(*) AS n, max(worst)::INT AS worst FROM t GROUP BY lang, tier",
+    "sql_scan_prompts": f"{_DOCS} SELECT lang, tier, count(*) AS n, max(worst)::INT AS worst FROM t GROUP BY lang, tier",
     "fw_levels": f"{_DOCS} SELECT lang, level, CASE WHEN worst >= block_at THEN 'block' WHEN worst >= warn_at THEN 'warn' ELSE 'allow' END AS tier, count(*) AS n FROM t, (VALUES ('default', 8, 5), " + ", ".join(f"('{n}', {b}, {w})" for n, (b, w) in LEVELS.items()) + ") l(level, block_at, warn_at) GROUP BY ALL",
     "fw_hits_exploded": f"{_DOCS} SELECT doc_id, x.rule_id AS rule_id, x.severity AS severity, x.category AS category FROM (SELECT doc_id, unnest(hits) AS x FROM h)",
     "fw_pages_xss": f"WITH h AS (SELECT page_id, {_hits_sql('html', [r for r in RULES if r.category == 'xss'])} AS hits FROM pages), w AS (SELECT page_id, list_sort(list_transform(hits, lambda x: {{'s': x.severity, 'o': x.o, 'r': x.rule_id}}), 'DESC') AS b FROM h) SELECT page_id, b[1].r AS rule_id, b[1].s AS severity, CASE WHEN b[1].s >= 8 THEN 'block' WHEN b[1].s >= 5 THEN 'warn' ELSE 'allow' END AS tier FROM w",
@@ -167,4 +176,4 @@ ORACLES = {
     "url_params": "SELECT page_id, p.* FROM pages, LATERAL (VALUES (0, 'access_token', md5(url), true, 'hex string', 9), (2, 'q', page_id::VARCHAR, false, NULL, 0), (3, 'key', 'v', true, NULL, 7)) p(position, name, value, name_hit, shape, severity)",
 }
 
-QUERIES = {f.__name__: f for f in (fw_tier_by_lang, fw_levels, fw_hits_exploded, fw_pages_xss, fw_surface_posture, fw_vs_toxic_confusion, rule_corpora_count, verdict_rollup, lookaround_pii, redact_tokens, redact_documents, secret_names, neutralize_turns, unicode_fold, name_collision, url_params)}
+QUERIES = {f.__name__: f for f in (fw_tier_by_lang, sql_scan_prompts, fw_levels, fw_hits_exploded, fw_pages_xss, fw_surface_posture, fw_vs_toxic_confusion, rule_corpora_count, verdict_rollup, lookaround_pii, redact_tokens, redact_documents, secret_names, neutralize_turns, unicode_fold, name_collision, url_params)}
