@@ -88,6 +88,18 @@ def scanning(guards: tuple[Guards, ...]) -> Callable[[Column], Column]:
     return scanned
 
 
+def rescanning(guards: tuple[Guards, ...]) -> Callable[[Column], Column]:
+    """As scanning, with the text itself beside the places."""
+    kind = pa.struct([("text", pa.string()), ("may", pa.list_(pa.int32()))])
+
+    @F.arrow_udf("text string, may array<int>")
+    def scanned(texts: pa.Array) -> pa.Array:
+        scan = scanner(guards)
+        return pa.array([None if t is None else {"text": t, "may": scan.rules(t)} for t in texts.to_pylist()], kind)
+
+    return scanned
+
+
 def candidates(text: Column, guards: tuple[Guards, ...]) -> Column:
     """The places of the rules that a text may match, as an array; null for null."""
     return scanning(guards)(text)

@@ -18,7 +18,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions import shell
-from vigilake.functions.literals import scanning
+from vigilake.functions.columns import let
+from vigilake.functions.literals import rescanning, scanning
 from vigilake.functions.text import normalized, redacted
 from vigilake.functions.verdicts import tier_name, tier_rank
 from vigilake.operators import firewall, gate
@@ -59,7 +60,9 @@ def register(spark: SparkSession, config: Config | None = None, globs: tuple[Glo
     rules = gate.rules_of(config, globs) if config else gate.Rules(globs=globs)
     off = bool(config and config.disable)
     spark.udf.register("vigilake_read", shell.read_each)
-    spark.udf.register("vigilake_may", scanning(tuple(r.guards for r in firewall.RULES)))
+    guards = tuple(r.guards for r in firewall.RULES)
+    spark.udf.register("vigilake_may", scanning(guards))
+    spark.udf.register("vigilake_rescan", rescanning(guards))
     spark.udtf.register("command_legs", CommandLegs)
     command, text, may, hit = F.col("command"), F.col("text"), F.col("may"), F.col("hit")
     _create(spark, "vigilake_gate_hit", f"read {shell.READ.simpleString()}", HIT, rules.worst(F.col("read")))
@@ -70,10 +73,12 @@ def register(spark: SparkSession, config: Config | None = None, globs: tuple[Glo
     _create(spark, "normalized_text", "text STRING", "STRING", normalized(text))
     _create(spark, "redacted_text", "text STRING", "STRING", redacted(text))
 
-    def scanned(x: Column) -> Column:
-        return F.call_function("vigilake_text_hit", x, F.call_function("vigilake_may", x))
-
+    # The second pass sees texts that normalisation changes, and counts where the first finds nothing. Its
+    # text comes back from the scan, so that it is normalised once.
+    changed = let(F.call_function("normalized_text", text), lambda x: F.when(x != text, x))
+    _create(spark, "vigilake_changed", "text STRING", "STRING", changed)
+    _create(spark, "vigilake_second", "again STRUCT<text: STRING, may: ARRAY<INT>>", HIT, F.call_function("vigilake_text_hit", F.col("again")["text"], F.col("again")["may"]))
     seen = F.when(F.lit(not off), text)
-    # The second pass counts only where the first finds nothing.
-    found = F.coalesce(scanned(seen), scanned(F.call_function("normalized_text", seen)))
-    _create(spark, "scan_prompt", "text STRING", VERDICT, F.call_function("vigilake_verdict", found))
+    first = F.call_function("vigilake_text_hit", seen, F.call_function("vigilake_may", seen))
+    second = F.call_function("vigilake_second", F.call_function("vigilake_rescan", F.call_function("vigilake_changed", seen)))
+    _create(spark, "scan_prompt", "text STRING", VERDICT, F.call_function("vigilake_verdict", F.coalesce(first, second)))
