@@ -39,3 +39,11 @@ def test_bytes_are_compared_inside_equal_digests(spark, documents, monkeypatch):
     clashes = {("d", "two"): 1}
     monkeypatch.setattr(fingerprints, "digest", lambda c: "d")
     assert fingerprints.fingerprint("two", clashes) == "d-1" and fingerprints.fingerprint("one", clashes) == "d"
+
+
+def test_ids_of_other_types(spark):
+    for kind, ids in (("int", [1, None]), ("string", ["a", None])):
+        df = spark.createDataFrame([(i, "Some  Text") for i in ids], f"doc_id {kind}, text string")
+        got = fingerprints.fingerprints(df)
+        assert got.schema["doc_id"].dataType.simpleString() == kind
+        assert {r.doc_id for r in got.collect()} == set(ids) and len({r.fingerprint for r in got.collect()}) == 1

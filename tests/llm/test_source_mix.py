@@ -93,3 +93,17 @@ def test_the_mix_keeps_columns_of_any_name(spark, documents):
     assert got.columns == docs.columns
     want = {r.doc_id: r for r in docs.collect()}
     assert got.count() and all(r == want[r.doc_id] for r in got.collect())
+
+
+@pytest.mark.parametrize("ids", [[None], [5], [None, 5, 6]])
+def test_equal_rows_are_taken_in_part(spark, documents, ids):
+    """Thousands of rows of one id and text: as many as the target asks for, by both ways to the mix."""
+    rows = [(ids[i % len(ids)], "one two three four") for i in range(3000)] + [(100_000 + i, "a b c") for i in range(1000)]
+    docs = documents(rows).withColumn("source", F.when(F.col("doc_id") < 100_000, "hot").when(F.col("doc_id").isNull(), "hot").otherwise("other")).repartition(7)
+    out = source_mix.mixture(docs).collect()
+    assert len(out) == len(rows) and all(0 <= r.copies <= 3 for r in out)
+    for s in ("hot", "other"):
+        taken, target = sum(r.copies * r.size for r in out if r.source == s), next(r.target for r in out if r.source == s)
+        assert abs(taken - target) <= 2
+    texts = source_mix.mixed(docs).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in texts} == {s: sum(r.copies for r in out if r.source == s) for s in ("hot", "other")}

@@ -75,3 +75,11 @@ def test_workers_hold_counts_by_vocabulary(spark, documents, tmp_path):
     (tmp_path / "few.json").write_text(json.dumps(spec))
     for file in (FILE, str(tmp_path / "few.json"), FILE):
         assert token_counts.count_tokens(docs, file).first().n_tokens == len(Tokenizer.from_file(file).encode("tokenization of words", add_special_tokens=False).ids)
+
+
+def test_long_pretokens_are_not_remembered():
+    cache = {}
+    texts = ["word " * 3 + "A" * n + " é" * n for n in (3, 64, 65, 300)] + ["語" * 30 + " x"]
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.text_counts(texts, file, cache) == library(texts) == token_counts.text_counts(texts, file, cache)
+    assert cache and max(len(w.encode()) for w in cache) <= token_counts.LONG

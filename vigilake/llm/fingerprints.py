@@ -84,14 +84,15 @@ def fingerprint(text: str, clashes: dict[tuple[str, str], int]) -> str:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of every document."""
+    """doc_id, of whatever type, and fingerprint of every document."""
     clashes = collisions(docs)
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(t, clashes) for t in b.column("text").to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    return text_rows(docs, "doc_id").mapInArrow(printed, "doc_id long, fingerprint string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return text_rows(docs, "doc_id").mapInArrow(printed, f"doc_id {kind}, fingerprint string")
 
 
 _LEAST = -(1 << 63)

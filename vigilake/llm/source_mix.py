@@ -2,7 +2,7 @@
 
 A source whose target is e times its size and a rest is taken whole e times; the rest is filled
 with the documents of the least keys -ln(u)/w, where u is a hash of the document and w its
-quality, up to the prefix sum nearest to the rest. Documents are taken whole.
+quality, up to the prefix sum nearest to the rest (the lower on ties). Documents are taken whole.
 
 The prefix sum needs no sorted source in one task: sizes are summed by source and slice of keys
 (about the root of the row count many slices), a window over these few sums finds the slice in
@@ -10,8 +10,9 @@ which the budget ends, and only that slice's rows are sorted. The table of sourc
 summed by ranges as well, so that there may be any number of them; it is broadcast only while it
 has at most SOURCES_BROADCAST rows.
 
-Null text has size 0 and is never taken in part; null sources are one source, the last; rows of
-equal id and text share a key and are taken together.
+Null text has size 0 and is never taken in part; null sources are one source, the last. Rows of equal
+id and text share a key; where the budget ends among them, as many as come nearest to it are taken. An
+empty table gives none. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -102,37 +103,60 @@ def plan(rows: DataFrame) -> DataFrame:
     ends = ends.select("of", F.col("end.slice").alias("at"), "end.before", "end.rest")
     ends = F.broadcast(ends) if few else ends
     last = cut.join(ends, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")))
-    last = last.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    last = last.groupBy("source", "key").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     total = last.withColumn("total", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key")))
-    # Of the prefix sums, the nearest to the rest; none at all if that is nearer.
-    miss = F.abs(F.col("total") - F.col("rest"))
-    cutoff = total.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "key", "before", "rest")).alias("best"), F.min("key").alias("lowest"))
-    cutoff = cutoff.select(F.col("source").alias("of"), F.when(F.col("best.rest") - F.col("best.before") >= F.col("best.miss"), F.col("best.key")).otherwise(F.col("lowest") * (1 - 1e-15)).alias("cutoff"))
+    # The key at which the sums pass the rest, and of its rows (equal ones share a key) as many as come nearest to it.
+    end = F.struct("key", "total", "size", "n", "rest")
+    ends = total.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("total") >= F.col("rest"), end)), F.max(end)).alias("end")).select("source", "end.*")
+    near = F.ceil((F.col("rest") - F.col("total") + F.col("size")) * F.col("n") / F.col("size") - 0.5)
+    some = F.when(F.col("size") > 0, F.least("n", F.greatest(F.lit(0), near))).otherwise(F.col("n"))
+    cutoff = ends.select(F.col("source").alias("of"), F.col("key").alias("cutoff"), some.cast("long").alias("some"), F.col("n").alias("ties"))
     cutoff = F.broadcast(cutoff) if few else cutoff
-    return goals.join(cutoff, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "epochs", F.coalesce("cutoff", F.lit(-1.0)).alias("cutoff"))
+    met = goals.join(cutoff, F.col("source").eqNullSafe(F.col("of")), "left")
+    return met.select("source", "source_size", "target", "epochs", F.coalesce("cutoff", F.lit(-1.0)).alias("cutoff"), F.coalesce("some", F.lit(0)).alias("some"), F.coalesce("ties", F.lit(0)).alias("ties"))
+
+
+def _ranked(tied: DataFrame) -> DataFrame:
+    """Adds rank, from 1, to rows of each `of`, in any order: counted by written range, so that no group of equal rows is one task."""
+    held = saved(tied.withColumn("at", F.monotonically_increasing_id()), "mix-ties").withColumn("range", F.shiftright("at", 33))
+    earlier = Window.partitionBy("o").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.groupBy(F.col("of").alias("o"), F.col("range").alias("r")).count().withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
+    met = held.join(before, F.col("of").eqNullSafe(F.col("o")) & (F.col("range") == F.col("r")))
+    return met.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("of", "range").orderBy("at"))).drop("at", "range", "o", "r", "before")
+
+
+def _copies(rows: DataFrame, source: str, plans: DataFrame) -> DataFrame:
+    """Adds source_size, target and copies (how often the mix takes the row) to rows of source and key."""
+    part = (F.col("some") > 0) & (F.col("some") < F.col("ties"))
+    state = plans.agg(F.count("*").alias("n"), F.coalesce(F.bool_or(part), F.lit(False)).alias("parts")).first()
+    plans = (F.broadcast(plans) if state.n <= SOURCES_BROADCAST else plans).withColumnRenamed("source", "of")
+    whole = rows.join(plans, F.col(source).eqNullSafe(F.col("of")))
+    at_end = F.col("key") == F.col("cutoff")
+    once = F.col("epochs") + ((F.col("key") < F.col("cutoff")) | at_end & (F.col("some") > 0)).cast("int")
+    if not state.parts:
+        out = whole.withColumn("copies", once)
+    else:
+        # Of rows of one key only some are taken; they are counted out.
+        few = _ranked(whole.where(at_end & part)).withColumn("copies", F.col("epochs") + (F.col("rank") <= F.col("some")).cast("int")).drop("rank")
+        out = whole.where(~(at_end & part)).withColumn("copies", once).unionByName(few)
+    return out.drop("of", "epochs", "cutoff", "some", "ties")
 
 
 def mix(rows: DataFrame, plans: DataFrame) -> DataFrame:
     """Adds source_size, target and copies (how often the mix takes the document) to measured rows."""
-    plans = plans.withColumnRenamed("source", "of")
-    whole = rows.join(plans, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    return whole.withColumn("copies", F.col("epochs") + (F.col("key") <= F.col("cutoff")).cast("int")).drop("epochs", "cutoff")
+    return _copies(rows, "source", plans)
 
 
 def mixture(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, source, size, key, source_size, target and copies of every document."""
     rows = saved(measured(docs, seed), "mix-rows")
-    plans = saved(plan(rows), "mix-plan")
-    small = plans.count() <= SOURCES_BROADCAST
-    return mix(rows, F.broadcast(plans) if small else plans)
+    return mix(rows, saved(plan(rows), "mix-plan"))
 
 
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: the documents, each as often as it is taken. Texts are not shuffled."""
     plans = saved(plan(saved(measured(docs, seed), "mix-rows")), "mix-plan")
-    plans = (F.broadcast(plans) if plans.count() <= SOURCES_BROADCAST else plans).withColumnRenamed("source", "of")
     # The row is one column, so that none of its own can clash.
     keyed = docs.select(F.struct("*").alias("row"), F.col("source").alias("from"), _key(seed).alias("key"))
-    taken = keyed.join(plans, F.col("from").eqNullSafe(F.col("of")))
-    copies = F.col("epochs") + (F.col("key") <= F.col("cutoff")).cast("int")
-    return taken.select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).select("row.*")
+    taken = _copies(keyed, "from", plans)
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).select("row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vigilake.llm.shared import small_batches, text_rows
 
-#: Pre-tokens whose counts a worker remembers.
+#: Pre-tokens whose counts a worker remembers; those of more than LONG bytes aren't, so that they take some 50 MB at most.
 CACHE = 400_000
 #: Bytes of a pre-token from which on it is merged alone.
 LONG = 64
@@ -177,7 +177,12 @@ def text_counts(texts: list[str], file: str, cache: dict[str, int]) -> list[int]
         new = list({w for ws in found for w in ws})
     cache.update(zip(new, m.count([w.encode() for w in new]).tolist(), strict=True))
     get = cache.__getitem__
-    return [sum(map(get, ws)) + len(parts) - 1 for ws, parts in zip(found, split, strict=True)]
+    out = [sum(map(get, ws)) + len(parts) - 1 for ws, parts in zip(found, split, strict=True)]
+    # A character is a byte at least.
+    for w in new:
+        if len(w) > LONG // 4 and len(w.encode()) > LONG:
+            del cache[w]
+    return out
 
 
 _caches: dict[str, dict[str, int]] = {}
