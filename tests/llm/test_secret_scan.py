@@ -105,6 +105,22 @@ def test_syntax_of_many_kinds():
         assert literals("é prose, before: it\n" + t.format(SECRET) + "\nand = after") == [SECRET], t
 
 
+MORE = [
+    '{{"private_key": ["{}"]}}', 'private_key = [\n  "{}",\n]', "passphrases: ['{}']\npassphrase: ['{}']".replace("passphrases: ['{}']\n", ""), 'pwd = ["{}", other]', '$pwd = "{}" . "";', 'pwd = "{}" & ""', 'pwd = debug ? "" : "{}"', "pwd = debug ? '{}' : ''", 'pwd = "{}" if debug else ""', 'pwd = "" if debug else "{}"',
+    'user, pwd = "me", "{}"', 'pwd, user = ("{}", "me")', '#define DB_PASSPHRASE "{}"', "#  define PWD '{}'", 'setx PASSPHRASE "{}"', "SETX PASSPHRASE {}", 'config :app, :secret_key_x, "{}"', "passphrase: !!str {}", 'passphrase: !!str "{}"', 'pwd <- "{}"', "pwd<-'{}'", '(setq passphrase "{}")', '(defvar *db-passphrase* "{}")',
+    "<pwd>\n  {}\n</pwd>", 'a = "{}"\npwd = a & "" ',
+]
+
+
+def test_lists_conditions_and_declarations():
+    for t in MORE:
+        assert literals(t.format(SECRET)) == [SECRET], t
+        assert literals("prose\n" + t.format(SECRET) + "\nand after, it ends") == [SECRET], t
+    assert literals('private_key = ["' + SECRET + '", "x", "' + SECRET + '2"]') == [SECRET, SECRET + "2"]
+    assert literals('user, pwd = "' + SECRET + '", "me"') == []
+    assert literals('title = ["' + SECRET + '"]') == literals('title = x ? "' + SECRET + '" : ""') == []
+
+
 def test_what_gives_no_secret():
     for t in ['pwd = os.environ.get("DB_PASSWORD")', 'if pwd == "s3cr3t!pa$$w0rd": pass', 'pwd = """two words s3cr3t"""', "<password></password>", 'title = "s3cr3t!pa$$w0rd"', "the password: please ask", 'x = get("name", "s3cr3t!pa$$w0rd")', "pwd = (", 'pwd = """', "pwd = |"]:
         assert literals(t) == [], t
@@ -158,7 +174,7 @@ def test_programs_equal_the_interpreter(data):
 
 
 def test_time_is_near_the_length():
-    for unit in ("password = \"hunter22!Secret#9\"\n", "k=(", "k='''", 'k="k=\'', "k: |\n ", "<a>", "k=f(", "token=abcdef ", "k=k+", "((", '("k","'):
+    for unit in ("password = \"hunter22!Secret#9\"\n", "k=(", "k='''", 'k="k=\'', "k: |\n ", "<a>", "k=f(", "token=abcdef ", "k=k+", "((", '("k","', "<a>x" + " " * 400 + "<b></b>", " ", "k=k ? ", "k=[", "k=['a',", "a,b='", "k='a' if ", "k=?", "k='' . ", "#define k '", ":k, '", "k: !!s "):
         took = []
         for n in (40_000, 160_000):
             text = unit * (n // len(unit))
@@ -166,3 +182,6 @@ def test_time_is_near_the_length():
             secret_scan.spans(text)
             took.append(time.time() - start)
         assert took[1] < 10 * took[0] + 0.5, (unit, took)
+    start = time.time()
+    secret_scan.spans("<a>x" + " " * 1_000_000 + "<b></b>")
+    assert time.time() - start < 1

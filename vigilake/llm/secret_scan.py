@@ -3,8 +3,9 @@
 The lexer finds where source or configuration syntax gives a name a value: assignments with
 subscripts (`cfg["key"] = `), annotations (`let key: string = `, `var key string = `), mappings
 (`"key": `, `key => `), settings (`export KEY=`, `ENV KEY `), arguments (`get("KEY", `, `setKey(`),
-XML elements and name-value attributes. From there it reads the value state by state: strings of
-all quotes (triple, raw, formatted, escaped), sums, neighbours and parentheses over lines, calls,
+XML elements and name-value attributes, declarations without a sign (`#define NAME`, `setx NAME`,
+`:name, `, `(setq name`), and several names at once. From there it reads the value state by state: strings of
+all quotes (triple, raw, formatted, escaped), lists, either value of a condition, sums, neighbours and parentheses over lines, calls,
 YAML block scalars, bare words. Names that stand for earlier values hand them on, and every
 literal is scored by how sensitive the names are that it ends up in.
 
@@ -52,22 +53,35 @@ THRESHOLD = 0.45
 
 # No repetition has an upper bound or gives back what it took, so that long names and literals are read whole in linear time.
 _TYPE = r"""(?:&(?:'\w++\x20)?+(?:mut\x20)?+)?+[A-Za-z_][\w.]*+(?:[<\[][\w.,|<>\[\]]*+(?:\x20++[\w.,|<>\[\]]++)*+(?<=[>\]]))?+\??+"""
-_SET = r"""(?::=|\?=|\+=|=>|=(?![=>~])|:(?![:/=]))"""
+_SET = r"""(?::=|\?=|\+=|=>|<-(?![-<])|=(?![=>~])|:(?![:/=]))"""
 _PAIR = re.compile(
     r"""(?<![\w$.\-])(?:"([^"\n]++)"|'([^'\n]++)'"""
     rf"""|(?:var|const|val|let)\x20++([A-Za-z_$][\w$]*+)\x20++{_TYPE}\x20*+(?==)"""
     r"""|([A-Za-z_$][\w$.\-]*+(?:\[\x20*+(?:"[^"\n]*+"|'[^'\n]*+'|[\w.$]++)\x20*+\])*+))"""
-    rf"""(?:\x20*+:\x20*+{_TYPE}\x20*+=(?![=>~])|\x20*+{_SET})\x20*+(?=["'`A-Za-z0-9_$+/(|>\\])"""
+    rf"""(?:\x20*+:\x20*+{_TYPE}\x20*+=(?![=>~])|\x20*+{_SET})\x20*+(?=["'`A-Za-z0-9_$+/(|>\\!\[])"""
 )
 _ARGUMENT = re.compile(r"""\(\s*+(?:"([^"\n]++)"|'([^'\n]++)')\s*+,\s*+(?=["'`])""")
 _SETTER = re.compile(r"""(?<![\w$])([A-Za-z_$][\w$.]*+)\(\s*+(?=["'`])""")
 _SETTING = re.compile(r"(?m)^ENV\x20++(\w++)\x20++(?=\S)")
-_ELEMENT = re.compile(r"<([A-Za-z_][\w.:\-]*+)(?:\x20[^<>]*+)?>\s*+([^<>]*?)\s*+</\1\s*+>")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:\-]*+)(?:\x20[^<>]*+)?>\s*+([^<>]*+)</\1\s*+>")
+#: Declarations without a sign between name and value.
+_DECLARED = [
+    ("define", re.compile(r"(?m)^[ \t]*+\#[ \t]*+define[ \t]++([A-Za-z_]\w*+)[ \t]++(?=[\"'])")),
+    ("setx", re.compile(r"(?mi)^[ \t]*+setx[ \t]++(\w++)[ \t]++(?=\S)")),
+    (":", re.compile(r"(?<![\w:]):([A-Za-z_]\w*+),[ \t]*+(?=[\"'])")),
+    ("(", re.compile(r"\((?:setq|setf|defvar|defconst|defparameter|define|def)\s++([A-Za-z*][\w*\-]*+)\s++(?=\")")),
+]
+#: Several names that get as many values.
+_TUPLE = re.compile(r"(?m)^[ \t]*+((?:[A-Za-z_][\w.]*+[ \t]*+,[ \t]*+)++[A-Za-z_][\w.]*+)[ \t]*+=(?![=>~])[ \t]*+\(?+(?=[\"'])")
+#: What precedes a value of two that a condition chooses from, and what stands between them.
+_ASKED, _OTHERWISE, _ELSE = re.compile(r"[^\n;,?\"'`]*+"), re.compile(r"\?\s*+(?=[\"'`])"), re.compile(r"if\b(?:(?!\belse\b)[^\n\"'`])*+\belse[ \t]++(?=[\"'`])")
+_TAG = re.compile(r"!{1,2}[\w:/.]*+[ \t]++")
+_JOIN = re.compile(r"(?:\+|[.&](?=[ \t]*+[\"'`])|&(?=[ \t]*+[A-Za-z_$]))")
 _ATTRIBUTES = re.compile(r"""\b(?:key|name|id)\x20*+=\x20*+["']([^"'<>\n]++)["']\x20++value\x20*+=\x20*+(?=["'])""")
 _QUOTED = re.compile(r"""([rbufRBUF]{0,2})(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|\\"([^"\\\n]*+)\\")""")
 _TRIPLE = re.compile(r"[rbufRBUF]{0,2}(\"\"\"|''')")
 _FIELD = re.compile(r"\{([A-Za-z_][\w.]*+)\}")
-_NAME = re.compile(r"[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+|\[\x20*+(?:\"[^\"\n]*+\"|'[^'\n]*+'|[\w.$]++)\x20*+\])*+(?=\s*(?:[;,+})\]]|$|\n))", re.MULTILINE)
+_NAME = re.compile(r"[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+|\[\x20*+(?:\"[^\"\n]*+\"|'[^'\n]*+'|[\w.$]++)\x20*+\])*+(?=\s*(?:[;,+&})\]]|$|\n))", re.MULTILINE)
 _CALL = re.compile(r"(?:new\x20++)?+([A-Za-z_$][\w$.]*+)\(")
 _BLOCK = re.compile(r"[|>][+-]?\d?[+-]?[ \t]*+(?:#[^\n]*+)?\n")
 _LINE = re.compile(r"([ \t]*+)([^\n]*+)(?:\n|\Z)")
@@ -148,15 +162,22 @@ def _sum(of: list[_Value]) -> _Value:
 
 
 def _anchors(text: str) -> list[tuple[int, int, str, int]]:
-    """(where the value begins, where the name begins, name, where the value ends or -1) of all that gives a name a value, by the value's place."""
-    out = [(m.end(), m.start(), m[1] or m[2] or m[3] or m[4], -1) for m in _PAIR.finditer(text)] if "=" in text or ":" in text else []
+    """(where the value begins, where the name begins, name, where the value ends or -1) of all that gives a name a value, by the value's place; names with commas get a value each."""
+    out = [(m.end(), m.start(), m[1] or m[2] or m[3] or m[4], -1) for m in _PAIR.finditer(text)] if "=" in text or ":" in text or "<-" in text else []
+    if "=" in text and "," in text and (several := {m.end(): (m.end(), m.start(), m[1], -1) for m in _TUPLE.finditer(text)}):
+        opened = {at - (text[at - 1] == "(") for at in several}
+        out = [a for a in out if a[0] not in several and a[0] not in opened] + list(several.values())
+    low = text.lower()
+    for sign, pattern in _DECLARED:
+        if sign in low:
+            out += [(m.end(), m.start(), m[1], -1) for m in pattern.finditer(text)]
     if "(" in text:
         out += [(m.end(), m.start(), m[1] or m[2], -1) for m in _ARGUMENT.finditer(text)]
         out += [(m.end(), m.start(), name, -1) for m in _SETTER.finditer(text) if (name := m[1].rsplit(".", 1)[-1]).lower().startswith("set") and name_score(name)]
     if "ENV " in text:
         out += [(m.end(), m.start(), m[1], -1) for m in _SETTING.finditer(text)]
     if "</" in text:
-        out += [(m.start(2), m.start(), m[1], m.end(2)) for m in _ELEMENT.finditer(text)]
+        out += [(m.start(2), m.start(), m[1], m.start(2) + len(m[2].rstrip())) for m in _ELEMENT.finditer(text)]
     if "value" in text:
         out += [(m.end(), m.start(), m[1], -1) for m in _ATTRIBUTES.finditer(text)]
     return sorted(out)
@@ -171,6 +192,8 @@ class _Lexer:
         self.open = {'"""': len(text), "'''": len(text)}
         # The last run of bare characters: how far it was read, its end, and what is in the rest.
         self.at_bare, self.bare_end, self.bare = 0, -1, Counter()
+        # The last stretch without a question mark: where it was read from, and its end.
+        self.asked = (0, -1)
 
     def made(self, a: int, b: int, quoted: bool, counts: Counter | None = None) -> _Value:
         text = self.text
@@ -223,15 +246,53 @@ class _Lexer:
                     a = f.end()
         return [*out, self.made(a, b, True)], q.end()
 
-    def value(self, at: int) -> list[_Value]:
-        """What the value that begins here is made of."""
+    def values_of(self, at: int, several: bool = False) -> list[list[_Value]]:
+        """What each value that begins here is made of: one, those of a list, those that a condition chooses from, or several by comma."""
+        text = self.text
+        at = m.end() if (m := _TAG.match(text, at)) else at
+        if text[at : at + 1] == "[":
+            return self.listed(at + 1)
+        if several:
+            return self.listed(at, False)
+        parts, end = self.value(at)
+        if parts and (m := _ELSE.match(text, end)):
+            return [parts, self.value(m.end())[0]]
+        if not any(v.quoted for v in parts) and (m := _OTHERWISE.match(text, self.stop(at))):
+            first, end = self.value(m.end())
+            end = _WIDE.match(text, end).end()
+            return [first, self.value(_WIDE.match(text, end + 1).end())[0]] if text[end : end + 1] == ":" else [first]
+        return [parts]
+
+    def stop(self, at: int) -> int:
+        """Where a question mark, a quote or the end of what may be a condition stands."""
+        begin, end = self.asked
+        if not begin <= at <= end:
+            self.asked = (at, end := _ASKED.match(self.text, at).end())
+        return end
+
+    def listed(self, at: int, wide: bool = True) -> list[list[_Value]]:
+        """Values by comma, over lines if wide; other than strings and names end the list."""
+        text, out, gap = self.text, [], _WIDE if wide else _GAP
+        while True:
+            at = gap.match(text, at).end()
+            if text[at : at + 1] not in "\"'`" and not (m := _NAME.match(text, at)):
+                return out
+            parts, at = self.value(at)
+            out.append(parts)
+            at = gap.match(text, at).end()
+            if not parts or text[at : at + 1] != ",":
+                return out
+            at += 1
+
+    def value(self, at: int) -> tuple[list[_Value], int]:
+        """What the value that begins here is made of, and where it ends."""
         text, parts, depth = self.text, [], 0
         calls: list[bool] = []  # of each open parenthesis, whether its next string is only a name
         plus = True  # whether an operand may follow
         while True:
             at = (_WIDE if depth else _GAP).match(text, at).end()
             c = text[at : at + 1]
-            if c == "+" and parts:
+            if parts and c in "+.&" and c and _JOIN.match(text, at):
                 at, plus = _WIDE.match(text, at + 1).end(), True
                 continue
             if c == "," and depth:
@@ -249,7 +310,7 @@ class _Lexer:
                 at, plus = end, False
                 continue
             if not plus:
-                return parts
+                return parts, at
             if c == "(":
                 at, depth = at + 1, depth + 1
                 calls.append(False)
@@ -260,9 +321,9 @@ class _Lexer:
                 parts.append(self.known[m[0]])
                 at, plus = m.end(), False
             elif not parts and not depth:
-                return self.bare_word(at)
+                return self.bare_word(at), at
             else:
-                return parts
+                return parts, at
 
     def bare_word(self, at: int) -> list[_Value]:
         if self.at_bare <= at < self.bare_end:
@@ -279,19 +340,22 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that a sensitive name is given, at once or through other names."""
     lexer = _Lexer(text)
     for at, name_at, name, end in _anchors(text):
+        names = [n.strip() for n in name.split(",")] if "," in name else [name]
         if end >= 0:
-            parts = lexer.lines(at, end)
+            values = [lexer.lines(at, end)]
         elif m := _BLOCK.match(text, at):
-            parts = lexer.block(name_at, m.end())
+            values = [lexer.block(name_at, m.end())]
         else:
-            parts = lexer.value(at)
-        if not parts:
-            continue
-        lexer.known[name] = whole = _sum(parts)
-        if len(parts) > 1:
-            lexer.values.append(whole)
-        if (s := name_score(name)) > 0:
-            whole.score = max(whole.score, s * whole.literal())
+            values = lexer.values_of(at, len(names) > 1)
+        for i, parts in enumerate(values):
+            if not parts:
+                continue
+            own = names[min(i, len(names) - 1)]
+            lexer.known[own] = whole = _sum(parts)
+            if len(parts) > 1:
+                lexer.values.append(whole)
+            if (s := name_score(own)) > 0:
+                whole.score = max(whole.score, s * whole.literal())
     # A sum comes behind what it is made of.
     found = set()
     for v in reversed(lexer.values):
@@ -305,7 +369,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
 def spans(text: str, has_hex: bool = True) -> list[tuple[int, int, str]]:
     """All spans by start, then kind; a lexed one that lies within a base one is left out."""
     out = base_spans(text) + (hex_spans(text) if has_hex else [])
-    if any(c in text for c in "=:(") or "</" in text or "ENV " in text:
+    if any(c in text for c in "=:(#") or any(w in text for w in ("</", "<-", "ENV ", "setx", "SETX")):
         taken = sorted(out)
         # How far the base spans that begin up to each one reach.
         reach = list(accumulate((b for _, b, _ in taken), max))
