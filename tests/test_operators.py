@@ -7,6 +7,7 @@ from vigilake.functions import shell, text
 from vigilake.functions.verdicts import LEVELS, tier_rank, worst
 from vigilake.operators import audit, dispatch, firewall, gate, hosts, net, paths, pins, policy, relay, urls
 from vigilake.sources import config
+from vigilake.sources.packs import GlobRule
 
 
 def column(spark, values, f, kind="string"):
@@ -425,3 +426,21 @@ def test_bounded_literals():
     scan = Scanner(((("|rm|",), ("-",)), (("a", "b"),), (), (("{beyond ascii}", "7"),)))
     for text, want in (("rm -x", (0, 2)), ("arm -x", (1, 2)), ("rm_ -", (2,)), ("-érm", (0, 2, 3)), ("", (2,)), ("B7", (1, 2, 3)), ("RM-", (0, 2)), ("formatting rm-", (0, 1, 2))):
         assert scan.rules(text) == want, text
+
+
+def test_many_globs_equal_each_on_its_own(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    words = ["rm", "Deploy", "--force", "x.y", "é", "[a]", "job", "-f", "prod"]
+    globs = tuple(GlobRule("p", f"g{i}", rng.choice(["*", ""]) + "*".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) + rng.choice(["*", ""]), rng.randrange(10), "c") for i in range(200)) + (GlobRule("p", "all", "*", 1, "c"),)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(6))) + rng.choice(["", " ; job x", " | 'q' deploy"])) for i in range(200)] + [(900, None)], "i int, c string")
+    calls = df.select("i", F.to_json(F.struct(F.col("c").alias("cmd"), F.lit("prod job").alias("script"))).alias("a"))
+
+    def found():
+        one = {r.i: r.hit for r in gate.evaluate(df, "c", globs=globs).collect()}
+        return one, {r.i: (r.rule_id, r.argument) for r in gate.tool_call(calls, "a", globs=globs).collect()}
+
+    many = found()
+    monkeypatch.setattr(gate, "FEW_GLOBS", 1000)
+    assert many == found() and len({h.rule_id for h in many[0].values() if h}) > 10

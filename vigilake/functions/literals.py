@@ -6,6 +6,7 @@ tells of each text of a batch which rules that leaves, so that patterns run only
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -28,8 +29,9 @@ class Scanner:
 
     def __init__(self, guards: tuple[Guards, ...]) -> None:
         groups = [(rule, group) for rule, lists in enumerate(guards) for group in lists]
-        #: Of each rule, the groups it needs, as bits.
-        self.needs = [sum(1 << g for g, (r, _) in enumerate(groups) if r == rule) for rule in range(len(guards))]
+        #: The rule of each group, how many groups a rule needs, and the rules that need none.
+        self.rule, self.needs = [r for r, _ in groups], [len(lists) for lists in guards]
+        self.always = [r for r, n in enumerate(self.needs) if not n]
         self.beyond = sum(1 << g for g, (_, group) in enumerate(groups) if BEYOND_ASCII in group)
         held: dict[str, list[tuple[bool, bool, int]]] = {}
         for g, (_, group) in enumerate(groups):
@@ -65,7 +67,12 @@ class Scanner:
         """The places of the rules whose groups are all there."""
         groups = self.groups(text)
         if (out := self.known.get(groups)) is None:
-            out = tuple(r for r, need in enumerate(self.needs) if groups & need == need)
+            met: Counter = Counter()
+            left = groups
+            while left:
+                met[self.rule[(left & -left).bit_length() - 1]] += 1
+                left &= left - 1
+            out = tuple(sorted([*self.always, *(r for r, n in met.items() if n == self.needs[r])]))
             if len(self.known) < 1 << 16:
                 self.known[groups] = out
         return out
@@ -103,3 +110,14 @@ def rescanning(guards: tuple[Guards, ...]) -> Callable[[Column], Column]:
 def candidates(text: Column, guards: tuple[Guards, ...]) -> Column:
     """The places of the rules that a text may match, as an array; null for null."""
     return scanning(guards)(text)
+
+
+def candidates_each(texts: Column, guards: tuple[Guards, ...]) -> Column:
+    """As candidates, for every text of an array."""
+
+    @F.arrow_udf("array<array<int>>")
+    def scanned(lists: pa.Array) -> pa.Array:
+        scan = scanner(guards)
+        return pa.array([None if x is None else [None if t is None else scan.rules(t) for t in x] for x in lists.to_pylist()], pa.list_(pa.list_(pa.int32())))
+
+    return scanned(texts)

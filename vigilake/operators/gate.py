@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.functions.literals import Guards, candidates, candidates_each
 from vigilake.functions.shell import IF_BLOCKED, STILL_CODED, UNREAD, arguments_read, command_read
 from vigilake.functions.verdicts import DEFAULT, Thresholds, held, tier_name, tier_rank
 from vigilake.operators.policy import anchored_glob, unanchored_glob
@@ -75,6 +79,10 @@ def _hit(matched: Column, severity: int, order: int, rule: str, category: str) -
     return F.when(matched, F.struct(F.lit(severity).alias("severity"), F.lit(-order).alias("order"), F.lit(rule).alias("rule_id"), F.lit(category).alias("category")))
 
 
+#: Globs from which on they are looked for by their literals.
+FEW_GLOBS = 64
+
+
 @dataclass(frozen=True)
 class Rules:
     """What a command is held against: packs that are on, allowed globs, own blocks (glob, severity), rules of community packs, and cutoffs."""
@@ -88,14 +96,30 @@ class Rules:
     def allowed(self, command: Column) -> Column:
         return reduce(Column.__or__, (anchored_glob(command, g) for g in self.allow), F.lit(False))
 
-    def worst(self, read: Column) -> Column:
-        """The worst hit in a command as it is read: pipes and bombs in its normalised text, all other rules by leg."""
+    def many(self) -> bool:
+        """Whether globs are looked for by their literals, instead of each on its own."""
+        return len(self.globs) > FEW_GLOBS
+
+    def guards(self) -> tuple[Guards, ...]:
+        """Of each glob, the literal that the fewest globs share, the longest of these; none for a glob without literals."""
+        parts = [[p.lower() for p in g.pattern.split("*") if p] for g in self.globs]
+        shared = Counter(p for ps in parts for p in set(ps))
+        return tuple(((min(ps, key=lambda p: (shared[p], -len(p))),),) if ps else () for ps in parts)
+
+    def worst(self, read: Column, may: Column | None = None) -> Column:
+        """The worst hit in a command as it is read: pipes and bombs in its normalised text, all other rules by leg. may: of many globs, those that can match."""
         block_at, warn_at = self.cuts
 
+        def indexed(leg: Column) -> list[Column]:
+            # Patterns and what a hit tells, as one literal each; only the few that may match are run.
+            rows = [{"pattern": "(?s)" + ".*".join(re.escape(p) for p in g.pattern.split("*") if p), "hit": {"severity": g.severity, "order": -(200 + i), "rule_id": g.id, "category": g.category}} for i, g in enumerate(self.globs)]
+            table = F.from_json(F.lit(json.dumps(rows)), "array<struct<pattern:string,hit:struct<severity:int,order:int,rule_id:string,category:string>>>")
+            return [F.array_max(F.transform(F.filter(may, lambda i: F.rlike(leg, F.get(table, i)["pattern"])), lambda i: F.get(table, i)["hit"]))]
+
         def per_leg(x: Column) -> Column:
             rules = [_hit(reduce(Column.__or__, (x["effective"].rlike("(?d)" + p) for p in r.patterns)), r.severity, i + 2, r.id, r.category) for i, r in enumerate(RULES) if r.pack is None or r.pack in self.packs]
             custom = [_hit(unanchored_glob(x["leg"], g), s, 100 + i, "custom", "custom") for i, (g, s) in enumerate(self.blocks)]
-            shared = [_hit(unanchored_glob(x["effective"], g.pattern), g.severity, 200 + i, g.id, g.category) for i, g in enumerate(self.globs)]
+            shared = indexed(x["effective"]) if may is not None else [_hit(unanchored_glob(x["effective"], g.pattern), g.severity, 200 + i, g.id, g.category) for i, g in enumerate(self.globs)]
             worst = F.array_max(F.array(*rules, *custom, *shared, _hit(x["counts"] == STILL_CODED, warn_at, 1000, "base64-decode-cap", "obfuscation"), _hit(x["counts"] == UNREAD, warn_at, 1001, "expansion-cap", "obfuscation")))
             return F.when((x["counts"] != IF_BLOCKED) | (worst["severity"] >= block_at), worst)
 
@@ -103,6 +127,10 @@ class Rules:
         return F.array_max(F.concat(F.array(*whole), F.transform(read["legs"], per_leg)))
 
 
+def legs_joined(read: Column) -> Column:
+    return F.array_join(F.transform(read["legs"], lambda x: x["effective"]), "\n")
+
+
 def rules_of(config: Config, globs: tuple[GlobRule, ...] = ()) -> Rules:
     return Rules(config.packs, config.allow_list, config.custom_blocks, globs, config.thresholds())
 
@@ -119,7 +147,8 @@ def evaluate(df: DataFrame, command: str, packs: tuple[str, ...] = (), allow: tu
     raw = F.coalesce(F.col(command), F.lit(""))
     # The legs are read once, however many rules look at them.
     out = df.withColumn("_read", command_read(F.when(~rules.allowed(raw), raw)))
-    out = held(out, "hit", rules.worst(F.col("_read"))).drop("_read")
+    out = out.withColumn("_globs", candidates(legs_joined(F.col("_read")), rules.guards())) if rules.many() else out
+    out = held(out, "hit", rules.worst(F.col("_read"), F.col("_globs") if rules.many() else None)).drop("_read", "_globs")
     return out.withColumn("tier_rank", tier_rank(F.col("hit.severity"), *rules.cuts)).withColumn("tier", tier_name(F.col("tier_rank")))
 
 
@@ -150,12 +179,14 @@ def tool_call(df: DataFrame, arguments: str, config: Config | None = None, globs
     commands = F.transform("_args", lambda a: F.when(a["command"] & ~rules.allowed(a["value"]), a["value"]))
     out = out.withColumn("_read", arguments_read(F.when(F.size("_args") > 0, commands)))
 
+    out = out.withColumn("_globs", candidates_each(F.transform("_read", legs_joined), rules.guards())) if rules.many() else out
+
     def refused(a: Column, i: Column) -> Column:
-        hit = rules.worst(F.get("_read", i))
+        hit = rules.worst(F.get("_read", i), F.get("_globs", i) if rules.many() else None)
         by_shape = F.when(piped(a["value"]), "curl-wget-pipe-shell").when(bomb(a["value"]), "fork-bomb")
         return F.struct(a["name"].alias("name"), F.when(a["command"], F.when(hit["severity"] >= rules.cuts[0], hit["rule_id"])).otherwise(by_shape).alias("rule_id"))
 
-    out = held(out, "_first", F.get(F.filter(F.transform("_args", refused), lambda x: x["rule_id"].isNotNull()), F.lit(0))).drop("_args", "_read")
+    out = held(out, "_first", F.get(F.filter(F.transform("_args", refused), lambda x: x["rule_id"].isNotNull()), F.lit(0))).drop("_args", "_read", "_globs")
     by_policy = F.lit(False) if denied is None else F.coalesce(denied >= 2, F.lit(False))
     rule = F.when(by_policy, "policy").otherwise(F.col("_first.rule_id"))
     return out.withColumn("argument", F.when(~by_policy, F.col("_first.name"))).withColumn("rule_id", rule).withColumn("rank", F.when(rule.isNotNull(), 3).otherwise(0)).drop("_first")

@@ -178,6 +178,18 @@ def community_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.evaluate(_made(spark, sf_dir, [c for c, _ in SHARED]), "command", globs=tuple(r for rules in packs.shipped().values() for r in rules)).select("event_id", "hit.rule_id", "tier")
 
 
+#: Rules of a large pack: one a job.
+MANY = tuple(packs.GlobRule("jobs", f"job-{k}", f"job-{k:04d} * --purge", 8 if k % 3 else 5, "jobs") for k in range(5000))
+
+
+def gate_many_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a leg that one of 5,000 globs may match, behind another that none does."""
+    e = spread(table(spark, sf_dir, "events").select("event_id"))
+    job = F.lpad((F.col("event_id") % 6000).cast("string"), 4, "0")
+    command = F.concat(F.lit("echo '--purge' && job-"), job, F.lit(" now"), F.when(F.expr("event_id % 2 = 0"), " --purge x").otherwise("; x --purge"))
+    return gate.evaluate(e.withColumn("command", command), "command", globs=MANY).select("event_id", "hit.rule_id", "tier")
+
+
 def byte_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of two-byte letters, cut to 512 bytes with an ellipsis, and how long the result is."""
     e = table(spark, sf_dir, "events").select("event_id", F.repeat(F.lit("é"), F.pmod("event_id", F.lit(400)).cast("int")).alias("text"))
@@ -206,6 +218,7 @@ ORACLES = {
     "sql_check_commands": f"SELECT event_id, {_list([t for _, t in CORPUS])}[event_id % {len(CORPUS)} + 1] AS tier FROM events",
     "gate_long": "SELECT s_suppkey, CASE WHEN s_suppkey % 8 < 4 THEN 'rm-rf' END AS rule_id, CASE WHEN s_suppkey % 8 < 4 THEN 'block' ELSE 'allow' END AS tier FROM supplier",
     "gate_custom": f"SELECT event_id, {_list([t for _, t in OWN])}[event_id % {len(OWN)} + 1] AS tier FROM events",
+    "gate_many_globs": "SELECT event_id, CASE WHEN hit THEN 'job-' || event_id % 6000 END AS rule_id, CASE WHEN NOT hit THEN 'allow' WHEN event_id % 3 = 0 THEN 'warn' ELSE 'block' END AS tier FROM (SELECT event_id, event_id % 2 = 0 AND event_id % 6000 < 5000 AS hit FROM events)",
     "byte_cut": "SELECT event_id, (CASE WHEN n * 2 <= 512 THEN n * 2 ELSE 511 END)::INT AS bytes, (CASE WHEN n * 2 <= 512 THEN n ELSE 255 END)::INT AS chars FROM (SELECT event_id, event_id % 400 AS n FROM events)",
 }
-QUERIES = {f.__name__: f for f in (gate_commands, gate_packs, gate_corpus, sql_check_commands, gate_long, gate_custom, naive_vs_gate, event_ingest, mcp_gate, mcp_arguments, mcp_conversations, gate_levels, community_packs, byte_cut)}
+QUERIES = {f.__name__: f for f in (gate_commands, gate_packs, gate_corpus, sql_check_commands, gate_long, gate_custom, naive_vs_gate, event_ingest, mcp_gate, mcp_arguments, mcp_conversations, gate_levels, community_packs, gate_many_globs, byte_cut)}
