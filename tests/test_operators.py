@@ -444,3 +444,15 @@ def test_many_globs_equal_each_on_its_own(spark, monkeypatch):
     many = found()
     monkeypatch.setattr(gate, "FEW_GLOBS", 1000)
     assert many == found() and len({h.rule_id for h in many[0].values() if h}) > 10
+
+
+def test_variables_outlive_their_command(spark):
+    rows = [
+        ("a", 1, "X=rm"), ("a", 2, "$X -rf /"), ("b", 1, "$X -rf /"), ("b", 2, "X=rm; ls"), ("b", 3, "X=ls; $X -rf /"), ("b", 4, "$X -rf /"), ("a", 3, "X=ls cmd"), ("a", 4, "$X -rf /"), (None, 1, "Y=rm"), (None, 2, "${Y} -rf /"), ("c", 1, None), ("c", 2, "plain"),
+        ("d", 1, "A=rm; B='-rf /'"), ("d", 2, "echo $B; echo hi"), ("d", 3, "$A $B"), ("d", 4, ": ${C:=rm}"), ("d", 5, "$C -rf /"), ("d", 6, "unset; $D -rf /"),
+    ]
+    df = spark.createDataFrame(rows, "s string, o int, command string").repartition(3)
+    got = {(r.s, r.o): r.tier for r in gate.evaluate_sessions(df, "command", "s", "o").collect()}
+    blocked = {("a", 2), ("a", 4), (None, 2), ("d", 3), ("d", 5)}
+    assert got == {(s, o): "block" if (s, o) in blocked else "allow" for s, o, _ in rows}
+    assert gate.evaluate_sessions(df.limit(0), "command", "s", "o").collect() == []

@@ -10,9 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vigilake.functions.literals import Guards, candidates, candidates_each
-from vigilake.functions.shell import IF_BLOCKED, STILL_CODED, UNREAD, arguments_read, command_read
+from vigilake.functions.shell import IF_BLOCKED, STILL_CODED, UNREAD, arguments_read, command_read, read_after, variables_of
 from vigilake.functions.verdicts import DEFAULT, Thresholds, held, tier_name, tier_rank
 from vigilake.operators.policy import anchored_glob, unanchored_glob
 from vigilake.sources.config import Config
@@ -152,6 +153,31 @@ def evaluate(df: DataFrame, command: str, packs: tuple[str, ...] = (), allow: tu
     return out.withColumn("tier_rank", tier_rank(F.col("hit.severity"), *rules.cuts)).withColumn("tier", tier_name(F.col("tier_rank")))
 
 
+def evaluate_sessions(df: DataFrame, command: str, session: str, order: str, config: Config | None = None, globs: tuple[GlobRule, ...] = ()) -> DataFrame:
+    """As evaluate, with the variables that earlier commands of the session set: of each that a command uses, the last value before it.
+
+    Names go as rows to windows by session and name, and come back by command, so that no session is
+    one task. A value that names another variable is put in as it is. A null session is one of its own.
+    """
+    rules = rules_of(config, globs) if config else Rules(globs=globs)
+    if config and config.disable:
+        return evaluate(df, command, config=config)
+    # A row without variables is one row too; the row itself travels with its first variable only.
+    named = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_row", F.struct(*df.columns))
+    each = named.select("_id", F.col(session).alias("_session"), F.col(order).alias("_order"), "_row", F.posexplode_outer(variables_of(F.coalesce(F.col(command), F.lit("")))).alias("_place", "_v"))
+    each = each.withColumn("_row", F.when(F.coalesce("_place", F.lit(0)) == 0, F.col("_row"))).select("_id", "_session", "_order", "_row", "_v.*")
+    before = Window.partitionBy("_session", "name").orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows without a name need no window, and would all be one group of it.
+    seen = each.where("name is not null").withColumn("_last", F.last("value", ignorenulls=True).over(before)).withColumn("_known", F.when(F.col("used") & F.col("_last").isNotNull(), F.struct("name", "_last")))
+    seen = seen.select("_id", "_row", "_known").unionByName(each.where("name is null").select("_id", "_row", F.lit(None).cast(seen.schema["_known"].dataType).alias("_known")))
+    back = seen.groupBy("_id").agg(F.first("_row", ignorenulls=True).alias("_row"), F.map_from_entries(F.collect_list("_known")).alias("_known"))
+    raw = F.coalesce(F.col(f"_row.{command}"), F.lit(""))
+    out = back.withColumn("_read", read_after(F.when(~rules.allowed(raw), raw), F.col("_known")))
+    out = out.withColumn("_globs", candidates(legs_joined(F.col("_read")), rules.guards())) if rules.many() else out
+    out = held(out, "hit", rules.worst(F.col("_read"), F.col("_globs") if rules.many() else None)).select("_row.*", "hit")
+    return out.withColumn("tier_rank", tier_rank(F.col("hit.severity"), *rules.cuts)).withColumn("tier", tier_name(F.col("tier_rank")))
+
+
 #: Arguments of tool calls that are commands, and those that are code; their names in any case.
 COMMAND_ARGS, CODE_ARGS = ("command", "cmd", "script"), ("code",)
 

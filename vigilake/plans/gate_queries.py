@@ -178,6 +178,18 @@ def community_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.evaluate(_made(spark, sf_dir, [c for c, _ in SHARED]), "command", globs=tuple(r for rules in packs.shipped().values() for r in rules)).select("event_id", "hit.rule_id", "tier")
 
 
+#: What the events of a user say in turn; {v} is one of three variables.
+SPOKEN = ["{v}=rm", "ls -la", "${v} -rf /srv/{e}", "export {v}='ls'", "{v}=rm ls", "echo ${v}; ${{v}} -fr x{e}", "{v}=$(date)"]
+
+
+def gate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of a user, of which some set a variable that later ones run."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    said = F.element_at(F.array(*map(F.lit, SPOKEN)), (F.pmod("event_id", F.lit(len(SPOKEN))) + 1).cast("int"))
+    command = F.replace(F.replace(said, F.lit("{v}"), F.concat(F.lit("V"), (F.col("event_id") % 3).cast("string"))), F.lit("{e}"), F.col("event_id").cast("string"))
+    return gate.evaluate_sessions(e.withColumn("command", command), "command", "user_id", "event_id").select("event_id", "hit.rule_id", "tier")
+
+
 #: Rules of a large pack: one a job.
 MANY = tuple(packs.GlobRule("jobs", f"job-{k}", f"job-{k:04d} * --purge", 8 if k % 3 else 5, "jobs") for k in range(5000))
 
@@ -218,7 +230,8 @@ ORACLES = {
     "sql_check_commands": f"SELECT event_id, {_list([t for _, t in CORPUS])}[event_id % {len(CORPUS)} + 1] AS tier FROM events",
     "gate_long": "SELECT s_suppkey, CASE WHEN s_suppkey % 8 < 4 THEN 'rm-rf' END AS rule_id, CASE WHEN s_suppkey % 8 < 4 THEN 'block' ELSE 'allow' END AS tier FROM supplier",
     "gate_custom": f"SELECT event_id, {_list([t for _, t in OWN])}[event_id % {len(OWN)} + 1] AS tier FROM events",
+    "gate_sessions": "WITH e AS (SELECT *, event_id % 7 AS m, CASE event_id % 7 WHEN 0 THEN 'rm' WHEN 3 THEN 'ls' WHEN 6 THEN 'date' END AS v FROM events), w AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e) SELECT event_id, CASE WHEN m IN (2, 5) AND last = 'rm' THEN 'rm-rf' END AS rule_id, CASE WHEN m IN (2, 5) AND last = 'rm' THEN 'block' ELSE 'allow' END AS tier FROM w",
     "gate_many_globs": "SELECT event_id, CASE WHEN hit THEN 'job-' || event_id % 6000 END AS rule_id, CASE WHEN NOT hit THEN 'allow' WHEN event_id % 3 = 0 THEN 'warn' ELSE 'block' END AS tier FROM (SELECT event_id, event_id % 2 = 0 AND event_id % 6000 < 5000 AS hit FROM events)",
     "byte_cut": "SELECT event_id, (CASE WHEN n * 2 <= 512 THEN n * 2 ELSE 511 END)::INT AS bytes, (CASE WHEN n * 2 <= 512 THEN n ELSE 255 END)::INT AS chars FROM (SELECT event_id, event_id % 400 AS n FROM events)",
 }
-QUERIES = {f.__name__: f for f in (gate_commands, gate_packs, gate_corpus, sql_check_commands, gate_long, gate_custom, naive_vs_gate, event_ingest, mcp_gate, mcp_arguments, mcp_conversations, gate_levels, community_packs, gate_many_globs, byte_cut)}
+QUERIES = {f.__name__: f for f in (gate_commands, gate_packs, gate_corpus, sql_check_commands, gate_long, gate_custom, naive_vs_gate, event_ingest, mcp_gate, mcp_arguments, mcp_conversations, gate_levels, community_packs, gate_sessions, gate_many_globs, byte_cut)}
