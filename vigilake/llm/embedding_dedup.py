@@ -12,12 +12,13 @@
    neighbours in its lists that are within range: the lists lead it on into other shards.
 3. Each cell is searched with the united lists: greedily from the cell's medoids towards each
    of its points, then on through everything within range. What is found is verified by the
-   cosine in double precision.
+   cosine in double precision; an exact check of the cell's points adds what the search missed, so
+   that points which meet in any cell have their link in each that they share.
 4. A pair counts in one cell only: that of the least shard which both share. A cell hands on a
    row for each of its points (links, least point reached), never pairs, so that a group of
    many near copies costs no more rows than others.
-5. Recall is audited on AUDITED points, drawn evenly, against all points: the mean over those
-   that have links, so that a large group counts no more than others. Below GOOD_RECALL all is
+5. Recall is audited on all points whose id is divisible by AUDIT, AUDITED at a time, against all
+   points: the mean over those that have links, so that a large group counts no more than others. Below GOOD_RECALL all is
    done again with twice the overlap; what stays below LEAST_RECALL in the end is an error.
 
 Vectors that are null, zero or hold nulls, NaN or infinities link with nothing; vectors of
@@ -47,8 +48,8 @@ FEW, MOST, COARSE, PART = 2048, 2500, 2, 50_000
 DEGREE, NEAR, RANDOM, ALPHA = 16, 32, 8, 1.2
 #: Entry points of a search, and nodes that it opens before it goes on from where it is.
 MEDOIDS, OPENED = 6, 32
-#: Points that the audit asks, the recall that is good enough, the least that is accepted, and how often the overlap may double.
-AUDITED, GOOD_RECALL, LEAST_RECALL, TRIES = 1024, 0.97, 0.9, 3
+#: The audit asks the points whose id is divisible by AUDIT, so many at a time; the recall that is good enough, the least that is accepted, and how often the overlap may double.
+AUDIT, AUDITED, GOOD_RECALL, LEAST_RECALL, TRIES = 50, 1024, 0.97, 0.9, 3
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -183,7 +184,12 @@ def searched(x: np.ndarray, lists: list[np.ndarray], least: float) -> tuple[np.n
 
 def _cell_links(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, shards: list[list[int]], shard: int, block: np.ndarray, across: bool, lists: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Of each point: the weight of its links that count in this cell, and the least id reached."""
-    q, node = searched(x, lists, least)
+    found = np.zeros((len(x), len(x)), bool)
+    found[searched(x, lists, least)] = True
+    # The exact check: what the search missed among points that meet here.
+    found |= x @ x.T >= least
+    np.fill_diagonal(found, False)
+    q, node = np.nonzero(found | found.T)
     if across:
         keep = block[q] != block[node]
         q, node = q[keep], node[keep]
@@ -325,10 +331,22 @@ def _cells(points: DataFrame, overlap: int, least: float) -> DataFrame:
 
 
 def audit(points: DataFrame, links: DataFrame, least: float) -> float | None:
-    """The mean, over those of AUDITED points (least hash first) that have links, of the share of their links that was found; None if none has any."""
-    # Bounded: AUDITED vectors.
-    asked = points.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id", "vec", "dim").collect()
-    by = {d: (np.array([r.id for r in asked if r.dim == d]), _matrix([bytes(r.vec) for r in asked if r.dim == d], d)) for d in {r.dim for r in asked}}
+    """The mean, over those asked that have links, of the share of their links that was found; None if none has any."""
+    asked = points.where(F.col("id") % AUDIT == 0)
+    if not (n := asked.count()):
+        # No id is divisible: the least hashes stand in.
+        asked = points.orderBy(F.xxhash64("id"), "id").limit(AUDITED)
+        n = AUDITED
+    blocks = -(-n // AUDITED)
+    shares = [_asked(points, links, asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k), least) for k in range(blocks)]
+    count, total = sum(c for c, _ in shares), sum(t for _, t in shares)
+    return total / count if count else None
+
+
+def _asked(points: DataFrame, links: DataFrame, asked: DataFrame, least: float) -> tuple[int, float]:
+    """Of a block of about AUDITED points: how many have links, and the sum of the shares that were found."""
+    rows = asked.select("id", "vec", "dim").collect()
+    by = {d: (np.array([r.id for r in rows if r.dim == d]), _matrix([bytes(r.vec) for r in rows if r.dim == d], d)) for d in {r.dim for r in rows}}
     known = points.sparkSession.sparkContext.broadcast(by)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,12 +359,13 @@ def audit(points: DataFrame, links: DataFrame, least: float) -> float | None:
                     hit = (q @ x.T >= least) & (own[:, None] != ids[at])
                     for i, n in zip(own.tolist(), (hit * weight[at]).sum(1).tolist(), strict=True):
                         total[i] = total.get(i, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "true"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "truly"])
 
-    true = {r.id: r.true for r in points.select("id", "vec", "dim", "weight").mapInArrow(counted, "id long, true long").groupBy("id").agg(F.sum("true").alias("true")).collect()}
-    found = {r.id: r.links for r in links.where(F.col("id").isin([r.id for r in asked])).collect()}
-    shares = [min(found.get(i, 0), n) / n for i, n in true.items() if n]
-    return float(np.mean(shares)) if shares else None
+    true = points.select("id", "vec", "dim", "weight").mapInArrow(counted, "id long, truly long").groupBy("id").agg(F.sum("truly").alias("truly")).where("truly > 0")
+    share = F.least(F.coalesce("links", F.lit(0)), F.col("truly")) / F.col("truly")
+    out = true.join(links, "id", "left").agg(F.count("*").alias("n"), F.coalesce(F.sum(share), F.lit(0.0)).alias("share")).first()
+    known.destroy()
+    return out.n, out.share
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
