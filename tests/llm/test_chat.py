@@ -54,3 +54,8 @@ def test_rows_without_conversation_are_each_their_own(spark):
     rows = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
     got = chat.read_back(chat.examples(rows)).collect()
     assert sorted((r.turns[0].role, r.turns[0].text, r.loss) for r in got) == [("assistant", "b", "b"), ("user", "a", ""), ("user", "a", "")]
+
+
+def test_an_empty_table(spark):
+    rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string, example long")
+    assert chat.examples(rows).collect() == [] and chat.read_back(chat.examples(rows)).collect() == []

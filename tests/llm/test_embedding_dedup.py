@@ -109,3 +109,10 @@ def test_too_little_recall_is_an_error(spark, monkeypatch):
     df = spark.createDataFrame(clusters(7, 60), "vec_id long, embedding array<double>")
     with pytest.raises(ValueError, match="audit"):
         result(df)
+
+
+def test_an_empty_table_and_other_columns(spark):
+    schema = "vec_id long, embedding array<float>, id string, links long, shards int"
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], "x", 5, 6), (2, [1.0, 0.01], "x", 5, 6), (3, None, None, None, None)], schema)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]

@@ -112,3 +112,10 @@ def test_sums_of_pieces(found):
     for d in found:
         want.update(d)
     assert dict(zip(key.tolist(), n.tolist(), strict=True)) == want and key.tolist() == sorted(want)
+
+
+def test_an_empty_table(spark, documents):
+    docs = documents([(1, "a b"), (2, None)])
+    model = lm_scoring.train(docs.limit(0))
+    assert model.total == 0 and lm_scoring.scored(docs.limit(0), model).collect() == []
+    assert [(r.n_tokens, r.n_known) for r in lm_scoring.scored(docs, model).orderBy("doc_id").collect()] == [(3, 0), (1, 0)]

@@ -10,6 +10,7 @@ A conversation's turns meet in one task: its last example holds all of them in o
 so that a task needs no more memory than the output itself. Turns are ordered by (turn, role,
 text), null turns first; null text and role count as empty; repeated rows are turns of their own.
 Rows without conv_id belong to no conversation: each is one of its own, and none is shuffled.
+An empty table gives no examples. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations

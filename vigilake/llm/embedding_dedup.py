@@ -23,7 +23,7 @@
 
 Vectors that are null, zero or hold nulls, NaN or infinities link with nothing; vectors of
 different length never link; rows of one vec_id are one vector (the least by value); a null
-vec_id links with nothing and has no component.
+vec_id links with nothing and has no component. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

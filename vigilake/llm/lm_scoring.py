@@ -16,6 +16,8 @@ a range for every RANGE_BYTES of text, so that what a merge holds does not grow
 
 The order is two: at three the distinct n-grams alone outgrow the disk that the job may use.
 Null text is empty; an empty text is one end token; repeated rows are scored, and counted, each.
+An empty table is scored to no rows, and learnt from to a model that knows no word. Columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations

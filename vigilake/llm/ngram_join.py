@@ -26,7 +26,8 @@ short ones brought up. Here every document is a query at once:
 
 Null text is empty; an empty document has size 0 and links with nothing; rows of one doc_id are
 one document, linked if any of their texts is; a null doc_id links with nothing and has a null
-component.
+component. An empty table gives no rows. Other columns are ignored by the join and kept, whatever they
+are called, by what removes copies.
 """
 
 from __future__ import annotations
