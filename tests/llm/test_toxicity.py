@@ -1,9 +1,14 @@
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from vigilake.llm import toxicity
+from vigilake.llm.shared import hash_runs, mix
 
 
 def test_isotonic_is_monotone_and_fits():
@@ -65,3 +70,66 @@ def test_odd_tables(spark, documents):
     assert toxicity.clean(docs, model).columns == docs.columns
     small = docs.withColumn("doc_id", F.col("doc_id").cast("int"))
     assert sorted((r.doc_id, r.score) for r in toxicity.scored(small.where("doc_id is not null"), model).collect()) == [(i, 0.0) for i in range(4)]
+
+
+def plain_features(text, lexicon):
+    """FEATURES of a text by plain Python; only the hash of a word is the operator's."""
+    raw = (text or "").encode()
+    low = pc.utf8_lower(pa.scalar(text or "")).as_py().encode()
+    odds = dict(zip(lexicon.key.tolist(), lexicon.odds.tolist(), strict=True))
+
+    def key(word):
+        return int(hash_runs(np.frombuffer(word, np.uint8), np.ones(len(word), bool), np.array([0]), np.array([len(word)]))[0])
+
+    def stem(word, k):
+        return int(mix(np.array([key(word[:k])], np.uint64) + np.uint64(k))[0])
+
+    words = re.findall(rb"[A-Za-z\x80-\xff]+", low)
+    whole = [odds.get(key(w)) for w in words]
+    stems = [max((odds[s] for k in toxicity.STEMS if len(w) > k and (s := stem(w, k)) in odds), default=None) for w in words]
+    rude = [w.decode("utf-8", "replace") in toxicity.INSULTS for w in words]
+    you = [i for i, w in enumerate(words) if w.decode("utf-8", "replace") in toxicity.SECOND]
+    hits = [i for i in range(len(words)) if whole[i] is not None or stems[i] is not None or rude[i]]
+    found = [v for v in [*whole, *stems] if v is not None]
+    per = 100 / max(len(words), 1)
+    tokens = re.findall(rb"[^\t\n\x0b\x0c\r ]+", raw)
+    each = 100 / max(len(tokens), 1)
+    capitals = [len(re.findall(rb"[A-Z]", t)) for t in tokens]
+    letters, size = max(len(re.findall(rb"[A-Za-z\x80-\xff]", raw)), 1), max(len(raw), 1)
+    n_whole, n_stem = sum(v is not None for v in whole), sum(v is not None for v in stems)
+    return [
+        math.log1p(len(words)), sum(rude) * per, math.log1p(n_whole), n_whole * per, math.log1p(n_stem), n_stem * per, max([0.0, *found]), math.log1p(sum(found)), len(you) * per,
+        min([50, *(abs(h - y) for h in hits for y in you)]), sum(capitals) / letters, sum(c >= 3 and c >= 0.6 * len(t) for c, t in zip(capitals, tokens, strict=True)) * each,
+        len(re.findall(rb"[!-/:-@\[-`{-~]", raw)) / size, len(re.findall(rb"[!?]", raw)) / size,
+        sum(bool(re.search(rb"[A-Za-z\x80-\xff][0-9!-/:-@\[-`{-~][A-Za-z\x80-\xff]", t)) for t in tokens) * each, len(re.findall(rb"[0-9]", raw)) / size,
+    ]
+
+
+def plain_score(model, x):
+    """The trees walked node by node, and the knots on either side."""
+    raw = model.trees.start
+    for feature, cut, leaf in zip(model.trees.feature, model.trees.cut, model.trees.leaf, strict=True):
+        node = 0
+        for _ in range(model.trees.depth):
+            node = 2 * node + (2 if x[feature[node]] > cut[node] else 1)
+        raw += leaf[node - (2**model.trees.depth - 1)]
+    at, p = model.knots
+    if raw <= at[0] or raw >= at[-1]:
+        return p[0] if raw <= at[0] else p[-1]
+    i = max(k for k in range(len(at)) if at[k] <= raw)
+    return p[i] if at[i] == raw else p[i] + (p[i + 1] - p[i]) * (raw - at[i]) / (at[i + 1] - at[i])
+
+
+def test_scores_equal_plain_python(spark):
+    """Every document of a small data set: features from its text alone, whatever lies beside it, and the walk through the trees."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert model.trees is not None and len(model.lexicon.key)
+    rows = docs.orderBy("doc_id").limit(300).collect()
+    texts = [r.text for r in rows] + ["a", "!b", "c1", "2d", "!", "", None, "x!", "y", "YOU idiot! st.u.pid É"]
+    got = toxicity.features(pa.array(texts), model.lexicon)
+    for t, x in zip(texts, got, strict=True):
+        assert x.tolist() == pytest.approx(plain_features(t, model.lexicon)), t
+    scores = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    for r, x in zip(rows, got, strict=False):
+        assert scores[r.doc_id] == pytest.approx(min(max(plain_score(model, x), 0), 1))

@@ -145,6 +145,9 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         odd = np.zeros(len(data), bool)
         if len(data) > 2:
             odd[1:-1] = (_DIGIT | _PUNCT)[data[1:-1]] & _LETTER[data[:-2]] & _LETTER[data[2:]]
+            # Neighbours are of the same text.
+            some = off[1:] > off[:-1]
+            odd[off[:-1][some]] = odd[off[1:][some] - 1] = False
         odd = np.concatenate([[0], np.cumsum(odd)])
         tokens = 100 / np.maximum(np.diff(first), 1)
         out[i:j] = np.stack([
