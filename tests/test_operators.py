@@ -456,3 +456,28 @@ def test_variables_outlive_their_command(spark):
     blocked = {("a", 2), ("a", 4), (None, 2), ("d", 3), ("d", 5)}
     assert got == {(s, o): "block" if (s, o) in blocked else "allow" for s, o, _ in rows}
     assert gate.evaluate_sessions(df.limit(0), "command", "s", "o").collect() == []
+
+
+def test_ids_of_a_stream_share_few_keys_of_state(spark, tmp_path):
+    """A slice of ids is one call: ids apart in time, of one batch and the next, null ones too; what is over goes, what waits stays."""
+    from datetime import datetime, timedelta
+
+    from vigilake.streaming import relay as stream
+
+    t0, n = datetime(2024, 1, 1), 1 << 60
+    asked = [(i, 0, 0, True) for i in (None, n, n + 1, n + 2)]
+    batches = [asked + [(n, 5, 1, False), (n + 3, 6, 1, False)], [(n + 4, 4000, 0, True), (n + 4, 4000, 1, False)], [(n, 4001, 2, False), (n + 1, 4001, 1, False), (None, 4001, 1, False)], [(n + 9, 200_000, 0, True)], [(n + 2, 200_001, 1, False), (n + 4, 200_001, 2, False)]]
+    for rows in batches:
+        df = spark.createDataFrame([(i, t0 + timedelta(seconds=s), q, r) for i, s, q, r in rows], "id long, ts timestamp, seq long, is_request boolean")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = stream.classified(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), slices=2)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r.id, r.seq): r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(n, 1): "matched", (n + 3, 1): "unknown", (n + 4, 1): "matched", (n, 2): "unknown", (n + 1, 1): "matched", (None, 1): "matched", (n + 2, 1): "unknown", (n + 4, 2): "unknown"}
+    # The state has a row for each slice, not for each id.
+    many = spark.range(5_000).selectExpr("id", "timestamp '2024-01-01' as ts", "0L as seq", "true as is_request")
+    many.write.parquet(str(tmp_path / "many"))
+    q = stream.classified(spark.readStream.schema(many.schema).parquet(str(tmp_path / "many")), slices=8).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "s2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) == 8
