@@ -128,3 +128,33 @@ def test_an_idle_session_ends(spark, tmp_path):
         q.awaitTermination()
     got = {r.seq: r.outcome for r in spark.read.schema(sessions.SCHEMA).parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "forwarded", 2: "forwarded", 3: "forwarded", 4: "unknown"}
+
+
+def test_a_batch_reads_its_maps_once_and_writes_differences():
+    class Counted:
+        def __init__(self, held):
+            self.held, self.calls = held, []
+
+        def iterator(self):
+            self.calls.append("read")
+            return iter([((k,), (v,)) for k, v in self.held.items()])
+
+        def updateValue(self, key, value):
+            self.calls.append(("put", *key, *value))
+
+        def removeKey(self, key):
+            self.calls.append(("drop", *key))
+
+    state = Counted({"a": True, "b": False, "c": True})
+    kept = stream._Kept(state, 3)
+    for i in range(1000):
+        kept[f"n{i}"] = True
+        assert kept.pop(f"n{i}") and "x" not in kept
+    kept["b"] = True
+    kept["d"] = False
+    del kept["a"]
+    kept.save()
+    assert state.calls == ["read", ("put", "b", True), ("put", "d", False), ("drop", "a")]
+    empty = Counted({})
+    stream._Kept(empty, 0).save()
+    assert empty.calls == []

@@ -1,7 +1,7 @@
 """Relay sessions as a stream: the state of operators/sessions.py, kept by key between batches.
 
-Pending requests and answered ids are two maps, of which a batch reads only the ids it meets (and the
-answered ones when they are swept); counters, the pin and the quarantine are one value. An event-time
+Pending requests and answered ids are two maps, which a batch reads once (MOST_PENDING and MOST_RECENT
+bound them) and writes back where they differ, as a call to the store costs more than many lines; counters, the pin and the quarantine are one value. An event-time
 timer ends a session that was idle for IDLE_S by the watermark: what comes later begins anew. Rows of
 a batch are taken in the order of ts and seq, so a stream whose batches follow that order gives what
 the batch version gives; rows that are late but within the watermark are taken when they come.
@@ -9,7 +9,7 @@ the batch version gives; rows that are late but within the watermark are taken w
 
 from __future__ import annotations
 
-from collections.abc import Iterator, MutableMapping
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,33 +24,20 @@ IDLE_S, LATE_S = 86_400, 600
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-class _Kept(MutableMapping):
-    """A map state with text keys and one value, as a dictionary; the number of entries is kept beside it."""
+class _Kept(dict):
+    """A map state with text keys and one value, as a dictionary: read whole at the beginning, as it is small, and written back where it differs."""
 
     def __init__(self, state: MapState, size: int) -> None:
-        self.state, self.size = state, size
+        self.state = state
+        self.held = {k[0]: v[0] for k, v in state.iterator()} if size else {}
+        super().__init__(self.held)
 
-    def __getitem__(self, key: str):
-        if (found := self.state.getValue((key,))) is None:
-            raise KeyError(key)
-        return found[0]
-
-    def __contains__(self, key: object) -> bool:
-        return self.state.containsKey((key,))
-
-    def __setitem__(self, key: str, value) -> None:
-        self.size += key not in self
-        self.state.updateValue((key,), (value,))
-
-    def __delitem__(self, key: str) -> None:
-        self.size -= 1
-        self.state.removeKey((key,))
-
-    def __iter__(self) -> Iterator[str]:
-        return (k[0] for k in list(self.state.keys()))
-
-    def __len__(self) -> int:
-        return self.size
+    def save(self) -> None:
+        for key, value in self.items():
+            if self.held.get(key) != value:
+                self.state.updateValue((key,), (value,))
+        for key in self.held.keys() - self.keys():
+            self.state.removeKey((key,))
 
 
 class Sessions(StatefulProcessor):
@@ -65,14 +52,17 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         waiting, recent, generation, operations, verified, pin, quarantined = self.rest.get() or (0, 0, 0, 0, None, None, False)
-        state = Session(self.mode, self.most, _Kept(self.pending, waiting), _Kept(self.recent, recent), waiting, generation, operations, verified, pin, quarantined)
+        waits, answered = _Kept(self.pending, waiting), _Kept(self.recent, recent)
+        state = Session(self.mode, self.most, waits, answered, waiting, generation, operations, verified, pin, quarantined)
         lines = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")
         lines = lines.astype(object).where(lines.notna(), None)
         out = []
         for us, seq, kind, id_, method, tools_hash, refused in zip(*(lines[c] for c in ("us", "seq", "kind", "id", "method", "tools_hash", "refused")), strict=True):
             outcome = state.line(int(us), kind, id_, method, tools_hash, bool(refused))
             out.append((key[0], seq, outcome, state.generation, state.waiting))
-        self.rest.update((state.waiting, len(state.recent), state.generation, state.operations, state.verified, state.pin, state.quarantined))
+        waits.save()
+        answered.save()
+        self.rest.update((state.waiting, len(answered), state.generation, state.operations, state.verified, state.pin, state.quarantined))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         self.handle.registerTimer(max(int(lines["us"].max()) // 1000, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
