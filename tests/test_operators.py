@@ -481,3 +481,27 @@ def test_ids_of_a_stream_share_few_keys_of_state(spark, tmp_path):
     q = stream.classified(spark.readStream.schema(many.schema).parquet(str(tmp_path / "many")), slices=8).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "s2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) == 8
+
+
+def test_redaction_runs_only_patterns_whose_marks_a_text_holds(spark):
+    """The same as all patterns in turn, marks inside other texts and tokens of several issuers included."""
+    a = "A1b2C3d4E5f6G7h8J9k0L1m2N3p4Q5r6"
+    tokens = [f"sk-ant-api03-{a}", f"sk-ant-admin01-{a}", f"rk_live_{a}", f"sk_live_{a}", f"ghp_{a}", f"ghu_{a}", f"github_pat_{a}", "AKIA" + a.upper()[:16], "ASIA" + a.upper()[:16], f"glpat-{a}", f"ya29.{a}", f"pypi-{a}", f"npm_{a}", f"hf_{a}", f"xoxs-{a}", f"eyJ{a}.{a}.{a}", f"sk-proj-{a}", f"sk-{a}", f"Bearer {a}", f"bearer {a}", "-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----"]
+    texts = [*tokens, *(f"x{t} {u}" for t, u in zip(tokens, tokens[5:] + tokens[:5], strict=True)), " ".join(tokens), "plain", "", None]
+
+    def each(x):
+        for name, pattern in text.ISSUERS:
+            x = F.regexp_replace(x, pattern, f"$1…[REDACTED-{name}]")
+        return x
+
+    assert column(spark, texts, text.redacted) == (want := column(spark, texts, each))
+    assert all("[REDACTED-" in t for t in want[: len(tokens)])
+    assert set(text._MARKS) == {n for n, _ in text.ISSUERS}
+    assert "contains" in plan_of(spark.createDataFrame([("a",)], "x string").select(text.redacted(F.col("x")))).lower()
+
+
+def test_manifests_sort_tools_by_digests_worked_out_once(spark):
+    from vigilake.plans import chain_queries
+
+    plan = plan_of(chain_queries._manifests(spark, "/root/testdata/sf0.001"))
+    assert "array_sort" in plan and "md5(cast(namedlambda" not in plan

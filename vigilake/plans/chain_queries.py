@@ -108,7 +108,8 @@ def _manifests(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataF
     if changed:
         p = p.where("u % 4 <> 1 or k % 3 <> 0").withColumn("name", F.when(F.expr("u % 4 = 2 and k % 5 = 0"), F.concat("name", F.lit("!"))).otherwise(F.col("name")))
     tool = F.concat(F.lit('{ "outputSchema" : [1.50, 1E2], "title":"t","name":"'), F.lpad(F.col("k").cast("string"), 9, "0"), F.lit('","inputSchema":{"b":null,"a":'), F.col("k").cast("string"), F.lit('.0},"description":"\\u00e9 '), F.col("name"), F.lit('"}'))
-    listed = p.select("u", tool.alias("t")).groupBy("u").agg(F.array_join(F.array_sort(F.collect_list("t"), lambda a, b: F.when(F.md5(a) < F.md5(b), -1).when(F.md5(a) > F.md5(b), 1).otherwise(0)), " , ").alias("t"))
+    # Each digest once, beside its text: a comparison that works them out costs some thirty for each.
+    listed = p.select("u", tool.alias("t")).groupBy("u").agg(F.array_join(F.array_sort(F.collect_list(F.struct(F.md5("t").alias("digest"), "t")))["t"], " , ").alias("t"))
     made = listed.select(F.concat(F.lit("run "), F.col("u").cast("string")).alias("upstream"), F.concat(F.lit('{"x":0,"tools":['), F.col("t"), F.lit("]}")).alias("result"))
     return made.select("upstream", manifest_digests("upstream", "result").alias("d")).select("upstream", "d.*")
 
