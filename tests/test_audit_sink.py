@@ -1,5 +1,6 @@
 """Chains in slices, and the log as a sink that appends once."""
 
+import hashlib
 import random
 import shutil
 
@@ -117,3 +118,24 @@ def test_a_stream_goes_on_after_a_restart(spark, tmp_path, rows):
         q = lines.writeStream.foreachBatch(sink.sink(str(tmp_path / "log"), "log", "o", "body")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert len(checked(spark, str(tmp_path / "log"))) == 27
+
+
+def test_a_log_sorts_packs_and_slices_apart(spark):
+    """No task that holds a whole log sorts its rows; ties, nulls and logs of a few rows keep their chains."""
+    rows = [(log, i // 2, f"b{i}") for log in ("a", "b", None) for i in range(3)] + [("long", i * 7919 % 20_011, f"b{i}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "log string, o int, body string").repartition(5)
+    lines = audit.chained(df, "log", "o", "body")
+    got = lines.collect()
+    assert len(got) == len(rows)
+    for log in ("a", "b", None, "long"):
+        own = [r for r in got if r.log == log]
+        head, number = audit.GENESIS, {b: o for x, o, b in rows if x == log}
+        assert [r.seq for r in own] == list(range(1, len(own) + 1))
+        assert [number[r.body] for r in own] == sorted(number.values())
+        for r in own:
+            assert r.prev == head
+            head = hashlib.sha256((head + r.body).encode()).hexdigest()
+            assert r.hash == head
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "_pack" in plan
+    assert audit.verified(lines, "log", slice_lines=500).where("defect is not null").count() == 0

@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,7 +64,39 @@ def _in_order(rows: DataFrame, log: str, order: str, schema: str, step: Callable
 
     kinds = [None, *(pa.int64() if f.split()[1] == "long" else pa.string() for f in schema.split(", "))]
     names = [log, *(f.split()[0] for f in schema.split(", "))]
-    return rows.repartition(log).sortWithinPartitions(log, order).mapInArrow(each, f"{log} {log_kind}, {schema}")
+    # Sorted by ranges first; the one task of a log puts packs of rows in order, not rows.
+    sorted_ = rows.repartitionByRange(log, order).sortWithinPartitions(log, order)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for n, b in enumerate(batches):
+            logs = b.column(log).to_pylist()
+            cuts = [0, *(i for i in range(1, len(logs)) if logs[i] != logs[i - 1]), len(logs)]
+            packs = []
+            for at, end in pairwise(cuts):
+                if end > at:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_batch(b.slice(at, end - at))
+                    packs.append((logs[at], part, n, sink.getvalue().to_pybytes()))
+            columns = list(zip(*packs, strict=True)) if packs else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (b.schema.field(log).type, pa.int32(), pa.int64(), pa.binary()), strict=True)], names=[log, "_part", "_n", "_pack"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            for pack in b.column("_pack"):
+                rest += pa.ipc.open_stream(pack.as_buffer()).read_all().to_batches()
+                # Small logs have packs of a few rows.
+                if sum(r.num_rows for r in rest) >= 4096:
+                    yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+                    rest = []
+        if rest:
+            yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+    packs = sorted_.mapInArrow(packed, f"{log} {log_kind}, _part int, _n long, _pack binary")
+    in_order = packs.repartition(log).sortWithinPartitions(log, "_part", "_n")
+    return in_order.mapInArrow(lambda batches: each(unpacked(batches)), f"{log} {log_kind}, {schema}")
 
 
 def recorded(records: DataFrame, log: str, order: str) -> DataFrame:
@@ -84,7 +118,8 @@ SLICE = 1 << 17
 
 def _carried(rows: DataFrame, log: str, slice_lines: int, **handed: Column) -> DataFrame:
     """Adds _slice, and what the slices before hand on: of each aggregate, its last value that isn't null."""
-    cut = rows.withColumn("_slice", F.expr(f"line div {slice_lines}L"))
+    # Dealt by slice before they are counted: the aggregates sort rows, which would be all of a log in the task that made it.
+    cut = rows.withColumn("_slice", F.expr(f"line div {slice_lines}L")).repartition(log, "_slice")
     ends = cut.groupBy(log, "_slice").agg(*[c.alias(n) for n, c in handed.items()])
     earlier = Window.partitionBy(log).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = ends.select(F.col(log).alias("_log"), F.col("_slice").alias("_at"), *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in handed])

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from vigilake.functions.verdicts import degraded, tier_name
 from vigilake.operators import audit, hosts, metrics, net, paths, pins, policy, relay
-from vigilake.sources.tables import shared_dir, table
+from vigilake.sources.tables import shared_dir, table, written
 
 #: Paths with the expected reason, written by hand; {u} is a user id.
 PATHS = [
@@ -100,7 +100,7 @@ def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_one_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as one log, damaged as above, checked in slices of 1,000 lines."""
     e = _events(spark, sf_dir).select(F.lit("log").alias("log"), "event_id", F.concat_ws("|", "event_id", "tool").alias("body"))
-    lines = audit.chained(e, "log", "event_id", "body").withColumn("event_id", F.substring_index("body", "|", 1).cast("long"))
+    lines = written(spark, audit.chained(e, "log", "event_id", "body")).withColumn("event_id", F.substring_index("body", "|", 1).cast("long"))
     damaged = lines.where("event_id % 101 <> 2").withColumn("body", F.when(F.expr("event_id % 97 = 1"), F.concat("body", F.lit("!"))).otherwise(F.col("body")))
     return audit.verified(damaged, "log", slice_lines=1000).where("defect is not null").select("event_id", "defect")
 

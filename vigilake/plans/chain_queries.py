@@ -11,7 +11,7 @@ from vigilake.functions.canonical import manifest_digests
 from vigilake.functions.verdicts import tier_name
 from vigilake.operators import audit, firewall, net, pins, policy
 from vigilake.sources import files, lines, pin_store
-from vigilake.sources.tables import shared_dir, table
+from vigilake.sources.tables import shared_dir, table, written
 
 #: Addresses with the reason that must come out, written by hand; {x}: four hexadecimal digits, {o}: a number up to 255.
 V6 = [
@@ -69,7 +69,7 @@ def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.lit("gate").alias("event"), F.when(F.expr("event_id % 2 = 0"), "block").otherwise("warn").alias("decision"),
         F.col("event_type").alias("rule_id"), F.lit(None).cast("string").alias("category"), F.when(F.expr("event_id % 3 = 0"), "bash").alias("surface"), F.concat(F.lit('run "é'), F.char(F.pmod("event_id", F.lit(32)).cast("int")), F.lit('\\u001F" '), F.col("event_id").cast("string")).alias("command"), F.lit(None).cast("string").alias("policy_fingerprint"),
     )
-    lines = audit.recorded(e, "user_id", "event_id")
+    lines = written(spark, audit.recorded(e, "user_id", "event_id"))
     id_ = F.regexp_extract("value", r' (\d+)","policy', 1).cast("long")
     lines = lines.withColumn("event_id", id_).where("event_id % 89 <> 0 or event_id % 83 = 0")
     value = F.when(F.expr("event_id % 83 = 0"), F.substring("value", 1, 40)).when(F.expr("event_id % 97 = 0"), F.replace("value", F.lit('"gate"'), F.lit('"hook"'))).when(F.expr("event_id % 101 = 0"), F.regexp_replace("value", r'^\{"seq":\d+,', "{")).otherwise(F.col("value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{(d or f'file://{tempfile.gettempdir()}').rstrip('/')}/vigilake-{context.applicationId}"
 
 
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """What is read more than once and costs much to make, written once to the shared folder."""
+    place = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For work that is long for each row: a table that comes in fewer partitions than there are cores is dealt out evenly; larger ones are left as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
