@@ -82,3 +82,13 @@ def test_a_policy_that_cannot_be_read_shows_the_place(tmp_path):
     assert "2 | …" in str(e.value) and "^" in str(e.value)
     file.write_text("schema_version = 1\n")
     assert policies.load(str(file)) == policies.parse("schema_version = 1")
+
+
+def test_partitions_of_long_work_hold_few_rows(spark, tmp_path):
+    from vigilake.sources.tables import spread
+
+    spark.range(10_001).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(df).rdd.getNumPartitions() == 4
+    dealt = spread(df, 500)
+    assert dealt.rdd.getNumPartitions() == 21 and max(dealt.rdd.glom().map(len).collect()) <= 500 and dealt.count() == 10_001

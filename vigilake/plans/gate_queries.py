@@ -35,7 +35,7 @@ PACKS = [
 
 def _made(spark: SparkSession, sf_dir: str, templates: list[str]) -> DataFrame:
     text = F.element_at(F.array(*map(F.lit, templates)), (F.pmod("event_id", F.lit(len(templates))) + 1).cast("int"))
-    return spread(table(spark, sf_dir, "events").select("event_id")).select("event_id", F.replace(text, F.lit("{e}"), F.col("event_id").cast("string")).alias("command"))
+    return spread(table(spark, sf_dir, "events").select("event_id"), 50_000).select("event_id", F.replace(text, F.lit("{e}"), F.col("event_id").cast("string")).alias("command"))
 
 
 def gate_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def gate_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' commands behind long texts and many legs, of which every other one must be blocked."""
     pads = F.array(*[F.concat(F.lit(a), F.repeat(F.lit(x), n), F.lit(b)) for a, n, x, b in LONG])
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.element_at(pads, (F.pmod("s_suppkey", F.lit(len(LONG))) + 1).cast("int")), F.when(F.expr("s_suppkey % 8 < 4"), "rm -rf /").otherwise("ls /"), F.col("s_suppkey").cast("string")).alias("command"))
-    return gate.evaluate(spread(s), "command").select("s_suppkey", "hit.rule_id", "tier")
+    return gate.evaluate(spread(s, 500), "command").select("s_suppkey", "hit.rule_id", "tier")
 
 
 #: A configuration that lets some commands through and blocks others, with the tier that must come out.

@@ -32,7 +32,12 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For work that is long for each row: a table that comes in fewer partitions than there are cores is dealt out evenly; larger ones are left as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, most: int | None = None) -> DataFrame:
+    """For work that is long for each row: a table that comes in fewer partitions than there are cores is dealt out evenly; larger ones are left as they are read.
+
+    most: rows of a partition, so that tasks don't grow with the table.
+    """
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    if most:
+        parts = max(parts, -(-df.count() // most))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
