@@ -1,6 +1,7 @@
 """Chains in slices, and the log as a sink that appends once."""
 
 import hashlib
+import json
 import random
 import shutil
 
@@ -42,6 +43,32 @@ def test_slices_find_what_whole_logs_do(spark):
     assert {d for *_, ds in whole for d in ds} == {"malformed", "missing_seq", "sequence_gap", "broken_link", "hash_mismatch"}
 
 
+def test_digests_are_made_once_and_of_any_text(spark):
+    """Escapes with letters, backslashes before what looks like one, and the character that stands for them meanwhile."""
+    texts = ["".join(map(chr, range(33))), "\\u001F", "\\\\u001F", "\\\x1f", "\\\\\x1f\\", "\x7f0\x7f1\x7f\x1f", "\x7f\\\x0bu001F", "é\U0001f600\x0e", 'a"\\', None, ""]
+    rows = [(log, i, 10 + i, "gate", "block", t, t, None, t, "p") for log, n in (("a", 11), ("b", 3), (None, 11)) for i, t in enumerate(texts[:n])]
+    fields = "log string, o int, timestamp long, event string, decision string, rule_id string, category string, surface string, command string, policy_fingerprint string"
+    lines = audit.recorded(spark.createDataFrame(rows, fields), "log", "o").cache()
+    for r in lines.collect():
+        record = json.loads(r.value)
+        assert record.pop("hash") == hashlib.sha256(json.dumps(record, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    found = audit.defects(lines, "log")
+    assert sorted((r.log or "", r.line, r.defects) for r in found.collect()) == sorted((log or "", i + 1, []) for log, i, *_ in rows)
+    # What explodes the defects filters on them, which must not work the digests out a second time.
+    plan = found.select("log", F.explode("defects"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+
+
+def test_small_logs_share_packs(spark):
+    """Ten thousand logs of a row each don't take a pack each; rows stay those of their log."""
+    rows = spark.range(10_000).select(F.col("id").alias("log"), F.lit(1).alias("o"), F.col("id").cast("string").alias("body"))
+    lines = audit.chained(rows.coalesce(1), "log", "o", "body")
+    got = lines.collect()
+    assert sorted((r.log, r.line, r.body) for r in got) == [(i, 1, str(i)) for i in range(10_000)]
+    shuffled = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket" in shuffled and audit.BUCKETS < 10_000
+
+
 def test_links_are_verified_in_slices(spark):
     rows = spark.createDataFrame([(log, i, f"b{i}") for log, n in (("a", 50), ("b", 9), (None, 30)) for i in range(n)], "log string, o int, body string")
     lines = audit.chained(rows, "log", "o", "body")

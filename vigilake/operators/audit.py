@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vigilake.functions.columns import let
+from vigilake.functions.verdicts import held
+
 #: Fixed value: what the first record has before it.
 GENESIS = "0" * 64
 
@@ -39,11 +42,20 @@ _LETTERED = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
 def chain_hash(record: Column) -> Column:
     """The digest of a record (a struct with the fields of RECORD): compact JSON of HASHED in order, absent as null."""
     text = F.to_json(F.struct(*[record[c].alias(c) for c in HASHED]), {"ignoreNullFields": "false"})
-    small = text
-    for code in _LETTERED:
-        small = F.regexp_replace(small, r"(?<!\\)((?:\\\\)*)\\u00" + code, r"$1\\u00" + code.lower())
-    text = F.when(text.rlike(r"\\u00[01][A-F]"), small).otherwise(text)
-    return F.sha2(text, 256)
+    return F.sha2(let(text, lambda t: F.when(t.rlike(r"\\u00[01][A-F]"), _small_escapes(t)).otherwise(t)), 256)
+
+
+def _small_escapes(text: Column) -> Column:
+    """JSON with the escapes of _LETTERED in small letters: escaped backslashes stand aside meanwhile, so that what begins with one is an escape."""
+    aside = (("\x7f", "\x7f0"), ("\\\\", "\x7f1"))
+    escapes = [(f"\\u00{code}", f"\\u00{code.lower()}") for code in _LETTERED]
+    for old, new in (*aside, *escapes, *((b, a) for a, b in reversed(aside))):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+#: Groups of logs by hash; each is put in order by one task.
+BUCKETS = 1 << 12
 
 
 def _in_order(rows: DataFrame, log: str, order: str, schema: str, step: Callable[[dict, tuple], tuple[tuple, tuple]], begin: Callable[[dict], tuple]) -> DataFrame:
@@ -64,50 +76,53 @@ def _in_order(rows: DataFrame, log: str, order: str, schema: str, step: Callable
 
     kinds = [None, *(pa.int64() if f.split()[1] == "long" else pa.string() for f in schema.split(", "))]
     names = [log, *(f.split()[0] for f in schema.split(", "))]
-    # Sorted by ranges first; the one task of a log puts packs of rows in order, not rows.
-    sorted_ = rows.repartitionByRange(log, order).sortWithinPartitions(log, order)
+    # Sorted by ranges first; the one task of a log puts packs of rows in order, not rows. Logs share packs by bucket, so that small ones don't take one each.
+    bucket = F.pmod(F.xxhash64(log), F.lit(BUCKETS)).cast("int")
+    sorted_ = rows.withColumn("_bucket", bucket).repartitionByRange("_bucket", log, order).sortWithinPartitions("_bucket", log, order)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for n, b in enumerate(batches):
-            logs = b.column(log).to_pylist()
-            cuts = [0, *(i for i in range(1, len(logs)) if logs[i] != logs[i - 1]), len(logs)]
+            buckets = b.column("_bucket").to_pylist()
+            cuts = [0, *(i for i in range(1, len(buckets)) if buckets[i] != buckets[i - 1]), len(buckets)]
             packs = []
             for at, end in pairwise(cuts):
                 if end > at:
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                         w.write_batch(b.slice(at, end - at))
-                    packs.append((logs[at], part, n, sink.getvalue().to_pybytes()))
+                    packs.append((buckets[at], part, n, sink.getvalue().to_pybytes()))
             columns = list(zip(*packs, strict=True)) if packs else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (b.schema.field(log).type, pa.int32(), pa.int64(), pa.binary()), strict=True)], names=[log, "_part", "_n", "_pack"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["_bucket", "_part", "_n", "_pack"])
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for b in batches:
             for pack in b.column("_pack"):
                 rest += pa.ipc.open_stream(pack.as_buffer()).read_all().to_batches()
-                # Small logs have packs of a few rows.
+                # Small buckets have packs of a few rows.
                 if sum(r.num_rows for r in rest) >= 4096:
                     yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
                     rest = []
         if rest:
             yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
 
-    packs = sorted_.mapInArrow(packed, f"{log} {log_kind}, _part int, _n long, _pack binary")
-    in_order = packs.repartition(log).sortWithinPartitions(log, "_part", "_n")
+    packs = sorted_.mapInArrow(packed, "_bucket int, _part int, _n long, _pack binary")
+    in_order = packs.repartition("_bucket").sortWithinPartitions("_bucket", "_part", "_n")
     return in_order.mapInArrow(lambda batches: each(unpacked(batches)), f"{log} {log_kind}, {schema}")
 
 
 def recorded(records: DataFrame, log: str, order: str) -> DataFrame:
     """log, line and value (a JSON line with seq, prev and hash) of every record, each log chained in its order; records have the fields of RECORD but these three."""
     fields = HASHED[2:]
+    compact = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
 
     def step(row: dict, state: tuple) -> tuple[tuple, tuple]:
         seq, prev = state
-        own = {"seq": seq, "prev": prev} | {k: row[k] for k in fields}
-        head = hashlib.sha256(json.dumps(own, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
-        return (seq, json.dumps(own | {"hash": head}, separators=(",", ":"), ensure_ascii=False)), (seq + 1, head)
+        text = compact({"seq": seq, "prev": prev} | {k: row[k] for k in fields})
+        head = hashlib.sha256(text.encode()).hexdigest()
+        # The hash is the last field of the same text.
+        return (seq, f'{text[:-1]},"hash":"{head}"}}'), (seq + 1, head)
 
     return _in_order(records.select(log, order, *[c for c in fields if c not in (log, order)]), log, order, "line long, value string", step, lambda row: (1, GENESIS))
 
@@ -149,6 +164,7 @@ def defects(lines: DataFrame, log: str, slice_lines: int = SLICE) -> DataFrame:
     out = out.withColumn("_seen", F.coalesce(F.max(is_chained).over(before), "_seen_before", F.lit(0)) > 0)
     out = out.withColumn("_seq", F.coalesce(F.coalesce(F.last(number, ignorenulls=True).over(before), "_seq_before") + 1, F.lit(1)))
     out = out.withColumn("_hash", F.coalesce(F.last(good, ignorenulls=True).over(before), "_hash_before", F.lit(GENESIS)))
+    # Held: digests cost the most here, and a filter on the defects would have them worked out again.
     found = F.array_compact(
         F.array(
             F.when((F.col("kind") == "unreadable") & F.col("_seen"), "malformed"),
@@ -160,7 +176,7 @@ def defects(lines: DataFrame, log: str, slice_lines: int = SLICE) -> DataFrame:
             F.when(counted & prev_ok & hash_ok & (chain_hash(F.col("v")) != F.col("v.hash")), "hash_mismatch"),
         )
     )
-    return out.select(log, "line", "kind", found.alias("defects"))
+    return held(out, "defects", found).select(log, "line", "kind", "defects")
 
 
 def record_hash(prev: Column, body: Column) -> Column:

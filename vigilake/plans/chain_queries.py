@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions.canonical import manifest_digests
-from vigilake.functions.verdicts import tier_name
+from vigilake.functions.verdicts import held, tier_name
 from vigilake.operators import audit, firewall, net, pins, policy
 from vigilake.sources import files, lines, pin_store
 from vigilake.sources.tables import shared_dir, table, written
@@ -71,9 +71,10 @@ def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = written(spark, audit.recorded(e, "user_id", "event_id"))
     id_ = F.regexp_extract("value", r' (\d+)","policy', 1).cast("long")
-    lines = lines.withColumn("event_id", id_).where("event_id % 89 <> 0 or event_id % 83 = 0")
+    # Held: filters on the id and on the line would have the patterns run again.
+    lines = held(lines, "event_id", id_).where("event_id % 89 <> 0 or event_id % 83 = 0")
     value = F.when(F.expr("event_id % 83 = 0"), F.substring("value", 1, 40)).when(F.expr("event_id % 97 = 0"), F.replace("value", F.lit('"gate"'), F.lit('"hook"'))).when(F.expr("event_id % 101 = 0"), F.regexp_replace("value", r'^\{"seq":\d+,', "{")).otherwise(F.col("value"))
-    return lines.select("user_id", "line", value.alias("value"))
+    return held(lines, "value", value).select("user_id", "line", "value")
 
 
 def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
