@@ -4,6 +4,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.classic.dataframe import DataFrame
 
 from vigilake.llm import ngram_join
 from vigilake.llm.components import components
@@ -140,3 +141,33 @@ def test_a_passage_that_many_unlike_documents_share(spark, documents):
     docs = spark.range(n).selectExpr("id as doc_id", f"concat('own', id, ' {passage} ', 'end', id, ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid(), ' ', uuid()) as text")
     got = ngram_join.joined(saved(docs, "test")).selectExpr("count(distinct component_id) as c", "min(n_shingles) as n").first()
     assert tuple(got) == (n, 48)
+
+
+def test_no_rows_of_shingles_come_to_the_driver(spark, documents, monkeypatch):
+    """Common shingles come as bytes, a row a task, and no table of documents or pairs is broadcast."""
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", 3)
+    monkeypatch.setattr(ngram_join, "FEW", 0)
+    rows, plans = [], []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: rows.append(out := collect(df)) or out)
+    monkeypatch.setattr(ngram_join, "saved", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(df, name))
+    text = " ".join(f"w{i}" for i in range(5_000))
+    docs = documents([(i, f"{text} x{i}") for i in range(8)])
+    got = result(docs.coalesce(1))
+    assert got == [(i, 4_997, 0) for i in range(8)]
+    assert max(len(r) for r in rows if r and "often" in r[0]) <= 8
+    assert not [r for r in rows if len(r) > 2_048]
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_of_many_common_shingles_the_most_frequent_are_taken(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_MOST", 1_000)
+    told = spark.range(5_000).selectExpr("xxhash64(id) AS a", "CASE WHEN id < 400 THEN 1000 + id WHEN id < 3000 THEN 64 ELSE 16 END AS n").repartition(7)
+    key, often = ngram_join._most_common(told)
+    n = {r.a: r.n for r in told.collect()}
+    taken = [n[int(k)] for k in key.view(np.int64)]
+    assert (key[1:] > key[:-1]).all() and often.tolist() == [int(x).bit_length() - 1 for x in taken]
+    assert sum(x >= 1000 for x in taken) == 400 and min(taken) == 64 and 850 < len(taken) < 1_150
+    monkeypatch.setattr(ngram_join, "HOT_MOST", 5_000)
+    assert len(ngram_join._most_common(told)[0]) == 5_000
+    assert len(ngram_join._most_common(told.where("n < 0"))[0]) == 0

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.llm.shared import saved
+from vigilake.llm.shared import grown, saved
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -28,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(star)
     while state[0]:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), F.col("u") == F.col("node")).where("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v"))
+        large = both.join(grown(_least(both)), F.col("u") == F.col("node")).where("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v"))
         large = saved(large.distinct(), "cc-large")
-        small = large.join(_least(large), F.col("u") == F.col("node"))
+        small = large.join(grown(_least(large)), F.col("u") == F.col("node"))
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("p")).select("p.*").where("u <> v")
         star = saved(small.distinct(), "cc-star")
         before, state = state, _state(star)

@@ -42,10 +42,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm.components import components
-from vigilake.llm.shared import Marks, blocks, mix, saved, small_batches, text_rows, utf8, word_hashes
+from vigilake.llm.shared import Marks, blocks, grown, mix, saved, small_batches, text_rows, utf8, word_hashes
 
-#: A shingle is common if HOT_LEAST documents have it; of more than HOT_MOST, the most frequent are taken, so that 8 MB go to the tasks.
-HOT_LEAST, HOT_MOST = 16, 1_000_000
+#: A shingle is common if HOT_LEAST documents have it; of more than about HOT_MOST, the most frequent are taken, so that 9 MB go to the tasks. Counts are told apart in HOT_STEPS steps from one power of two to the next.
+HOT_LEAST, HOT_MOST, HOT_STEPS = 16, 1_000_000, 64
 #: A task tells of shingles that this many of its documents have, counting about so many at a time.
 HOT_TOLD, HOT_BLOCK = 3, 4_000_000
 #: Cells of a set's signature.
@@ -160,6 +160,34 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return saved(text_rows(docs, "doc_id").mapInArrow(passed, "kind byte, a long, n long, b long, c long, cells binary"), "join-sets")
 
 
+def _most_common(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the HOT_MOST shingles of the highest counts, and the logarithms of these; told: a (the hash), n.
+
+    Of the last step of counts that has room, shingles below a hash are taken. They come as bytes, a row a
+    task: as rows they would take half a kilobyte each on the driver, and a sort with a limit brings HOT_MOST of every task.
+    """
+    step = F.floor(F.log2("n") * HOT_STEPS)
+    room, last, share = HOT_MOST, -1, 1.0
+    for r in told.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        if r["count"] > room:
+            last, share = r["step"], room / r["count"]
+            break
+        room -= r["count"]
+    # Hashes are evenly spread.
+    kept = told.where((step > last) | (step == last) & (F.shiftrightunsigned("a", 32) < int(share * (1 << 32))))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("a").to_numpy(), b.column("often").to_numpy()) for b in batches if b.num_rows]
+        if held:
+            a, often = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (a, often)], ["a", "often"])
+
+    found = kept.select("a", F.floor(F.log2("n")).cast("byte").alias("often")).mapInArrow(packed, "a binary, often binary").collect()
+    key, often = (np.frombuffer(b"".join(r[c] for r in found), kind) for c, kind in (("a", np.uint64), ("often", np.uint8)))
+    order = np.argsort(key)
+    return key[order], often[order]
+
+
 def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, t: tuple[int, int]) -> DataFrame:
     """doc_id, n, rare (thousandths of the set that are not common) and the prefix of each document; from `common` on its shingles are common ones. hot: their sorted hashes and the logarithms of their counts."""
     spread = docs.sparkSession.sparkContext.broadcast(hot)
@@ -246,7 +274,7 @@ def _joined_to(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     if small.count() <= FEW:
         return rows.join(F.broadcast(small), key)
     salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(grown(salted), [key, "salt"]).drop("salt")
 
 
 def _across(rows: DataFrame, lists: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -288,7 +316,7 @@ def _may(n: Column, m: Column, p: Column, q: Column, t: tuple[int, int]) -> Colu
 def _plausible(pairs: DataFrame, sizes: DataFrame, t: tuple[int, int]) -> DataFrame:
     """The pairs whose signatures leave room for the overlap that they need; sizes: doc_id, n and cells."""
     x, y = (sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"cells_{c}")) for c in "ab")
-    both = pairs.join(y, "b").join(x, "a").where(t[0] * F.greatest("n_a", "n_b") <= t[1] * F.least("n_a", "n_b"))
+    both = pairs.join(grown(y), "b").join(grown(x), "a").where(t[0] * F.greatest("n_a", "n_b") <= t[1] * F.least("n_a", "n_b"))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +340,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, t: tuple[int, int]) ->
             yield pa.RecordBatch.from_arrays([b.column(c).take(keep) for c in ("doc_id", "text")], ["doc_id", "text"])
 
     texts = hashed.mapInArrow(wanted, "doc_id long, text string")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    x, y = (grown(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))) for c in "ab")
+    both = pairs.join(y, "b").join(x, "a")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,17 +368,11 @@ def joined(docs: DataFrame, k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = _sets(docs, k)
     own = sets.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "b", "c", "cells")
-    told = saved(sets.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST), "join-hot")
-    if told.count() > HOT_MOST:
-        told = told.orderBy(F.desc("n"), "a").limit(HOT_MOST)
-    # At most HOT_MOST rows of 9 bytes.
-    common_ones = told.select("a", F.floor(F.log2("n")).cast("int").alias("often")).toPandas()
-    key = common_ones["a"].to_numpy().astype(np.int64).view(np.uint64)
-    hot = np.sort(key), common_ones["often"].to_numpy().astype(np.uint8)[np.argsort(key)]
+    hot = _most_common(saved(sets.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST), "join-hot"))
     # Of each set, the least doc_id; what is empty or has no doc_id takes no part.
     linkable = own.where("n > 0 and doc_id is not null")
     classes = saved(linkable.groupBy("n", "b", "c").agg(F.min("doc_id").alias("class")), "join-classes")
-    posts = _prefixes(docs, hot, k, t).join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
+    posts = _prefixes(docs, hot, k, t).join(grown(classes.select(F.col("class").alias("doc_id"))), "doc_id", "left_semi")
     posts = posts.select(F.col("doc_id").alias("doc"), "n", "rare", "common", F.posexplode("prefix").alias("pos", "hash")).withColumn("is_hot", F.col("pos") >= F.col("common"))
     columns = ["hash", "doc", "n", "rare", "pos"]
     short = saved(_short_lists(posts.where("not is_hot").select(*columns).repartition("hash").sortWithinPartitions("hash", "rare", "doc"), t), "join-lists")
@@ -363,25 +386,25 @@ def joined(docs: DataFrame, k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFram
 
     # Long lists that the leaders have not brought together.
     open_ = short.where("kind = 1").select(F.col("b").alias("hash"), F.col("a").alias("doc"), "n", "rare", "pos").unionByName(common.select("hash", "doc", F.col("n").cast("long").alias("n"), F.col("rare").cast("long").alias("rare"), F.col("pos").cast("long").alias("pos")))
-    open_ = saved(open_.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "join-open")
+    open_ = saved(open_.join(grown(found.withColumnRenamed("node", "doc")), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "join-open")
     several = saved(open_.groupBy("hash").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("k")).where("least <> most").select("hash", "k"), "join-several")
     more = None
     if several.count():
-        left = _joined_to(open_, several.select("hash"), "hash").join(sizes.select(F.col("doc_id").alias("doc"), "cells").dropDuplicates(["doc"]), "doc")
-        rest = _across(left, several, t).join(pairs, ["a", "b"], "left_anti")
+        left = _joined_to(open_, several.select("hash"), "hash").join(grown(sizes.select(F.col("doc_id").alias("doc"), "cells").dropDuplicates(["doc"])), "doc")
+        rest = _across(left, several, t).join(grown(pairs), ["a", "b"], "left_anti")
         more = _verified(docs, rest, k, t)
         links = links.unionByName(more)
     # Rows of one doc_id that hold different sets bring the classes of these together.
     differ = linkable.groupBy("doc_id").agg(F.min(F.struct("n", "b", "c")).alias("x"), F.max(F.struct("n", "b", "c")).alias("y")).where("x <> y").select("doc_id")
-    same = saved(linkable.join(differ, "doc_id", "left_semi").join(classes, ["n", "b", "c"]).select(F.col("doc_id").alias("a"), F.col("class").alias("b")), "join-same")
+    same = saved(linkable.join(grown(differ), "doc_id", "left_semi").join(grown(classes), ["n", "b", "c"]).select(F.col("doc_id").alias("a"), F.col("class").alias("b")), "join-same")
     if same.where("a <> b").count():
         links = links.unionByName(same)
         more = same
     if more is not None and more.count():
         found = saved(components(links), "join-components")
 
-    named = linkable.join(classes, ["n", "b", "c"]).select("doc_id", "n", "class")
-    out = named.join(found, F.col("class") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
+    named = linkable.join(grown(classes), ["n", "b", "c"]).select("doc_id", "n", "class")
+    out = named.join(grown(found), F.col("class") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
     return out.unionByName(own.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
@@ -393,7 +416,7 @@ def deduplicated(docs: DataFrame, k: int = 5, t: tuple[int, int] = (4, 5)) -> Da
     first = saved(joined(docs, k, t).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct(), "join-first")
     # The row is one column, so that none of its own can clash.
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
-    kept = whole.where("id is not null").join(first, F.col("id") == F.col("first"), "left_semi")
+    kept = whole.where("id is not null").join(grown(first), F.col("id") == F.col("first"), "left_semi")
     plain = [f"row.`{f.name}`" for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     kept = kept.groupBy("id", F.xxhash64("row.text").alias("hash"), F.col("row.text").alias("text")).agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
     return kept.select("row").unionByName(whole.where("id is null").select("row")).select("row.*")

@@ -36,6 +36,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the corpus, sorted and merged: a broadcast goes through the driver, and by its files' size Spark would send a table that takes many times as much there."""
+    return df.hint("merge")
+
+
 def text_rows(docs: DataFrame, *keep: str) -> DataFrame:
     """The named columns and the text; null text is empty."""
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
