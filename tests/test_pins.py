@@ -3,6 +3,7 @@
 import hashlib
 import json
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,28 @@ def test_of_two_writers_one_merges_again(spark, tmp_path, manifest, monkeypatch)
     monkeypatch.setattr(pin_store, "load", late)
     assert verdicts(pin_store.verify(spark, path, manifest(a={"x": "1"}), 9)) == {"a": ("recorded", [])}
     assert sorted(r.upstream for r in load(spark, path)[0].collect()) == ["a", "b"]
+
+
+def test_tools_of_large_manifests_are_compared_in_one_pass(spark):
+    """40,000 tools each: looking up each name in the other map took minutes."""
+    n = 40_000
+    made = spark.sql(f"SELECT map_from_arrays(transform(sequence(1, {n}), x -> 'tool ' || x), transform(sequence(1, {n}), x -> sha(string(x)))) AS old, map_from_arrays(transform(sequence({n} + 2, 3, -1), x -> 'tool ' || x), transform(sequence({n} + 2, 3, -1), x -> sha(string(if(x % 10 = 0, -x, x))))) AS new")
+    made.write.format("noop").mode("overwrite").save()
+    start = time.time()
+    got = made.repartition(1).select(F.explode(pins.tool_changes(F.col("old"), F.col("new"))).alias("c")).select("c.*").collect()
+    assert time.time() - start < 10
+    assert [r.name for r in got] == sorted(r.name for r in got)
+    said = {r.name: r.change for r in got}
+    want = {"tool 1": "removed", "tool 2": "removed", f"tool {n + 1}": "added", f"tool {n + 2}": "added"} | {f"tool {x}": "modified" for x in range(10, n + 1, 10)}
+    assert said == want
+
+
+def test_odd_numbers_are_written_as_before(spark):
+    """A manifest with numbers that take an exponent, and one without, have the digests of their canonical texts."""
+    tool = '{{"outputSchema":{0},"name":"a","title":"t","inputSchema":{{"b":{0},"a":[1.50]}}}}'
+    rows = [("u", '{"tools":[{"name":"b"},' + tool.format(x) + "]}") for x in ("1E2", "1e16", "0.00001", "-0")]
+    got = spark.createDataFrame(rows, "u string, r string").coalesce(1).select(canonical.manifest_digests("u", "r").alias("d")).select("d.*").collect()
+    for r, x in zip(got, ("100.0", "1e16", "0.00001", "-0.0"), strict=True):
+        first = f'"inputSchema":{{"a":[1.5],"b":{x}}},"name":"a"'
+        assert r.tools_hash == hashlib.sha256(f'{{"tools":[{{{first},"outputSchema":{x}}},{{"name":"b"}}],"upstream":"u"}}'.encode()).hexdigest()
+        assert r.tools["a"] == hashlib.sha256(f"{{{first}}}".encode()).hexdigest()

@@ -49,14 +49,10 @@ def pinned(pins: DataFrame, seen: DataFrame) -> DataFrame:
 
 def tool_changes(before: Column, after: Column) -> Column:
     """(name, change) of the tools that were added, removed or modified between two maps of name to digest, by name."""
-    gone, new = F.array_except(F.map_keys(before), F.map_keys(after)), F.array_except(F.map_keys(after), F.map_keys(before))
-    kept = F.filter(F.map_keys(after), lambda n: F.map_contains_key(before, n))
-    other = F.filter(kept, lambda n: F.element_at(before, n) != F.element_at(after, n))
-
-    def told(names: Column, what: str) -> Column:
-        return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(what).alias("change")))
-
-    return F.array_sort(F.concat(told(gone, "removed"), told(new, "added"), told(other, "modified")))
+    # One pass over both by hash: to look each name up walks the whole map.
+    change = F.map_zip_with(before, after, lambda _, b, a: F.when(a.isNull(), "removed").when(b.isNull(), "added").when(b != a, "modified"))
+    told = F.filter(F.map_entries(change), lambda e: e["value"].isNotNull())
+    return F.array_sort(F.transform(told, lambda e: F.struct(e["key"].alias("name"), e["value"].alias("change"))))
 
 
 def verify_or_record(known: DataFrame, seen: DataFrame, now: int, expected: DataFrame | None = None) -> DataFrame:
